@@ -55,3 +55,14 @@ def crc_bucket(doc_id: Column, modulus: int) -> Column:
 def texts_of(column, start: int, size: int = SLICE) -> list:
     """A slice of an Arrow string column as Python strings, null as ``''``."""
     return [t or "" for t in column.slice(start, size).to_pylist()]
+
+
+#: Rows of a narrow table (a few numbers each) that a broadcast may hold: below 100 MB.
+SMALL_ROWS = 1_000_000
+
+
+def join_narrow(df: DataFrame, narrow: DataFrame, on, how: str = "inner") -> DataFrame:
+    """``df`` joined with a narrow table that was stashed: its rows are counted,
+    and up to SMALL_ROWS of them are broadcast, so that wide rows aren't
+    shuffled; more of them meet ``df`` in a shuffled join."""
+    return df.join(F.broadcast(narrow) if narrow.count() <= SMALL_ROWS else narrow, on, how)

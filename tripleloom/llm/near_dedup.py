@@ -5,8 +5,8 @@
 2. Documents with equal sets are one class; only its smallest id goes on.
 3. Inverted lists of retained values generate the overlaps.  The key of a list
    is a run of three neighbouring retained values (two for small sets): two
-   sets with a Jaccard similarity of 0.8 share no run of three among 64
-   retained values with a probability of 1e-10, while one shared passage or
+   sets with a Jaccard similarity of 0.8 share no run of three among 48
+   retained values with a probability of 3e-8, while one shared passage or
    some frequent word pairs seldom fill a run, so lists stay short.
 4. In each list every member is compared with the first and the last one,
    which is linear in the list.  Components of the links found so far tell
@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SLICE, stash, texts_of
+from .common import SLICE, join_narrow, stash, texts_of
 from .components import components
 
 _M1, _M2, _STEP = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53), np.uint64(0x9E3779B97F4A7C15)
@@ -44,7 +44,7 @@ _SHIFT = np.uint64(33)
 SMALL_MAX, LARGE_MIN = 16, 10
 #: Lists of up to FEW members are compared by a join; a block of a longer one
 #: holds about BLOCK_VALUES shingles.
-FEW, BLOCK_VALUES = 40, 200_000
+FEW, BLOCK_VALUES = 40, 1_000_000
 
 
 class _WordHash(dict):
@@ -119,6 +119,8 @@ def _keys(n: Column, s: Column) -> Column:
 
 def _estimated(pairs: DataFrame, sketches: DataFrame, k: int, threshold: float) -> DataFrame:
     """Pairs whose sizes allow a link and whose union sketch makes it likely."""
+    pairs = stash(pairs)
+    sketches = join_narrow(sketches, stash(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()), "node", "left_semi")
     side = lambda x: sketches.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"s_{x}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
     both = both.filter(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * round(100 * threshold))
@@ -131,7 +133,7 @@ def _estimated(pairs: DataFrame, sketches: DataFrame, k: int, threshold: float)
 def _sets_of(nodes: DataFrame, texts: DataFrame, size: int) -> DataFrame:
     """The full shingle sets of some documents."""
     schema = T.StructType([T.StructField("node", texts.schema["node"].dataType), T.StructField("s", T.ArrayType(T.LongType()))])
-    return texts.join(nodes, "node", "left_semi").mapInArrow(_full_sets(size), schema).dropDuplicates(["node"])
+    return join_narrow(texts, stash(nodes), "node", "left_semi").mapInArrow(_full_sets(size), schema).dropDuplicates(["node"])
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, size: int, threshold: float) -> DataFrame:
@@ -172,12 +174,14 @@ def _links_in_long_lists(rows: DataFrame, texts: DataFrame, size: int, threshold
     blocks = F.ceil(F.col("values") / BLOCK_VALUES).cast("int")
     block = F.pmod(F.xxhash64("node"), blocks.cast("bigint"))
     pairs = F.transform(F.sequence(F.lit(0).cast("bigint"), blocks.cast("bigint") - 1), lambda j: F.struct(F.least(block, j).alias("i"), F.greatest(block, j).alias("j")))
-    dealt = rows.select("key", "node", "n", "part", F.explode(pairs).alias("b")).join(sets, "node")
+    whole = F.struct(F.lit(0).cast("bigint").alias("i"), F.lit(0).cast("bigint").alias("j"))
+    columns = ["key", "node", "n", "part"]
+    dealt = rows.filter(blocks <= 1).select(*columns, whole.alias("b")).union(rows.filter(blocks > 1).select(*columns, F.explode(pairs).alias("b"))).join(sets, "node")
     kind = texts.schema["node"].dataType
     return dealt.groupBy("key", "b").applyInPandas(_links_of_block(threshold), T.StructType([T.StructField("u", kind), T.StructField("v", kind)]))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, threshold: float = 0.8, k: int = 64) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, threshold: float = 0.8, k: int = 48) -> DataFrame:
     """One row per input row: the id under its own name, ``n_shingles``,
     ``component_id`` (least id that links lead to, itself included) and
     ``kept`` (the id is its component's).
@@ -200,15 +204,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     real = signed.filter("n > 0 and id is not null")
     repeated = stash(real.groupBy("n", "h1", "h2").agg(F.min("id").alias("first"), F.count("*").alias("rows")).filter("rows > 1").drop("rows"))
-    rows = stash(signed.select("id", "n", "h1", "h2").join(repeated, ["n", "h1", "h2"], "left").select("id", "n", F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.coalesce("first", "id")).otherwise(F.col("id")).alias("node")))
-    classes = rows.filter("n > 0 and id is not null").select(F.col("node").alias("id")).distinct()
-    sketches = stash(real.filter("n >= 4").join(classes, "id", "left_semi").select(F.col("id").alias("node"), "n", "sketch").dropDuplicates(["node"]))
+    known = join_narrow(signed, repeated, ["n", "h1", "h2"], "left").withColumn("node", F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.coalesce("first", "id")).otherwise(F.col("id")))
+    rows = known.select("id", "n", "node")
+    sketches = known.filter("n >= 4 and id = node").select("node", "n", "sketch")
 
     entries = sketches.select("node", "n", F.explode(_keys(F.col("n"), F.col("sketch"))).alias("key"))
     lists = stash(entries.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count("*").alias("size"), F.bit_xor(F.xxhash64("node")).alias("members")).filter("lo <> hi"))
     # lists with the same members need one look only
     lists = stash(lists.groupBy("size", "members", "lo", "hi").agg(F.min("key").alias("key")))
-    members = stash(entries.join(lists.filter("size > 2").select("key", "lo", "hi"), "key"))
+    members = stash(join_narrow(entries, stash(lists.filter("size > 2").select("key", "lo", "hi")), "key"))
 
     stars = members.select(F.explode(F.array(F.struct(F.col("lo").alias("a"), F.col("node").alias("b")), F.struct(F.col("node").alias("a"), F.col("hi").alias("b")))).alias("p")).select("p.a", "p.b")
     pairs = stars.filter("a <> b").union(lists.filter("size = 2").select("lo", "hi")).distinct()
