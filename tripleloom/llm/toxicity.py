@@ -31,17 +31,28 @@ LETTERS = "abcdefghijklmnopqrstuvwxyz"
 #: Costs in nats: of an imitation, of a masked letter, of leaving out a gap, of leaving out a repeated letter (by its place in the run).
 IMITATE, MASKED, GAP, REPEAT_SECOND, REPEAT_LATER = 1.0, 3.0, 0.3, 6.0, 0.1
 
-_SIGNS = "".join(IMITATES) + ANY_LETTER
 _DRAWN = re.compile(r"\w*([^\W\d_])\1\1\w*")
 _APART = re.compile(r"(?<![^\W_])[^\W_](?:[ .\-_~*/,]{1,2}[^\W_](?![^\W_])){2,}")
 _WORD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)*")
 _EDGES = ".,;:?\"'()[]{}<>#%&*=~^`/\\-_"
 
 
+def _letter_table() -> np.ndarray:
+    """Of each code point below 0x250, the letter it counts as (1 to 26) or 0; the last entry is for all others."""
+    letters = [chr(c).lower()[:1].translate(ACCENTS) for c in range(0x250)]
+    return np.array([ord(x) - 96 if x and x in LETTERS else 0 for x in letters] + [0], np.int64)
+
+
+_TABLE = _letter_table()
+
+
+def _raw(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
 def _codes(text: str) -> np.ndarray:
     """Letters as 1 to 26, all else as 0."""
-    raw = np.frombuffer(text.lower().translate(ACCENTS).encode("utf-32-le", "surrogatepass"), np.uint32)
-    return np.where((raw >= 97) & (raw <= 122), raw - 96, 0).astype(np.int64)
+    return _TABLE[np.minimum(_raw(text), 0x250)]
 
 
 def character_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -53,11 +64,10 @@ def character_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
         for batch in batches:
             total = np.zeros(27**3, np.int64)
             for start in range(0, batch.num_rows, SLICE):
-                for text in texts_of(batch.column(0), start):
-                    if text:
-                        c = np.concatenate(([0, 0], _codes(text), [0]))
-                        cells = (c[:-2] * 27 + c[1:-1]) * 27 + c[2:]
-                        total += np.bincount(cells[(c[1:-1] > 0) | (c[2:] > 0)], minlength=27**3)
+                # two blanks before each text and one after it
+                c = _codes("  " + "   ".join(t for t in texts_of(batch.column(0), start) if t) + " ")
+                cells = (c[:-2] * 27 + c[1:-1]) * 27 + c[2:]
+                total += np.bincount(cells[(c[1:-1] > 0) | (c[2:] > 0)], minlength=27**3)
             used = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], ["cell", "n"])
 
@@ -119,21 +129,47 @@ def decode(span: str, cost: np.ndarray) -> str:
     return "".join(reversed(letters))
 
 
+def _drawn(text: str) -> list[str]:
+    """Words in which a letter stands three times in a row."""
+    raw = _raw(text)
+    same = raw[1:] == raw[:-1]
+    if len(raw) < 3 or not (same[1:] & same[:-1] & (raw[2:] >= 65)).any():
+        return []
+    return [m[0] for m in _DRAWN.finditer(text)]
+
+
+def _apart(text: str, tokens: list[str]) -> list[str]:
+    """Runs of three and more letters set apart by blanks or signs."""
+    short = np.fromiter(map(len, tokens), np.int64, len(tokens)) <= 2
+    three = np.flatnonzero(short[2:] & short[1:-1] & short[:-2]) if len(tokens) > 2 else ()
+    alone = [len(t) == 1 or not t[1].isalnum() for k in three for t in tokens[k : k + 3]] if len(three) else []
+    if any(all(alone[k : k + 3]) for k in range(0, len(alone), 3)):
+        return [m[0] for m in _APART.finditer(text)]
+    return []
+
+
+def scanned(text: str) -> tuple[set[str], list[str]]:
+    """The lower-cased words of a text, and its spans that may hide another word."""
+    tokens = text.split()
+    words, spans = set(), []
+    for token in set(tokens):
+        core = token.strip(_EDGES)
+        if core.isalpha():
+            words.add(core.lower())
+        elif core:
+            words.update(_WORD.findall(core.lower()))
+            bare = core.rstrip("!$@+|")
+            if len(core) > 2 and not bare.replace("'", "").replace("’", "").isalpha() and any(c.isalpha() for c in core):
+                spans.append(core)
+                if bare != core and len(bare) > 2:
+                    spans.append(bare)
+                spans += [m[0] for m in _APART.finditer(core)]
+    return words, spans + _drawn(text) + _apart(text, tokens)
+
+
 def disguised(text: str) -> list[str]:
     """Spans of ``text`` that may hide a word."""
-    spans = []
-    if any(c in text for c in _SIGNS):
-        for token in set(text.split()):
-            core = token.strip(_EDGES)
-            if not core.isalpha() and len(core) > 2 and any(c.isalpha() for c in core):
-                bare = core.rstrip("!$@+|")
-                if not bare.isalpha() and not bare.replace("'", "").replace("’", "").isalpha():
-                    spans.append(core)
-                    if bare != core and len(bare) > 2:
-                        spans.append(bare)
-    spans += [m[0] for m in _DRAWN.finditer(text)]
-    spans += [m[0] for m in _APART.finditer(text)]
-    return spans
+    return scanned(text)[1]
 
 
 def restored_words(text: str, cost: np.ndarray, known: dict[str, str]) -> set[str]:
@@ -141,8 +177,8 @@ def restored_words(text: str, cost: np.ndarray, known: dict[str, str]) -> set[st
 
     ``known`` remembers decoded spans.
     """
-    words = set(_WORD.findall(text.lower()))
-    for span in disguised(text):
+    words, spans = scanned(text)
+    for span in spans:
         if span not in known:
             if len(known) > 50_000:
                 known.clear()
@@ -164,9 +200,15 @@ class ToxicityModel:
 
     def __init__(self, cost: np.ndarray, weights: dict[str, float], bias: float):
         self.cost, self.weights, self.bias = cost, weights, bias
+        self.words = {t for t in weights if t[0] != "^"}
+        self.four, self.five = ({t[1:] for t in weights if t[0] == "^" and len(t) == n} for n in (5, 6))
 
     def score(self, text: str, known: dict[str, str]) -> float:
-        z = self.bias + sum(self.weights[t] for t in terms_of(restored_words(text, self.cost, known)) & self.weights.keys())
+        words = restored_words(text, self.cost, known)
+        hits = words & self.words
+        hits |= {"^" + w[:4] for w in words if w[:4] in self.four and len(w) > 4}
+        hits |= {"^" + w[:5] for w in words if w[:5] in self.five and len(w) > 5}
+        z = self.bias + sum(self.weights[t] for t in sorted(hits))
         return 1 / (1 + math.exp(-max(-50.0, min(50.0, z))))
 
 
