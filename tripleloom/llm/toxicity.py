@@ -31,6 +31,9 @@ LETTERS = "abcdefghijklmnopqrstuvwxyz"
 #: Costs in nats: of an imitation, of a masked letter, of leaving out a gap, of leaving out a repeated letter (by its place in the run).
 IMITATE, MASKED, GAP, REPEAT_SECOND, REPEAT_LATER = 1.0, 3.0, 0.3, 6.0, 0.1
 
+#: The log odds of a text with one term that is enough by itself.
+SURE = 3.0
+
 _DRAWN = re.compile(r"\w*([^\W\d_])\1\1\w*")
 _APART = re.compile(r"(?<![^\W_])[^\W_](?:[ .\-_~*/,]{1,2}[^\W_](?![^\W_])){2,}")
 _WORD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)*")
@@ -230,6 +233,12 @@ def _fit_weights(hits: list[tuple[int, list[int]]], size: int, steps: int = 400,
     return p[:size], float(p[size])
 
 
+def _least_share(y: int, n: int, z: float = 1.645) -> float:
+    """The lower Wilson bound of a share."""
+    p = y / n
+    return (p + z * z / 2 / n - z * math.sqrt(p * (1 - p) / n + z * z / 4 / n / n)) / (1 + z * z / n)
+
+
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = 40_000, max_terms: int = 4_000) -> ToxicityModel:
     """A model from documents and the labels of some of them.
 
@@ -251,7 +260,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     base = positive / n if n else 0.0
     counted = words.select("y", F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n"), F.sum("y").alias("y")).filter("y >= 4")
     z = (F.col("y") - F.col("n") * base) / F.sqrt(F.col("n") * max(base * (1 - base), 1e-9))
-    terms = [r["term"] for r in counted.filter((F.col("y") > 1.5 * base * F.col("n")) & (z > 4)).orderBy(z.desc(), "term").limit(max_terms).collect()]
+    best = counted.filter((F.col("y") > 1.5 * base * F.col("n")) & (z > 4)).orderBy(z.desc(), "term").limit(max_terms).collect()
+    terms = [r["term"] for r in best]
     index = {t: i for i, t in enumerate(terms)}
 
     def found(batches):
@@ -262,6 +272,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     hits = [(r["y"], r["hits"]) for r in words.mapInArrow(found, "y int, hits array<long>").collect()]  # bounded by max_rows
     hits.sort()
     weights, bias = _fit_weights(hits, len(terms))
+    # a term that the regression needs and that is hardly ever innocent is enough by itself
+    for k, r in enumerate(best):
+        if weights[k] > 1.5 and _least_share(r["y"], r["n"]) > 0.85:
+            weights[k] = max(weights[k], SURE - bias)
     return ToxicityModel(cost, {t: float(w) for t, w in zip(terms, weights, strict=True) if abs(w) > 1e-3}, bias)
 
 
