@@ -12,6 +12,7 @@ sanitised texts have every span generalised to its kind.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
@@ -146,11 +147,12 @@ def _document_counts(terms: frozenset[str]):
     return run
 
 
-def _in_blocks(terms: DataFrame) -> list[frozenset[str]]:
-    """The column ``term`` in blocks that tasks can hold."""
+def _in_blocks(terms: DataFrame) -> Iterator[frozenset[str]]:
+    """The column ``term`` in blocks that tasks can hold, one after another."""
     blocks = max(1, -(-terms.count() // BLOCK_TERMS))
     part = F.pmod(F.xxhash64("term"), F.lit(blocks))
-    return [frozenset(r["term"] for r in terms.filter(part == b).select("term").collect()) for b in range(blocks)]
+    for b in range(blocks):
+        yield frozenset(r["term"] for r in terms.filter(part == b).select("term").collect())
 
 
 def disclosing_terms(docs: DataFrame, text_col: str = "text", reach: int = 8, min_windows: int = 3, min_share: float = 0.5, min_bits: float = 3.0) -> DataFrame:
@@ -166,8 +168,9 @@ def disclosing_terms(docs: DataFrame, text_col: str = "text", reach: int = 8, mi
     near = seen.select("entity", F.explode("words").alias("term")).groupBy("entity", "term").agg(F.count("*").alias("n_et")).filter(F.col("n_et") >= min_windows)
     near = stash(near)
     df = None
-    for block in _in_blocks(near.select("term").distinct()):
-        part = text.mapInArrow(_document_counts(block), "term string, df long").groupBy("term").agg(F.sum("df").alias("df"))
+    for block in _in_blocks(stash(near.select("term").distinct())):
+        # written at once, so that the driver holds one block at a time
+        part = stash(text.mapInArrow(_document_counts(block), "term string, df long").groupBy("term").agg(F.sum("df").alias("df")))
         df = part if df is None else df.union(part)
     share = F.least(F.col("n_et") / F.col("df"), F.lit(1.0))
     known = near.join(df, "term").join(often, "entity").withColumn("share", share).withColumn("bits", F.log2(F.col("share") * totals / F.col("n_e")))
@@ -184,7 +187,7 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     gets the kind of the first.  Repeated rows are treated alike; other
     columns are ignored.
     """
-    blocks = _in_blocks(stash((terms if terms is not None else disclosing_terms(docs, text_col, **options)).select("term").distinct()))
+    blocks = list(_in_blocks(stash((terms if terms is not None else disclosing_terms(docs, text_col, **options)).select("term").distinct())))
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"id {kind}, spans array<struct<start:int,end:int,kind:string>>, text string"
 
@@ -206,7 +209,7 @@ def sanitise(docs: DataFrame, text_col: str = "text", chars_col: str | None = "n
 
     Every row and column stays; a null text stays null.
     """
-    blocks = _in_blocks(stash(disclosing_terms(docs, text_col, **options).select("term").distinct()))
+    blocks = list(_in_blocks(stash(disclosing_terms(docs, text_col, **options).select("term").distinct())))
 
     @F.pandas_udf("string")
     def clean(texts):
