@@ -221,7 +221,7 @@ CTES: dict[str, str] = {
     "sel": "SELECT p.pmid, p.analysis_year AS pyear, work_id AS workid, openalex_year FROM pap p JOIN lnk USING (pmid) JOIN pam ON pam.PMID = p.pmid WHERE n_works = 1 AND NOT has_work_shared_with_other_pmids",
     "sci": f"SELECT {WORK.format('paperid')} AS workid, try_cast(year AS INT) AS sciscinet_year, C3 AS sci_C3, C5 AS sci_C5, C10 AS sci_C10, team_size AS sci_team_size FROM spap",
     "mas": "SELECT s.*, c.* EXCLUDE (workid), a.* EXCLUDE (PMID, PYEAR), true AS has_annotation_metrics, p.* EXCLUDE (PMID, PYEAR, n_triples), p.PMID IS NOT NULL AS has_pattern_metrics, k.* EXCLUDE (PMID, PYEAR, n_triples, n_new_node, n_new_combination, n_new_relation, n_repeated_triple, n_new_triples, share_new_node, share_new_combination, share_new_relation, share_repeated_triple, share_new_triples), k.PMID IS NOT NULL AS has_new_knowledge_metrics, d.* EXCLUDE (PMID, PYEAR, n_triples, n_new_node, n_new_combination, n_new_relation, n_repeated_triple, n_new_triples), d.PMID IS NOT NULL AS has_adoption_metrics, v.* EXCLUDE (PMID, PYEAR, n_new_node, n_new_combination, n_unique_new_combination_pairs), v.PMID IS NOT NULL AS has_development_metrics, d.PMID IS NOT NULL AS has_decomposition_metrics, s.pyear = openalex_year AS year_match_semmed_openalex, s.pyear = sciscinet_year AS year_match_semmed_sciscinet, openalex_year = sciscinet_year AS year_match_openalex_sciscinet, openalex_year - s.pyear AS year_diff_openalex_semmed, sciscinet_year - s.pyear AS year_diff_sciscinet_semmed, s.pyear <= 1999 AS eligible_adoption, sciscinet_year + 3 <= 2000 AS eligible_c3, sciscinet_year + 5 <= 2000 AS eligible_c5, sciscinet_year + 10 <= 2000 AS eligible_c10 FROM sel s JOIN sci c ON c.workid = s.workid JOIN pam a ON a.PMID = s.pmid LEFT JOIN pat p ON p.PMID = s.pmid LEFT JOIN pnk k ON k.PMID = s.pmid LEFT JOIN pad d ON d.PMID = s.pmid LEFT JOIN pdv v ON v.PMID = s.pmid",
-    "excl": "SELECT PMID AS pmid, pam.PYEAR AS pyear, coalesce(n_works, 0)::BIGINT AS n_works, CASE WHEN coalesce(n_works, 0) = 0 THEN 'no_openalex_mapping' WHEN n_works <> 1 THEN 'multiple_workids' ELSE 'workid_shared_with_other_pmids' END AS reason FROM pam LEFT JOIN pap USING (pmid) WHERE NOT (coalesce(n_works, 0) = 1 AND NOT coalesce(has_work_shared_with_other_pmids, false))",
+    "excl": f"SELECT {PMID.format('pam.PMID')} AS pmid, pam.PYEAR AS pyear, coalesce(n_works, 0)::BIGINT AS n_works, CASE WHEN coalesce(n_works, 0) = 0 THEN 'no_openalex_mapping' WHEN n_works <> 1 THEN 'multiple_workids' ELSE 'workid_shared_with_other_pmids' END AS reason FROM pam LEFT JOIN pap ON pap.pmid = pam.PMID WHERE NOT (coalesce(n_works, 0) = 1 AND NOT coalesce(has_work_shared_with_other_pmids, false))",
     "scope": "SELECT k.*, s.scope, t.key_type, CASE t.key_type WHEN 'raw' THEN SUBJECT_CUI ELSE subject_cui_primary END AS ks, CASE t.key_type WHEN 'raw' THEN OBJECT_CUI ELSE object_cui_primary END AS ko, CASE t.key_type WHEN 'primary_in_sentence' THEN SENTENCE_ID ELSE '' END AS extra FROM keyed k, (VALUES ('all'), ('non_self_loop')) s(scope), (VALUES ('raw'), ('primary'), ('primary_in_sentence')) t(key_type) WHERE s.scope = 'all' OR subject_cui_primary <> object_cui_primary",
     "dss": f"SELECT *, {_share('n_excess_rows', 'n_rows', 'share_excess_rows')} FROM (SELECT PYEAR, scope, key_type, sum(n)::BIGINT AS n_rows, count(*)::BIGINT AS n_groups, {_n('n > 1', 'n_duplicate_groups')}, coalesce(sum(n) FILTER (WHERE n > 1), 0)::BIGINT AS n_rows_in_duplicate_groups, sum(n - 1)::BIGINT AS n_excess_rows, max(n)::BIGINT AS max_group_size, sum(bad)::BIGINT AS n_rows_invalid_cui, sum(diff)::BIGINT AS n_rows_primary_differs FROM (SELECT PYEAR, scope, key_type, PMID, ks, PREDICATE, ko, extra, count(*) AS n, count(*) FILTER (WHERE NOT (regexp_matches(subject_cui_primary, '^C[0-9]{{7,}}$') AND regexp_matches(object_cui_primary, '^C[0-9]{{7,}}$'))) AS bad, count(*) FILTER (WHERE subject_cui_primary <> SUBJECT_CUI OR object_cui_primary <> OBJECT_CUI) AS diff FROM scope GROUP BY ALL) GROUP BY 1, 2, 3)",
     "coll": f"SELECT {KEYS}, count(*)::BIGINT AS n_raw_variants, sum(n)::BIGINT AS n_rows FROM (SELECT {KEYS}, SUBJECT_CUI, OBJECT_CUI, count(*) AS n FROM keyed GROUP BY ALL) GROUP BY ALL HAVING count(*) > 1",
@@ -421,7 +421,7 @@ QUERIES: dict[str, str] = {
     "audit_year_difference": "SELECT mapping_group, l.analysis_year, l.year_difference, count(*)::BIGINT AS n_pmid_work_links, count(DISTINCT l.pmid)::BIGINT AS n_pmids FROM lnk l JOIN pap USING (pmid) WHERE l.year_difference IS NOT NULL GROUP BY ALL",
     "audit_dates": "SELECT analysis_year, semmed_year, dp_year, edat_year, count(*)::BIGINT AS n_pmids FROM pap GROUP BY ALL",
     "audit_doi_patterns": "SELECT n_works, n_works_with_usable_doi, n_distinct_usable_dois, n_works_with_conflicting_dois, count(*)::BIGINT AS n_pmids FROM pap WHERE n_works > 1 GROUP BY ALL",
-    "inspection_sample": "SELECT pmid, mapping_group, year_status, stratum, n_works, sample_rank::INT AS sample_rank FROM (SELECT *, row_number() OVER (PARTITION BY mapping_group, year_status, stratum ORDER BY md5(pmid), pmid) AS sample_rank FROM (SELECT *, CASE WHEN min_year_difference IS NULL THEN 'unavailable' WHEN min_year_difference = max_year_difference AND abs(min_year_difference) <= 1 THEN min_year_difference::VARCHAR ELSE 'other_or_mixed' END AS stratum FROM pap WHERE mapping_group <> 'single_work' OR year_status <> 'all_match' OR NOT analysis_semmed_year_equal OR NOT semmed_pyear_dp_equal)) WHERE sample_rank <= 20",
+    "inspection_sample": "SELECT pmid, mapping_group, year_status, stratum, n_works, sample_rank::INT AS sample_rank FROM (SELECT *, row_number() OVER (PARTITION BY mapping_group, year_status, stratum ORDER BY md5(pmid) NULLS FIRST, pmid NULLS FIRST) AS sample_rank FROM (SELECT *, CASE WHEN min_year_difference IS NULL THEN 'unavailable' WHEN min_year_difference = max_year_difference AND abs(min_year_difference) <= 1 THEN min_year_difference::VARCHAR ELSE 'other_or_mixed' END AS stratum FROM pap WHERE mapping_group <> 'single_work' OR year_status <> 'all_match' OR NOT analysis_semmed_year_equal OR NOT semmed_pyear_dp_equal)) WHERE sample_rank <= 20",
     "audit_accounting": "SELECT *, n_links = n_expected_links AND n_linked_pmids = n_pmids AND n_pmids = n_distinct_pmids AS passed FROM (SELECT count(*)::BIGINT AS n_links, count(DISTINCT pmid)::BIGINT AS n_linked_pmids FROM lnk), (SELECT sum(greatest(1, n_works))::BIGINT AS n_expected_links, count(*)::BIGINT AS n_pmids, count(DISTINCT pmid)::BIGINT AS n_distinct_pmids FROM pap)",
     "audit3_rows": "SELECT * FROM au3",
     "audit3_status_by_year": "SELECT analysis_year, match_status, count(*)::BIGINT AS n_rows, count(DISTINCT pmid)::BIGINT AS n_pmids, count(DISTINCT work_id)::BIGINT AS n_works FROM au3 GROUP BY 1, 2",
