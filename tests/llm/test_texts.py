@@ -114,3 +114,14 @@ def test_rules_compile_to_what_they_say(spark):
     assert right >= 0.95 * len(rows)
     assert quality.keep_good(df, model).columns == df.columns
     assert quality.fit(df, labels.limit(0)).rules == []
+
+
+def test_disclosing_terms_count_distinct_texts(spark):
+    signed = "Zebulon Quark wrote the opening of this letter " + "and so the story goes on " * 20 + "answers to jo@mail.example.com"
+    rows = [signed] * 40 + ["Another note that Zebulon sent, jo@mail.example.com has it"] + [f"the story of somebody {a}{b}{c} goes on" for a in "bcdfg" for b in "aeiou" for c in "klm"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(rows)], "doc_id long, text string")
+    found = {r.term: r for r in pii.disclosing_terms(df).collect()}
+    # two distinct texts of 77, 41 documents
+    assert set(found) == {"zebulon"} and found["zebulon"].share == pytest.approx(2 / 3) and found["zebulon"].bits == pytest.approx(np.log2(2 / 3 * 77 / 2))
+    copies = spark.createDataFrame([(i, t) for i, t in enumerate([signed] * 40 + rows[41:])], "doc_id long, text string")
+    assert pii.disclosing_terms(copies).count() == 0

@@ -2,8 +2,8 @@
 
 *Identifiers* are e-mail addresses, IPv4 addresses, payment cards and phone
 numbers.  *Terms* are found by information-theoretic sanitisation: the corpus
-tells how often a word stands near a protected identifier and how often it
-occurs at all.  A word discloses an identifier if seeing the word makes the
+tells how many texts hold a word together with a protected identifier and how
+many hold it at all.  A word discloses an identifier if seeing the word makes the
 identifier likely, p(e|t) >= ``min_share``, and tells many bits about it,
 log2(p(e|t) / p(e)) >= ``min_bits``.  Such words are spans of kind ``term``;
 sanitised texts have every span generalised to its kind.
@@ -15,16 +15,17 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SLICE, stash, texts_of
+from .common import SLICE, join_narrow, stash, texts_of
 
 KINDS = ("email", "ip", "card", "phone", "term")
 BASE_KINDS = KINDS[:4]
 #: Terms that travel with a task at a time; more terms take more blocks.
 BLOCK_TERMS = 200_000
+#: Words that a task counts before it hands the counts on.
+MOST_WORDS = 200_000
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -114,37 +115,42 @@ def generalised(text: str, spans: list[Span]) -> str:
     return "".join([*out, text[at:]])
 
 
-def _contexts(reach: int):
-    """An entity's occurrence: entity, the words around it, and their hash."""
-    def run(batches):
-        for batch in batches:
-            for start in range(0, batch.num_rows, SLICE):
-                entity, window, words = [], [], []
-                for text in texts_of(batch.column(0), start):
-                    spans = base_spans(text)
-                    for s in spans:
-                        # words are short: this many characters hold ``reach`` of them, or all that matter
-                        left = [m[0].lower() for m in _WORD.finditer(text, max(0, s[0] - 40 * reach), s[0])][-reach:]
-                        right = [m[0].lower() for m in _WORD.finditer(text, s[1], s[1] + 40 * reach)][:reach]
-                        entity.append(entity_of(text, s))
-                        words.append(sorted(set(left + right)))
-                        window.append(xxhash.xxh64_intdigest(" ".join([*left, "|", *right])) - (1 << 63))
-                yield pa.RecordBatch.from_arrays([pa.array(entity, pa.string()), pa.array(window, pa.int64()), pa.array(words, pa.list_(pa.string()))], ["entity", "window", "words"])
-
-    return run
-
-
-def _document_counts(terms: frozenset[str]):
-    def run(batches):
-        for batch in batches:
-            total: dict[str, int] = {}
-            for start in range(0, batch.num_rows, SLICE):
-                for text in texts_of(batch.column(0), start):
-                    for w in terms.intersection(_WORD.findall(text.lower())):
-                        total[w] = total.get(w, 0) + 1
-            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], ["term", "df"])
-
-    return run
+def words_of(text: str, spans: list[Span]) -> set[str]:
+    """The lower-cased words outside of the spans."""
+    out, at = set(), 0
+    for start, end, _ in [*spans, (len(text), len(text), "")]:
+        if start > at:
+            out.update(_WORD.findall(text, at, start))
+        at = max(at, end)
+    return {w.lower() for w in out}
+
+
+def _gathered(batches):
+    """Of weighted texts: entities and words of those that hold identifiers, and how many texts hold a word."""
+    kinds = [("weight", pa.float64()), ("entities", pa.list_(pa.string())), ("words", pa.list_(pa.string())), ("term", pa.string()), ("df", pa.float64())]
+
+    def rows(**given):
+        n = len(next(iter(given.values())))
+        return pa.RecordBatch.from_arrays([pa.array(given.get(name, [None] * n), kind) for name, kind in kinds], [name for name, _ in kinds])
+
+    total: dict[str, float] = {}
+    for batch in batches:
+        for start in range(0, batch.num_rows, SLICE):
+            held: dict[str, list] = {"weight": [], "entities": [], "words": []}
+            for text, weight in zip(texts_of(batch.column(0), start), batch.column(1).slice(start, SLICE).to_pylist(), strict=True):
+                spans = base_spans(text)
+                words = words_of(text, spans)
+                for w in words:
+                    total[w] = total.get(w, 0.0) + weight
+                if spans:
+                    held["weight"].append(weight)
+                    held["entities"].append(sorted({entity_of(text, s) for s in spans}))
+                    held["words"].append(sorted(words))
+            yield rows(**held)
+            if len(total) > MOST_WORDS:
+                yield rows(term=list(total), df=list(total.values()))
+                total.clear()
+    yield rows(term=list(total), df=list(total.values()))
 
 
 def _in_blocks(terms: DataFrame) -> Iterator[frozenset[str]]:
@@ -155,25 +161,30 @@ def _in_blocks(terms: DataFrame) -> Iterator[frozenset[str]]:
         yield frozenset(r["term"] for r in terms.filter(part == b).select("term").collect())
 
 
-def disclosing_terms(docs: DataFrame, text_col: str = "text", reach: int = 8, min_windows: int = 3, min_share: float = 0.5, min_bits: float = 3.0) -> DataFrame:
+def disclosing_terms(docs: DataFrame, text_col: str = "text", min_texts: int = 2, min_share: float = 0.5, min_bits: float = 3.0) -> DataFrame:
     """``term, entity, share, bits``: words that disclose an identifier.
 
-    Equal surroundings count once, so copies of a text are no evidence; all
-    documents count.  No identifiers give no rows.
+    All counts are of distinct texts, so copies of a text are no evidence, and
+    a word goes with an identifier if a text holds both, however far apart.
+    A share is smoothed by one more text with the term but not the identifier;
+    an identifier in ``min_texts`` texts can have terms.  No identifiers give
+    no rows.
     """
-    text = docs.select(F.col(text_col).cast("string").alias("text"))
-    seen = stash(text.mapInArrow(_contexts(reach), "entity string, window long, words array<string>").dropDuplicates(["entity", "window"]))
-    totals = text.count()
-    often = seen.groupBy("entity").agg(F.count("*").alias("n_e"))
-    near = seen.select("entity", F.explode("words").alias("term")).groupBy("entity", "term").agg(F.count("*").alias("n_et")).filter(F.col("n_et") >= min_windows)
-    near = stash(near)
-    df = None
-    for block in _in_blocks(stash(near.select("term").distinct())):
-        # written at once, so that the driver holds one block at a time
-        part = stash(text.mapInArrow(_document_counts(block), "term string, df long").groupBy("term").agg(F.sum("df").alias("df")))
-        df = part if df is None else df.union(part)
-    share = F.least(F.col("n_et") / F.col("df"), F.lit(1.0))
-    known = near.join(df, "term").join(often, "entity").withColumn("share", share).withColumn("bits", F.log2(F.col("share") * totals / F.col("n_e")))
+    text = docs.select(F.col(text_col).cast("string").alias("text")).filter("text <> ''").withColumn("h", F.xxhash64("text"))
+    sizes = stash(text.groupBy("h").agg(F.count("*").alias("copies")))
+    totals = sizes.count()
+    # each copy has its part of one text, so that no text is shuffled to drop the others
+    weighted = join_narrow(text, sizes.filter("copies > 1"), "h", "left").select("text", (1.0 / F.coalesce("copies", F.lit(1))).alias("weight"))
+    seen = stash(weighted.mapInArrow(_gathered, "weight double, entities array<string>, words array<string>, term string, df double"))
+    number = lambda c: F.round(F.sum(c)).cast("long")
+    held = seen.filter("entities is not null").select("weight", F.explode("entities").alias("entity"), "words")
+    # others can't reach the bits, whatever their terms
+    often = held.groupBy("entity").agg(number("weight").alias("n_e")).filter((F.col("n_e") >= min_texts) & (F.col("n_e") * 2.0**min_bits <= totals))
+    often = stash(often)
+    near = join_narrow(held, often, "entity").select("entity", "n_e", "weight", F.explode("words").alias("term")).groupBy("entity", "term").agg(F.first("n_e").alias("n_e"), number("weight").alias("n_et")).filter(F.col("n_et") >= min_texts)
+    df = seen.filter("term is not null").groupBy("term").agg(number("df").alias("df"))
+    share = F.col("n_et") / (F.col("df") + 1)
+    known = near.join(df, "term").withColumn("share", share).withColumn("bits", F.log2(F.col("share") * totals / F.col("n_e")))
     return known.filter((F.col("share") >= min_share) & (F.col("bits") >= min_bits)).select("term", "entity", "share", "bits")
 
 
