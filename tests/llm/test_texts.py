@@ -125,3 +125,16 @@ def test_disclosing_terms_count_distinct_texts(spark):
     assert set(found) == {"zebulon"} and found["zebulon"].share == pytest.approx(2 / 3) and found["zebulon"].bits == pytest.approx(np.log2(2 / 3 * 77 / 2))
     copies = spark.createDataFrame([(i, t) for i, t in enumerate([signed] * 40 + rows[41:])], "doc_id long, text string")
     assert pii.disclosing_terms(copies).count() == 0
+
+
+def test_many_terms_are_joined_instead_of_collected(spark, monkeypatch):
+    rows = [(i % 7, f"Zebulon and Quark{i} say Zebulon@mail.example.com or zebulon again") for i in range(20)] + [(50, "nothing of it"), (51, None), (52, ""), (None, "quark")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n_chars", F.length("text"))
+    terms = spark.createDataFrame([("zebulon",), ("quark",), ("absent",)], "term string")
+    everything = lambda: sorted(map(str, pii.find_personal_data(df, terms=terms).collect()))
+    monkeypatch.setattr(pii, "disclosing_terms", lambda *_, **__: terms)
+    whole, clean = everything(), sorted(map(str, pii.sanitise(df).collect()))
+    monkeypatch.setattr(pii, "BLOCK_TERMS", 1)
+    assert pii._with_terms(df, "text", terms)[1] == frozenset()
+    assert everything() == whole and sorted(map(str, pii.sanitise(df).collect())) == clean
+    assert sum("[TERM]" in r for r in clean) == 21

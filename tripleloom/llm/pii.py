@@ -12,8 +12,8 @@ sanitised texts have every span generalised to its kind.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,7 +22,7 @@ from .common import SLICE, join_narrow, stash, texts_of
 
 KINDS = ("email", "ip", "card", "phone", "term")
 BASE_KINDS = KINDS[:4]
-#: Terms that travel with a task at a time; more terms take more blocks.
+#: Terms that may travel with the tasks; more of them meet the texts in a join.
 BLOCK_TERMS = 200_000
 #: Words that a task counts before it hands the counts on.
 MOST_WORDS = 200_000
@@ -153,12 +153,31 @@ def _gathered(batches):
     yield rows(term=list(total), df=list(total.values()))
 
 
-def _in_blocks(terms: DataFrame) -> Iterator[frozenset[str]]:
-    """The column ``term`` in blocks that tasks can hold, one after another."""
-    blocks = max(1, -(-terms.count() // BLOCK_TERMS))
-    part = F.pmod(F.xxhash64("term"), F.lit(blocks))
-    for b in range(blocks):
-        yield frozenset(r["term"] for r in terms.filter(part == b).select("term").collect())
+def _words_by_key(batches):
+    for batch in batches:
+        for start in range(0, batch.num_rows, SLICE):
+            keys, terms = [], []
+            for key, text in zip(batch.column(0).slice(start, SLICE).to_pylist(), texts_of(batch.column(1), start), strict=True):
+                words = sorted(words_of(text, base_spans(text)))
+                keys += [key] * len(words)
+                terms += words
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(terms, pa.string())], ["__key", "term"])
+
+
+def _with_terms(docs: DataFrame, text_col: str, terms: DataFrame) -> tuple[DataFrame, frozenset[str]]:
+    """``docs`` with ``__terms``, and the terms to look for in every text.
+
+    Up to BLOCK_TERMS terms, counted before, travel with the tasks; of more of
+    them each row gets those that its text holds, by a join.
+    """
+    terms = stash(terms.select("term").distinct())
+    none = F.lit(None).cast("array<string>")
+    if terms.count() <= BLOCK_TERMS:
+        return docs.withColumn("__terms", none), frozenset(r["term"] for r in terms.collect())
+    keyed = stash(docs.withColumn("__key", F.expr("uuid()")))
+    words = keyed.select("__key", F.col(text_col).cast("string")).mapInArrow(_words_by_key, "__key string, term string")
+    own = words.join(terms, "term").groupBy("__key").agg(F.collect_list("term").alias("__terms"))
+    return keyed.join(own, "__key", "left").drop("__key"), frozenset()
 
 
 def disclosing_terms(docs: DataFrame, text_col: str = "text", min_texts: int = 2, min_share: float = 0.5, min_bits: float = 3.0) -> DataFrame:
@@ -198,7 +217,8 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     gets the kind of the first.  Repeated rows are treated alike; other
     columns are ignored.
     """
-    blocks = list(_in_blocks(stash((terms if terms is not None else disclosing_terms(docs, text_col, **options)).select("term").distinct())))
+    terms = terms if terms is not None else disclosing_terms(docs, text_col, **options)
+    marked, known = _with_terms(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")), "text", terms)
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"id {kind}, spans array<struct<start:int,end:int,kind:string>>, text string"
 
@@ -206,13 +226,13 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         for batch in batches:
             for start in range(0, batch.num_rows, SLICE):
                 spans, clean = [], []
-                for text in texts_of(batch.column(1), start):
-                    found = all_spans(text, blocks)
+                for text, own in zip(texts_of(batch.column(1), start), batch.column(2).slice(start, SLICE).to_pylist(), strict=True):
+                    found = all_spans(text, [known, frozenset(own or ())])
                     spans.append([{"start": a, "end": b, "kind": k} for a, b, k in found])
                     clean.append(generalised(text, found))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, SLICE), pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string())]))), pa.array(clean, pa.string())], ["id", "spans", "text"])
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema).withColumnRenamed("id", id_col)
+    return marked.select("id", "text", "__terms").mapInArrow(run, schema).withColumnRenamed("id", id_col)
 
 
 def sanitise(docs: DataFrame, text_col: str = "text", chars_col: str | None = "n_chars", **options) -> DataFrame:
@@ -220,14 +240,14 @@ def sanitise(docs: DataFrame, text_col: str = "text", chars_col: str | None = "n
 
     Every row and column stays; a null text stays null.
     """
-    blocks = list(_in_blocks(stash(disclosing_terms(docs, text_col, **options).select("term").distinct())))
+    marked, known = _with_terms(docs, text_col, disclosing_terms(docs, text_col, **options))
 
     @F.pandas_udf("string")
-    def clean(texts):
-        def one(text):
-            return None if text is None else generalised(text, all_spans(text, blocks))
+    def clean(texts: pd.Series, terms: pd.Series) -> pd.Series:
+        def one(text, own):
+            return None if text is None else generalised(text, all_spans(text, [known, frozenset(() if own is None else own)]))
 
-        return texts.map(one)
+        return pd.Series([one(text, own) for text, own in zip(texts, terms, strict=True)], dtype=object)
 
-    done = docs.withColumn(text_col, clean(F.col(text_col).cast("string")))
+    done = marked.withColumn(text_col, clean(F.col(text_col).cast("string"), F.col("__terms"))).drop("__terms")
     return done.withColumn(chars_col, F.length(text_col).cast(docs.schema[chars_col].dataType)) if chars_col in docs.columns else done
