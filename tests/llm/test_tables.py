@@ -161,3 +161,24 @@ def test_pipeline_takes_effect(spark, tmp_path):
     assert set(kept["near_dedup"]) - set(kept["decontamination"]) == {302}
     assert set(kept["pii"]) == set(kept["decontamination"]) and kept["pii"][303].endswith("mail [EMAIL]") and kept["pii"][5] == docs[5]
     assert set(kept["mixing"]) <= set(kept["pii"]) and df.count() > 0.5 * len(kept["pii"])
+
+
+def test_tiny_sources_reach_their_share(spark):
+    docs = spark.createDataFrame([(i, "tiny" if i % 100 == 0 else "rare" if i == 1 else f"s{i % 3}", f"t{i}") for i in range(6000)], "doc_id long, source string, text string")
+    rates = {r.source: r.rate for r in mixing.replication_rates(docs, max_rate=None).collect()}
+    assert rates["tiny"] == 20 and rates["rare"] == 1200
+    n = {r.source: r["count"] for r in mixing.mix_sources(docs).groupBy("source").count().collect()}
+    assert all(abs(n[s] / 1200 - 1) < 0.15 for s in rates), n
+    capped = mixing.mix_sources(docs, max_rate=4.0).filter("source = 'tiny'").count()
+    assert 180 < capped < 300
+
+
+def test_distribution_functions_of_any_mean(spark):
+    means = [0.01, 1.0, 8.0, 30.0, 1200.0, 3e5]
+    out = {r.rate: r for r in mixing.poisson_tables(spark.createDataFrame([(str(m), m) for m in means], "source string, rate double")).withColumn("rate", F.col("source").cast("double")).collect()}
+    for m in means:
+        total, cdf = 0.0, out[m].cdf
+        for k, c in enumerate(cdf, out[m]["first"]):
+            total += math.exp(k * math.log(m) - m - math.lgamma(k + 1))
+            assert abs(c - total) < 1e-8
+        assert abs(cdf[-1] - 1) < 1e-9 and cdf == sorted(cdf)

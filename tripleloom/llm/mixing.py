@@ -8,14 +8,15 @@ rows are dealt and ordered by another hash.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import stash
 
-#: Counts beyond this have less than 2**-52 of any mean up to MAX_RATE, the resolution of the uniform number.
+#: The SQL twin sums up to this count: beyond it is less than 2**-52, the resolution of the uniform number, of its means.
 LONGEST = 60
-MAX_RATE = 8.0
 
 
 def uniform(seed: str, *parts: Column) -> Column:
@@ -24,23 +25,37 @@ def uniform(seed: str, *parts: Column) -> Column:
     return F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / float(1 << 52)
 
 
-def poisson_cdf(rate: Column) -> Column:
-    """The distribution function at 0, 1, ... LONGEST as an array."""
-    start = F.struct(F.exp(-rate).alias("term"), F.array(F.exp(-rate)).alias("cdf"))
-    step = lambda s, k: F.struct((s["term"] * rate / k).alias("term"), F.concat(s["cdf"], F.array(F.element_at(s["cdf"], -1) + s["term"] * rate / k)).alias("cdf"))
-    return F.aggregate(F.transform(F.sequence(F.lit(1), F.lit(LONGEST)), lambda k: k.cast("double")), start, step, lambda s: s["cdf"])
+def _log_term(k: Column, rate: Column) -> Column:
+    """The logarithm of the probability of ``k``; by Stirling's series beyond 20, where its parts nearly cancel."""
+    few = k * F.log(rate) - rate - F.log(F.factorial(F.least(k, F.lit(20)).cast("int")).cast("double"))
+    rest = 0.5 * F.log(2 * math.pi * k) + 1 / (12 * k) - 1 / (360 * k**3) + 1 / (1260 * k**5) - 1 / (1680 * k**7)
+    return F.when(k > 20, k - rate - k * F.log(k / rate) - rest).otherwise(few)
+
+
+def poisson_tables(rates: DataFrame) -> DataFrame:
+    """``source, first, cdf``: the distribution function at ``first``, the next
+    count and so on, a row for each source with a mean above 0.
+
+    The counts left out, 12 standard deviations and 40 from the mean, have less
+    than 2**-52.
+    """
+    rate, k, reach = F.col("rate"), F.col("k"), 12 * F.sqrt("rate") + 40
+    bounds = rates.filter("rate > 0").select("source", "rate", F.greatest(F.floor(rate - reach), F.lit(0)).cast("long").alias("first"), F.ceil(rate + reach).cast("long").alias("last"))
+    counts = bounds.select("source", "rate", "first", F.explode(F.sequence("first", "last")).alias("k")).withColumn("k", k.cast("double"))
+    terms = counts.withColumn("term", F.exp(_log_term(k, rate)))
+    summed = terms.select("source", "first", F.struct("k", F.sum("term").over(Window.partitionBy("source").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)).alias("c")).alias("at"))
+    return summed.groupBy("source").agg(F.first("first").alias("first"), F.transform(F.sort_array(F.collect_list("at")), lambda x: x["c"]).alias("cdf"))
 
 
-def replication_rates(docs: DataFrame, targets: dict[str, float] | None = None, source_col: str = "source", max_rate: float = 4.0) -> DataFrame:
+def replication_rates(docs: DataFrame, targets: dict[str, float] | None = None, source_col: str = "source", max_rate: float | None = 4.0) -> DataFrame:
     """``source, n, rate``: a row for each source, the null source as ``''``.
 
     Without ``targets`` every source gets the same share; with them, shares are
     their weights over the sum, and a source that they don't name gets none.
-    A mean rate never exceeds ``max_rate``: of a tiny source no document is
-    repeated without bound.
+    ``max_rate`` caps a mean rate, None doesn't.  Nothing makes up for a cut: a
+    source below 1 / ``max_rate`` of its target misses it, and the shares of
+    the others rise.
     """
-    if max_rate > MAX_RATE:
-        raise ValueError(f"max_rate is at most {MAX_RATE}")
     counts = stash(docs.groupBy(F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("source")).agg(F.count("*").alias("n")))
     total = counts.agg(F.sum("n").alias("n"), F.count("*").alias("sources")).first()
     if targets is None:
@@ -48,22 +63,25 @@ def replication_rates(docs: DataFrame, targets: dict[str, float] | None = None,
     else:
         weights = F.create_map(*[x for k, v in targets.items() for x in (F.lit(k), F.lit(v / sum(targets.values())))])
         share = F.coalesce(F.try_element_at(weights, F.col("source")), F.lit(0.0))
-    return counts.select("source", "n", F.least(F.lit(float(max_rate)), share * float(total["n"] or 0) / F.col("n")).alias("rate"))
+    rate = share * float(total["n"] or 0) / F.col("n")
+    return counts.select("source", "n", (rate if max_rate is None else F.least(F.lit(float(max_rate)), rate)).alias("rate"))
 
 
-def mix_sources(docs: DataFrame, targets: dict[str, float] | None = None, seed: str = "mix", id_col: str = "doc_id", source_col: str = "source", max_rate: float = 4.0) -> DataFrame:
+def mix_sources(docs: DataFrame, targets: dict[str, float] | None = None, seed: str = "mix", id_col: str = "doc_id", source_col: str = "source", max_rate: float | None = None) -> DataFrame:
     """All columns of ``docs`` with ``copy`` (1, 2, ...) and ``shuffle_key``,
     dealt by the key and ordered by it within each partition.
 
+    Every source reaches its target on average; ``max_rate`` caps the
+    repetition at the price of the weights, see :func:`replication_rates`.
     A null id counts as the empty text, a null source as ``''``; rows that
     repeat an id get the same count.  No rows give no rows.  Should ``docs``
     have columns of these two names, they are replaced.
     """
-    rates = stash(replication_rates(docs, targets, source_col, max_rate).select(F.col("source").alias("__source"), poisson_cdf(F.col("rate")).alias("__cdf")))
+    rates = stash(poisson_tables(replication_rates(docs, targets, source_col, max_rate)).select(F.col("source").alias("__source"), F.col("first").alias("__first"), F.col("cdf").alias("__cdf")))
     ident = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
     plain = docs.drop("copy", "shuffle_key").withColumn("__source", F.coalesce(F.col(source_col).cast("string"), F.lit("")))
     counted = plain.join(rates, "__source").withColumn("__u", uniform(seed, ident))
-    count = F.size(F.filter("__cdf", lambda c: F.col("__u") >= c))
+    count = (F.col("__first") + F.size(F.filter("__cdf", lambda c: F.col("__u") >= c))).cast("int")
     copies = counted.withColumn("__n", count).filter("__n > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("__n"))))
     keyed = copies.withColumn("shuffle_key", F.substring(F.md5(F.concat_ws("|", F.lit(seed + "/order"), ident, F.col("copy").cast("string"))), 1, 16))
-    return keyed.drop("__source", "__cdf", "__u", "__n").repartition("shuffle_key").sortWithinPartitions("shuffle_key")
+    return keyed.drop("__source", "__first", "__cdf", "__u", "__n").repartition("shuffle_key").sortWithinPartitions("shuffle_key")

@@ -52,7 +52,7 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every source to the same share of the rows, no document more than four times on average."""
+    """Every source to the same share of the rows."""
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
 
 
