@@ -138,3 +138,36 @@ def test_many_terms_are_joined_instead_of_collected(spark, monkeypatch):
     assert pii._with_terms(df, "text", terms)[1] == frozenset()
     assert everything() == whole and sorted(map(str, pii.sanitise(df).collect())) == clean
     assert sum("[TERM]" in r for r in clean) == 21
+
+
+def trigrams(texts: list[str]) -> np.ndarray:
+    tri = np.zeros(27**3)
+    for t in texts:
+        c = toxicity._codes("  " + t + " ")
+        np.add.at(tri, (c[:-2] * 27 + c[1:-1]) * 27 + c[2:], (c[1:-1] > 0) | (c[2:] > 0))
+    rows = [{"cell": k, "n": n} for k, n in enumerate(tri) if n]
+    return toxicity.language_model(type("Counts", (), {"collect": lambda _: rows})())
+
+
+def test_readings_across_gaps_and_with_signs_at_the_ends():
+    cost = trigrams([" ".join(random.Random(i).choices("you are a stupid ass the of clown and idiot class".split(), k=80)) for i in range(40)])
+    assert {"a", "stupid"} <= toxicity.restored_words("you are a s t u p i d", cost, {})
+    assert {"are", "stupid"} <= toxicity.restored_words("you a.r.e.s.t.u.p.i.d", cost, {})
+    for seen, meant in {"as$": "ass", "a$$": "ass", "(lown": "clown", "(la$$": "class"}.items():
+        assert meant in toxicity.restored_words(f"the {seen} of", cost, {}), seen
+    assert {"that", "this"} <= toxicity.restored_words("that! (this", cost, {})
+
+
+def test_no_reading_is_given_up():
+    rnd = random.Random(3)
+    cost = np.abs(np.random.default_rng(5).normal(3, 2, (27, 27, 27)))
+
+    def price(word: str) -> float:
+        c = [0, 0, *(ord(x) - 96 for x in word), 0]
+        return sum(cost[c[k], c[k + 1], c[k + 2]] for k in range(len(c) - 2))
+
+    for _ in range(12):
+        a, b, c = (rnd.choice(toxicity.LETTERS) for _ in range(3))
+        each = ["", *toxicity.LETTERS]
+        best = min((a + x + y + b + c for x in each for y in each), key=lambda w: price(w) + sum(toxicity.MASKED if k < len(w) - 3 else toxicity.GAP for k in range(2)))
+        assert toxicity.decode(f"{a}**{b}{c}", cost) == best

@@ -38,6 +38,8 @@ _DRAWN = re.compile(r"\w*([^\W\d_])\1\1\w*")
 _APART = re.compile(r"(?<![^\W_])[^\W_](?:[ .\-_~*/,]{1,2}[^\W_](?![^\W_])){2,}")
 _WORD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)*")
 _EDGES = ".,;:?\"'()[]{}<>#%&*=~^`/\\-_"
+#: Those of them that imitate no letter.
+_ENDS = "".join(c for c in _EDGES if c not in IMITATES)
 
 
 def _letter_table() -> np.ndarray:
@@ -88,13 +90,14 @@ def language_model(counts: DataFrame) -> np.ndarray:
     return -np.log((tri + 20 * two[None]) / (tri.sum(2)[..., None] + 20))
 
 
-def decode(span: str, cost: np.ndarray) -> str:
-    """The likeliest reading of ``span``, which may be several words.
+def decode(span: str, cost: np.ndarray, boundaries: bool = False) -> str:
+    """The likeliest reading of ``span``; with ``boundaries`` a gap may also be
+    read as a blank, so that the reading may be several words.
 
-    States are the last two letters read and the sign last read as itself or
-    as a letter.  The work is linear in the length of the span.
+    States are the last two letters read, all of them are kept: 27 x 27 at
+    most.  The work is linear in the length of the span.
     """
-    beam = {(0, 0, ""): (0.0, None)}
+    beam: dict = {(0, 0): (0.0, None)}
     run, previous = 0, ""
     for ch in span.lower():
         run = run + 1 if ch == previous else 1
@@ -104,25 +107,27 @@ def decode(span: str, cost: np.ndarray) -> str:
         if letter in LETTERS:
             options.append((letter, 0.0))
         options += [(x, IMITATE + 0.3 * k) for k, x in enumerate(IMITATES.get(ch, ""))]
-        if ch in ANY_LETTER:
-            options += [(x, MASKED) for x in LETTERS]
-        skip = GAP if ch in GAPS or ch in ANY_LETTER else None
         later: dict = {}
-        for (a, b, last), (spent, back) in beam.items():
+        if ch in ANY_LETTER:
+            later = _masked(beam, cost)
+        gap = ch in GAPS or ch in ANY_LETTER
+        # the first of a run is always read, so what repeats it may be left out
+        drop = GAP if gap else (REPEAT_SECOND if run == 2 else REPEAT_LATER) if run > 1 and options else None if options else 1.0
+        for (a, b), (spent, back) in beam.items():
             for x, price in options:
                 code = ord(x) - 96
                 total = spent + price + cost[a, b, code]
-                key = (b, code, ch)
+                key = (b, code)
                 if key not in later or total < later[key][0]:
                     later[key] = (total, (back, x))
-            drop = skip if skip is not None else (REPEAT_SECOND if run == 2 else REPEAT_LATER) if run > 1 and last == ch else None
-            if drop is not None or not options:
-                total, key = spent + (drop if drop is not None else 1.0), (a, b, last)
+            if drop is not None:
+                total, key = spent + drop, (a, b)
                 if key not in later or total < later[key][0]:
                     later[key] = (total, back)
-        # of states with the same letters the ones far behind can't win any more
-        if len(later) > 64:
-            later = dict(sorted(later.items(), key=lambda kv: kv[1][0])[:64])
+            if boundaries and ch in GAPS and b:
+                total, key = spent + cost[a, b, 0], (b, 0)
+                if key not in later or total < later[key][0]:
+                    later[key] = (total, (back, " "))
         beam = later
     best = min(beam.items(), key=lambda kv: kv[1][0] + cost[kv[0][0], kv[0][1], 0])
     letters, back = [], best[1][1]
@@ -132,6 +137,25 @@ def decode(span: str, cost: np.ndarray) -> str:
     return "".join(reversed(letters))
 
 
+def _masked(beam: dict, cost: np.ndarray) -> dict:
+    """The states after a sign that may be any letter."""
+    spent = np.full((27, 27), np.inf)
+    for key, (price, _) in beam.items():
+        spent[key] = price
+    total = spent[:, :, None] + MASKED + cost[:, :, 1:]
+    before = total.argmin(0)
+    least = total.min(0)
+    return {(b, k + 1): (float(least[b, k]), (beam[int(before[b, k]), b][1], LETTERS[k])) for b in {key[1] for key in beam} for k in range(26)}
+
+
+def readings(span: str, cost: np.ndarray) -> set[str]:
+    """What a span may say: as one word, and as several if it has gaps."""
+    out = {decode(span, cost)}
+    if any(c in GAPS for c in span):
+        out.update(decode(span, cost, boundaries=True).split())
+    return out
+
+
 def _drawn(text: str) -> list[str]:
     """Words in which a letter stands three times in a row."""
     raw = _raw(text)
@@ -151,42 +175,50 @@ def _apart(text: str, tokens: list[str]) -> list[str]:
     return []
 
 
-def scanned(text: str) -> tuple[set[str], list[str]]:
-    """The lower-cased words of a text, and its spans that may hide another word."""
+def scanned(text: str) -> tuple[set[str], list[str], list[str]]:
+    """The lower-cased words of a text, its spans that may hide another word,
+    and its words with signs at their ends, which may be letters or not."""
     tokens = text.split()
-    words, spans = set(), []
+    words, spans, signed = set(), [], []
     for token in set(tokens):
         core = token.strip(_EDGES)
+        whole = token.strip(_ENDS)
         if core.isalpha():
             words.add(core.lower())
         elif core:
             words.update(_WORD.findall(core.lower()))
             bare = core.rstrip("!$@+|")
-            if len(core) > 2 and not bare.replace("'", "").replace("’", "").isalpha() and any(c.isalpha() for c in core):
-                spans.append(core)
-                if bare != core and len(bare) > 2:
-                    spans.append(bare)
-                spans += [m[0] for m in _APART.finditer(core)]
-    return words, spans + _drawn(text) + _apart(text, tokens)
+            if any(c.isalpha() for c in core):
+                if len(core) > 2 and not bare.replace("'", "").replace("’", "").isalpha():
+                    spans.append(core)
+                    if bare != core and len(bare) > 2:
+                        spans.append(bare)
+                    spans += [m[0] for m in _APART.finditer(core)]
+                elif bare != core and len(core) > 2:
+                    signed.append(core)
+        if len(whole) > len(core) and len(whole) > 2 and any(c.isalpha() for c in core):
+            signed.append(whole)
+    return words, spans + _drawn(text) + _apart(text, tokens), signed
 
 
 def disguised(text: str) -> list[str]:
-    """Spans of ``text`` that may hide a word."""
+    """Spans of ``text`` that may hide a word, apart from words with signs at their ends."""
     return scanned(text)[1]
 
 
-def restored_words(text: str, cost: np.ndarray, known: dict[str, str]) -> set[str]:
-    """The words of a text, lower-cased, and what its disguised spans decode to.
+def restored_words(text: str, cost: np.ndarray, known: dict[str, set[str]]) -> set[str]:
+    """The words of a text, lower-cased, and what its disguised spans and its
+    words with signs at their ends decode to.
 
     ``known`` remembers decoded spans.
     """
-    words, spans = scanned(text)
-    for span in spans:
+    words, spans, signed = scanned(text)
+    for span in spans + signed:
         if span not in known:
             if len(known) > 50_000:
                 known.clear()
-            known[span] = decode(span, cost)
-        words.add(known[span])
+            known[span] = readings(span, cost)
+        words |= known[span]
     return words
 
 
@@ -206,7 +238,7 @@ class ToxicityModel:
         self.words = {t for t in weights if t[0] != "^"}
         self.four, self.five = ({t[1:] for t in weights if t[0] == "^" and len(t) == n} for n in (5, 6))
 
-    def score(self, text: str, known: dict[str, str]) -> float:
+    def score(self, text: str, known: dict[str, set[str]]) -> float:
         words = restored_words(text, self.cost, known)
         hits = words & self.words
         hits |= {"^" + w[:4] for w in words if w[:4] in self.four and len(w) > 4}
@@ -281,7 +313,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 def _word_lists(cost: np.ndarray):
     def run(batches):
-        known: dict[str, str] = {}
+        known: dict[str, set[str]] = {}
         for batch in batches:
             for start in range(0, batch.num_rows, SLICE):
                 lists = [sorted(terms_of(restored_words(t, cost, known))) for t in texts_of(batch.column(1), start)]
@@ -299,7 +331,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id"
     known_type = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
-        known: dict[str, str] = {}
+        known: dict[str, set[str]] = {}
         for batch in batches:
             for start in range(0, batch.num_rows, SLICE):
                 scores = [model.score(t, known) for t in texts_of(batch.column(1), start)]
