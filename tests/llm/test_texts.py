@@ -171,3 +171,23 @@ def test_no_reading_is_given_up():
         each = ["", *toxicity.LETTERS]
         best = min((a + x + y + b + c for x in each for y in each), key=lambda w: price(w) + sum(toxicity.MASKED if k < len(w) - 3 else toxicity.GAP for k in range(2)))
         assert toxicity.decode(f"{a}**{b}{c}", cost) == best
+
+
+MENU = "<nav><a href='/'>Home</a></nav><footer>us</footer>"
+
+
+@pytest.mark.parametrize("start,end", [
+    ("<div class='content has-sidebar'>", "</div>"), ("<div class='no-sidebar'>", "</div>"), ("<div class='post share-enabled'>", "</div>"), ("<div id='privacy'>", "</div>"),
+    ("<form action='/x'><div>", "</div></form>"), ("<form><article>", "</article></form>"), ("<div role='form'>", "</div>"), ("<main><h1>T</h1><div class='sidebar-left layout'>", "</div></main>"),
+])
+def test_no_class_loses_the_article(start, end):
+    page = f"<body>{MENU}{start}<p>{LONG}</p><p>{LONG}</p>{end}<div class='sidebar'>Small things</div></body>"
+    text = html_extract.main_text(page)
+    assert f"{squeezed(LONG)}\n{squeezed(LONG)}" in text and "Small" not in text and "Home" not in text
+
+
+def test_small_noise_and_long_comments_go():
+    talk = f"<p>{LONG}</p>" * 4
+    for page in (f"<body><div><p>{LONG}</p></div><div class='comments'>{talk}</div></body>", f"<body><article><p>{LONG}</p></article><div class='related'>{talk}</div></body>", f"<body><div><p>{LONG}</p></div><form>Search</form></body>"):
+        assert html_extract.main_text(page) == squeezed(LONG)
+    assert html_extract.main_text("<body><div class='comments'>one</div><div class='sidebar'>two</div></body>") != ""

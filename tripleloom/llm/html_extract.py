@@ -7,8 +7,9 @@ sets a threshold, the least density on its path to the body, and of every
 subtree at or above the threshold the node with the largest sum is content.
 The base of the density's logarithm is kept at two or more, so that pages
 without links have a finite density.
-Elements that never hold an article (scripts, menus, forms and the like) are
-taken out of the tree before.
+Elements that never hold an article (scripts, menus and the like) are taken out
+of the tree before; forms and what only its class or id calls noise too, unless
+that holds most of the page.
 """
 
 from __future__ import annotations
@@ -28,13 +29,18 @@ FEW_PAGES = 32
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 #: What never holds an article: by element, by role, and by words of class and id.
-NEVER = frozenset("script style noscript template head title nav footer aside form button select option textarea input iframe object embed svg canvas dialog menu audio video map".split())
-ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
+NEVER = frozenset("script style noscript template head title nav footer aside button select option textarea input iframe object embed svg canvas dialog menu audio video map".split())
+ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar".split())
 NOISE = frozenset(
     "ad ads adv advert adverts advertisement advertisements advertising adbox adslot banner banners breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disqus "
     "footer gdpr masthead menu menus modal nav navbar navigation newsletter notice notices overlay pagination pager popup privacy promo promos promotion related recommended recommendations "
     "replies reply respond share sharing sidebar sidebars sidenav skip social sponsor sponsored sponsors subscribe subscription teaser toolbar topbar widget widgets".split()
 )
+COMMENTS = frozenset("comment comments commentlist disqus replies reply respond".split())
+#: Unlinked characters that something to read has at least.
+PARAGRAPH = 200
+#: What a word of a class says about its state, not what it is.
+STATE_FIRST, STATE_LAST = frozenset("has no not with without".split()), frozenset("enabled disabled".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 #: Start tags that end an open paragraph, and elements that end one of their own kind.
 _CLOSES_P = BLOCK - {"body", "html", "td", "th", "tr", "tbody", "thead", "tfoot", "summary", "figcaption"}
@@ -49,26 +55,72 @@ _BLANKS = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "parts", "noise", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("tag", "parent", "parts", "noise", "doubtful", "comments", "plain", "chars", "tags", "link_chars", "link_tags", "density", "total")
 
-    def __init__(self, tag: str, parent: Node | None, noise: bool = False):
-        self.tag, self.parent, self.noise, self.parts = tag, parent, noise, []
-        self.chars = self.tags = self.link_chars = self.link_tags = 0
+    def __init__(self, tag: str, parent: Node | None, noise: bool = False, doubtful: bool = False, comments: bool = False):
+        self.tag, self.parent, self.noise, self.doubtful, self.comments, self.parts = tag, parent, noise, doubtful, comments, []
+        self.plain = self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
 
     def children(self):
         return (x for x in self.parts if isinstance(x, Node))
 
 
-def _is_noise(tag: str, attributes: str, inside_article: bool) -> bool:
+def _is_noise(tag: str, attributes: str, inside_article: bool) -> tuple[bool, bool, bool]:
+    """Whether an element is noise, whether that is in doubt, and whether it is comments."""
     if tag in NEVER or tag == "header" and not inside_article:
-        return True
+        return True, False, False
+    form = tag == "form"
     if not attributes.strip(" /") or tag in ("html", "body", "article", "main"):
-        return False
+        return form, form, False
     given = {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in _ATTR.finditer(attributes)}
-    if "hidden" in given or given.get("aria-hidden") == "true" or _HIDDEN.search(given.get("style", "")) or given.get("role", "").lower() in ROLES:
-        return True
-    return not NOISE.isdisjoint(_SPLIT.split(f"{given.get('class', '')} {given.get('id', '')}".lower()))
+    role = given.get("role", "").lower()
+    if "hidden" in given or given.get("aria-hidden") == "true" or _HIDDEN.search(given.get("style", "")) or role in ROLES:
+        return True, False, False
+    words: set[str] = set()
+    for name in f"{given.get('class', '')} {given.get('id', '')}".lower().split():
+        parts = [w for w in _SPLIT.split(name) if w]
+        if parts and parts[0] not in STATE_FIRST and parts[-1] not in STATE_LAST:
+            words.update(parts)
+    doubtful = form or role == "form" or not NOISE.isdisjoint(words)
+    return doubtful, doubtful, not COMMENTS.isdisjoint(words)
+
+
+def _settle(root: Node) -> None:
+    """Keep doubtful nodes that hold most of the page's unlinked characters, so
+    that densities decide.  They stay noise if an article or main element has a
+    paragraph elsewhere, comments if the page has; but they don't empty a page."""
+    nodes, todo = [], [root]
+    while todo:
+        node = todo.pop()
+        if not node.noise or node.doubtful:
+            nodes.append(node)
+            todo.extend(node.children())
+    if not any(n.doubtful for n in nodes):
+        return
+    for node in reversed(nodes):
+        if node.tag != "a":
+            node.plain += sum(len(_BLANKS.sub("", x)) for x in node.parts if isinstance(x, str))
+            if node.parent is not None:
+                node.parent.plain += node.plain
+    articles = [n for n in nodes if n.tag in ("article", "main") and n.plain >= PARAGRAPH]
+    for node in nodes:  # parents first
+        if node.doubtful and node.plain >= PARAGRAPH and 2 * node.plain > root.plain:
+            rest = root.plain - node.plain if node.comments else 0
+            for other in articles:
+                if other is not node and not _within(other, node) and not _in_noise(other):
+                    rest = max(rest, other.plain - (node.plain if _within(node, other) else 0))
+            node.noise = rest >= PARAGRAPH
+    doubtful = [n for n in nodes if n.noise and not _in_noise(n.parent)]
+    if root.plain and sum(n.plain for n in doubtful) == root.plain:
+        for node in doubtful:
+            node.noise = False
+
+
+def _in_noise(node: Node | None) -> bool:
+    while node is not None and not node.noise:
+        node = node.parent
+    return node is not None
 
 
 def parsed(page: str) -> Node:
@@ -114,7 +166,7 @@ def parsed(page: str) -> Node:
                     break
         if tag in ("html", "body") and any(n.tag == tag for n in stack):
             continue
-        node = Node(tag, stack[-1], _is_noise(tag, attributes, any(n.tag in ("article", "main") for n in stack)))
+        node = Node(tag, stack[-1], *_is_noise(tag, attributes, any(n.tag in ("article", "main") for n in stack)))
         stack[-1].parts.append(node)
         if tag not in VOID and not attributes.endswith("/"):
             stack.append(node)
@@ -155,6 +207,7 @@ def _weigh(root: Node, nodes: list[Node]) -> None:
 
 def content_nodes(root: Node) -> list[Node]:
     """The nodes that hold the page's content, in page order."""
+    _settle(root)
     nodes = _ordered(root)
     _weigh(root, nodes)
     body = next((n for n in nodes if n.tag == "body"), root)
