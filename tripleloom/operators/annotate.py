@@ -1,9 +1,10 @@
 """How new each statement is against the years before it, and whether it recurs in the years after.
 
 A row has PMID, PYEAR (int), s, p, o.  Rows with a missing endpoint and self
-loops are left out.  Three shuffles serve all years: by concept, by unordered
-pair, and by pair and predicate; each key's history is at most one row a year
-there, however frequent the key.
+loops are left out.  Labels are made for distinct triples and years: windows by
+concept, by unordered pair, and by pair and predicate serve all years at once,
+and a key's history has a few rows a year there, however frequent the key.
+Other columns ride along with their rows in the last join only.
 """
 
 from __future__ import annotations
@@ -25,34 +26,25 @@ def usable(triples: DataFrame) -> DataFrame:
     return good.withColumns({"a": F.least("s", "o"), "b": F.greatest("s", "o"), "fwd": F.col("s") < F.col("o")})
 
 
-def _by_direction(column: str, forward: bool):
-    return F.when(F.col("fwd") == forward, F.col(column))
+def _labels(rows: DataFrame, w: int) -> DataFrame:
+    """Of each distinct triple and year its flags, label and whether it recurs.
 
-
-def pair_history(rows: DataFrame, w: int) -> DataFrame:
-    """For each pair and year, what the ``w`` years before hold in either direction."""
-    yearly = rows.groupBy("a", "b", "PYEAR").agg(
-        *[f(_by_direction("p", d)).alias(f"{n}{k}") for d, k in ((True, "f"), (False, "b")) for f, n in ((F.min, "lo_"), (F.max, "hi_"))],
-        F.max(F.when(F.col("fwd"), F.col("PYEAR"))).alias("y_f"), F.max(F.when(~F.col("fwd"), F.col("PYEAR"))).alias("y_b"),
-    )
-    w_ = prior(("a", "b"), "PYEAR", w)
-    return yearly.select("a", "b", "PYEAR", *[f(c).over(w_).alias(c) for c, f in (("lo_f", F.min), ("hi_f", F.max), ("lo_b", F.min), ("hi_b", F.max), ("y_f", F.max), ("y_b", F.max))])
-
-
-def triple_history(rows: DataFrame, w: int) -> DataFrame:
-    """For each pair, predicate and year, in which directions the ``w`` years before have it; and in the ``w`` years after."""
-    yearly = rows.filter(F.col("p").isNotNull()).groupBy("a", "b", "p", "PYEAR").agg(F.max(F.when(F.col("fwd"), F.col("PYEAR"))).alias("f"), F.max(F.when(~F.col("fwd"), F.col("PYEAR"))).alias("r"))
+    They depend on nothing else, so papers don't take part.  After duplicates
+    are gone a pair has a row for each year, predicate and direction at most;
+    windows by pair and by pair and predicate share one shuffle.
+    """
+    once = rows.select("a", "b", "fwd", "s", "p", "o", "PYEAR").distinct()
+    by_pair, year = prior(("a", "b"), "PYEAR", w), F.col("PYEAR")
     before, after = prior(("a", "b", "p"), "PYEAR", w), following(("a", "b", "p"), "PYEAR", w)
-    return yearly.select("a", "b", "p", "PYEAR", F.max("f").over(before).isNotNull().alias("pf"), F.max("r").over(before).isNotNull().alias("pr"), F.max("f").over(after).isNotNull().alias("nf"), F.max("r").over(after).isNotNull().alias("nr"))
-
-
-def _annotated(triples: DataFrame, w: int) -> DataFrame:
-    rows = usable(triples)
-    nodes = seen_before(rows.select(F.explode(F.array("s", "o")).alias("node"), "PYEAR"), ["node"], "PYEAR", w)
+    on = lambda forward, c: F.when(F.col("fwd") == forward, c)
+    over = {f"{n}_{k}": f(on(d, F.col("p"))).over(by_pair) for k, d in (("f", True), ("b", False)) for n, f in (("lo", F.min), ("hi", F.max))}
+    over |= {f"y_{k}": F.max(on(d, year)).over(by_pair) for k, d in (("f", True), ("b", False))}
+    known = F.col("p").isNotNull()
+    over |= {f"{n}{k}": known & F.max(on(d, year)).over(spec).isNotNull() for n, spec in (("p", before), ("n", after)) for k, d in (("f", True), ("r", False))}
+    out = once.withColumns(over)
+    nodes = seen_before(once.select(F.explode(F.array("s", "o")).alias("node"), "PYEAR"), ["node"], "PYEAR", w)
     for side in ("s", "o"):
-        rows = rows.join(nodes.select(F.col("node").alias(side), "PYEAR", F.col("seen").alias(f"seen_{side}")), [side, "PYEAR"])
-    rows = rows.join(pair_history(rows, w), ["a", "b", "PYEAR"])
-    rows = rows.join(triple_history(rows, w), ["a", "b", "p", "PYEAR"], "left")
+        out = out.join(nodes.select(F.col("node").alias(side), "PYEAR", F.col("seen").alias(f"seen_{side}")), [side, "PYEAR"])
     own = lambda f, r: F.when(F.col("fwd"), F.col(f)).otherwise(F.col(r))
     no = lambda c: F.coalesce(c, F.lit(False))
     flags = {
@@ -60,46 +52,76 @@ def _annotated(triples: DataFrame, w: int) -> DataFrame:
         "object_seen_in_prior_window": F.col("seen_o"),
         "has_new_node": ~(F.col("seen_s") & F.col("seen_o")),
         "pair_connected_in_prior_window": F.col("y_f").isNotNull() | F.col("y_b").isNotNull(),
-        "exact_edge_seen_in_prior_window": no(own("pf", "pr")),
+        "exact_edge_seen_in_prior_window": own("pf", "pr"),
         "reversed_edge_seen_in_prior_window": own("y_b", "y_f").isNotNull(),
-        "same_predicate_reversed_edge_seen_in_prior_window": no(own("pr", "pf")),
+        "same_predicate_reversed_edge_seen_in_prior_window": own("pr", "pf"),
         "same_direction_different_predicate_seen_in_prior_window": no((own("lo_f", "lo_b") != F.col("p")) | (own("hi_f", "hi_b") != F.col("p"))),
     }
-    rows = rows.withColumns(flags)
+    out = out.withColumns(flags)
     kind = F.when(F.col("has_new_node"), NEW[0]).when(~F.col("pair_connected_in_prior_window"), NEW[1]).when(~F.col("exact_edge_seen_in_prior_window"), NEW[2]).otherwise(CATEGORIES[3])
-    return rows.withColumn("edge_annotation", kind).withColumn("future_exact_triple_seen", no(own("nf", "nr")))
+    return out.select("s", "p", "o", "PYEAR", *FLAGS, kind.alias("edge_annotation"), own("nf", "nr").alias("future_exact_triple_seen"))
+
+
+def annotated_rows(triples: DataFrame, w: int = 5) -> DataFrame:
+    """All usable rows, of years without full windows too, with all their
+    columns, ``a, b``, flags, ``edge_annotation`` and ``future_exact_triple_seen``.
+
+    :func:`edge_annotation` and :func:`edge_transition` are views of it; write it once where both are used.
+    """
+    rows = usable(triples)
+    labels = _labels(rows, w).select(*[F.col(c).alias(f"__{c}") for c in ("s", "p", "o", "PYEAR")], *FLAGS, "edge_annotation", "future_exact_triple_seen")
+    same = (F.col("s") == F.col("__s")) & (F.col("o") == F.col("__o")) & (F.col("PYEAR") == F.col("__PYEAR")) & F.col("p").eqNullSafe(F.col("__p"))
+    return rows.join(labels, same).drop("__s", "__p", "__o", "__PYEAR", "fwd")
+
+
+Bounds = tuple[int | None, int | None]
+
+
+def annotation_of(rows: DataFrame, w: int, bounds: Bounds) -> DataFrame:
+    """:func:`edge_annotation` out of :func:`annotated_rows` and the first and last year."""
+    first, last = bounds
+    focal = rows.filter(F.col("PYEAR").between(F.lit(first) + w, F.lit(last)))
+    return focal.select(*_own(rows), F.col("a").alias("node_a"), F.col("b").alias("node_b"), *FLAGS, "edge_annotation")
 
 
-def edge_annotation(triples: DataFrame, w: int = 5) -> DataFrame:
+def _own(rows: DataFrame) -> list[str]:
+    """The columns that came with the triples."""
+    return [c for c in rows.columns if c not in ("a", "b", *FLAGS, "edge_annotation", "future_exact_triple_seen")]
+
+
+def edge_annotation(triples: DataFrame, w: int = 5, bounds: Bounds | None = None) -> DataFrame:
     """The rows of focal years (all with a full window before them) with ``node_a, node_b``, eight flags and ``edge_annotation``."""
-    first, last = year_bounds(triples, "PYEAR")
-    focal = _annotated(triples, w).filter(F.col("PYEAR").between(F.lit(first) + w, F.lit(last)))
-    return focal.select("PMID", "PYEAR", "s", "p", "o", F.col("a").alias("node_a"), F.col("b").alias("node_b"), *FLAGS, "edge_annotation")
+    return annotation_of(annotated_rows(triples, w), w, bounds or year_bounds(triples, "PYEAR"))
 
 
-def edge_transition(triples: DataFrame, w: int = 5) -> DataFrame:
+def edge_transition(triples: DataFrame, w: int = 5, bounds: Bounds | None = None) -> DataFrame:
     """Annotated rows of years with full windows on both sides, with what became of them."""
-    first, last = year_bounds(triples, "PYEAR")
-    focal = _annotated(triples, w).filter(F.col("PYEAR").between(F.lit(first) + w, F.lit(last) - w))
+    return transition_of(annotated_rows(triples, w), w, bounds or year_bounds(triples, "PYEAR"))
+
+
+def transition_of(rows: DataFrame, w: int, bounds: Bounds) -> DataFrame:
+    """:func:`edge_transition` out of :func:`annotated_rows` and the first and last year."""
+    first, last = bounds
+    focal = rows.filter(F.col("PYEAR").between(F.lit(first) + w, F.lit(last) - w))
     seen = F.col("future_exact_triple_seen")
     state = F.when(~F.col("edge_annotation").isin(*CATEGORIES), "Not_Analyzed").when(~seen, "Disappeared").when(F.col("edge_annotation") == CATEGORIES[3], "Continued").otherwise("Adopted")
     out = focal.withColumn("future_five_year_transition", state).withColumn("edge_annotation_to_future_transition", F.concat_ws(" -> ", "edge_annotation", "future_five_year_transition"))
-    return out.select("PMID", "PYEAR", "s", "p", "o", F.col("a").alias("node_a"), F.col("b").alias("node_b"), *FLAGS, "edge_annotation", "future_exact_triple_seen", "future_five_year_transition", "edge_annotation_to_future_transition")
+    return out.select(*_own(rows), F.col("a").alias("node_a"), F.col("b").alias("node_b"), *FLAGS, "edge_annotation", "future_exact_triple_seen", "future_five_year_transition", "edge_annotation_to_future_transition")
 
 
-def same_pair_other_predicate(triples: DataFrame, w: int = 5) -> DataFrame:
-    """Distinct triples and years whose directed pair had another predicate in the ``w`` years before."""
-    return edge_annotation(triples, w).filter("same_direction_different_predicate_seen_in_prior_window").select("PYEAR", "s", "p", "o").distinct()
+def same_pair_other_predicate(annotated: DataFrame) -> DataFrame:
+    """Distinct triples and years whose directed pair had another predicate in the window before."""
+    return annotated.filter("same_direction_different_predicate_seen_in_prior_window").select("PYEAR", "s", "p", "o").distinct()
 
 
-def prior_nodes(triples: DataFrame, w: int = 5) -> DataFrame:
+def prior_nodes(triples: DataFrame, w: int = 5, bounds: Bounds | None = None) -> DataFrame:
     """For each focal year, how many concepts occur in the ``w`` years before."""
-    first, last = year_bounds(triples, "PYEAR")
+    first, last = bounds or year_bounds(triples, "PYEAR")
     return union_sizes(usable(triples).select(F.explode(F.array("s", "o")).alias("node"), "PYEAR"), ["node"], "PYEAR", w, "n_prior_nodes").filter(F.col("PYEAR").between(F.lit(first) + w, F.lit(last)))
 
 
-def self_loop_summary(triples: DataFrame, w: int = 5) -> DataFrame:
-    first, last = year_bounds(triples, "PYEAR")
+def self_loop_summary(triples: DataFrame, w: int = 5, bounds: Bounds | None = None) -> DataFrame:
+    first, last = bounds or year_bounds(triples, "PYEAR")
     bad = is_missing(F.col("s")) | is_missing(F.col("o"))
     counts = triples.filter(F.col("PYEAR").between(F.lit(first) + w, F.lit(last))).groupBy("PYEAR").agg(
         F.count("*").alias("n_focal_rows"), F.count_if(bad).alias("n_invalid_endpoint_rows"), F.count_if(~bad & (F.col("s") == F.col("o"))).alias("n_self_loop_rows"))
@@ -107,17 +129,18 @@ def self_loop_summary(triples: DataFrame, w: int = 5) -> DataFrame:
     return out.withColumns({f"share_{x}_rows": share(F.col(f"n_{x}_rows"), F.col("n_focal_rows")) for x in ("invalid_endpoint", "self_loop")})
 
 
-def annotation_summary(triples: DataFrame, w: int = 5) -> DataFrame:
+def annotation_summary(triples: DataFrame, w: int = 5, bounds: Bounds | None = None, annotated: DataFrame | None = None) -> DataFrame:
     """A row for each focal year: rows, sizes of the prior sets, counts and shares of the categories."""
     rows = usable(triples)
-    first, last = year_bounds(triples, "PYEAR")
+    first, last = bounds = bounds or year_bounds(triples, "PYEAR")
+    annotated = edge_annotation(triples, w, bounds) if annotated is None else annotated
     sizes = [
         union_sizes(rows.select(F.explode(F.array("s", "o")).alias("node"), "PYEAR"), ["node"], "PYEAR", w, "n_prior_nodes"),
         union_sizes(rows, ["a", "b"], "PYEAR", w, "n_prior_pairs"),
         union_sizes(rows.filter("p is not null"), ["s", "p", "o"], "PYEAR", w, "n_prior_triples"),
     ]
-    counts = edge_annotation(triples, w).groupBy("PYEAR").agg(F.count("*").alias("n_annotated_rows"), *[F.count_if(F.col("edge_annotation") == c).alias(f"n_{c}") for c in CATEGORIES])
-    out = self_loop_summary(triples, w).drop("n_non_self_loop_rows").join(counts, "PYEAR", "left")
+    counts = annotated.groupBy("PYEAR").agg(F.count("*").alias("n_annotated_rows"), *[F.count_if(F.col("edge_annotation") == c).alias(f"n_{c}") for c in CATEGORIES])
+    out = self_loop_summary(triples, w, bounds).drop("n_non_self_loop_rows").join(counts, "PYEAR", "left")
     for size in sizes:
         out = out.join(size, "PYEAR", "left")
     years = F.size(F.filter(F.sequence(F.col("PYEAR") - w, F.col("PYEAR") - 1), lambda y: y.between(first, last)))

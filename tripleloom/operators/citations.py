@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.ids import share
+from ..functions.ids import pmid_strict, share, work_strict
 
 WINDOWS = (3, 5, 10)
 
@@ -27,6 +27,12 @@ def citation_windows(references: DataFrame, years: DataFrame, cutoff: int) -> Da
     return out.withColumns({f"has_complete_C{k}_window": F.col("year") + k <= cutoff for k in WINDOWS}).withColumnRenamed("year", "publication_year")
 
 
+def with_pmids(windows: DataFrame, ids: DataFrame) -> DataFrame:
+    """The windows with each work's least PMID, null if it has none; ``ids(work_id, pmid)`` as they are written."""
+    known = ids.select(work_strict(F.col("work_id")).alias("work_id"), pmid_strict(F.col("pmid")).alias("pmid")).filter("work_id is not null and pmid is not null")
+    return windows.join(known.groupBy("work_id").agg(F.min("pmid").alias("pmid")), "work_id", "left")
+
+
 def citation_edge_accounting(references: DataFrame, years: DataFrame, cutoff: int) -> DataFrame:
     """One row: what became of each reference."""
     both = references.join(years.select("work_id", F.col("year").alias("citing")), "work_id", "left").join(years.select(F.col("work_id").alias("referenced_work_id"), F.col("year").alias("cited")), "referenced_work_id", "left")

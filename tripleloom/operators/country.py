@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ids import country_code, is_missing, list_items, listed, pmid_tail, share
+from ..sources.shared import written
 from .annotate import NEW
 
 POOLED = "Pooled_New_Knowledge"
@@ -76,8 +77,12 @@ def first_last_authors(rows: DataFrame) -> DataFrame:
 
 
 def attach_country_lists(rows: DataFrame, lists: DataFrame) -> DataFrame:
-    """Each row with its paper's country lists; no row is lost or repeated."""
-    return rows.join(lists.withColumnRenamed("pmid", "PMID"), "PMID", "left")
+    """Each row with its paper's country lists; no row is lost or repeated.  A
+    paper with several lists is an error when the result is read."""
+    rest = [c for c in lists.columns if c != "pmid"]
+    once = lists.groupBy(F.col("pmid").alias("PMID")).agg(F.count("*").alias("__n"), F.first(F.struct(*rest)).alias("__x"))
+    gate = F.when(F.col("__n") > 1, F.raise_error(F.concat(F.lit("several country lists of paper "), F.col("PMID")))).otherwise(F.col("__x"))
+    return rows.join(once.select("PMID", gate.alias("__x")), "PMID", "left").select(*rows.columns, *[F.col(f"__x.{c}").alias(c) for c in rest])
 
 
 def country_match_summary(attached: DataFrame) -> DataFrame:
@@ -104,12 +109,13 @@ def country_network(transitions: DataFrame, annotated: DataFrame, paper_country:
     frequent triple never expands to pairs of papers.
     """
     left, right = _sources(transitions, annotated, paper_country, w)
+    left = written(left)
     scope = ["focal_year", "edge_annotation", "future_five_year_transition"]
     edge = [*scope, "adopter_country_code", "source_country_code"]
     near = lambda df: df.filter((F.col("later") > F.col("focal_year")) & (F.col("later") <= F.col("focal_year") + w))
     years = left.select("focal_year", *TRIPLE).distinct()
     source = left.groupBy(*scope, *TRIPLE, "source_country_code").agg(F.count_distinct("PMID").alias("n_source"))
-    future = near(years.join(right, list(TRIPLE)))
+    future = written(near(years.join(right, list(TRIPLE))))
     per = future.groupBy("focal_year", *TRIPLE, "adopter_country_code").agg(F.count_distinct("future_pmid").alias("n_future"))
     met = source.join(per, ["focal_year", *TRIPLE])
     core = met.groupBy(*edge).agg(F.count_distinct(*TRIPLE).alias("weight_unique_exact_triples"), F.sum(F.col("n_source") * F.col("n_future")).alias("weight_source_pmid_x_future_pmid"))

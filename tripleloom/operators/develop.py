@@ -16,9 +16,9 @@ PAIR = "nc_pairs_future_nr"
 KEY = ("PMID", "PYEAR", "s", "p", "o")
 
 
-def _focal(annotated: DataFrame, w: int) -> DataFrame:
-    """Annotated rows whose ``w`` following years are annotated as well."""
-    _, last = year_bounds(annotated, "PYEAR")
+def _focal(annotated: DataFrame, w: int, last: int | None) -> DataFrame:
+    """Annotated rows whose ``w`` following years, up to ``last``, are annotated as well."""
+    last = year_bounds(annotated, "PYEAR")[1] if last is None else last
     return annotated.filter(F.col("PYEAR") <= F.lit(last) - w)
 
 
@@ -36,13 +36,13 @@ def _future_counts(events: DataFrame, focal: DataFrame, keys: list[str], w: int,
     return once.groupBy(*keys, "PYEAR").agg(*[x for k, name in kinds.items() for x in (F.sum(F.when(own(k), F.col("n")).otherwise(0)).alias(f"{name}_rows"), F.count_if(own(k)).alias(f"{name}_triples"))])
 
 
-def new_node_development(annotated: DataFrame, w: int = 5) -> DataFrame:
+def new_node_development(annotated: DataFrame, w: int = 5, last: int | None = None) -> DataFrame:
     """New_Node rows with what later rows touch any of their new endpoints.
 
     A later row that touches both new endpoints is on their pair, so the union
     is n(s) + n(o) - n(pair): no row is ever joined to a disjunction.
     """
-    focal = _focal(annotated, w).filter(F.col("edge_annotation") == NEW[0])
+    focal = _focal(annotated, w, last).filter(F.col("edge_annotation") == NEW[0])
     focal = focal.withColumns({"s_new": ~F.col("subject_seen_in_prior_window"), "o_new": ~F.col("object_seen_in_prior_window")})
     kinds = {NEW[1]: "nc", NEW[2]: "nr"}
     names = [f"{k}_{x}" for k in kinds.values() for x in ("rows", "triples")]
@@ -64,9 +64,9 @@ def new_node_development(annotated: DataFrame, w: int = 5) -> DataFrame:
     )
 
 
-def new_combination_development(annotated: DataFrame, w: int = 5) -> DataFrame:
+def new_combination_development(annotated: DataFrame, w: int = 5, last: int | None = None) -> DataFrame:
     """New_Combination rows with the later New_Relation rows and triples on their pair."""
-    focal = _focal(annotated, w).filter(F.col("edge_annotation") == NEW[1])
+    focal = _focal(annotated, w, last).filter(F.col("edge_annotation") == NEW[1])
     later = _future_counts(annotated, focal, ["node_a", "node_b"], w, {NEW[2]: "nr"})
     out = focal.join(later, ["node_a", "node_b", "PYEAR"], "left")
     rows, triples = F.coalesce("nr_rows", F.lit(0)), F.coalesce("nr_triples", F.lit(0))
@@ -121,9 +121,9 @@ def development_metrics_summary(metrics: DataFrame) -> DataFrame:
     )
 
 
-def endpoint_or_join(annotated: DataFrame, w: int = 5) -> DataFrame:
+def endpoint_or_join(annotated: DataFrame, w: int = 5, last: int | None = None) -> DataFrame:
     """For each focal New_Node row, how many later rows touch any of its new endpoints, by an equi-join on endpoints."""
-    focal = _focal(annotated, w).filter(F.col("edge_annotation") == NEW[0])
+    focal = _focal(annotated, w, last).filter(F.col("edge_annotation") == NEW[0])
     ends = F.array(F.when(~F.col("subject_seen_in_prior_window"), F.col("s")), F.when(~F.col("object_seen_in_prior_window"), F.col("o")))
     left = focal.select(*KEY, F.explode(F.array_compact(ends)).alias("node"))
     right = annotated.select(F.explode(F.array("s", "o")).alias("node"), F.col("PYEAR").alias("later"), *[F.col(c).alias(f"r_{c}") for c in ("PMID", "s", "p", "o")])

@@ -13,35 +13,35 @@ from .papers import KINDS
 TRIPLE = ("s", "p", "o")
 
 
-def _focal_new(annotated: DataFrame, w: int) -> DataFrame:
-    _, last = year_bounds(annotated, "PYEAR")
+def _focal_new(annotated: DataFrame, w: int, last: int | None) -> DataFrame:
+    last = year_bounds(annotated, "PYEAR")[1] if last is None else last
     return annotated.filter(F.col("edge_annotation").isin(*NEW) & (F.col("PYEAR") <= F.lit(last) - w) & F.col("p").isNotNull()).select(F.col("PMID").alias("focal_pmid"), F.col("PYEAR").alias("focal_year"), *TRIPLE, "edge_annotation").distinct()
 
 
-def _matched(annotated: DataFrame, w: int) -> DataFrame:
+def _matched(annotated: DataFrame, w: int, last: int | None) -> DataFrame:
     """Each (focal paper, later paper, triple) where the later paper repeats the triple within ``w`` years."""
     later = annotated.select(F.col("PMID").alias("adopter_pmid"), F.col("PYEAR").alias("adopter_year"), *TRIPLE).distinct()
-    return _focal_new(annotated, w).join(later, list(TRIPLE)).filter((F.col("adopter_year") > F.col("focal_year")) & (F.col("adopter_year") <= F.col("focal_year") + w))
+    return _focal_new(annotated, w, last).join(later, list(TRIPLE)).filter((F.col("adopter_year") > F.col("focal_year")) & (F.col("adopter_year") <= F.col("focal_year") + w))
 
 
-def paper_network_edges(annotated: DataFrame, w: int = 5) -> DataFrame:
+def paper_network_edges(annotated: DataFrame, w: int = 5, last: int | None = None) -> DataFrame:
     """Adopter to focal paper, with how many new triples they share; the output itself is a row for each pair."""
     own = lambda c: F.count_if(F.col("edge_annotation") == c)
-    edges = _matched(annotated, w).groupBy("adopter_pmid", "focal_pmid", "adopter_year", "focal_year").agg(*[own(c).alias(f"n_shared_{k}_triples") for c, k in zip(NEW, KINDS, strict=False)], F.count("*").alias("n_shared_new_triples"))
+    edges = _matched(annotated, w, last).groupBy("adopter_pmid", "focal_pmid", "adopter_year", "focal_year").agg(*[own(c).alias(f"n_shared_{k}_triples") for c, k in zip(NEW, KINDS, strict=False)], F.count("*").alias("n_shared_new_triples"))
     return edges.withColumn("year_gap", F.col("adopter_year") - F.col("focal_year"))
 
 
-def _later_counts(annotated: DataFrame, w: int) -> tuple[DataFrame, DataFrame]:
+def _later_counts(annotated: DataFrame, w: int, last: int | None) -> tuple[DataFrame, DataFrame]:
     """Focal papers of each new triple and year, and papers that repeat it later."""
-    focal = _focal_new(annotated, w).groupBy("focal_year", *TRIPLE).agg(F.count("*").alias("n_focal_pmids"))
+    focal = _focal_new(annotated, w, last).groupBy("focal_year", *TRIPLE).agg(F.count("*").alias("n_focal_pmids"))
     per_year = annotated.select("PMID", F.col("PYEAR").alias("y"), *TRIPLE).distinct().groupBy(*TRIPLE, "y").agg(F.count("*").alias("n"))
     later = focal.join(per_year, list(TRIPLE)).filter((F.col("y") > F.col("focal_year")) & (F.col("y") <= F.col("focal_year") + w)).groupBy("focal_year", *TRIPLE).agg(F.sum("n").alias("n_future_pmids"))
     return focal, later
 
 
-def paper_network_trace(annotated: DataFrame, w: int = 5) -> DataFrame:
+def paper_network_trace(annotated: DataFrame, w: int = 5, last: int | None = None) -> DataFrame:
     """New focal occurrences and the later occurrences that match them."""
-    focal, _ = _later_counts(annotated, w)
+    focal, _ = _later_counts(annotated, w, last)
     rows = annotated.select("PMID", "PYEAR", *TRIPLE, "edge_annotation").distinct()
     names = ["focal_year", "role", "PMID", "PYEAR", *TRIPLE, "annotation", "n_focal_pmids"]
     own = rows.filter(F.col("edge_annotation").isin(*NEW)).join(focal.withColumn("PYEAR", F.col("focal_year")), ["PYEAR", *TRIPLE]).withColumn("role", F.lit("focal_new"))
@@ -49,9 +49,9 @@ def paper_network_trace(annotated: DataFrame, w: int = 5) -> DataFrame:
     return own.withColumnRenamed("edge_annotation", "annotation").select(names).union(later.withColumnRenamed("edge_annotation", "annotation").select(names))
 
 
-def paper_network_profile(annotated: DataFrame, w: int = 5) -> DataFrame:
+def paper_network_profile(annotated: DataFrame, w: int = 5, last: int | None = None) -> DataFrame:
     """Sizes for each focal year, without expanding any pair; products in decimals."""
-    focal, later = _later_counts(annotated, w)
+    focal, later = _later_counts(annotated, w, last)
     met = focal.join(later, ["focal_year", *TRIPLE], "left")
     product = (F.col("n_focal_pmids").cast("decimal(19,0)") * F.col("n_future_pmids").cast("decimal(19,0)")).cast("decimal(38,0)")
     sizes = met.groupBy("focal_year").agg(
@@ -62,9 +62,9 @@ def paper_network_profile(annotated: DataFrame, w: int = 5) -> DataFrame:
     return sizes.join(papers, "focal_year")
 
 
-def paper_network_nodes(annotated: DataFrame, adoption: DataFrame, edges: DataFrame, w: int = 5) -> DataFrame:
+def paper_network_nodes(annotated: DataFrame, adoption: DataFrame, edges: DataFrame, w: int = 5, bounds: tuple[int | None, int | None] | None = None) -> DataFrame:
     """Every annotated paper, isolated ones too, with its adoption and degrees."""
-    first, last = year_bounds(annotated, "PYEAR")
+    first, last = bounds or year_bounds(annotated, "PYEAR")
     end, y = (last or 0) - w, F.col("PYEAR")
     counts = annotated.groupBy("PMID", "PYEAR").agg(F.count("*").alias("n_triples"), *[F.count_if(F.col("edge_annotation") == c).alias(f"n_{k}") for c, k in zip(NEW, KINDS, strict=False)], F.count_if(F.col("edge_annotation").isin(*NEW)).alias("n_new_triples"))
     adopted = [f"n_{k}_adopted" for k in KINDS[:3]] + ["n_new_triples_adopted", "has_new_triples_adopted"]

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.ids import share, valid_cui
-from ..functions.windows import seen_before, union_sizes, year_bounds
 
 S, P, O = "subject_cui_primary", "PREDICATE", "object_cui_primary"  # noqa: E741
 
@@ -51,69 +50,82 @@ def predicate_year_profile(prepared: DataFrame) -> DataFrame:
     return out.join(overall, P).crossJoin(total).withColumn("share_of_all_pmid_unique_triples", share(n, F.col("t"))).drop("t")  # one row
 
 
-def _by_year(prepared: DataFrame, key: str) -> tuple[DataFrame, list[str]]:
-    y = F.col("PYEAR").cast("int").alias("y")
-    if key == "cui_primary":
-        return prepared.select(F.explode(F.array(S, O)).alias("k"), y), ["k"]
-    if key == "pair_connection":
-        return prepared.select(F.least(S, O).alias("k1"), F.greatest(S, O).alias("k2"), y), ["k1", "k2"]
-    return prepared.select(F.col(S).alias("k1"), F.col(P).alias("k2"), F.col(O).alias("k3"), y), ["k1", "k2", "k3"]
+OVERLAPS = {"cui_primary": (1, 3, 5), "pair_connection": (5,), "exact_triple": (5,)}
+
+
+def _overlaps(prepared: DataFrame, kinds: tuple[str, ...], windows: tuple[int, ...]) -> DataFrame:
+    """``y, kind, size, o1, u1, ...``: how many keys a year has, how many of them
+    the ``w`` years before have (``o``), and how many those years have (``u``).
+
+    The years of each key meet once for all kinds and windows.  A year of a key
+    counts for the years after it, up to the key's next year or the largest
+    window, so each key counts once in a union.
+    """
+    none = F.lit(None).cast("string")
+    key = lambda kind, *k: F.struct(F.lit(kind).alias("kind"), *[x.alias(f"k{i}") for i, x in enumerate((*k, none, none)[:3])])
+    keys = {
+        "cui_primary": [key("cui_primary", F.col(S)), key("cui_primary", F.col(O))],
+        "pair_connection": [key("pair_connection", F.least(S, O), F.greatest(S, O))], "exact_triple": [key("exact_triple", F.col(S), F.col(P), F.col(O))],
+    }
+    most = max(windows)
+    of_key = prepared.select(F.explode(F.array(*[x for k in kinds for x in keys[k]])).alias("k"), F.col("PYEAR").cast("int").alias("y")).groupBy("k").agg(F.array_sort(F.collect_set("y")).alias("ys"))
+    at = lambda i: F.get("ys", i)
+    own = F.transform("ys", lambda y, i: F.struct(y.alias("y"), F.lit(True).alias("own"), (y - F.when(i > 0, at(i - 1))).alias("gap")))
+    until = lambda y, i: F.least(y + most, F.coalesce(at(i + 1), y + most))
+    later = F.flatten(F.transform("ys", lambda y, i: F.transform(F.sequence(y + 1, until(y, i)), lambda z: F.struct(z.alias("y"), F.lit(False).alias("own"), (z - y).alias("gap")))))
+    seen = of_key.select("k.kind", F.explode(F.concat(own, later)).alias("e")).select("kind", "e.*")
+    return seen.groupBy("y", "kind").agg(F.count_if("own").alias("size"), *[F.count_if((F.col("own") == mine) & (F.col("gap") <= w)).alias(f"{n}{w}") for w in windows for n, mine in (("o", True), ("u", False))]).filter("size > 0 or kind = 'cui_primary'")
 
 
 def prior_overlap(prepared: DataFrame) -> DataFrame:
     """For each year and prior windows of 1, 3 and 5 years: size of the union, overlap, share, new; pairs and triples for 5."""
-    first, last = year_bounds(prepared.select(F.col("PYEAR").cast("int").alias("y")), "y")
-    out = prepared.select(F.col("PYEAR").cast("int").alias("y")).distinct()
-    known = [r["y"] for r in out.collect()]  # a row for each year
-    full: dict[str, Column] = {}
-    for key, windows in (("cui_primary", (1, 3, 5)), ("pair_connection", (5,)), ("exact_triple", (5,))):
-        rows, keys = _by_year(prepared, key)
-        for w in windows:
-            n, o, s = f"n_prior_{w}y_{key}", f"n_overlap_prior_{w}y_{key}", f"share_focal_{key.removesuffix('_primary')}_seen_prior_{w}y"
-            seen = seen_before(rows, keys, "y", w).groupBy("y").agg(F.count_if("seen").alias(o), F.count("*").alias("__f"))
-            out = out.join(seen, "y", "left").join(union_sizes(rows, keys, "y", w, n), "y", "left").withColumns({n: F.coalesce(n, F.lit(0)), s: share(F.col(o), F.col("__f"))})
-            if key == "cui_primary":
-                out = out.withColumn(f"n_new_cui_vs_prior_{w}y", F.col("__f") - F.col(o))
-                full[f"has_full_prior_{w}y_window"] = F.size(F.array_intersect(F.sequence(F.col("y") - w, F.col("y") - 1), F.array(*map(F.lit, known)))) == w
-            out = out.drop("__f")
-    return out.withColumns(full).withColumnRenamed("y", "PYEAR")
+    per = _overlaps(prepared, tuple(OVERLAPS), (1, 3, 5))
+    cell = lambda kind, c: F.coalesce(F.max(F.when(F.col("kind") == kind, F.col(c))), F.lit(0))
+    flat = per.groupBy("y").agg(*[cell(k, c).alias(f"{c}_{k}") for k, ws in OVERLAPS.items() for c in ("size", *[f"{n}{w}" for w in ws for n in "ou"])]).filter("size_cui_primary > 0")
+    out = flat.crossJoin(flat.agg(F.collect_set("y").alias("known")))  # one row
+    cols = [F.col("y").alias("PYEAR")]
+    for k, ws in OVERLAPS.items():
+        for w in ws:
+            size, o, u = F.col(f"size_{k}"), F.col(f"o{w}_{k}"), F.col(f"u{w}_{k}")
+            cols += [u.alias(f"n_prior_{w}y_{k}"), o.alias(f"n_overlap_prior_{w}y_{k}"), share(o, size).alias(f"share_focal_{k.removesuffix('_primary')}_seen_prior_{w}y")]
+            if k == "cui_primary":
+                cols += [(size - o).alias(f"n_new_cui_vs_prior_{w}y"), (F.size(F.array_intersect(F.sequence(F.col("y") - w, F.col("y") - 1), "known")) == w).alias(f"has_full_prior_{w}y_window")]
+    return out.select(*cols)
 
 
 def prior_jaccard(prepared: DataFrame) -> DataFrame:
     """Jaccard similarity of each year's concepts with the union of the 1, 3 and 5 years before."""
-    rows, keys = _by_year(prepared, "cui_primary")
-    out = rows.groupBy("y").agg(F.count_distinct("k").alias("n_concepts"))
-    for w in (1, 3, 5):
-        seen = seen_before(rows, keys, "y", w).groupBy("y").agg(F.count_if("seen").alias("o"))
-        out = out.join(seen, "y").join(union_sizes(rows, keys, "y", w, "u"), "y", "left")
-        out = out.withColumn(f"jaccard_prior_{w}y", share(F.col("o"), F.nullif(F.col("n_concepts") + F.coalesce("u", F.lit(0)) - F.col("o"), F.lit(0)))).drop("o", "u")
-    return out.withColumnRenamed("y", "PYEAR")
-
-
-def _modal(rows: DataFrame, value: str) -> tuple[DataFrame, DataFrame]:
-    """The most frequent value of each concept (ties: least), and the sorted list of all."""
-    counted = rows.filter(F.col(value).isNotNull()).groupBy("concept", value).agg(F.count("*").alias("n"))
-    mode = counted.groupBy("concept").agg(F.min_by(value, F.struct((-F.col("n")).alias("m"), F.col(value).alias("v"))).alias(f"primary_{value}"))
-    lists = counted.groupBy("concept").agg(F.count("*").alias(f"n_distinct_primary_{value}"), F.array_join(F.array_sort(F.collect_list(value)), "|").alias(f"all_primary_{value}s"))
-    return mode, lists
+    per = _overlaps(prepared, ("cui_primary",), (1, 3, 5)).filter("size > 0")
+    return per.select(F.col("y").alias("PYEAR"), F.col("size").alias("n_concepts"), *[share(F.col(f"o{w}"), F.nullif(F.col("size") + F.col(f"u{w}") - F.col(f"o{w}"), F.lit(0))).alias(f"jaccard_prior_{w}y") for w in (1, 3, 5)])
 
 
 def concept_profile(prepared: DataFrame) -> DataFrame:
-    """26 columns for each concept."""
+    """26 columns for each concept of prepared triples, of which a paper has each once.
+
+    Rows are counted by concept, kind of value and value first; a distinct
+    count is then a count of those rows.
+    """
     rows = long_concepts(prepared)
-    sub, obj, y = F.col("role") == "subject", F.col("role") == "object", F.col("PYEAR").cast("int")
-    key = F.struct("PMID", S, P, O)
-    other = F.when(F.col("neighbour") != F.col("concept"), F.col("neighbour"))
-    d = lambda cond, c: F.count_distinct(F.when(cond, c))
-    out = rows.groupBy("concept").agg(
-        F.count_distinct(key).alias("n_pmid_unique_triples"), F.count_distinct("PMID").alias("n_unique_pmid"), F.count_distinct("PYEAR").alias("n_unique_pyear"), F.min(y).alias("first_seen_pyear"), F.max(y).alias("last_seen_pyear"),
-        F.count_distinct(y).alias("n_active_pyear"), F.count_distinct(P).alias("n_unique_predicate"), F.count_if(sub).alias("n_subject_triples"), F.count_if(obj).alias("n_object_triples"),
-        d(sub, F.col("PMID")).alias("n_unique_pmid_as_subject"), d(obj, F.col("PMID")).alias("n_unique_pmid_as_object"), d(sub, F.col(P)).alias("n_unique_predicate_as_subject"), d(obj, F.col(P)).alias("n_unique_predicate_as_object"),
-        F.count_distinct(other).alias("n_unique_neighbor_cui"), d(sub, other).alias("n_unique_out_neighbor_cui"), d(obj, other).alias("n_unique_in_neighbor_cui"),
+    sub = F.col("role") == "subject"
+    other = F.col("neighbour") != F.col("concept")
+    values = {"row": F.lit(""), "pmid": F.col("PMID"), "pyear": F.col("PYEAR"), "predicate": F.col(P), "neighbour": F.when(other, F.col("neighbour")), "name": F.col("name"), "semtype": F.col("semtype")}
+    cells = F.filter(F.array(*[F.struct(F.lit(k).alias("kind"), v.alias("value")) for k, v in values.items()]), lambda x: x["value"].isNotNull())
+    # a triple of a concept with itself has two rows: its second isn't a triple more
+    counted = rows.select("concept", sub.alias("sub"), (sub | other).alias("first"), F.explode(cells).alias("x")).groupBy("concept", "x.kind", "x.value").agg(F.count_if("sub").alias("ns"), F.count_if(~F.col("sub")).alias("no"), F.count_if("first").alias("n1"))
+    kind, value, n = F.col("kind"), F.col("value"), F.col("ns") + F.col("no")
+    of = lambda k, cond=None: F.count_if((kind == k) if cond is None else (kind == k) & (F.col(cond) > 0))
+    total = lambda c: F.coalesce(F.sum(F.when(kind == "row", F.col(c))), F.lit(0))
+    year = F.when(kind == "pyear", value).cast("int")
+    modal = lambda k: F.min_by(value, F.when(kind == k, F.struct((-n).alias("m"), value.alias("v"))))
+    texts = [x for k in ("name", "semtype") for x in (modal(k).alias(f"primary_{k}"), F.nullif(of(k), F.lit(0)).alias(f"n_distinct_primary_{k}"), F.array_sort(F.collect_list(F.when(kind == k, value))).alias(f"__{k}s"))]
+    out = counted.groupBy("concept").agg(
+        total("n1").alias("n_pmid_unique_triples"), of("pmid").alias("n_unique_pmid"), of("pyear").alias("n_unique_pyear"), F.min(year).alias("first_seen_pyear"), F.max(year).alias("last_seen_pyear"),
+        F.count_distinct(year).alias("n_active_pyear"), of("predicate").alias("n_unique_predicate"), total("ns").alias("n_subject_triples"), total("no").alias("n_object_triples"),
+        of("pmid", "ns").alias("n_unique_pmid_as_subject"), of("pmid", "no").alias("n_unique_pmid_as_object"), of("predicate", "ns").alias("n_unique_predicate_as_subject"), of("predicate", "no").alias("n_unique_predicate_as_object"),
+        of("neighbour").alias("n_unique_neighbor_cui"), of("neighbour", "ns").alias("n_unique_out_neighbor_cui"), of("neighbour", "no").alias("n_unique_in_neighbor_cui"), *texts,
     )
-    for part in (*_modal(rows, "name"), *_modal(rows, "semtype")):
-        out = out.join(part, "concept", "left")
     both = F.col("n_subject_triples") + F.col("n_object_triples")
+    out = out.withColumns({f"all_primary_{k}s": F.when(F.size(f"__{k}s") > 0, F.array_join(f"__{k}s", "|")) for k in ("name", "semtype")}).drop("__names", "__semtypes")
     return out.withColumns({"active_year_span": F.col("last_seen_pyear") - F.col("first_seen_pyear") + 1, "share_as_subject": share(F.col("n_subject_triples"), both), "share_as_object": share(F.col("n_object_triples"), both)}).withColumnRenamed("concept", "primary_cui")
 
 

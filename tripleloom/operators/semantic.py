@@ -21,7 +21,7 @@ def concept_text(profile: DataFrame) -> DataFrame:
     named = F.col("primary_name").isNotNull() & (F.trim("primary_name") != "")
     return profile.select(
         "primary_cui", F.when(named, F.col("primary_name")).otherwise(F.col("primary_cui")).alias("label"), F.when(named, "modal_name").otherwise("concept_id").alias("label_source"),
-        "primary_semtype", "n_distinct_primary_name", "n_pmid_unique_triples", "n_unique_pmid", "first_seen_pyear", "last_seen_pyear",
+        "primary_name", "primary_semtype", "n_distinct_primary_name", "all_primary_names", "n_distinct_primary_semtype", "all_primary_semtypes", "n_pmid_unique_triples", "n_unique_pmid", "first_seen_pyear", "last_seen_pyear",
     )
 
 
@@ -61,9 +61,9 @@ def norm(v: Column) -> Column:
 
 
 def cosine(a: Column, b: Column) -> Column:
-    """Null if a side is missing or all zeros; rounded to six decimals."""
+    """Null if a side is missing or all zeros."""
     dot = F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    return F.round(F.try_divide(dot, norm(a) * norm(b)), 6)
+    return F.try_divide(dot, norm(a) * norm(b))
 
 
 def embedding_norms(vectors: DataFrame) -> DataFrame:
@@ -73,12 +73,12 @@ def embedding_norms(vectors: DataFrame) -> DataFrame:
 
 
 def new_combination_proximity(annotated: DataFrame, vectors: DataFrame) -> DataFrame:
-    """New_Combination rows with the cosine of their concepts' vectors, each pair scored once."""
+    """New_Combination rows with the cosine of their concepts' vectors (six decimals), each pair scored once."""
     rows = annotated.filter(F.col("edge_annotation") == NEW[1]).select("PMID", "PYEAR", "s", "p", "o", "node_a", "node_b")
     pairs = rows.select("node_a", "node_b").distinct()
     for side in ("a", "b"):
         pairs = pairs.join(vectors.select(F.col("concept").alias(f"node_{side}"), F.col("vector").alias(f"v_{side}")), f"node_{side}", "left")
-    scored = pairs.select("node_a", "node_b", F.col("v_a").isNotNull().alias("has_vector_a"), F.col("v_b").isNotNull().alias("has_vector_b"), cosine(F.col("v_a"), F.col("v_b")).alias("proximity"))
+    scored = pairs.select("node_a", "node_b", F.col("v_a").isNotNull().alias("has_vector_a"), F.col("v_b").isNotNull().alias("has_vector_b"), F.round(cosine(F.col("v_a"), F.col("v_b")), 6).alias("proximity"))
     return rows.join(scored, ["node_a", "node_b"])
 
 
@@ -127,10 +127,10 @@ def new_relation_proximity(triples: DataFrame, annotated: DataFrame, labels: Dat
     met = near.join(full.withColumnRenamed("vector", "v"), ["s", "p", "o"]).join(full.withColumnsRenamed({"p": "prior_p", "vector": "pv"}), ["s", "prior_p", "o"])
     met = met.withColumns({"t": phrase("p"), "pt": phrase("prior_p")}).join(words.withColumnsRenamed({"text": "t", "vector": "wv"}), "t").join(words.withColumnsRenamed({"text": "pt", "vector": "wpv"}), "pt")
     scored = met.select("PYEAR", "s", "p", "o", "prior_p", cosine(F.col("v"), F.col("pv")).alias("full"), cosine(F.col("wv"), F.col("wpv")).alias("phrase"))
-    best = lambda c: F.min_by("prior_p", F.struct((-F.col(c)).alias("c"), F.col("prior_p").alias("p")))
+    best = lambda c: F.min_by("prior_p", F.struct((-F.round(c, 6)).alias("c"), F.col("prior_p").alias("p")))
     per = scored.groupBy("PYEAR", "s", "p", "o").agg(
         F.count("*").alias("n_prior_triples"), F.count_distinct("prior_p").alias("n_prior_predicates"),
-        *[f(c).alias(f"{n}_{c}_similarity") for c in ("full", "phrase") for n, f in (("max", F.max), ("mean", lambda x: F.round(F.avg(x), 6)), ("min", F.min))],
+        *[F.round(f(c), 6).alias(f"{n}_{c}_similarity") for c in ("full", "phrase") for n, f in (("max", F.max), ("mean", F.avg), ("min", F.min))],
         best("full").alias("closest_predicate_full"), best("phrase").alias("closest_predicate_phrase"),
     )
     rows = annotated.filter(F.col("edge_annotation") == NEW[2]).select("PMID", "PYEAR", "s", "p", "o")

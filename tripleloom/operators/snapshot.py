@@ -5,13 +5,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-LOCATION = "struct<source:struct<id:string>,landing_page_url:string,is_oa:boolean>"
+LOCATION = "struct<source:struct<id:string>,landing_page_url:string,pdf_url:string,is_oa:boolean,version:string,license:string>"
 #: The columns that the flattening reads, as a schema for the reader.
 WORK_SCHEMA = (
-    f"id string, doi string, title string, publication_year int, updated_date string, ids struct<pmid:string,doi:string>, primary_location {LOCATION}, best_oa_location {LOCATION}, locations array<{LOCATION}>, "
-    "authorships array<struct<author_position:string,author:struct<id:string>,institutions:array<struct<id:string>>>>, topics array<struct<id:string,score:double>>, concepts array<struct<id:string,score:double>>, "
-    "mesh array<struct<descriptor_ui:string,is_major_topic:boolean>>, open_access struct<is_oa:boolean,oa_status:string>, biblio struct<volume:string,issue:string>, referenced_works array<string>, related_works array<string>"
+    f"id string, doi string, title string, display_name string, publication_year int, publication_date string, type string, cited_by_count bigint, is_retracted boolean, is_paratext boolean, language string, abstract_inverted_index map<string,array<int>>, "
+    f"ids struct<openalex:string,doi:string,mag:string,pmid:string>, primary_location {LOCATION}, best_oa_location {LOCATION}, locations array<{LOCATION}>, "
+    "authorships array<struct<author_position:string,author:struct<id:string>,institutions:array<struct<id:string>>>>, topics array<struct<id:string,score:double>>, concepts array<struct<id:string,score:double>>, mesh array<struct<descriptor_ui:string,is_major_topic:boolean>>, "
+    "open_access struct<is_oa:boolean,oa_status:string,oa_url:string>, biblio struct<volume:string,issue:string,first_page:string,last_page:string>, referenced_works array<string>, related_works array<string>"
 )
+WORK_COLUMNS = ("id", "doi", "title", "display_name", "publication_year", "publication_date", "type", "cited_by_count", "is_retracted", "is_paratext", "language")
+
+
+def flatten_works(works: DataFrame) -> DataFrame:
+    """A row for each work with an id: its plain fields, the inverted abstract as JSON text."""
+    return works.filter("id is not null").select(*WORK_COLUMNS, F.to_json("abstract_inverted_index").alias("abstract_inverted_index"))
+
+
+def flatten_publication_years(works: DataFrame) -> DataFrame:
+    return works.filter("id is not null and publication_year is not null").select(F.col("id").alias("work_id"), "publication_year")
+
+
+def flatten_record(works: DataFrame, field: str) -> DataFrame:
+    """The fields of a nested record (``ids``, ``open_access``, ``biblio``), a row for each work that has one."""
+    return works.filter(F.col("id").isNotNull() & F.col(field).isNotNull()).select(F.col("id").alias("work_id"), f"{field}.*")
 
 
 def flatten_authorships(works: DataFrame) -> DataFrame:
@@ -32,7 +48,7 @@ def flatten_locations(works: DataFrame) -> DataFrame:
         F.array(F.struct(F.lit("primary").alias("kind"), F.col("primary_location").alias("l")), F.struct(F.lit("best_oa").alias("kind"), F.col("best_oa_location").alias("l"))),
         F.transform(F.coalesce("locations", F.array().cast(f"array<{LOCATION}>")), lambda x: F.struct(F.lit("any").alias("kind"), x.alias("l"))),
     )
-    return works.select(F.col("id").alias("work_id"), F.explode(every).alias("x")).filter(F.col("x.l.source.id").isNotNull()).select("work_id", "x.kind", F.col("x.l.source.id").alias("source_id"), F.col("x.l.is_oa").alias("is_oa"))
+    return works.select(F.col("id").alias("work_id"), F.explode(every).alias("x")).filter(F.col("x.l.source.id").isNotNull()).select("work_id", "x.kind", F.col("x.l.source.id").alias("source_id"), *[F.col(f"x.l.{c}").alias(c) for c in ("landing_page_url", "pdf_url", "is_oa", "version", "license")])
 
 
 def flatten_work_terms(works: DataFrame) -> DataFrame:
@@ -44,7 +60,25 @@ def flatten_work_terms(works: DataFrame) -> DataFrame:
 
 def latest_entities(entities: DataFrame) -> DataFrame:
     """One record for each id: the one updated last (ties: the largest of the rest)."""
-    return entities.filter("id is not null").groupBy("kind", "id").agg(F.max_by(F.struct("ids_json", "counts_by_year", "updated_date"), F.struct("updated_date", "ids_json")).alias("x")).select("kind", "id", "x.*")
+    rest = [c for c in entities.columns if c not in ("kind", "id")]
+    return entities.filter("id is not null").groupBy("kind", "id").agg(F.max_by(F.struct(*rest), F.struct("updated_date", "ids_json")).alias("x")).select("kind", "id", "x.*")
+
+
+def flatten_entities(entities: DataFrame) -> DataFrame:
+    """The plain fields of each record; lists as JSON text."""
+    return latest_entities(entities).select("kind", "id", "display_name", F.to_json("alternatives").alias("alternatives"), "works_count", "cited_by_count", "updated_date")
+
+
+def flatten_entity_geo(entities: DataFrame) -> DataFrame:
+    """``kind, id`` and the place of each record that has one."""
+    return latest_entities(entities).filter("geo is not null").select("kind", "id", "geo.*")
+
+
+def flatten_entity_links(entities: DataFrame, field: str) -> DataFrame:
+    """``kind, id, other_id`` and the rest of a list of records (``associated``, ``ancestors``, ``related``); entries without an id are left out."""
+    inner = entities.schema[field].dataType.elementType.fieldNames()
+    rows = latest_entities(entities).select("kind", "id", F.explode(field).alias("x")).filter("x.id is not null")
+    return rows.select("kind", "id", F.col("x.id").alias("other_id"), *[F.col(f"x.{c}").alias(c) for c in inner if c != "id"])
 
 
 def flatten_entity_counts(entities: DataFrame) -> DataFrame:

@@ -31,10 +31,22 @@ def _missing(c: str) -> str:
     return f"({c} IS NULL OR trim({c}) = '')"
 
 
-PMID = r"CASE WHEN regexp_matches(regexp_extract(trim({0}), '^(?:https?://(?:www[.])?ncbi[.]nlm[.]nih[.]gov/pubmed/|https?://pubmed[.]ncbi[.]nlm[.]nih[.]gov/)?([0-9]+)/?$', 1), '[1-9]') THEN ltrim(regexp_extract(trim({0}), '^(?:https?://(?:www[.])?ncbi[.]nlm[.]nih[.]gov/pubmed/|https?://pubmed[.]ncbi[.]nlm[.]nih[.]gov/)?([0-9]+)/?$', 1), '0') END"
-WORK = "nullif(regexp_extract(trim({0}), '^(?:https?://openalex[.]org/)?(W[0-9]+)/?$', 1), '')"
-YEAR = "CASE WHEN regexp_full_match(trim(({0})::VARCHAR), '[12][0-9]{{3}}') THEN trim(({0})::VARCHAR)::INT END"
-DOI = "nullif(lower(regexp_replace(trim({0}), '^https?://(?:dx[.])?doi[.]org/', '', 'i')), '')"
+def _behind(text: str, hosts: tuple[str, ...]) -> str:
+    """The text behind an address it starts with."""
+    starts = [f"{scheme}://{host}" for scheme in ("http", "https") for host in hosts]
+    return "CASE " + " ".join(f"WHEN starts_with({text}, '{x}') THEN substr({text}, {len(x) + 1})" for x in starts) + f" ELSE {text} END"
+
+
+def _digits(text: str) -> str:
+    return f"({text} <> '' AND translate({text}, '0123456789', '') = '')"
+
+
+_BARE = "(CASE WHEN ends_with(trim(({0})::VARCHAR), '/') THEN left(trim(({0})::VARCHAR), -1) ELSE trim(({0})::VARCHAR) END)"
+_P, _W = (f"({_behind(_BARE, hosts)})" for hosts in (("www.ncbi.nlm.nih.gov/pubmed/", "ncbi.nlm.nih.gov/pubmed/", "pubmed.ncbi.nlm.nih.gov/"), ("openalex.org/",)))
+PMID = f"CASE WHEN {_digits(_P)} THEN nullif(ltrim({_P}, '0'), '') END"
+WORK = f"CASE WHEN left({_W}, 1) = 'W' AND {_digits(f'substr({_W}, 2)')} THEN {_W} END"
+YEAR = "CASE WHEN length(trim(({0})::VARCHAR)) = 4 AND translate(trim(({0})::VARCHAR), '0123456789', '') = '' AND left(trim(({0})::VARCHAR), 1) IN ('1', '2') THEN trim(({0})::VARCHAR)::INT END"
+DOI = f"nullif({_behind('lower(trim({0}))', ('doi.org/', 'dx.doi.org/'))}, '')"
 KEYS = "PMID, subject_cui_primary, PREDICATE, object_cui_primary"
 PREPARED = "PREDICATION_ID, SENTENCE_ID, PMID, PYEAR, PREDICATE, SUBJECT_CUI, SUBJECT_NAME, SUBJECT_SEMTYPE, SUBJECT_NOVELTY, subject_cui_primary, subject_name_primary, OBJECT_CUI, OBJECT_NAME, OBJECT_SEMTYPE, OBJECT_NOVELTY, object_cui_primary, object_name_primary"
 COUNTS = "count(*)::BIGINT AS n_triples, " + ", ".join(_n(f"edge_annotation = '{c}'", f"n_{k}") for c, k in zip(CATS, KINDS, strict=True)) + ", " + _n("edge_annotation <> 'Repeated_Triple'", "n_new_triples")
@@ -114,7 +126,7 @@ def _norm(v: str) -> str:
 
 
 def _cos(a: str, b: str) -> str:
-    return f"round(list_sum(list_transform(range(1, len({a}) + 1), lambda i: {a}[i]::DOUBLE * {b}[i]::DOUBLE)) / nullif({_norm(a)} * {_norm(b)}, 0), 6)"
+    return f"list_sum(list_transform(range(1, len({a}) + 1), lambda i: {a}[i]::DOUBLE * {b}[i]::DOUBLE)) / nullif({_norm(a)} * {_norm(b)}, 0)"
 
 
 def _profile_sql(table: str, score: str, keys: str) -> str:
@@ -202,18 +214,18 @@ CTES: dict[str, str] = {
     + ", ".join(f"count(*) FILTER (WHERE role = '{r}')::BIGINT AS n_{r}_triples, (count(*) FILTER (WHERE role = '{r}'))::DOUBLE / count(*) AS share_as_{r}, count(DISTINCT PMID) FILTER (WHERE role = '{r}')::BIGINT AS n_unique_pmid_as_{r}, count(DISTINCT PREDICATE) FILTER (WHERE role = '{r}')::BIGINT AS n_unique_predicate_as_{r}, count(DISTINCT neighbour) FILTER (WHERE role = '{r}' AND neighbour <> concept)::BIGINT AS n_unique_{x}_neighbor_cui" for r, x in (("subject", "out"), ("object", "in")))
     + ", count(DISTINCT neighbour) FILTER (WHERE neighbour <> concept)::BIGINT AS n_unique_neighbor_cui, any_value(mn.name) AS primary_name, any_value(mn.n)::BIGINT AS n_distinct_primary_name, any_value(mn.l) AS all_primary_names, any_value(ms.semtype) AS primary_semtype, any_value(ms.n)::BIGINT AS n_distinct_primary_semtype, any_value(ms.l) AS all_primary_semtypes FROM longc "
     + " ".join(f"LEFT JOIN (SELECT concept, arg_min({v}, (-c, {v})) AS {v}, count(*) AS n, string_agg({v}, '|' ORDER BY {v}) AS l FROM (SELECT concept, {v}, count(*) AS c FROM longc WHERE {v} IS NOT NULL GROUP BY 1, 2) GROUP BY 1) {a} USING (concept)" for v, a in (("name", "mn"), ("semtype", "ms"))) + " GROUP BY 1",
-    "lab": "SELECT primary_cui, CASE WHEN trim(coalesce(primary_name, '')) <> '' THEN primary_name ELSE primary_cui END AS label, CASE WHEN trim(coalesce(primary_name, '')) <> '' THEN 'modal_name' ELSE 'concept_id' END AS label_source, primary_semtype, n_distinct_primary_name, n_pmid_unique_triples, n_unique_pmid, first_seen_pyear, last_seen_pyear FROM cpf",
+    "lab": "SELECT primary_cui, CASE WHEN trim(coalesce(primary_name, '')) <> '' THEN primary_name ELSE primary_cui END AS label, CASE WHEN trim(coalesce(primary_name, '')) <> '' THEN 'modal_name' ELSE 'concept_id' END AS label_source, primary_name, primary_semtype, n_distinct_primary_name, all_primary_names, n_distinct_primary_semtype, all_primary_semtypes, n_pmid_unique_triples, n_unique_pmid, first_seen_pyear, last_seen_pyear FROM cpf",
     "vec": "SELECT 'C' || vec_id AS concept, embedding AS v FROM embeddings",
-    "prox": f"SELECT PMID, PYEAR, {LONG}, a AS node_a, b AS node_b, x.v IS NOT NULL AS has_vector_a, z.v IS NOT NULL AS has_vector_b, {_cos('x.v', 'z.v')} AS proximity FROM ann LEFT JOIN vec x ON x.concept = a LEFT JOIN vec z ON z.concept = b WHERE edge_annotation = 'New_Combination'",
+    "prox": f"SELECT PMID, PYEAR, {LONG}, a AS node_a, b AS node_b, x.v IS NOT NULL AS has_vector_a, z.v IS NOT NULL AS has_vector_b, round({_cos('x.v', 'z.v')}, 6) AS proximity FROM ann LEFT JOIN vec x ON x.concept = a LEFT JOIN vec z ON z.concept = b WHERE edge_annotation = 'New_Combination'",
     "proxs": f"SELECT * FROM ({_profile_sql('prox', 'proximity', 'PYEAR')}) JOIN (SELECT PYEAR, count(DISTINCT (node_a, node_b))::BIGINT AS n_pairs, {_n('NOT (has_vector_a AND has_vector_b)', 'n_missing_vector')} FROM prox GROUP BY 1) USING (PYEAR)",
     "prc": f"SELECT DISTINCT f.PYEAR, f.s, f.p, f.o, g.p AS prior_p FROM ann f JOIN ok g ON g.s = f.s AND g.o = f.o AND g.p <> f.p AND g.PYEAR BETWEEN f.PYEAR - {W} AND f.PYEAR - 1 WHERE f.edge_annotation = 'New_Relation'",
     "reltext": f"SELECT s, p, o, coalesce(x.label, s) || ' ' || {PHRASE.format('p')} || ' ' || coalesce(z.label, o) AS text FROM (SELECT DISTINCT s, p, o FROM trip) LEFT JOIN lab x ON x.primary_cui = s LEFT JOIN lab z ON z.primary_cui = o",
     "relvec": f"SELECT text, {_vector('text')} AS v FROM (SELECT DISTINCT text FROM reltext JOIN (SELECT s, p, o FROM prc UNION SELECT s, prior_p, o FROM prc) USING (s, p, o) UNION SELECT {PHRASE.format('p')} FROM (SELECT p FROM prc UNION SELECT prior_p FROM prc))",
     "relsim": f"SELECT c.PYEAR, c.s, c.p, c.o, c.prior_p, {_cos('fv.v', 'gv.v')} AS f, {_cos('pv.v', 'qv.v')} AS h FROM prc c JOIN reltext a ON a.s = c.s AND a.p = c.p AND a.o = c.o JOIN reltext b ON b.s = c.s AND b.p = c.prior_p AND b.o = c.o JOIN relvec fv ON fv.text = a.text JOIN relvec gv ON gv.text = b.text JOIN relvec pv ON pv.text = {PHRASE.format('c.p')} JOIN relvec qv ON qv.text = {PHRASE.format('c.prior_p')}",
-    "relprox": "SELECT a.PMID, a.PYEAR, a.s, a.p, a.o, coalesce(n, 0)::BIGINT AS n_prior_triples, np::BIGINT AS n_prior_predicates, x.* EXCLUDE (PYEAR, s, p, o, n, np) FROM (SELECT * FROM ann WHERE edge_annotation = 'New_Relation') a LEFT JOIN (SELECT PYEAR, s, p, o, count(*) AS n, count(DISTINCT prior_p) AS np, max(f) AS max_full_similarity, round(avg(f), 6) AS mean_full_similarity, min(f) AS min_full_similarity, max(h) AS max_phrase_similarity, round(avg(h), 6) AS mean_phrase_similarity, min(h) AS min_phrase_similarity, arg_min(prior_p, (-f, prior_p)) AS closest_predicate_full, arg_min(prior_p, (-h, prior_p)) AS closest_predicate_phrase FROM relsim GROUP BY 1, 2, 3, 4) x ON x.PYEAR = a.PYEAR AND x.s = a.s AND x.p = a.p AND x.o = a.o",
+    "relprox": "SELECT a.PMID, a.PYEAR, a.s, a.p, a.o, coalesce(n, 0)::BIGINT AS n_prior_triples, np::BIGINT AS n_prior_predicates, x.* EXCLUDE (PYEAR, s, p, o, n, np) FROM (SELECT * FROM ann WHERE edge_annotation = 'New_Relation') a LEFT JOIN (SELECT PYEAR, s, p, o, count(*) AS n, count(DISTINCT prior_p) AS np, round(max(f), 6) AS max_full_similarity, round(avg(f), 6) AS mean_full_similarity, round(min(f), 6) AS min_full_similarity, round(max(h), 6) AS max_phrase_similarity, round(avg(h), 6) AS mean_phrase_similarity, round(min(h), 6) AS min_phrase_similarity, arg_min(prior_p, (-round(f, 6), prior_p)) AS closest_predicate_full, arg_min(prior_p, (-round(h, 6), prior_p)) AS closest_predicate_phrase FROM relsim GROUP BY 1, 2, 3, 4) x ON x.PYEAR = a.PYEAR AND x.s = a.s AND x.p = a.p AND x.o = a.o",
     "cohort": f"SELECT DISTINCT {PMID.format('PMID')} AS PMID, PYEAR FROM trip",
     "maps": f"SELECT DISTINCT {PMID.format('pmid')} AS pmid, {WORK.format('work_id')} AS work_id FROM wid WHERE {PMID.format('pmid')} IS NOT NULL AND {WORK.format('work_id')} IS NOT NULL",
-    "agy": f"SELECT pmid, count(*)::BIGINT AS semmed_rows, string_agg(DISTINCT ISSN, '; ' ORDER BY ISSN) AS journal_issns, count(DISTINCT y)::BIGINT AS n_semmed_years, {_n('y IS NULL', 'invalid_semmed_year_rows')}, " + ", ".join(f"CASE WHEN count(DISTINCT {c}) = 1 AND count(*) FILTER (WHERE {c} IS NULL) = 0 THEN min({c}) END AS {n}" for c, n in (("y", "semmed_year"), ("dp", "dp_year"), ("ed", "edat_year"))) + f" FROM (SELECT {PMID.format('PMID')} AS pmid, ISSN, {YEAR.format('PYEAR')} AS y, {YEAR.format('regexp_extract(DP, ' + chr(39) + '^\\s*([0-9]{{4}})' + chr(39) + ', 1)').replace('{{4}}', '{4}')} AS dp, {YEAR.format('regexp_extract(EDAT, ' + chr(39) + '^\\s*([0-9]{{4}})' + chr(39) + ', 1)').replace('{{4}}', '{4}')} AS ed FROM cit) WHERE pmid IS NOT NULL GROUP BY 1",
+    "agy": f"SELECT pmid, count(*)::BIGINT AS semmed_rows, string_agg(DISTINCT ISSN, '; ' ORDER BY ISSN) AS journal_issns, count(DISTINCT y)::BIGINT AS n_semmed_years, {_n('y IS NULL', 'invalid_semmed_year_rows')}, " + ", ".join(f"CASE WHEN count(DISTINCT {c}) = 1 AND count(*) FILTER (WHERE {c} IS NULL) = 0 THEN min({c}) END AS {n}" for c, n in (("y", "semmed_year"), ("dp", "dp_year"), ("ed", "edat_year"))) + f" FROM (SELECT {PMID.format('PMID')} AS pmid, ISSN, {YEAR.format('PYEAR')} AS y, {YEAR.format('left(ltrim(DP), 4)')} AS dp, {YEAR.format('left(ltrim(EDAT), 4)')} AS ed FROM cit) WHERE pmid IS NOT NULL GROUP BY 1",
     "oay": f"SELECT work_id, count(*)::BIGINT AS openalex_rows, count(DISTINCT y)::BIGINT AS n_openalex_years, CASE WHEN count(DISTINCT y) = 1 AND count(*) FILTER (WHERE y IS NULL) = 0 THEN min(y) END AS openalex_year FROM (SELECT {WORK.format('work_id')} AS work_id, {YEAR.format('publication_year')} AS y FROM wyr) GROUP BY 1",
     "lnk": f"SELECT c.pmid, n_analysis_years, analysis_year, s.* EXCLUDE (pmid), m.work_id, n_pmids_for_work, o.* EXCLUDE (work_id), d.* EXCLUDE (work_id), openalex_year - semmed_year AS year_difference, CASE WHEN m.work_id IS NULL THEN 'unmatched' WHEN semmed_year IS NULL THEN 'semmed_year_unavailable' WHEN openalex_year IS NULL THEN 'openalex_year_unavailable' WHEN openalex_year = semmed_year THEN 'equal' ELSE 'different' END AS work_year_status FROM (SELECT PMID AS pmid, count(DISTINCT PYEAR)::BIGINT AS n_analysis_years, CASE WHEN count(DISTINCT PYEAR) = 1 THEN min(PYEAR) END AS analysis_year FROM cohort GROUP BY 1) c LEFT JOIN agy s USING (pmid) LEFT JOIN maps m USING (pmid) LEFT JOIN (SELECT work_id, count(*)::BIGINT AS n_pmids_for_work FROM maps GROUP BY 1) g ON g.work_id = m.work_id LEFT JOIN oay o ON o.work_id = m.work_id LEFT JOIN (SELECT {WORK.format('work_id')} AS work_id, count(DISTINCT {DOI.format('doi')})::BIGINT AS n_dois_for_work, CASE WHEN count(DISTINCT {DOI.format('doi')}) = 1 THEN min({DOI.format('doi')}) END AS doi FROM wid WHERE trim(coalesce(pmid, '')) <> '' GROUP BY 1) d ON d.work_id = m.work_id",
     "pap": f"SELECT *, CASE WHEN n_works = 0 THEN 'unmatched' WHEN n_works = 1 THEN 'single_work' ELSE 'multiple_works' END AS mapping_group, CASE WHEN n_works = 0 THEN 'unmatched' WHEN semmed_year IS NULL THEN 'semmed_year_unavailable' WHEN n_works_with_unavailable_year > 0 THEN 'incomplete_openalex_years' WHEN n_matching_works = n_works THEN 'all_match' WHEN n_matching_works > 0 THEN 'some_match' ELSE 'none_match' END AS year_status, semmed_year = analysis_year AS analysis_semmed_year_equal, semmed_year = dp_year AS semmed_pyear_dp_equal FROM (SELECT pmid, analysis_year, n_analysis_years, semmed_year, dp_year, edat_year, journal_issns, semmed_rows, n_semmed_years, invalid_semmed_year_rows, count(work_id)::BIGINT AS n_works, {_n('work_id IS NOT NULL AND openalex_year IS NOT NULL', 'n_works_with_usable_year')}, {_n('work_id IS NOT NULL AND openalex_year IS NULL', 'n_works_with_unavailable_year')}, {_n(chr(39).join(('work_year_status = ', 'equal', '')), 'n_matching_works')}, {_n(chr(39).join(('work_year_status = ', 'different', '')), 'n_different_year_works')}, count(DISTINCT openalex_year)::BIGINT AS n_distinct_usable_openalex_years, min(openalex_year) AS min_openalex_year, max(openalex_year) AS max_openalex_year, min(year_difference) AS min_year_difference, max(year_difference) AS max_year_difference, coalesce(bool_or(n_pmids_for_work > 1), false) AS has_work_shared_with_other_pmids, count(doi)::BIGINT AS n_works_with_usable_doi, count(DISTINCT doi)::BIGINT AS n_distinct_usable_dois, {_n('n_dois_for_work > 1', 'n_works_with_conflicting_dois')} FROM lnk GROUP BY ALL)",
@@ -233,6 +245,17 @@ CTES: dict[str, str] = {
 del CTES["ynk"], CTES["dia"]
 
 
+def _over_prepared() -> dict[str, str]:
+    """The annotation's relations once more, with a ``z`` before their names, over prepared triples."""
+    names = ("ok", "years", "nodes_k", "p_node", "p_pair", "p_trip", "p_dir", "flagged", "ann", "tr")
+    again = re.compile(rf"\b({'|'.join(('trip', *names))})\b")
+    wide = PREPARED.replace("PYEAR", "PYEAR::INT AS PYEAR")
+    return {"ztrip": f"SELECT {wide}, subject_cui_primary AS s, PREDICATE AS p, object_cui_primary AS o FROM prep"} | {f"z{n}": again.sub(r"z\1", CTES[n]) for n in names}
+
+
+CTES |= _over_prepared()
+
+
 def _parallel_sql(keys: str, extra: str = "") -> str:
     inner = (
         f"SELECT {keys}, sum(n_rows)::BIGINT AS n_rows, count(*)::BIGINT AS n_unique_exact_triples, {_n('n_pmids = 1', 'n_single_pmid_exact_triples')}, {_n('n_pmids > 1', 'n_multi_pmid_exact_triples')}, "
@@ -296,7 +319,6 @@ _DEVSEL = "edge_annotation, sn AS focal_subject_is_new_node, onew AS focal_objec
 _SUMS = lambda cols: ", ".join(f"sum({c})::BIGINT AS {c}" for c in cols)
 _PAD_COUNTS = ["n_triples", *[f"n_{k}" for k in KINDS], "n_new_triples", *[f"n_{k}" for k in ADOPTION_FLAGS]]
 _DSHARE = ("share_new_triples", "share_new_triples_adopted", "share_adopted_new_triples_in_all")
-_YEARS = "years0(PYEAR) AS (SELECT unnest(range(1996, 2003))::INT)"
 _STATES = ("Adopted", "Continued", "Disappeared")
 _CT = [(c, t) for c in CATS for t in (("Continued", "Disappeared") if c == CATS[3] else ("Adopted", "Disappeared"))]
 _FULLMAP = {"scope_sums": ("n_rows", "n_groups", "n_duplicate_groups", "n_rows_in_duplicate_groups", "n_excess_rows")}
@@ -304,6 +326,10 @@ _MODS = {"annotation": "pam", "pattern": "(SELECT * EXCLUDE (n_triples) FROM pat
 _KNOW = ["n_triples", *[f"n_{k}" for k in KINDS], "n_new_triples", *[f"share_{k}" for k in (*KINDS, "new_triples")]]
 _SHARED = [("annotation", "new_knowledge", _KNOW), ("annotation", "adoption", _KNOW[:6]), ("annotation", "development", ["n_new_node", "n_new_combination"]), ("annotation", "decomposition", ["n_triples", "n_new_triples", "share_new_triples"]), ("new_knowledge", "development", ["n_unique_new_combination_pairs"]), ("adoption", "decomposition", ["n_new_triples_adopted", "share_new_triples_adopted", "share_adopted_new_triples_in_all"])]
 
+_REFERENCES = "SELECT 'W' || l_orderkey AS work_id, 'referenced' AS kind, 'W' || l_partkey AS other_work_id FROM lrow UNION ALL SELECT 'W' || l_orderkey, 'related', 'W' || (l_orderkey + 1) FROM (SELECT DISTINCT l_orderkey FROM lrow) WHERE l_orderkey % 3 = 0"
+_WIDE = PREPARED
+_WORKS = "(SELECT DISTINCT l_orderkey AS k FROM lrow)"
+
 QUERIES: dict[str, str] = {
     "primary_component": "SELECT PREDICATION_ID, nullif(trim(split_part(SUBJECT_CUI, '|', 1)), '') AS subject_cui_primary, len(string_split(SUBJECT_CUI, '|'))::INT AS n_components FROM raw",
     "novelty_filter": "SELECT PREDICATION_ID, pass AS passes FROM all_keyed",
@@ -314,9 +340,13 @@ QUERIES: dict[str, str] = {
     "strict_year": f"SELECT work_id, publication_year, {YEAR.format('publication_year')} AS year FROM wyr",
     "country_code_norm": "SELECT institution_id, version, code FROM icode",
     "predicate_phrase": f"SELECT predicate, {PHRASE.format('predicate')} AS phrase FROM (SELECT DISTINCT concat_ws('_', PREDICATE, SUBJECT_SEMTYPE) AS predicate FROM raw)",
-    "date_year_parts": r"SELECT PMID, nullif(regexp_extract(DP, '^\s*([12][0-9]{3})', 1), '')::INT AS dp_year, nullif(regexp_extract(EDAT, '^\s*([12][0-9]{3})', 1), '')::INT AS edat_year FROM cit",
+    "date_year_parts": f"SELECT PMID, {YEAR.format('left(ltrim(DP), 4)')} AS dp_year, {YEAR.format('left(ltrim(EDAT), 4)')} AS edat_year FROM cit",
     "split_by_year_counts": "SELECT PYEAR, count(*)::BIGINT AS n_rows, count(DISTINCT PMID)::BIGINT AS n_pmids FROM prep GROUP BY 1",
-    "shard_manifest": "SELECT bucket, shard, count(*)::BIGINT AS n_rows, min(work) AS first_key, max(work) AS last_key FROM (SELECT work, work % 64 AS bucket, ceil(row_number() OVER (PARTITION BY work % 64 ORDER BY work, r) / 500.0)::BIGINT AS shard FROM (SELECT substr(work_id, 2)::BIGINT AS work, referenced_work_id AS r FROM refs)) GROUP BY 1, 2",
+    "shard_manifest": "SELECT shard, count(*)::BIGINT AS n_rows, min(work) AS first_key, max(work) AS last_key FROM (SELECT work, ceil(row_number() OVER (ORDER BY work, r) / 500.0)::BIGINT AS shard FROM (SELECT substr(work_id, 2)::BIGINT AS work, referenced_work_id AS r FROM refs)) GROUP BY 1",
+    "read_years": "SELECT PYEAR, count(*)::BIGINT AS n_rows, count(DISTINCT PMID)::BIGINT AS n_pmids FROM prep WHERE PYEAR BETWEEN '1997' AND '1999' GROUP BY 1",
+    "read_snapshot": _REFERENCES,
+    "edge_annotation_prepared": f"SELECT {_WIDE}, a AS node_a, b AS node_b, {_PRE}, has_new_node, edge_annotation FROM zann JOIN ztrip USING (PMID, PYEAR, s, p, o)",
+    "edge_transition_prepared": f"SELECT {_WIDE}, a AS node_a, b AS node_b, {_PRE}, has_new_node, edge_annotation, seen AS future_exact_triple_seen, state AS future_five_year_transition, edge_annotation || ' -> ' || state AS edge_annotation_to_future_transition FROM ztr JOIN ztrip USING (PMID, PYEAR, s, p, o)",
     "publish_gate": "SELECT *, n_violations = 0 AS may_publish FROM (" + _rules("pam", {"no triples": "n_triples <= 0", "more new than all": "n_new_triples > n_triples"}) + ")",
     "filter_linked_rows": "SELECT * FROM wid WHERE pmid <> 'none'",
     "relation_text": f"SELECT {LONG}, text FROM reltext",
@@ -362,7 +392,7 @@ QUERIES: dict[str, str] = {
     "paper_pattern": "SELECT * EXCLUDE (n_triples) FROM pat",
     "pattern_summary": "SELECT y.PYEAR, l.l AS knowledge_type_pattern, coalesce(n, 0)::BIGINT AS n_pmids, coalesce(n, 0)::DOUBLE / t AS share_pmids, mean_n_triples, median_n_triples FROM (SELECT PYEAR, count(*) AS t FROM pat GROUP BY 1) y CROSS JOIN (VALUES ('Repeated_Only'), ('N'), ('C'), ('R'), ('N+C'), ('N+R'), ('C+R'), ('N+C+R')) l(l) LEFT JOIN (SELECT PYEAR, knowledge_type_pattern AS l, count(*) AS n, avg(n_triples) AS mean_n_triples, median(n_triples)::DOUBLE AS median_n_triples FROM pat GROUP BY 1, 2) c ON c.PYEAR = y.PYEAR AND c.l = l.l",
     "paper_new_knowledge": "SELECT * FROM pnk",
-    "year_new_knowledge": "SELECT z.PYEAR, " + ", ".join(f"coalesce({c}, 0)::BIGINT AS {c}" for c in ("n_unique_concepts", "n_unique_new_concepts", "n_unique_concept_pairs", "n_unique_new_combination_pairs", *_KNOW[:6])) + f", {_share('n_unique_new_concepts', 'n_unique_concepts', 'share_unique_new_concepts')}, {_share('n_unique_new_combination_pairs', 'n_unique_concept_pairs', 'share_unique_new_combination_pairs')}, {SHARES} FROM (SELECT unnest(range(1996, 2003))::INT AS PYEAR) z LEFT JOIN ynk0 USING (PYEAR)",
+    "year_new_knowledge": "SELECT z.PYEAR, " + ", ".join(f"coalesce({c}, 0)::BIGINT AS {c}" for c in ("n_unique_concepts", "n_unique_new_concepts", "n_unique_concept_pairs", "n_unique_new_combination_pairs", *_KNOW[:6])) + f", {_share('n_unique_new_concepts', 'n_unique_concepts', 'share_unique_new_concepts')}, {_share('n_unique_new_combination_pairs', 'n_unique_concept_pairs', 'share_unique_new_combination_pairs')}, {SHARES} FROM (SELECT unnest(range((SELECT min(PYEAR) FROM trip), (SELECT max(PYEAR) + 1 FROM trip)))::INT AS PYEAR) z LEFT JOIN ynk0 USING (PYEAR)",
     "paper_adoption_metrics": "SELECT * FROM pad",
     "adoption_summary": f"SELECT PYEAR, sum(n_triples)::BIGINT AS n_input_triples, count(*)::BIGINT AS n_pmids, {', '.join(_n(f'has_{k} = 1', f'n_pmids_has_{k}') for k in ADOPTION_FLAGS)}, {_SUMS(_PAD_COUNTS)} FROM pad GROUP BY 1",
     "adoption_decomposition": "SELECT * FROM dec",
@@ -377,7 +407,7 @@ QUERIES: dict[str, str] = {
     "paper_network_trace": f"SELECT PYEAR AS focal_year, 'focal_new' AS role, PMID, PYEAR, {LONG}, edge_annotation AS annotation, n_focal_pmids FROM ann JOIN (SELECT focal_year AS PYEAR, s, p, o, n_focal_pmids FROM nfo) USING (PYEAR, s, p, o) WHERE edge_annotation IN {NEW3} UNION ALL SELECT focal_year, 'future_matched', PMID, PYEAR, s, p, o, edge_annotation, n_focal_pmids FROM ann JOIN nfo USING (s, p, o) WHERE PYEAR BETWEEN focal_year + 1 AND focal_year + {W}",
     "paper_network_profile": "SELECT focal_year, sum(n_focal_pmids)::BIGINT AS n_new_triple_pmid_rows, count(*)::BIGINT AS n_unique_new_triples, coalesce(sum(n_future_pmids), 0)::BIGINT AS n_matched_future_triple_pmid_rows, coalesce(sum(n_focal_pmids * n_future_pmids), 0)::BIGINT AS n_triple_paper_pair_occurrences, max(n_focal_pmids) AS max_focal_pmids_per_triple, coalesce(max(n_future_pmids), 0) AS max_future_pmids_per_triple, any_value(m)::BIGINT AS n_focal_pmids FROM nfo LEFT JOIN nfu USING (focal_year, s, p, o) JOIN (SELECT PYEAR AS focal_year, count(DISTINCT PMID) AS m FROM ann GROUP BY 1) USING (focal_year) GROUP BY 1",
     "paper_network_nodes": f"SELECT a.PMID, a.PYEAR, a.n_triples, a.n_new_node, a.n_new_combination, a.n_new_relation, a.n_new_triples, d.n_new_node_adopted, d.n_new_combination_adopted, d.n_new_relation_adopted, d.n_new_triples_adopted, d.has_new_triples_adopted, a.PYEAR <= e.e AS focal_eligible, a.PYEAR > e.b AS adopter_eligible, a.PYEAR <= e.e AS has_complete_followup, a.PYEAR >= e.b + {W} AND a.PYEAR <= e.e + 1 AS has_complete_focal_coverage, CASE WHEN a.PYEAR > e.e THEN 'target_only' WHEN a.n_new_triples = 0 THEN 'no_new_triples' WHEN d.n_new_triples_adopted = 0 THEN 'new_triples_not_adopted' ELSE 'new_triples_adopted' END AS focal_status, coalesce(i.d, 0)::BIGINT AS in_degree, coalesce(i.w, 0)::BIGINT AS in_strength, coalesce(u.d, 0)::BIGINT AS out_degree, coalesce(u.w, 0)::BIGINT AS out_strength FROM pam a CROSS JOIN (SELECT min(PYEAR) AS b, max(PYEAR) - {W} AS e FROM ann) e LEFT JOIN pad d USING (PMID) LEFT JOIN (SELECT focal_pmid AS PMID, count(*) AS d, sum(n_shared_new_triples) AS w FROM edg GROUP BY 1) i USING (PMID) LEFT JOIN (SELECT adopter_pmid AS PMID, count(*) AS d, sum(n_shared_new_triples) AS w FROM edg GROUP BY 1) u USING (PMID)",
-    "paper_network_summary": "SELECT y::INT AS focal_year, coalesce(a, 0)::BIGINT AS n_edges, coalesce(b, 0)::BIGINT AS total_shared_new_triples, coalesce(c, 0)::BIGINT AS n_focal_pmids_with_incoming_edges, coalesce(d, 0)::BIGINT AS n_adopter_pmids FROM range(1996, 2002) r(y) LEFT JOIN (SELECT focal_year AS y, count(*) AS a, sum(n_shared_new_triples) AS b, count(DISTINCT focal_pmid) AS c, count(DISTINCT adopter_pmid) AS d FROM edg GROUP BY 1) USING (y)",
+    "paper_network_summary": "SELECT y::INT AS focal_year, coalesce(a, 0)::BIGINT AS n_edges, coalesce(b, 0)::BIGINT AS total_shared_new_triples, coalesce(c, 0)::BIGINT AS n_focal_pmids_with_incoming_edges, coalesce(d, 0)::BIGINT AS n_adopter_pmids FROM range((SELECT min(PYEAR) FROM trip), (SELECT max(PYEAR) + 1 FROM trip)) r(y) LEFT JOIN (SELECT focal_year AS y, count(*) AS a, sum(n_shared_new_triples) AS b, count(DISTINCT focal_pmid) AS c, count(DISTINCT adopter_pmid) AS d FROM edg GROUP BY 1) USING (y)",
     "country_network": "SELECT * FROM cnet",
     "country_network_summary": f"SELECT *, {_share('n_domestic_edges', 'n_edges', 'share_domestic_edges')}, {', '.join(_share(f'domestic_{w}', f'total_{w}', f'share_domestic_{w}') for w in _WEIGHTS)} FROM (SELECT focal_year, edge_annotation, count(*)::BIGINT AS n_edges, {_n('is_domestic_adoption', 'n_domestic_edges')}, count(DISTINCT adopter_country_code)::BIGINT AS n_adopter_countries, count(DISTINCT source_country_code)::BIGINT AS n_source_countries, {', '.join(f'sum({w})::BIGINT AS total_{w}, coalesce(sum({w}) FILTER (WHERE is_domestic_adoption), 0)::BIGINT AS domestic_{w}' for w in _WEIGHTS)} FROM cnet GROUP BY 1, 2)",
     "country_names": "SELECT * FROM cnm",
@@ -394,8 +424,18 @@ QUERIES: dict[str, str] = {
     "new_relation_proximity": f"SELECT {_TRI}, * EXCLUDE (PMID, PYEAR, s, p, o) FROM relprox",
     "new_relation_summary": f"SELECT *, {_share('n_rows_with_prior', 'n_rows', 'share_rows_with_prior')} FROM (SELECT PYEAR, count(*)::BIGINT AS n_rows, count(DISTINCT (s, p, o))::BIGINT AS n_unique_triples, {_n('n_prior_triples > 0', 'n_rows_with_prior')}, {', '.join(f'round(avg(max_{c}_similarity), 6) AS mean_{c}, round(quantile_cont(max_{c}_similarity, 0.5), 6) AS median_{c}, min(max_{c}_similarity) AS min_{c}, max(max_{c}_similarity) AS max_{c}' for c in ('full', 'phrase'))} FROM relprox GROUP BY 1)",
     "flatten_authorships": "SELECT 'W' || l_orderkey AS work_id, CASE WHEN l_linenumber = 1 THEN 'first' ELSE 'middle' END AS author_position, 'A' || l_suppkey AS author_id, unnest(CASE WHEN l_linenumber % 3 = 0 THEN [NULL] ELSE ['I' || (l_suppkey % 25), 'I' || (l_partkey % 7)] END) AS institution_id FROM lrow WHERE l_suppkey % 13 <> 0",
-    "flatten_references": "SELECT 'W' || l_orderkey AS work_id, 'referenced' AS kind, 'W' || l_partkey AS other_work_id FROM lrow UNION ALL SELECT 'W' || l_orderkey, 'related', 'W' || (l_orderkey + 1) FROM (SELECT DISTINCT l_orderkey FROM lrow) WHERE l_orderkey % 3 = 0",
-    "flatten_locations": "WITH pl AS (SELECT 'W' || l_orderkey AS work_id, l_orderkey, CASE WHEN l_suppkey % 5 = 0 THEN NULL ELSE 'S' || l_suppkey END AS source_id, 'http://x/' || l_partkey AS u, l_returnflag = 'N' AS is_oa FROM lrow), fst AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY source_id NULLS FIRST, u, is_oa) AS rn FROM pl) WHERE rn = 1) SELECT work_id, 'any' AS kind, source_id, is_oa FROM pl WHERE source_id IS NOT NULL UNION ALL SELECT work_id, 'primary', source_id, is_oa FROM fst WHERE source_id IS NOT NULL UNION ALL SELECT work_id, 'best_oa', source_id, is_oa FROM fst WHERE source_id IS NOT NULL AND l_orderkey % 4 = 0",
+    "flatten_references": _REFERENCES,
+    "flatten_locations": "WITH pl AS (SELECT 'W' || l_orderkey AS work_id, l_orderkey, CASE WHEN l_suppkey % 5 = 0 THEN NULL ELSE 'S' || l_suppkey END AS source_id, 'http://x/' || l_partkey AS landing_page_url, 'http://x/' || l_partkey || '.pdf' AS pdf_url, l_returnflag = 'N' AS is_oa, CASE WHEN l_quantity > 25 THEN 'publishedVersion' END AS version, lower(l_returnflag) AS license FROM lrow), fst AS (SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY source_id NULLS FIRST, landing_page_url, pdf_url, is_oa, version NULLS FIRST, license) AS rn FROM pl) WHERE rn = 1) SELECT 'any' AS kind, * EXCLUDE (l_orderkey) FROM pl WHERE source_id IS NOT NULL UNION ALL SELECT 'primary', * EXCLUDE (l_orderkey) FROM fst WHERE source_id IS NOT NULL UNION ALL SELECT 'best_oa', * EXCLUDE (l_orderkey) FROM fst WHERE source_id IS NOT NULL AND l_orderkey % 4 = 0",
+    "flatten_works": f"SELECT 'W' || k AS id, CASE WHEN k % 5 <> 0 THEN 'https://doi.org/10.1/' || k END AS doi, 'Title ' || k AS title, 'Title ' || k AS display_name, CASE WHEN k % 19 <> 0 THEN (1995 + k % 7)::INT END AS publication_year, (1995 + k % 7) || '-01-02' AS publication_date, CASE WHEN k % 6 = 0 THEN 'book' ELSE 'article' END AS type, k % 40 AS cited_by_count, k % 50 = 0 AS is_retracted, k % 60 = 0 AS is_paratext, CASE WHEN k % 8 <> 0 THEN 'en' END AS language, CASE WHEN k % 2 = 0 THEN '{{\"word\":[0,' || (k % 3 + 1) || ']}}' END AS abstract_inverted_index FROM {_WORKS}",
+    "flatten_publication_years": f"SELECT 'W' || k AS work_id, (1995 + k % 7)::INT AS publication_year FROM {_WORKS} WHERE k % 19 <> 0",
+    "flatten_work_ids": f"SELECT 'W' || k AS work_id, 'W' || k AS openalex, CASE WHEN k % 5 <> 0 THEN 'https://doi.org/10.1/' || k END AS doi, (k * 3)::VARCHAR AS mag, k::VARCHAR AS pmid FROM {_WORKS} WHERE k % 4 <> 3",
+    "flatten_work_open_access": f"SELECT 'W' || k AS work_id, k % 4 = 0 AS is_oa, CASE WHEN k % 4 = 0 THEN 'gold' ELSE 'closed' END AS oa_status, CASE WHEN k % 4 = 0 THEN 'http://x/' || k END AS oa_url FROM {_WORKS} WHERE k % 9 <> 0",
+    "flatten_work_biblio": f"SELECT 'W' || k AS work_id, (k % 12)::VARCHAR AS volume, (k % 4)::VARCHAR AS issue, (k % 90)::VARCHAR AS first_page, (k % 90 + 9)::VARCHAR AS last_page FROM {_WORKS} WHERE k % 11 <> 0",
+    "flatten_entities": "SELECT kind, id, kind || ' ' || n AS display_name, '[\"Alias ' || n || '\",\"Other ' || k || '\"]' AS alternatives, n % 500 AS works_count, n % 900 AS cited_by_count, upd AS updated_date FROM ents",
+    "flatten_entity_geo": "SELECT kind, id, 'City ' || (n % 30) AS city, 'N' || k AS country_code, k / 2.0::DOUBLE AS latitude, n % 90 + 0.5::DOUBLE AS longitude FROM ents WHERE k % 4 <> 0",
+    "flatten_entity_associated": "SELECT kind, id, 'E' || k AS other_id, 'parent' AS relationship FROM ents WHERE n % 3 = 0",
+    "flatten_entity_ancestors": "SELECT kind, id, 'P' || k AS other_id FROM ents",
+    "flatten_entity_related": "SELECT kind, id, 'R' || (n % 17) AS other_id, k / 4.0::DOUBLE AS score FROM ents WHERE n % 5 = 0",
     "flatten_work_terms": "SELECT 'W' || l_orderkey AS work_id, 'topic' AS kind, 'T' || (l_partkey % 50) AS term_id, l_quantity / 50 AS score FROM lrow UNION ALL SELECT 'W' || l_orderkey, 'mesh', 'D' || (l_orderkey % 9), CASE WHEN l_orderkey % 2 = 0 THEN 1.0 ELSE 0.0 END FROM (SELECT DISTINCT l_orderkey FROM lrow)",
     "flatten_entity_counts": "SELECT kind, id, 2000::INT AS year, n % 7 AS works_count, n % 11 AS cited_by_count FROM ents UNION ALL SELECT kind, id, 2001, k, n FROM ents",
     "flatten_entity_ids": "SELECT kind, id, 'own' AS scheme, id AS value FROM ents UNION ALL SELECT kind, id, 'wiki', 'Q' || n FROM ents",
@@ -407,6 +447,7 @@ QUERIES: dict[str, str] = {
     "attach_country_lists": f"SELECT t.PMID, t.PYEAR, {LONG}, country_codes, countries, n_countries FROM tr t LEFT JOIN pcl ON pcl.pmid = t.PMID",
     "country_match_summary": f"SELECT *, {_share('n_matched_rows', 'n_rows', 'share_matched_rows')}, {_share('n_matched_pmids', 'n_pmids', 'share_matched_pmids')} FROM (SELECT PYEAR, count(*)::BIGINT AS n_rows, count(n_countries)::BIGINT AS n_matched_rows FROM tr t LEFT JOIN pcl ON pcl.pmid = t.PMID GROUP BY 1) JOIN (SELECT PYEAR, count(*)::BIGINT AS n_pmids, count(n_countries)::BIGINT AS n_matched_pmids, avg(n_countries) AS mean_countries, max(n_countries) AS max_countries FROM (SELECT DISTINCT PMID, PYEAR FROM tr) t LEFT JOIN pcl ON pcl.pmid = t.PMID GROUP BY 1) USING (PYEAR)",
     "citation_windows": "SELECT * FROM cw",
+    "citation_windows_pmid": "SELECT cw.*, pmid FROM cw LEFT JOIN (SELECT work_id, min(pmid) AS pmid FROM maps GROUP BY 1) USING (work_id)",
     "citation_edge_accounting": f"SELECT count(*)::BIGINT AS n_edges, {_n('citing IS NULL', 'n_citing_year_unknown')}, {_n('cited IS NULL', 'n_cited_year_unknown')}, {_n('citing < cited', 'n_negative_gap')}, {_n('citing >= cited AND citing <= 2000', 'n_used')}, {', '.join(_n(f'citing - cited BETWEEN 0 AND {k} AND citing <= 2000', f'n_used_C{k}') for k in WINDOWS)} FROM edges_y",
     "citation_match": "SELECT * FROM cm",
     "match_coverage": f"SELECT count(publication_year)::BIGINT AS n_ours, count(other_year)::BIGINT AS n_other, {_n('publication_year IS NOT NULL AND other_year IS NOT NULL', 'n_both')}, {_n('publication_year = other_year', 'n_same_year')} FROM cw FULL JOIN oth USING (work_id)",
@@ -437,7 +478,7 @@ QUERIES: dict[str, str] = {
     "retention_by_predicate": _retention("PREDICATE"),
     "outcome_consistency_report": _distinct_conflicts({"triple with several categories": ("tr", "PYEAR, s, p, o", "edge_annotation"), "triple with several outcomes": ("tr", "PYEAR, s, p, o", "seen"), "pair with several labels": ("tr", "PYEAR, a, b", "edge_annotation")}),
     "recompute_report": "SELECT unnest(['only stored', 'only fresh', 'n_triples differs', 'n_new_triples differs', 'share_new_triples differs', 'share_new_node differs']) AS rule, unnest([count(*) FILTER (WHERE b.PMID IS NULL), count(*) FILTER (WHERE a.PMID IS NULL), count(*) FILTER (WHERE a.n_triples <> b.n_triples), count(*) FILTER (WHERE a.n_new_triples <> b.n_new_triples), count(*) FILTER (WHERE abs(a.share_new_triples - b.share_new_triples) > 1e-9), count(*) FILTER (WHERE abs(a.share_new_node - b.share_new_node) > 1e-9)])::BIGINT AS n_violations FROM pam a FULL JOIN pnk b ON a.PMID = b.PMID",
-    "combine_report": "SELECT 'year without rows' AS rule, count(*)::BIGINT AS n_violations FROM range(1996, 2002) r(y) WHERE y NOT IN (SELECT PYEAR FROM pam) UNION ALL SELECT 'repeated paper', count(*) - count(DISTINCT PMID) FROM pam UNION ALL SELECT 'paper in several years', count(*) FROM (SELECT PMID FROM pam GROUP BY 1 HAVING count(DISTINCT PYEAR) > 1)",
+    "combine_report": "SELECT 'year without rows' AS rule, count(*)::BIGINT AS n_violations FROM years WHERE y NOT IN (SELECT PYEAR FROM pam) UNION ALL SELECT 'repeated paper', count(*) - count(DISTINCT PMID) FROM pam UNION ALL SELECT 'paper in several years', count(*) FROM (SELECT PMID FROM pam GROUP BY 1 HAVING count(DISTINCT PYEAR) > 1)",
     "year_bounds_report": "WITH m AS (SELECT PYEAR, " + ", ".join(f"max({n}) AS max_{n}, sum({n}) AS sum_{n}" for n in ("n_unique_concepts", "n_unique_new_concepts", "n_unique_concept_pairs", "n_unique_new_combination_pairs", "n_triples")) + " FROM pnk GROUP BY 1) " + _rules("ynk0 JOIN m USING (PYEAR)", {f"{n} out of bounds": f"{n} < max_{n} OR {n} > sum_{n}" for n in ("n_unique_concepts", "n_unique_new_concepts", "n_unique_concept_pairs", "n_unique_new_combination_pairs", "n_triples")}),
     "link_summary": f"SELECT *, {_share('n_linked_papers', 'n_papers', 'share_linked_papers')} FROM (SELECT count(*)::BIGINT AS n_papers, count(m.PMID)::BIGINT AS n_linked_papers, count(DISTINCT m.PMID)::BIGINT AS n_linked_pmids FROM spap LEFT JOIN (SELECT work_id, min(pmid) AS PMID FROM maps GROUP BY 1 HAVING count(*) = 1) m ON m.work_id = {WORK.format('paperid')}), (SELECT count(*)::BIGINT AS n_mapped_pmids, {_n('k > 1', 'n_pmids_with_many_works')}, sum(k)::BIGINT AS n_mappings FROM (SELECT count(*) AS k FROM maps GROUP BY pmid)), (SELECT count(*)::BIGINT AS n_rejected_mappings FROM (SELECT DISTINCT trim(work_id) AS a, trim(pmid) AS b, {PMID.format('pmid')} AS p, {WORK.format('work_id')} AS w FROM wid) WHERE p IS NULL OR w IS NULL OR w IN (SELECT work_id FROM maps GROUP BY 1 HAVING count(*) > 1))",
     "metric_rule_report": "SELECT unnest(['invalid year', 'invalid paper', 'categories add up', 'new categories add up', 'adopted add up', 'reappeared add up', "

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,8 +22,11 @@ from ..operators import profiles as R
 from ..operators import quality as Q
 from ..operators import semantic as S
 from ..operators import snapshot as X
+from ..functions.windows import year_bounds
 from ..sources import adapters as T
 from ..sources.adapters import W
+from ..sources.files import read_snapshot, read_years, write_table
+from ..sources.shared import shared_dir, written
 
 #: The last year of the citation counts, the years and predicates that the sample leaves out.
 CUTOFF = 2000
@@ -30,11 +34,15 @@ BAD_YEARS, BAD_PREDICATES = ("1995",), ("NO",)
 LONG = {"s": "subject_cui_primary", "p": "PREDICATE", "o": "object_cui_primary"}
 
 
+#: Queries that read the annotation once; the others have it written to the shared folder.
+ONCE = {"edge_annotation", "edge_transition", "paper_annotation_metrics", "paper_adoption_metrics", "transition_summary", "adoption_summary", "adoption_decomposition", "decomposition_summary", "annotation_flag_report"}
+
+
 class Tables:
     """The domain tables of a folder, each built once when it is first asked for."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.dir, self._made = spark, sf_dir, {}
+    def __init__(self, spark: SparkSession, sf_dir: str, once: bool = False):
+        self.spark, self.dir, self.once, self._made = spark, sf_dir, once, {}
 
     def get(self, name: str) -> DataFrame:
         if name not in self._made:
@@ -56,11 +64,27 @@ class Tables:
     def _keyed(self):
         return P.with_keys(self.get("raw"), self.get("citations")).filter(F.col("passes_novelty") & ~F.col("missing_key"))
 
+    def _bounds(self):
+        return T.year_bounds(self.spark, self.dir)
+
+    def _rows(self):
+        rows = A.annotated_rows(self.get("triples"), W)
+        return rows if self.once else written(rows)
+
     def _annotated(self):
-        return A.edge_annotation(self.get("triples"), W)
+        return A.annotation_of(self.get("rows"), W, self.get("bounds"))
 
     def _transitions(self):
-        return A.edge_transition(self.get("triples"), W)
+        return A.transition_of(self.get("rows"), W, self.get("bounds"))
+
+    def _wide(self):
+        wide = written(self.get("prepared").withColumnsRenamed({v: k for k, v in LONG.items()}).withColumn("PYEAR", F.col("PYEAR").cast("int")))
+        return A.annotated_rows(wide, W), year_bounds(wide, "PYEAR")
+
+    def years(self, name: str, first: int = 0, last: int = 0):
+        """All years of the papers as a column; ``first`` and ``last`` move the ends."""
+        a, b = self.get("bounds")
+        return self.spark.range((a or 0) + first, (b if b is not None else -1) + last + 1).select(F.col("id").cast("int").alias(name))
 
     def _paper_metrics(self):
         return B.paper_annotation_metrics(self.get("annotated"))
@@ -75,22 +99,23 @@ class Tables:
         return B.adoption_decomposition(self.get("adoption"))
 
     def _node_dev(self):
-        return D.new_node_development(self.get("annotated"), W)
+        return D.new_node_development(self.get("annotated"), W, self.get("bounds")[1])
 
     def _pair_dev(self):
-        return D.new_combination_development(self.get("annotated"), W)
+        return D.new_combination_development(self.get("annotated"), W, self.get("bounds")[1])
 
     def _development(self):
         return D.paper_development_metrics(self.get("transitions"), self.get("node_dev"), self.get("pair_dev"))
 
     def _edges(self):
-        return K.paper_network_edges(self.get("annotated"), W)
+        return K.paper_network_edges(self.get("annotated"), W, self.get("bounds")[1])
 
     def _nodes(self):
-        return K.paper_network_nodes(self.get("annotated"), self.get("adoption"), self.get("edges"), W)
+        first, last = self.get("bounds")
+        return K.paper_network_nodes(self.get("annotated"), self.get("adoption"), self.get("edges"), W, (None if first is None else first + W, last))
 
     def _profile(self):
-        return K.paper_network_profile(self.get("annotated"), W)
+        return K.paper_network_profile(self.get("annotated"), W, self.get("bounds")[1])
 
     def _paper_country(self):
         return T.paper_countries(self.spark, self.dir)
@@ -191,6 +216,10 @@ def _plans(t: Tables) -> dict[str, Callable[[], DataFrame]]:
     return _scalars(t) | {
         "split_by_year_counts": lambda: P.split_by_year_counts(g("prepared")),
         "shard_manifest": lambda: P.shard_manifest(T.references(t.spark, t.dir).selectExpr("cast(substr(work_id, 2) as bigint) work", "referenced_work_id"), "work", 500),
+        "read_years": lambda: P.split_by_year_counts(_by_year(t, g("prepared"), 1997, 1999)),
+        "read_snapshot": lambda: X.flatten_references(_from_json(t, g("works"))),
+        "edge_annotation_prepared": lambda: A.annotation_of(g("wide")[0], W, g("wide")[1]),
+        "edge_transition_prepared": lambda: A.transition_of(g("wide")[0], W, g("wide")[1]),
         "publish_gate": lambda: Q.rule_report(g("paper_metrics"), {"no triples": F.col("n_triples") <= 0, "more new than all": F.col("n_new_triples") > F.col("n_triples")}).withColumn("may_publish", F.col("n_violations") == 0),
         "filter_linked_rows": lambda: P.filter_linked_rows(g("ids").withColumn("pmid", F.when(F.col("pmid") == "none", " ").otherwise(F.col("pmid")))),
         "relation_text": lambda: S.relation_text(g("triples"), g("labels")),
@@ -210,8 +239,8 @@ def _plans(t: Tables) -> dict[str, Callable[[], DataFrame]]:
         "conflict_report": lambda: Q.conflict_report(g("raw"), {"concept with several types": (["OBJECT_CUI"], ["OBJECT_SEMTYPE"]), "paper with several sentences": (["PMID"], ["SENTENCE_ID"]), "statement with several papers": (["PREDICATION_ID"], ["PMID"])}),
         "rank_first_lookup": lambda: N.rank_first_lookup(T.institutions(t.spark, t.dir)),
         "agreed_year": lambda: U.agreed_year(g("citations")),
-        "same_pair_other_predicate": lambda: A.same_pair_other_predicate(g("triples"), W),
-        "endpoint_or_join": lambda: D.endpoint_or_join(g("annotated"), W),
+        "same_pair_other_predicate": lambda: A.same_pair_other_predicate(g("annotated")),
+        "endpoint_or_join": lambda: D.endpoint_or_join(g("annotated"), W, g("bounds")[1]),
         "prior_relation_candidates": lambda: S.prior_relation_candidates(g("triples"), g("annotated"), W),
         "score_profile": lambda: S.score_profile(g("proximity").withColumn("kind", F.substring("s", 1, 1)), "proximity", ["PYEAR", "kind"]),
         "agreement_summary": lambda: C.agreement_summary(g("matched")),
@@ -220,7 +249,7 @@ def _plans(t: Tables) -> dict[str, Callable[[], DataFrame]]:
         "missingness": lambda: M.missingness(g("master")),
         "prior_overlap": lambda: R.prior_overlap(g("prepared")),
         "prior_jaccard": lambda: R.prior_jaccard(g("prepared")),
-        "prior_nodes": lambda: A.prior_nodes(g("triples"), W),
+        "prior_nodes": lambda: A.prior_nodes(g("triples"), W, g("bounds")),
         "long_concepts": lambda: R.long_concepts(g("prepared")).select("PMID", "PYEAR", "PREDICATE", "role", "concept", "name", "semtype", "neighbour"),
         "set_equality_report": lambda: Q.set_equality_report(g("annotated").select(*key, "edge_annotation"), g("transitions").select(*key, "edge_annotation"), "annotation and transition"),
         "bag_equality_report": lambda: Q.bag_equality_report(g("annotated").filter((F.col("edge_annotation") == "New_Node") & (F.col("PYEAR") <= 1999)).select(*key), g("node_dev").select(*key), "new nodes and their development"),
@@ -228,16 +257,16 @@ def _plans(t: Tables) -> dict[str, Callable[[], DataFrame]]:
         "predicate_year_profile": lambda: R.predicate_year_profile(g("prepared")),
         "concept_profile": lambda: g("concepts"),
         "edge_annotation": lambda: g("annotated"),
-        "annotation_summary": lambda: A.annotation_summary(g("triples"), W),
-        "self_loop_summary": lambda: A.self_loop_summary(g("triples"), W),
-        "annotation_checks": lambda: A.annotation_checks(A.annotation_summary(g("triples"), W), W),
+        "annotation_summary": lambda: A.annotation_summary(g("triples"), W, g("bounds"), g("annotated")),
+        "self_loop_summary": lambda: A.self_loop_summary(g("triples"), W, g("bounds")),
+        "annotation_checks": lambda: A.annotation_checks(A.annotation_summary(g("triples"), W, g("bounds"), g("annotated")), W),
         "edge_transition": lambda: g("transitions"),
         "transition_summary": lambda: A.transition_summary(g("transitions")),
         "paper_annotation_metrics": lambda: g("paper_metrics"),
         "paper_pattern": lambda: B.paper_pattern(g("paper_metrics")),
         "pattern_summary": lambda: B.pattern_summary(g("paper_metrics")),
         "paper_new_knowledge": lambda: g("knowledge"),
-        "year_new_knowledge": lambda: B.year_new_knowledge(g("annotated"), t.spark.range(1996, 2003).select(F.col("id").cast("int").alias("PYEAR"))),
+        "year_new_knowledge": lambda: B.year_new_knowledge(g("annotated"), t.years("PYEAR")),
         "paper_adoption_metrics": lambda: g("adoption"),
         "adoption_summary": lambda: B.adoption_summary(g("adoption")),
         "adoption_decomposition": lambda: g("decomposed"),
@@ -249,10 +278,10 @@ def _plans(t: Tables) -> dict[str, Callable[[], DataFrame]]:
         "paper_development_metrics": lambda: g("development"),
         "development_metrics_summary": lambda: D.development_metrics_summary(g("development")),
         "paper_network_edges": lambda: g("edges"),
-        "paper_network_trace": lambda: K.paper_network_trace(g("annotated"), W),
+        "paper_network_trace": lambda: K.paper_network_trace(g("annotated"), W, g("bounds")[1]),
         "paper_network_nodes": lambda: g("nodes"),
         "paper_network_profile": lambda: g("profile"),
-        "paper_network_summary": lambda: K.paper_network_summary(g("edges"), t.spark.range(1996, 2002).select(F.col("id").cast("int").alias("focal_year"))),
+        "paper_network_summary": lambda: K.paper_network_summary(g("edges"), t.years("focal_year")),
         "country_network": lambda: g("network"),
         "country_network_summary": lambda: N.country_network_summary(g("network")),
         "country_names": lambda: N.country_names(g("paper_country")),
@@ -272,6 +301,12 @@ def _plans(t: Tables) -> dict[str, Callable[[], DataFrame]]:
         "flatten_references": lambda: X.flatten_references(g("works")),
         "flatten_locations": lambda: X.flatten_locations(g("works")),
         "flatten_work_terms": lambda: X.flatten_work_terms(g("works")),
+        "flatten_works": lambda: X.flatten_works(g("works")),
+        "flatten_publication_years": lambda: X.flatten_publication_years(g("works")),
+        **{f"flatten_work_{c}": lambda c=c: X.flatten_record(g("works"), c) for c in ("ids", "open_access", "biblio")},
+        "flatten_entities": lambda: X.flatten_entities(g("entities")),
+        "flatten_entity_geo": lambda: X.flatten_entity_geo(g("entities")),
+        **{f"flatten_entity_{c}": lambda c=c: X.flatten_entity_links(g("entities"), c) for c in ("associated", "ancestors", "related")},
         "flatten_entity_counts": lambda: X.flatten_entity_counts(g("entities")),
         "flatten_entity_ids": lambda: X.flatten_entity_ids(g("entities")),
         "authorship_institution": lambda: g("authorship"),
@@ -282,6 +317,7 @@ def _plans(t: Tables) -> dict[str, Callable[[], DataFrame]]:
         "attach_country_lists": lambda: N.attach_country_lists(g("transitions").select("PMID", "PYEAR", "s", "p", "o"), g("lists")),
         "country_match_summary": lambda: N.country_match_summary(N.attach_country_lists(g("transitions").select("PMID", "PYEAR", "s", "p", "o"), g("lists"))),
         "citation_windows": lambda: g("windows"),
+        "citation_windows_pmid": lambda: C.with_pmids(g("windows"), g("ids")),
         "citation_edge_accounting": lambda: C.citation_edge_accounting(T.references(t.spark, t.dir), g("years"), CUTOFF),
         "citation_match": lambda: g("matched"),
         "match_coverage": lambda: C.match_coverage(g("windows"), g("other")),
@@ -314,12 +350,26 @@ def _plans(t: Tables) -> dict[str, Callable[[], DataFrame]]:
         "annotation_flag_report": lambda: Q.annotation_flag_report(g("annotated")),
         "outcome_consistency_report": lambda: Q.conflict_report(g("transitions"), {"triple with several categories": (["PYEAR", "s", "p", "o"], ["edge_annotation"]), "triple with several outcomes": (["PYEAR", "s", "p", "o"], ["future_exact_triple_seen"]), "pair with several labels": (["PYEAR", "node_a", "node_b"], ["edge_annotation"])}),
         "recompute_report": lambda: Q.recompute_report(g("paper_metrics").select(*stored), g("knowledge").select(*stored), "PMID"),
-        "combine_report": lambda: Q.combine_report(g("paper_metrics"), t.spark.range(1996, 2002).select(F.col("id").cast("int").alias("PYEAR"))),
+        "combine_report": lambda: Q.combine_report(g("paper_metrics"), t.years("PYEAR", first=W)),
         "year_bounds_report": lambda: Q.year_bounds_report(g("knowledge"), B.year_new_knowledge(g("annotated"))),
         "network_checks": lambda: K.network_checks(g("edges"), g("nodes"), g("profile"), W),
     }
 
 
+def _by_year(t: Tables, df: DataFrame, first: int, last: int) -> DataFrame:
+    """Some years of a table that is written by year first."""
+    path = f"{shared_dir(t.spark)}/years-{uuid.uuid4().hex}"
+    write_table(df, path, partition=["PYEAR"])
+    return read_years(t.spark, path, first, last).withColumn("PYEAR", F.col("PYEAR").cast("string"))
+
+
+def _from_json(t: Tables, works: DataFrame) -> DataFrame:
+    """Works that are written as a snapshot of compressed JSON lines first."""
+    root = f"{shared_dir(t.spark)}/snapshot-{uuid.uuid4().hex}"
+    works.write.json(f"{root}/data/works/updated_date=2024-01-01", compression="gzip")
+    return read_snapshot(t.spark, root, "works", X.WORK_SCHEMA)
+
+
 def _named(df: DataFrame) -> DataFrame:
     """The long names of the triple's columns."""
     return df.withColumnsRenamed({k: v for k, v in LONG.items() if k in df.columns})
@@ -327,6 +377,6 @@ def _named(df: DataFrame) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     def bound(name: str) -> Callable[[SparkSession, str], DataFrame]:
-        return lambda spark, sf_dir: _named(_plans(Tables(spark, sf_dir))[name]())
+        return lambda spark, sf_dir: _named(_plans(Tables(spark, sf_dir, name in ONCE))[name]())
 
     return {name: bound(name) for name in _plans(Tables(None, ""))}  # type: ignore[arg-type]

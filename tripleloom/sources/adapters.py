@@ -13,6 +13,12 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def year_bounds(spark: SparkSession, sf_dir: str) -> tuple[int | None, int | None]:
+    """The first and the last year of all papers; reads one column."""
+    row = load(spark, sf_dir, "orders").selectExpr("year(min(o_orderdate)) a", "year(max(o_orderdate)) b").first()
+    return row["a"], row["b"]
+
+
 def predications(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw statements in the form of the raw files, with ``source_order``."""
     lines = load(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus")
@@ -128,6 +134,18 @@ def concept_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "embeddings").selectExpr("concat('C', vec_id) concept", "embedding vector")
 
 
+#: Plain fields and nested records of a work, as expressions over its number.
+WORK_FIELDS = {
+    "doi": "CASE WHEN l_orderkey % 5 <> 0 THEN concat('https://doi.org/10.1/', l_orderkey) END", "title": "concat('Title ', l_orderkey)", "display_name": "concat('Title ', l_orderkey)",
+    "publication_year": "CASE WHEN l_orderkey % 19 <> 0 THEN cast(1995 + l_orderkey % 7 as int) END", "publication_date": "concat(1995 + l_orderkey % 7, '-01-02')", "type": "CASE WHEN l_orderkey % 6 = 0 THEN 'book' ELSE 'article' END",
+    "cited_by_count": "l_orderkey % 40", "is_retracted": "l_orderkey % 50 = 0", "is_paratext": "l_orderkey % 60 = 0", "language": "CASE WHEN l_orderkey % 8 = 0 THEN NULL ELSE 'en' END",
+    "abstract_inverted_index": "CASE WHEN l_orderkey % 2 = 0 THEN map('word', array(0, cast(l_orderkey % 3 + 1 as int))) END",
+    "ids": "CASE WHEN l_orderkey % 4 <> 3 THEN struct(concat('W', l_orderkey) AS openalex, CASE WHEN l_orderkey % 5 <> 0 THEN concat('https://doi.org/10.1/', l_orderkey) END AS doi, cast(l_orderkey * 3 as string) AS mag, cast(l_orderkey as string) AS pmid) END",
+    "open_access": "CASE WHEN l_orderkey % 9 <> 0 THEN struct(l_orderkey % 4 = 0 AS is_oa, CASE WHEN l_orderkey % 4 = 0 THEN 'gold' ELSE 'closed' END AS oa_status, CASE WHEN l_orderkey % 4 = 0 THEN concat('http://x/', l_orderkey) END AS oa_url) END",
+    "biblio": "CASE WHEN l_orderkey % 11 <> 0 THEN struct(cast(l_orderkey % 12 as string) AS volume, cast(l_orderkey % 4 as string) AS issue, cast(l_orderkey % 90 as string) AS first_page, cast(l_orderkey % 90 + 9 as string) AS last_page) END",
+}
+
+
 def snapshot_works(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nested works out of the order lines, in the form of a snapshot's records."""
     lines = load(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_returnflag").distinct()
@@ -136,7 +154,7 @@ def snapshot_works(spark: SparkSession, sf_dir: str) -> DataFrame:
         "CASE WHEN l_linenumber % 3 = 0 THEN cast(array() as array<struct<id:string>>) ELSE array(struct(concat('I', l_suppkey % 25) AS id), struct(concat('I', l_partkey % 7) AS id)) END AS institutions)"
     )
     topic = F.expr("struct(concat('T', l_partkey % 50) AS id, l_quantity / 50 AS score)")
-    place = F.expr("struct(struct(CASE WHEN l_suppkey % 5 = 0 THEN NULL ELSE concat('S', l_suppkey) END AS id) AS source, concat('http://x/', l_partkey) AS landing_page_url, l_returnflag = 'N' AS is_oa)")
+    place = F.expr("struct(struct(CASE WHEN l_suppkey % 5 = 0 THEN NULL ELSE concat('S', l_suppkey) END AS id) AS source, concat('http://x/', l_partkey) AS landing_page_url, concat('http://x/', l_partkey, '.pdf') AS pdf_url, l_returnflag = 'N' AS is_oa, CASE WHEN l_quantity > 25 THEN 'publishedVersion' END AS version, lower(l_returnflag) AS license)")
     rows = lines.groupBy("l_orderkey").agg(
         F.array_sort(F.collect_list(author)).alias("authorships"), F.array_sort(F.collect_list(topic)).alias("topics"), F.array_sort(F.collect_list(place)).alias("locations"),
         F.array_sort(F.collect_list(F.expr("concat('W', l_partkey)"))).alias("referenced_works"), F.min(place).alias("primary_location"),
@@ -145,6 +163,7 @@ def snapshot_works(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.expr("concat('W', l_orderkey)").alias("id"), "authorships", "topics", F.expr("cast(NULL as array<struct<id:string,score:double>>)").alias("concepts"),
         F.expr("array(struct(concat('D', l_orderkey % 9) AS descriptor_ui, l_orderkey % 2 = 0 AS is_major_topic))").alias("mesh"), "locations", "primary_location", F.expr("CASE WHEN l_orderkey % 4 = 0 THEN primary_location END").alias("best_oa_location"),
         "referenced_works", F.expr("CASE WHEN l_orderkey % 3 = 0 THEN array(concat('W', l_orderkey + 1)) END").alias("related_works"),
+        *[F.expr(e).alias(c) for c, e in WORK_FIELDS.items()],
     )
 
 
@@ -155,4 +174,7 @@ def snapshot_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sup.union(cus).selectExpr(
         "kind", "id", "concat('2024-01-', lpad(cast(n % 28 + 1 as string), 2, '0'), 'T', lpad(cast(n as string), 8, '0')) updated_date", "concat('{\"own\":\"', id, '\",\"wiki\":\"Q', n, '\"}') ids_json",
         "array(struct(2000 AS year, n % 7 AS works_count, n % 11 AS cited_by_count), struct(2001 AS year, k AS works_count, n AS cited_by_count)) counts_by_year",
+        "concat(kind, ' ', n) display_name", "array(concat('Alias ', n), concat('Other ', k)) alternatives", "n % 500 works_count", "n % 900 cited_by_count", "CASE WHEN k % 4 <> 0 THEN struct(concat('City ', n % 30) AS city, concat('N', k) AS country_code, k / 2.0D AS latitude, n % 90 + 0.5D AS longitude) END geo",
+        "CASE WHEN n % 3 = 0 THEN array(struct(concat('E', k) AS id, 'parent' AS relationship), struct(cast(NULL as string) AS id, 'child' AS relationship)) END associated", "array(struct(concat('P', k) AS id), struct(cast(NULL as string) AS id)) ancestors",
+        "CASE WHEN n % 5 = 0 THEN array(struct(concat('R', n % 17) AS id, k / 4.0D AS score)) END related",
     )
