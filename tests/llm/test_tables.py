@@ -58,8 +58,36 @@ def test_blocks_of_seeds_find_the_same(spark, monkeypatch):
     df = spark.createDataFrame([(1, item), (2, "nothing of it")], "doc_id long, text string")
     bench = spark.createDataFrame([(1, item)], "item_id long, text string")
     whole = decontaminate.contaminated(df, bench).collect()
-    monkeypatch.setattr(decontaminate, "BLOCK_SEEDS", 10)
-    assert decontaminate.contaminated(df, bench).collect() == whole
+    monkeypatch.setattr(decontaminate, "FEW_SEEDS", 10)
+    monkeypatch.setattr(decontaminate, "SMALL_ROWS", 10)
+    assert len(whole) == 1 and decontaminate.contaminated(df, bench).collect() == whole
+
+
+def test_short_items_are_found(spark):
+    """Whole up to four words; of five to nine words any one may differ."""
+    words = [f"w{k}" for k in range(9)]
+    docs, items, want = [], [], set()
+    for n in range(1, 10):
+        item = [f"{w}n{n}" for w in words[:n]]
+        items.append((n, " ".join(item)))
+        docs.append((100 * n, " ".join(["x", "y", *item, "z"])))
+        want.add((100 * n, n))
+        for k in range(n):
+            docs.append((100 * n + k + 1, " ".join(["x", *item[:k], "other", *item[k + 1 :], "z"])))
+            if n >= 5:
+                want.add((100 * n + k + 1, n))
+    docs.append((1, "w0n5 w1n5 nothing w3n5 else w5n5"))
+    found = decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r.doc_id, r.first_item) for r in found.collect()} == want
+
+
+def test_clashing_names_in_documents(spark):
+    item = " ".join(f"w{k}" for k in range(30))
+    names = ["seed", "key", "i", "d", "w", "lead", "around", "item", "s", "span", "run", "id", "item_id"]
+    df = spark.createDataFrame([(1, item, *names), (2, "nothing of it", *names)], ["doc_id", "text", *names])
+    bench = spark.createDataFrame([(5, item, "x")], "item_id long, text string, seed string")
+    kept = decontaminate.drop_contaminated(df, bench)
+    assert kept.columns == df.columns and [r.doc_id for r in kept.collect()] == [2]
 
 
 def test_counts_invert_the_poisson_distribution(spark):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -16,26 +17,40 @@ SLICE = 256
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Where the cluster names none (tests on one machine) a temporary folder of
-    this session is used and remembered.
+    A session without it must run on one machine (tests): it gets a temporary
+    folder, which is remembered.  On a cluster that is an error.
     """
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     conf = conf or spark.conf.get("spark.checkpoint.dir", None)
     if not conf:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         conf = "file://" + tempfile.mkdtemp(prefix="tripleloom-")
         spark.conf.set("spark.checkpoint.dir", conf)
     return conf.rstrip("/")
 
 
-def stash(df: DataFrame) -> DataFrame:
+def stash(df: DataFrame, *done: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back.
 
     Cuts the lineage: a lost executor costs only the tasks that read it.
+    ``done`` are earlier stashes that nothing reads once ``df`` is written;
+    their files are deleted then.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/stash-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    drop(spark, *(d.stashed_at for d in done))
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stashed_at = path
+    return out
+
+
+def drop(spark: SparkSession, *paths: str) -> None:
+    """Delete folders of the shared folder that nothing reads any more."""
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,11 +73,21 @@ def texts_of(column, start: int, size: int = SLICE) -> list:
 
 
 #: Rows of a narrow table (a few numbers each) that a broadcast may hold: below 100 MB.
-SMALL_ROWS = 1_000_000
+SMALL_ROWS = 500_000
+
+
+def narrow(df: DataFrame) -> DataFrame:
+    """A narrow table that was stashed, for a join: its rows are counted, and up
+    to SMALL_ROWS of them are broadcast, so that wide rows aren't shuffled."""
+    return F.broadcast(df) if df.count() <= SMALL_ROWS else df
+
+
+def join_narrow(df: DataFrame, side: DataFrame, on, how: str = "inner") -> DataFrame:
+    """``df`` joined with a :func:`narrow` table."""
+    return df.join(narrow(side), on, how)
 
 
-def join_narrow(df: DataFrame, narrow: DataFrame, on, how: str = "inner") -> DataFrame:
-    """``df`` joined with a narrow table that was stashed: its rows are counted,
-    and up to SMALL_ROWS of them are broadcast, so that wide rows aren't
-    shuffled; more of them meet ``df`` in a shuffled join."""
-    return df.join(F.broadcast(narrow) if narrow.count() <= SMALL_ROWS else narrow, on, how)
+def sampled(labels: DataFrame, seed: str, most: int) -> DataFrame:
+    """Of ``labels(id, ...)`` about ``most`` rows, chosen by a hash of the id; all, if there are no more."""
+    share = min(1.0, most / max(labels.count(), 1))
+    return labels.filter(F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(1 << 53)) < F.lit(int(share * (1 << 53))))
