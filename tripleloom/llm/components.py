@@ -46,6 +46,6 @@ def components(edges: DataFrame) -> DataFrame:
         if (total["n"], total["s"]) == seen or not total["n"]:
             break
         seen = (total["n"], total["s"])
-        now = stash(_small_star(_large_star(now).distinct()).distinct())
+        now = stash(_small_star(_large_star(now).distinct()).distinct(), now)
     roots = now.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("component"))
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)

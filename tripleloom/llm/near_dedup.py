@@ -25,6 +25,8 @@ Nothing but counters reaches the driver.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -33,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SLICE, join_narrow, stash, texts_of
+from .common import SLICE, join_narrow, narrow as _narrow, stash, texts_of
 from .components import components
 
 _M1, _M2, _STEP = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53), np.uint64(0x9E3779B97F4A7C15)
@@ -42,9 +44,10 @@ _SHIFT = np.uint64(33)
 #: LARGE_MIN by runs of three; 0.8 * SMALL_MAX > LARGE_MIN, so that two linked
 #: sets always have one kind in common.
 SMALL_MAX, LARGE_MIN = 16, 10
-#: Lists of up to FEW members are compared by a join; a block of a longer one
-#: holds about BLOCK_VALUES shingles.
-FEW, BLOCK_VALUES = 40, 1_000_000
+#: Lists of up to FEW members are compared by a join, longer ones in blocks; by the same rule.
+FEW = 40
+#: Shingles that the partners in one part of a hub have together, and those of a block of a long list.
+HUB_VALUES, BLOCK_VALUES = 100_000, 1_000_000
 
 
 class _WordHash(dict):
@@ -117,32 +120,38 @@ def _keys(n: Column, s: Column) -> Column:
     return F.concat(F.when((n >= 4) & (n <= SMALL_MAX), two).otherwise(empty), F.when(n >= LARGE_MIN, three).otherwise(empty))
 
 
+def least_shared(k: int, threshold: float) -> int:
+    """How many of the ``k`` least values of a union both sets must hold: at a
+    similarity of ``threshold`` fewer are shared with a probability below 4e-8."""
+    tail = 0.0
+    for c in range(k + 1):
+        tail += math.comb(k, c) * threshold**c * (1 - threshold) ** (k - c)
+        if tail >= 4e-8:
+            return c
+    return k
+
+
+def _fits(threshold: float) -> Column:
+    """Whether the sizes allow a link."""
+    return F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * round(100 * threshold)
+
+
 def _estimated(pairs: DataFrame, sketches: DataFrame, k: int, threshold: float) -> DataFrame:
-    """Pairs whose sizes allow a link and whose union sketch makes it likely."""
+    """``a, b, n_b`` of pairs whose sizes allow a link and whose union sketch
+    doesn't rule it out; sketches that hold the whole sets are exact."""
     pairs = stash(pairs)
     sketches = join_narrow(sketches, stash(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()), "node", "left_semi")
     side = lambda x: sketches.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"s_{x}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
-    both = both.filter(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * round(100 * threshold))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").filter(_fits(threshold))
     union = F.slice(F.array_sort(F.array_union("s_a", "s_b")), 1, k)
     shared = F.size(F.array_intersect(F.array_intersect("s_a", "s_b"), union))
-    margin = 5 * (threshold * (1 - threshold) / k) ** 0.5
-    return both.filter(shared >= F.size(union) * (threshold - margin)).select("a", "b")
-
+    likely = F.when(F.size(union) < k, shared * 100 >= F.size(union) * round(100 * threshold)).otherwise(shared >= least_shared(k, threshold))
+    return both.filter(likely).select("a", "b", "n_b")
 
-def _sets_of(nodes: DataFrame, texts: DataFrame, size: int) -> DataFrame:
-    """The full shingle sets of some documents."""
-    schema = T.StructType([T.StructField("node", texts.schema["node"].dataType), T.StructField("s", T.ArrayType(T.LongType()))])
-    return join_narrow(texts, stash(nodes), "node", "left_semi").mapInArrow(_full_sets(size), schema).dropDuplicates(["node"])
 
-
-def _verified(pairs: DataFrame, texts: DataFrame, size: int, threshold: float) -> DataFrame:
-    """Pairs whose full sets have a Jaccard similarity of at least ``threshold``."""
-    sets = stash(_sets_of(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), texts, size))
-    side = lambda x: sets.select(F.col("node").alias(x), F.col("s").alias(f"s_{x}"))
-    shared = F.size(F.array_intersect("s_a", "s_b"))
-    union = F.size("s_a") + F.size("s_b") - shared
-    return pairs.join(side("a"), "a").join(side("b"), "b").filter(shared * 100 >= union * round(100 * threshold)).select(F.col("a").alias("u"), F.col("b").alias("v"))
+def _shared(a: np.ndarray, b: np.ndarray) -> int:
+    """How many values two sorted sets have in common."""
+    return int((a[np.minimum(np.searchsorted(a, b), len(a) - 1)] == b).sum()) if len(a) else 0
 
 
 def _links_of_block(threshold: float):
@@ -170,17 +179,63 @@ def _links_of_block(threshold: float):
 
 
 def _links_in_long_lists(rows: DataFrame, texts: DataFrame, size: int, threshold: float) -> DataFrame:
-    sets = stash(_sets_of(rows.select("node").distinct(), texts, size))
-    blocks = F.ceil(F.col("values") / BLOCK_VALUES).cast("int")
-    block = F.pmod(F.xxhash64("node"), blocks.cast("bigint"))
-    pairs = F.transform(F.sequence(F.lit(0).cast("bigint"), blocks.cast("bigint") - 1), lambda j: F.struct(F.least(block, j).alias("i"), F.greatest(block, j).alias("j")))
-    whole = F.struct(F.lit(0).cast("bigint").alias("i"), F.lit(0).cast("bigint").alias("j"))
-    columns = ["key", "node", "n", "part"]
-    dealt = rows.filter(blocks <= 1).select(*columns, whole.alias("b")).union(rows.filter(blocks > 1).select(*columns, F.explode(pairs).alias("b"))).join(sets, "node")
+    """Links between all pairs of different parts in each list, a task for each
+    pair of its blocks of about BLOCK_VALUES shingles."""
     kind = texts.schema["node"].dataType
+    nodes = stash(rows.select("node").distinct())
+    sets = join_narrow(texts, nodes, "node", "left_semi").mapInArrow(_full_sets(size), T.StructType([T.StructField("node", kind), T.StructField("s", T.ArrayType(T.LongType()))]))
+    sets = stash(sets.dropDuplicates(["node"]), nodes)
+    blocks = F.ceil(F.col("values") / BLOCK_VALUES)
+    block = F.pmod(F.xxhash64("node"), blocks)
+    pairs = F.transform(F.sequence(F.lit(0).cast("bigint"), blocks - 1), lambda j: F.struct(F.least(block, j).alias("i"), F.greatest(block, j).alias("j")))
+    dealt = join_narrow(sets, stash(rows.select("key", "node", "n", "part", F.explode(pairs).alias("b"))), "node")
     return dealt.groupBy("key", "b").applyInPandas(_links_of_block(threshold), T.StructType([T.StructField("u", kind), T.StructField("v", kind)]))
 
 
+def _links_of_hubs(size: int, threshold: float):
+    """Links of rows ``hub, part, second, node, text``: the hub's own row stands before those of its partners."""
+    least = round(100 * threshold)
+
+    def run(batches):
+        words, last, own = _WordHash(), None, None
+        for batch in batches:
+            for start in range(0, batch.num_rows, SLICE):
+                hubs, parts, seconds, nodes = (batch.column(c).slice(start, SLICE).to_pylist() for c in range(4))
+                u, v = [], []
+                for hub, part, second, node, text in zip(hubs, parts, seconds, nodes, texts_of(batch.column(4), start), strict=True):
+                    if (hub, part, second, node) == last:  # a repeated id
+                        continue
+                    last = (hub, part, second, node)
+                    s = shingle_hashes(text, size, words)
+                    if not second:
+                        own = s
+                        continue
+                    shared = _shared(own, s)
+                    if shared * 100 >= (len(own) + len(s) - shared) * least:
+                        u.append(hub)
+                        v.append(node)
+                yield pa.RecordBatch.from_arrays([pa.array(u, batch.column(0).type), pa.array(v, batch.column(0).type)], ["u", "v"])
+
+    return run
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, size: int, threshold: float) -> DataFrame:
+    """Pairs ``a, b, n_b`` whose full sets have a Jaccard similarity of at least ``threshold``.
+
+    Texts travel, which are smaller than their sets, to the parts of ``a``:
+    each of about HUB_VALUES shingles of its partners.  A task holds one set
+    of a hub and one of a partner at a time.
+    """
+    hubs = stash(pairs.groupBy("a").agg(F.ceil(F.sum("n_b") / HUB_VALUES).alias("parts")))
+    placed = join_narrow(pairs, hubs, "a").select(F.col("a").alias("hub"), F.pmod(F.xxhash64("b"), F.col("parts")).alias("part"), "b")
+    seconds = placed.select("hub", "part", F.lit(True).alias("second"), F.col("b").alias("node"))
+    firsts = placed.select("hub", "part").distinct().select("hub", "part", F.lit(False).alias("second"), F.col("hub").alias("node"))
+    wanted = stash(firsts.union(seconds))
+    sent = join_narrow(texts, wanted, "node").select("hub", "part", "second", "node", "text").repartition("hub", "part").sortWithinPartitions("hub", "part", "second", "node")
+    kind = texts.schema["node"].dataType
+    return sent.mapInArrow(_links_of_hubs(size, threshold), T.StructType([T.StructField("u", kind), T.StructField("v", kind)]))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, threshold: float = 0.8, k: int = 48) -> DataFrame:
     """One row per input row: the id under its own name, ``n_shingles``,
     ``component_id`` (least id that links lead to, itself included) and
@@ -196,6 +251,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ``threshold`` is taken to two decimals, and 0.8 is the least for which the
     lists' miss probability holds.
     """
+    return _near_duplicates(docs, id_col, text_col, shingle_words, threshold, k)[0]
+
+
+def _near_duplicates(docs: DataFrame, id_col: str, text_col: str = "text", shingle_words: int = 5, threshold: float = 0.8, k: int = 48) -> tuple[DataFrame, list[DataFrame]]:
+    """:func:`near_duplicates` and the stashes that its result reads."""
     if threshold < 0.8:
         raise ValueError("runs of retained values find similarities of 0.8 or more")
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
@@ -217,24 +277,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     stars = members.select(F.explode(F.array(F.struct(F.col("lo").alias("a"), F.col("node").alias("b")), F.struct(F.col("node").alias("a"), F.col("hi").alias("b")))).alias("p")).select("p.a", "p.b")
     pairs = stars.filter("a <> b").union(lists.filter("size = 2").select("lo", "hi")).distinct()
     texts = docs.filter("id is not null").select(F.col("id").alias("node"), "text")
-    likely = stash(_estimated(pairs, sketches, k, threshold))
-    links = stash(_verified(likely, texts, shingle_words, threshold))
+    links = stash(_verified(stash(_estimated(pairs, sketches, k, threshold)), texts, shingle_words, threshold))
     found = stash(components(links))
 
-    placed = members.join(found, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("part"))
-    split = placed.groupBy("key").agg(F.count("*").alias("c"), F.sum("n").alias("values"), F.min("part").alias("x"), F.max("part").alias("y")).filter("x <> y")
-    open_rows = stash(placed.join(split.select("key", "c", "values"), "key"))
+    placed = join_narrow(members, found, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("part"))
+    split = stash(placed.groupBy("key").agg(F.count("*").alias("c"), F.sum("n").alias("values"), F.min("part").alias("x"), F.max("part").alias("y")).filter("x <> y").select("key", "c", "values"))
+    open_rows = stash(join_narrow(placed, split, "key"), members, split)
     few = open_rows.filter(F.col("c") <= FEW)
     left = few.select("key", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("part").alias("p_a"))
     right = few.select("key", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("part").alias("p_b"))
-    fits = (F.col("a") < F.col("b")) & (F.col("p_a") != F.col("p_b")) & (F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * round(100 * threshold))
-    rest = left.join(right, "key").filter(fits).select("a", "b").distinct()
-    links2 = _verified(stash(_estimated(rest, sketches, k, threshold)), texts, shingle_words, threshold)
-    links3 = _links_in_long_lists(open_rows.filter(F.col("c") > FEW), texts, shingle_words, threshold)
-    joined = components(found.select(F.col("node").alias("u"), F.col("component").alias("v")).union(links2).union(links3))
+    rest = left.join(right, "key").filter((F.col("a") < F.col("b")) & (F.col("p_a") != F.col("p_b")) & _fits(threshold))
+    rest = stash(rest.select("a", "b", "n_b").distinct())
+    more = _verified(rest, texts, shingle_words, threshold).union(_links_in_long_lists(open_rows.filter(F.col("c") > FEW), texts, shingle_words, threshold))
+    joined = stash(components(found.select(F.col("node").alias("u"), F.col("component").alias("v")).union(more)), links, found, rest, open_rows)
 
     out = rows.join(joined.withColumnRenamed("component", "part"), "node", "left").withColumn("component_id", F.coalesce("part", "node"))
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept")), [signed, repeated, joined]
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
@@ -242,8 +300,11 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", **options) -> Data
 
     Of rows that repeat an id only one stays; rows without an id all stay.
     """
-    kept = near_duplicates(docs, id_col, **options).filter(F.col("kept") & F.col(id_col).isNotNull()).select(F.col(id_col).alias("__kept_id")).distinct()
-    named = docs.join(stash(kept), docs[id_col] == F.col("__kept_id"), "left_semi")
-    if not named.groupBy(id_col).count().filter("count > 1").limit(1).isEmpty():
-        named = named.dropDuplicates([id_col])
-    return named.union(docs.filter(F.col(id_col).isNull()))
+    found, read = _near_duplicates(docs, id_col, **options)
+    per = found.filter(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__id")).agg(F.max("kept").alias("__kept"), F.count("*").alias("__n"))
+    per = stash(per.filter("not __kept or __n > 1"), *read)
+    left = docs.join(_narrow(per), docs[id_col] == F.col("__id"), "left_anti")
+    repeated = stash(per.filter("__kept"))
+    if repeated.isEmpty():
+        return left
+    return left.union(docs.join(_narrow(repeated), docs[id_col] == F.col("__id"), "left_semi").dropDuplicates([id_col]))  # only their rows are shuffled
