@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+import math
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -65,7 +68,7 @@ def test_disclosing_terms(spark):
     terms = {r.term for r in pii.disclosing_terms(df).collect()}
     assert "zebulon" in terms and not terms & {"the", "call"}
     out = {r.doc_id: r for r in pii.find_personal_data(df).collect()}
-    assert "[EMAIL]" in out[0].text and "[TERM]" in out[0].text and "Zebulon" not in out[0].text
+    assert "[EMAIL]" in out[0].text and "[EMAIL TERM]" in out[0].text and "Zebulon" not in out[0].text
     assert out[60].spans == [] and out[60].text == "" and out[7].text == rows[7][1]
     clean = {r.doc_id: r.text for r in pii.sanitise(df).collect()}
     assert clean[0] == out[0].text and clean[60] is None
@@ -135,7 +138,7 @@ def test_many_terms_are_joined_instead_of_collected(spark, monkeypatch):
     monkeypatch.setattr(pii, "disclosing_terms", lambda *_, **__: terms)
     whole, clean = everything(), sorted(map(str, pii.sanitise(df).collect()))
     monkeypatch.setattr(pii, "BLOCK_TERMS", 1)
-    assert pii._with_terms(df, "text", terms)[1] == frozenset()
+    assert not pii._with_terms(df, "text", terms)[1]
     assert everything() == whole and sorted(map(str, pii.sanitise(df).collect())) == clean
     assert sum("[TERM]" in r for r in clean) == 21
 
@@ -191,3 +194,109 @@ def test_small_noise_and_long_comments_go():
     for page in (f"<body><div><p>{LONG}</p></div><div class='comments'>{talk}</div></body>", f"<body><article><p>{LONG}</p></article><div class='related'>{talk}</div></body>", f"<body><div><p>{LONG}</p></div><form>Search</form></body>"):
         assert html_extract.main_text(page) == squeezed(LONG)
     assert html_extract.main_text("<body><div class='comments'>one</div><div class='sidebar'>two</div></body>") != ""
+
+
+def test_decoding_is_the_best_of_all_readings():
+    """Against every reading of short spans, each character as all it may be."""
+    rnd = np.random.default_rng(3)
+    cost = -np.log(rnd.dirichlet(np.ones(27), (27, 27)))
+
+    def price(reading: str) -> float:
+        codes = [0, 0, *(0 if c == " " else ord(c) - 96 for c in reading), 0]
+        return sum(cost[codes[k - 2], codes[k - 1], codes[k]] for k in range(2, len(codes)))
+
+    def least(span: str, boundaries: bool) -> float:
+        found = {"": 0.0}
+        for read, any_letter, drop, gap in toxicity._options(span):
+            later: dict[str, float] = {}
+            for text, spent in found.items():
+                ways = [(text + chr(96 + k), p) for k, p in read] + ([(text + chr(96 + k), toxicity.MASKED) for k in range(1, 27)] if any_letter else [])
+                ways += [(text, drop)] * (drop is not None) + [(text + " ", 0.0)] * (gap and boundaries and text[-1:] not in ("", " "))
+                for t, p in ways:
+                    later[t] = min(later.get(t, np.inf), spent + p)
+            found = later
+        return min(spent + price(t) for t, spent in found.items())
+
+    def spent_on(span: str, reading: str, boundaries: bool) -> float:
+        found = {0: 0.0}  # letters of the reading so far
+        for read, any_letter, drop, gap in toxicity._options(span):
+            later: dict[int, float] = {}
+            for at, spent in found.items():
+                want = reading[at : at + 1]
+                ways = [(at + 1, p) for k, p in read if want == chr(96 + k)] + [(at + 1, toxicity.MASKED)] * (any_letter and want.isalpha())
+                ways += [(at, drop)] * (drop is not None) + [(at + 1, 0.0)] * (gap and boundaries and want == " ")
+                for t, p in ways:
+                    later[t] = min(later.get(t, np.inf), spent + p)
+            found = later
+        return found[len(reading)] + price(reading)
+
+    for span in ["h3ll0", "s t u p", "i*i0t", "aaab!", "1d.1ot", "$$#", "b_a d", "x", "é5 t"]:
+        for boundaries in (False, True):
+            got = toxicity.decode(span, cost, boundaries)
+            assert spent_on(span, got, boundaries) == pytest.approx(least(span, boundaries))
+
+
+def test_long_texts_take_linear_time():
+    began = time.time()
+    word = "ab" * 500_000
+    assert toxicity.scanned(word)[0] == {word} and toxicity._drawn(word + "ccc") == [word + "ccc"]
+    assert pii.base_spans("1" * 1_000_000) == [] and pii.identifier_spans("1.2.3." + "4" * 500_000) == []
+    assert pii.base_spans("1.2.3.4.5.6.7.8 ") == [(0, 7, "ip"), (8, 15, "ip")]
+    page = "<body>" + "<div>" * 50_000 + "text " * 200 + "</div>" * 50_000
+    assert len(html_extract.main_text(page)) == 999
+    assert toxicity.decode("4b" * 100_000, np.ones((27, 27, 27))) == "ab" * 100_000
+    assert len(html_extract.main_text("<body>" + "<div class='ad'>" * 50_000 + "text " * 200 + "</b>" * 50_000)) == 999
+    assert time.time() - began < 30
+
+
+def test_secrets_and_the_words_that_announce_kinds(spark):
+    key = lambda i: hashlib.sha1(str(i).encode()).hexdigest()
+    rows = [(i, f"some of the words t{chr(97 + i % 26)}x passkey = {key(i)} of filler{i}") for i in range(40)]
+    rows += [(i, f"some of the words without any filler{i}") for i in range(40, 600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    terms = {(r.term, r.entity) for r in pii.disclosing_terms(df).collect()}
+    assert terms == {("passkey", "secret:*")}
+    out = {r.doc_id: r for r in pii.find_personal_data(df).collect()}
+    assert "[SECRET TERM] = [SECRET] of" in out[3].text and key(3) not in out[3].text and out[50].text == rows[50][1]
+    assert pii.identifier_spans("a" * 60) == [] and pii.identifier_spans("x" + key(1)) != []
+
+
+def test_term_counts_against_brute_force(spark):
+    rnd = random.Random(2)
+    texts = [" ".join(rnd.choices([f"w{chr(97 + k)}{chr(97 + k)}" for k in range(20)], k=6) + (["jo@a.org"] if rnd.random() < 0.1 else [])) for _ in range(300)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts + texts[:50])], "doc_id long, text string")
+    got = {(r.term, r.entity): (round(r.share, 9), round(r.bits, 9)) for r in pii.disclosing_terms(df, min_share=0.05, min_bits=0.1, kind_share=0.05, kind_texts=2).collect()}
+    once = set(texts)
+    holds = {t for t in once if "@" in t}
+    want = {}
+    for w in {x for t in once for x in t.split() if "@" not in x}:
+        both, df_w = sum(w in t.split() for t in holds), sum(w in t.split() for t in once)
+        share = both / (df_w + 1)
+        bits = math.log2(share * len(once) / len(holds)) if both else 0
+        if both >= 2 and share >= 0.05 and bits >= 0.1:
+            want |= {(w, e): (round(share, 9), round(bits, 9)) for e in ("email:jo@a.org", "email:*")}
+    assert want and got == want
+
+
+def test_density_decides_where_tags_and_names_are_silent():
+    links = "".join(f"<li><a href='/{k}'>Some page {k}</a></li>" for k in range(40))
+    text = "".join(f"<p>{'A sentence of the story that goes on. ' * 6}{k}</p>" for k in range(8))
+    page = f"<html><body><div><ul>{links}</ul></div><div><div>{text}</div></div><div><span>a</span><b>b</b><i>c</i></div></body></html>"
+    got = html_extract.main_text(page)
+    assert "Some page" not in got and got.count("\n") == 7 and got.startswith("A sentence")
+    # with the same tags and more to read in it than links, a part is kept
+    swapped = page.replace("<li><a", "<li><b").replace("</a></li>", f"</b>{'and words. ' * 30}</li>")
+    assert "Some page 7" in html_extract.main_text(swapped)
+
+
+@pytest.mark.parametrize("kind", ["toxicity", "pii", "sanitise", "quality", "html"])
+def test_empty_tables_and_clashing_names(spark, kind):
+    names = ["id", "spans", "score", "term", "h", "copies", "y", "n", "terms"]
+    rows = [(1, "short text here", "x", *names), (1, "short text here", "x", *names), (None, None, None, *names), (2, "", "y", *names), (3, "long " * 50_000, "z", *names)]
+    docs = spark.createDataFrame(rows, ["doc_id", "text", "url", *names])
+    labels = spark.createDataFrame([(1, 1, 0), (2, 0, 1), (None, 1, 1)], "doc_id long, toxic int, quality int")
+    run = {
+        "toxicity": lambda d: toxicity.score_toxicity(d, toxicity.fit(d, labels)), "pii": pii.find_personal_data, "sanitise": lambda d: pii.sanitise(d, chars_col=None),
+        "quality": lambda d: quality.score_quality(d, quality.fit(d, labels)), "html": lambda d: html_extract.extract(d, "doc_id", "text"),
+    }[kind]
+    assert run(docs).count() == 5 and run(docs.limit(0)).count() == 0

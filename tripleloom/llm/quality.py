@@ -14,6 +14,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import sampled
+
 
 def _count(text: Column, pattern: str) -> Column:
     """Characters that match a character class."""
@@ -133,8 +135,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     with one kind only, every score is the share of label 1 (0.5 without any).
     """
     labels = labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).alias("y"))
-    share = max_rows / max(labels.count(), 1)
-    chosen = labels.filter(F.pmod(F.xxhash64(F.lit("quality"), "id"), F.lit(1_000_000)) < int(min(1.0, share) * 1_000_000))
+    chosen = sampled(labels, "quality", max_rows)
     sample = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(chosen), "id")  # bounded by max_rows
     stats = statistics(F.col("text"))
     rows = sorted(map(tuple, sample.select("y", *[c.cast("double").alias(k) for k, c in stats.items()]).collect()))

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SLICE, stash, texts_of
+from .common import SLICE, sampled, stash, texts_of
 
 #: What a sign may imitate.
 IMITATES = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "¡": "i", "¥": "y", "§": "s"}
@@ -34,7 +34,7 @@ IMITATE, MASKED, GAP, REPEAT_SECOND, REPEAT_LATER = 1.0, 3.0, 0.3, 6.0, 0.1
 #: The log odds of a text with one term that is enough by itself.
 SURE = 3.0
 
-_DRAWN = re.compile(r"\w*([^\W\d_])\1\1\w*")
+_RUN, _DRAWN = re.compile(r"\w+"), re.compile(r"([^\W\d_])\1\1")
 _APART = re.compile(r"(?<![^\W_])[^\W_](?:[ .\-_~*/,]{1,2}[^\W_](?![^\W_])){2,}")
 _WORD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)*")
 _EDGES = ".,;:?\"'()[]{}<>#%&*=~^`/\\-_"
@@ -90,6 +90,24 @@ def language_model(counts: DataFrame) -> np.ndarray:
     return -np.log((tri + 20 * two[None]) / (tri.sum(2)[..., None] + 20))
 
 
+def _options(span: str) -> list[tuple[list[tuple[int, float]], bool, float | None, bool]]:
+    """For each character: the letters it may be read as with their prices,
+    whether it may be any, the price of leaving it out (None: it can't be), and
+    whether it is a gap."""
+    out, run, previous = [], 0, ""
+    for ch in span.lower():
+        run = run + 1 if ch == previous else 1
+        previous = ch
+        letter = ch.translate(ACCENTS)
+        read = [(ord(letter) - 96, 0.0)] if letter in LETTERS else []
+        read += [(ord(x) - 96, IMITATE + 0.3 * k) for k, x in enumerate(IMITATES.get(ch, ""))]
+        gap = ch in GAPS or ch in ANY_LETTER
+        # the first of a run is always read, so what repeats it may be left out
+        drop = GAP if gap else (REPEAT_SECOND if run == 2 else REPEAT_LATER) if run > 1 and read else None if read else 1.0
+        out.append((read, ch in ANY_LETTER, drop, ch in GAPS))
+    return out
+
+
 def decode(span: str, cost: np.ndarray, boundaries: bool = False) -> str:
     """The likeliest reading of ``span``; with ``boundaries`` a gap may also be
     read as a blank, so that the reading may be several words.
@@ -98,42 +116,23 @@ def decode(span: str, cost: np.ndarray, boundaries: bool = False) -> str:
     most.  The work is linear in the length of the span.
     """
     beam: dict = {(0, 0): (0.0, None)}
-    run, previous = 0, ""
-    for ch in span.lower():
-        run = run + 1 if ch == previous else 1
-        previous = ch
-        letter = ch.translate(ACCENTS)
-        options: list[tuple[str, float]] = []
-        if letter in LETTERS:
-            options.append((letter, 0.0))
-        options += [(x, IMITATE + 0.3 * k) for k, x in enumerate(IMITATES.get(ch, ""))]
-        later: dict = {}
-        if ch in ANY_LETTER:
-            later = _masked(beam, cost)
-        gap = ch in GAPS or ch in ANY_LETTER
-        # the first of a run is always read, so what repeats it may be left out
-        drop = GAP if gap else (REPEAT_SECOND if run == 2 else REPEAT_LATER) if run > 1 and options else None if options else 1.0
+    for read, any_letter, drop, gap in _options(span):
+        later: dict = _masked(beam, cost) if any_letter else {}
         for (a, b), (spent, back) in beam.items():
-            for x, price in options:
-                code = ord(x) - 96
-                total = spent + price + cost[a, b, code]
-                key = (b, code)
+            for code, price in [*read, (0, 0.0)] if gap and boundaries and b else read:
+                total, key = spent + price + cost[a, b, code], (b, code)
                 if key not in later or total < later[key][0]:
-                    later[key] = (total, (back, x))
+                    later[key] = (total, (back, code))
             if drop is not None:
                 total, key = spent + drop, (a, b)
                 if key not in later or total < later[key][0]:
                     later[key] = (total, back)
-            if boundaries and ch in GAPS and b:
-                total, key = spent + cost[a, b, 0], (b, 0)
-                if key not in later or total < later[key][0]:
-                    later[key] = (total, (back, " "))
         beam = later
     best = min(beam.items(), key=lambda kv: kv[1][0] + cost[kv[0][0], kv[0][1], 0])
     letters, back = [], best[1][1]
     while back is not None:
-        back, x = back
-        letters.append(x)
+        back, code = back
+        letters.append(chr(96 + code) if code else " ")
     return "".join(reversed(letters))
 
 
@@ -143,9 +142,8 @@ def _masked(beam: dict, cost: np.ndarray) -> dict:
     for key, (price, _) in beam.items():
         spent[key] = price
     total = spent[:, :, None] + MASKED + cost[:, :, 1:]
-    before = total.argmin(0)
-    least = total.min(0)
-    return {(b, k + 1): (float(least[b, k]), (beam[int(before[b, k]), b][1], LETTERS[k])) for b in {key[1] for key in beam} for k in range(26)}
+    before, least = total.argmin(0), total.min(0)
+    return {(b, k): (float(least[b, k - 1]), (beam[int(before[b, k - 1]), b][1], k)) for b in {key[1] for key in beam} for k in range(1, 27)}
 
 
 def readings(span: str, cost: np.ndarray) -> set[str]:
@@ -162,7 +160,7 @@ def _drawn(text: str) -> list[str]:
     same = raw[1:] == raw[:-1]
     if len(raw) < 3 or not (same[1:] & same[:-1] & (raw[2:] >= 65)).any():
         return []
-    return [m[0] for m in _DRAWN.finditer(text)]
+    return [m[0] for m in _RUN.finditer(text) if _DRAWN.search(m[0])]
 
 
 def _apart(text: str, tokens: list[str]) -> list[str]:
@@ -271,19 +269,18 @@ def _least_share(y: int, n: int, z: float = 1.645) -> float:
     return (p + z * z / 2 / n - z * math.sqrt(p * (1 - p) / n + z * z / 4 / n / n)) / (1 + z * z / n)
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = 40_000, max_terms: int = 4_000) -> ToxicityModel:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = 40_000) -> ToxicityModel:
     """A model from documents and the labels of some of them.
 
     Every text counts for the language model.  At most about ``max_rows``
-    labelled documents, chosen by a hash of the id, teach the weights, and at
-    most ``max_terms`` terms get one.  Null labels are left out, of several
+    labelled documents, chosen by a hash of the id, teach the weights; every
+    term of theirs that stands out gets one.  Null labels are left out, of several
     labels of an id the largest counts.  Without labels every score is that of
     the bias.
     """
     cost = language_model(character_counts(docs, text_col))
     labels = labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).alias("y"))
-    share = max_rows / max(labels.count(), 1)
-    chosen = labels.filter(F.pmod(F.xxhash64(F.lit("toxic"), "id"), F.lit(1_000_000)) < int(min(1.0, share) * 1_000_000))
+    chosen = sampled(labels, "toxic", max_rows)
     sample = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(chosen), "id")  # bounded by max_rows
     words = stash(sample.select("y", "text").mapInArrow(_word_lists(cost), "y int, terms array<string>"))
 
@@ -292,7 +289,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     base = positive / n if n else 0.0
     counted = words.select("y", F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n"), F.sum("y").alias("y")).filter("y >= 4")
     z = (F.col("y") - F.col("n") * base) / F.sqrt(F.col("n") * max(base * (1 - base), 1e-9))
-    best = counted.filter((F.col("y") > 1.5 * base * F.col("n")) & (z > 4)).orderBy(z.desc(), "term").limit(max_terms).collect()
+    best = counted.filter((F.col("y") > 1.5 * base * F.col("n")) & (z > 4)).orderBy("term").collect()  # bounded by max_rows
     terms = [r["term"] for r in best]
     index = {t: i for i, t in enumerate(terms)}
 
