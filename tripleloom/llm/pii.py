@@ -1,12 +1,16 @@
 """Personal data: formatted identifiers, and terms that give them away.
 
-*Identifiers* are e-mail addresses, IPv4 addresses, payment cards and phone
-numbers.  *Terms* are found by information-theoretic sanitisation: the corpus
-tells how many texts hold a word together with a protected identifier and how
-many hold it at all.  A word discloses an identifier if seeing the word makes the
-identifier likely, p(e|t) >= ``min_share``, and tells many bits about it,
-log2(p(e|t) / p(e)) >= ``min_bits``.  Such words are spans of kind ``term``;
-sanitised texts have every span generalised to its kind.
+*Identifiers* are e-mail addresses, IPv4 addresses, payment cards, phone
+numbers and secrets (keys and tokens: long mixed runs of letters and digits).
+*Terms* are found by information-theoretic sanitisation: the corpus tells how
+many texts hold a word together with a protected identifier and how many hold it
+at all.  A word discloses an identifier if seeing the word makes the identifier
+likely, p(e|t) >= ``min_share``, and tells many bits about it,
+log2(p(e|t) / p(e)) >= ``min_bits``.  As most identifiers occur once, all of a
+kind are an entity too: a word that is hardly ever seen without one of them
+discloses the kind.  Such words are spans of kind ``term``.  Sanitised texts
+have identifiers generalised to their kind, and terms to the kind that they
+disclose.
 """
 
 from __future__ import annotations
@@ -20,19 +24,25 @@ from pyspark.sql import functions as F
 
 from .common import SLICE, join_narrow, stash, texts_of
 
-KINDS = ("email", "ip", "card", "phone", "term")
+KINDS = ("email", "ip", "card", "phone", "secret", "term")
 BASE_KINDS = KINDS[:4]
 #: Terms that may travel with the tasks; more of them meet the texts in a join.
 BLOCK_TERMS = 200_000
+#: Ends the name of the entity that stands for all identifiers of a kind.
+ANY = ":*"
 #: Words that a task counts before it hands the counts on.
 MOST_WORDS = 200_000
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
-_IP = re.compile(r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
+# a match starts a run of digits and takes each whole, so that failing runs cost their length only
+_IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _WORD = re.compile(r"[^\W\d_]{3,}")
+_LONG = re.compile(r"[A-Za-z0-9_+/=-]{24,}+")
+#: Changes between letters and digits that a secret has at least, for each eight characters.
+_MIXED = re.compile(r"[A-Za-z][0-9]|[0-9][A-Za-z]")
 
 Span = tuple[int, int, str]
 
@@ -78,13 +88,24 @@ def base_spans(text: str) -> list[Span]:
     return sorted(out, key=lambda s: (s[0], KINDS.index(s[2])))
 
 
+def secret_spans(text: str, taken: list[Span]) -> list[Span]:
+    """Long runs of letters and digits, well mixed, outside of the spans taken."""
+    found = [(m.start(), m.end()) for m in _LONG.finditer(text) if 8 * len(_MIXED.findall(m[0])) >= len(m[0])]
+    return [(a, b, "secret") for a, b in found if all(b <= s[0] or s[1] <= a for s in taken)] if found else []
+
+
+def identifier_spans(text: str) -> list[Span]:
+    found = base_spans(text)
+    return sorted(found + secret_spans(text, found), key=lambda s: (s[0], KINDS.index(s[2])))
+
+
 def entity_of(text: str, span: Span) -> str:
     """An identifier's canonical form."""
     value = text[span[0] : span[1]]
-    return f"{span[2]}:{value.lower() if span[2] in ('email', 'ip') else re.sub('[^0-9]', '', value)}"
+    return f"{span[2]}:{value if span[2] == 'secret' else value.lower() if span[2] in ('email', 'ip') else re.sub('[^0-9]', '', value)}"
 
 
-def term_spans(text: str, terms: set[str], taken: list[Span]) -> list[Span]:
+def term_spans(text: str, terms, taken: list[Span]) -> list[Span]:
     """Occurrences of the terms outside of the spans taken."""
     out, k = [], 0
     taken = sorted(taken)
@@ -92,25 +113,24 @@ def term_spans(text: str, terms: set[str], taken: list[Span]) -> list[Span]:
         if m[0].lower() in terms:
             while k < len(taken) and taken[k][1] <= m.start():
                 k += 1
-            if all(m.end() <= s[0] or s[1] <= m.start() for s in taken[k : k + len(BASE_KINDS)]):
+            if all(m.end() <= s[0] or s[1] <= m.start() for s in taken[k : k + len(KINDS)]):
                 out.append((m.start(), m.end(), "term"))
     return out
 
 
-def all_spans(text: str, blocks: list[frozenset[str]]) -> list[Span]:
+def all_spans(text: str, terms) -> list[Span]:
     """Identifiers and terms, by start and then kind as listed."""
-    found = base_spans(text)
-    for terms in blocks:
-        if terms:
-            found = found + term_spans(text, terms, found)
-    return sorted(found, key=lambda s: (s[0], KINDS.index(s[2])))
+    found = identifier_spans(text)
+    return sorted(found + term_spans(text, terms, found), key=lambda s: (s[0], KINDS.index(s[2]))) if terms else found
 
 
-def generalised(text: str, spans: list[Span]) -> str:
+def generalised(text: str, spans: list[Span], kinds: dict[str, str]) -> str:
+    """Identifiers as ``[EMAIL]``, terms as ``[EMAIL TERM]`` by ``kinds``, the kind that a term discloses."""
     out, at = [], 0
     for start, end, kind in spans:
         if start >= at:
-            out += [text[at:start], f"[{kind.upper()}]"]
+            name = f"{kinds.get(text[start:end].lower(), '')} term".strip() if kind == "term" else kind
+            out += [text[at:start], f"[{name.upper()}]"]
         at = max(at, end)
     return "".join([*out, text[at:]])
 
@@ -138,13 +158,13 @@ def _gathered(batches):
         for start in range(0, batch.num_rows, SLICE):
             held: dict[str, list] = {"weight": [], "entities": [], "words": []}
             for text, weight in zip(texts_of(batch.column(0), start), batch.column(1).slice(start, SLICE).to_pylist(), strict=True):
-                spans = base_spans(text)
+                spans = identifier_spans(text)
                 words = words_of(text, spans)
                 for w in words:
                     total[w] = total.get(w, 0.0) + weight
                 if spans:
                     held["weight"].append(weight)
-                    held["entities"].append(sorted({entity_of(text, s) for s in spans}))
+                    held["entities"].append(sorted({entity_of(text, s) for s in spans} | {f"{s[2]}{ANY}" for s in spans}))
                     held["words"].append(sorted(words))
             yield rows(**held)
             if len(total) > MOST_WORDS:
@@ -158,36 +178,39 @@ def _words_by_key(batches):
         for start in range(0, batch.num_rows, SLICE):
             keys, terms = [], []
             for key, text in zip(batch.column(0).slice(start, SLICE).to_pylist(), texts_of(batch.column(1), start), strict=True):
-                words = sorted(words_of(text, base_spans(text)))
+                words = sorted(words_of(text, identifier_spans(text)))
                 keys += [key] * len(words)
                 terms += words
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(terms, pa.string())], ["__key", "term"])
 
 
-def _with_terms(docs: DataFrame, text_col: str, terms: DataFrame) -> tuple[DataFrame, frozenset[str]]:
-    """``docs`` with ``__terms``, and the terms to look for in every text.
+def _with_terms(docs: DataFrame, text_col: str, terms: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` with ``__terms``, and the terms to look for in every text with
+    the kind that each discloses (of several the first by name).
 
     Up to BLOCK_TERMS terms, counted before, travel with the tasks; of more of
     them each row gets those that its text holds, by a join.
     """
-    terms = stash(terms.select("term").distinct())
-    none = F.lit(None).cast("array<string>")
+    kind = F.substring_index("entity", ":", 1) if "entity" in terms.columns else F.lit("")
+    terms = stash(terms.groupBy("term").agg(F.min(kind).alias("kind")))
     if terms.count() <= BLOCK_TERMS:
-        return docs.withColumn("__terms", none), frozenset(r["term"] for r in terms.collect())
+        return docs.withColumn("__terms", F.lit(None).cast("map<string,string>")), {r["term"]: r["kind"] for r in terms.collect()}
     keyed = stash(docs.withColumn("__key", F.expr("uuid()")))
     words = keyed.select("__key", F.col(text_col).cast("string")).mapInArrow(_words_by_key, "__key string, term string")
-    own = words.join(terms, "term").groupBy("__key").agg(F.collect_list("term").alias("__terms"))
-    return keyed.join(own, "__key", "left").drop("__key"), frozenset()
+    own = words.join(terms, "term").groupBy("__key").agg(F.map_from_entries(F.collect_list(F.struct("term", "kind"))).alias("__terms"))
+    return keyed.join(own, "__key", "left").drop("__key"), {}
 
 
-def disclosing_terms(docs: DataFrame, text_col: str = "text", min_texts: int = 2, min_share: float = 0.5, min_bits: float = 3.0) -> DataFrame:
-    """``term, entity, share, bits``: words that disclose an identifier.
+def disclosing_terms(docs: DataFrame, text_col: str = "text", min_texts: int = 2, min_share: float = 0.5, min_bits: float = 3.0, kind_texts: int = 20, kind_share: float = 0.9) -> DataFrame:
+    """``term, entity, share, bits``: words that disclose an identifier, or a
+    kind of them (entities like ``email:*``).
 
     All counts are of distinct texts, so copies of a text are no evidence, and
     a word goes with an identifier if a text holds both, however far apart.
     A share is smoothed by one more text with the term but not the identifier;
-    an identifier in ``min_texts`` texts can have terms.  No identifiers give
-    no rows.
+    an identifier in ``min_texts`` texts can have terms.  A word discloses a
+    kind if ``kind_texts`` texts or more hold both and its share is at least
+    ``kind_share``.  No identifiers give no rows.
     """
     text = docs.select(F.col(text_col).cast("string").alias("text")).filter("text <> ''").withColumn("h", F.xxhash64("text"))
     sizes = stash(text.groupBy("h").agg(F.count("*").alias("copies")))
@@ -198,24 +221,28 @@ def disclosing_terms(docs: DataFrame, text_col: str = "text", min_texts: int = 2
     number = lambda c: F.round(F.sum(c)).cast("long")
     held = seen.filter("entities is not null").select("weight", F.explode("entities").alias("entity"), "words")
     # others can't reach the bits, whatever their terms
-    often = held.groupBy("entity").agg(number("weight").alias("n_e")).filter((F.col("n_e") >= min_texts) & (F.col("n_e") * 2.0**min_bits <= totals))
+    pooled = F.endswith("entity", F.lit(ANY))
+    enough, likely = (F.when(pooled, of_kind).otherwise(of_one) for of_kind, of_one in ((kind_texts, min_texts), (kind_share, min_share)))
+    often = held.groupBy("entity").agg(number("weight").alias("n_e")).filter((F.col("n_e") >= enough) & (F.col("n_e") * 2.0**min_bits <= totals))
     often = stash(often)
-    near = join_narrow(held, often, "entity").select("entity", "n_e", "weight", F.explode("words").alias("term")).groupBy("entity", "term").agg(F.first("n_e").alias("n_e"), number("weight").alias("n_et")).filter(F.col("n_et") >= min_texts)
+    near = join_narrow(held, often, "entity").select("entity", "n_e", "weight", F.explode("words").alias("term")).groupBy("entity", "term").agg(F.first("n_e").alias("n_e"), number("weight").alias("n_et")).filter(F.col("n_et") >= enough)
     df = seen.filter("term is not null").groupBy("term").agg(number("df").alias("df"))
     share = F.col("n_et") / (F.col("df") + 1)
     known = near.join(df, "term").withColumn("share", share).withColumn("bits", F.log2(F.col("share") * totals / F.col("n_e")))
-    return known.filter((F.col("share") >= min_share) & (F.col("bits") >= min_bits)).select("term", "entity", "share", "bits")
+    return stash(known.filter((F.col("share") >= likely) & (F.col("bits") >= min_bits)).select("term", "entity", "share", "bits"), sizes, seen, often)
 
 
 def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", terms: DataFrame | None = None, **options) -> DataFrame:
     """One row per input row: id, ``spans`` (array of start, end, kind by start
-    and kind; code points, end exclusive), ``text`` with each span generalised
-    to its kind in brackets.
-
-    ``terms`` are those of :func:`disclosing_terms` unless given.  Null and
-    empty texts have no spans and become empty.  Where spans overlap, the text
-    gets the kind of the first.  Repeated rows are treated alike; other
-    columns are ignored.
+    and kind; code points, end exclusive), ``text`` with identifiers
+    generalised to their kind and terms to the kind that they disclose.
+
+    ``terms(term, entity)`` are those of :func:`disclosing_terms` unless given;
+    without entities they disclose no kind.
+    Null and empty texts have no spans and become empty; very long ones are
+    read whole, in time linear in their length.  Where spans overlap, the text
+    gets the kind of the first.  Repeated rows are treated alike, other columns
+    are ignored, no rows give no rows.
     """
     terms = terms if terms is not None else disclosing_terms(docs, text_col, **options)
     marked, known = _with_terms(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")), "text", terms)
@@ -227,9 +254,10 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             for start in range(0, batch.num_rows, SLICE):
                 spans, clean = [], []
                 for text, own in zip(texts_of(batch.column(1), start), batch.column(2).slice(start, SLICE).to_pylist(), strict=True):
-                    found = all_spans(text, [known, frozenset(own or ())])
+                    kinds = known or dict(own or ())
+                    found = all_spans(text, kinds)
                     spans.append([{"start": a, "end": b, "kind": k} for a, b, k in found])
-                    clean.append(generalised(text, found))
+                    clean.append(generalised(text, found, kinds))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, SLICE), pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string())]))), pa.array(clean, pa.string())], ["id", "spans", "text"])
 
     return marked.select("id", "text", "__terms").mapInArrow(run, schema).withColumnRenamed("id", id_col)
@@ -238,14 +266,17 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 def sanitise(docs: DataFrame, text_col: str = "text", chars_col: str | None = "n_chars", **options) -> DataFrame:
     """``docs`` with the text sanitised and, if there is such a column, its length set anew.
 
-    Every row and column stays; a null text stays null.
+    Every row and column stays; a null text stays null, an empty one empty.
+    Repeated rows are treated alike, no rows give no rows.  Columns of ``docs``
+    may have any names but ``__terms`` and ``__key``.
     """
     marked, known = _with_terms(docs, text_col, disclosing_terms(docs, text_col, **options))
 
     @F.pandas_udf("string")
     def clean(texts: pd.Series, terms: pd.Series) -> pd.Series:
         def one(text, own):
-            return None if text is None else generalised(text, all_spans(text, [known, frozenset(() if own is None else own)]))
+            kinds = known or dict(own or ())
+            return None if text is None else generalised(text, all_spans(text, kinds), kinds)
 
         return pd.Series([one(text, own) for text, own in zip(texts, terms, strict=True)], dtype=object)
 
