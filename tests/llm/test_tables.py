@@ -210,3 +210,63 @@ def test_distribution_functions_of_any_mean(spark):
             total += math.exp(k * math.log(m) - m - math.lgamma(k + 1))
             assert abs(c - total) < 1e-8
         assert abs(cdf[-1] - 1) < 1e-9 and cdf == sorted(cdf)
+
+
+def test_media_inside_of_media_are_carved(spark):
+    """What lies in a wave file's samples is found, the declared type is corrected."""
+    wave = lambda data: b"RIFF" + struct.pack("<I", 36 + len(data)) + b"WAVEfmt " + struct.pack("<IHHIIHH", 16, 1, 1, 8000, 8000, 1, 8) + b"data" + struct.pack("<I", len(data)) + data
+    samples = b"ab" + GIF + png()
+    samples += b" " * (len(samples) % 2)
+    twice = b"%PDF-1.4 startxref 0 %%EOF more startxref 9 %%EOF"
+    flac = b"fLaC\x80\x00\x00\x22" + bytes(34) + b"\xff\xf8\x00\x00"
+    rows = [(1, wave(samples), "image/png"), (2, twice + b"\n" + twice, None), (3, flac + GIF, "audio/flac"), (4, None, None), (5, b"", "x"), (1, wave(samples), "image/png")]
+    out = {r.id: r for r in media.sniff(spark.createDataFrame(rows, "id long, media binary, declared string")).collect()}
+    assert out[1].type == "audio/wav" and out[1].corrected and out[1].length == len(rows[0][1])
+    assert [(e.type, e.bytes) for e in out[1].embedded] == [("image/gif", GIF), ("image/png", png())]
+    assert (out[2].type, out[2].length) == ("application/pdf", len(twice)) and [(e.offset, e.length) for e in out[2].embedded] == [(len(twice) + 1, len(twice))]
+    assert [e.type for e in out[3].embedded] == ["image/gif"] and (out[4].type, out[4].length) == (out[5].type, out[5].length) == ("application/octet-stream", 0)
+    assert media.sniff(spark.createDataFrame([], "id long, media binary, declared string")).count() == 0
+
+
+def test_located_media_against_every_offset():
+    """The automaton and the validators against validators tried at every offset."""
+    rnd = random.Random(7)
+    parts = [png(), GIF, BMP, JPEG, b"GIF89a", b"BM", b"\x89PNG\r\n\x1a\n", b"%PDF-", b"\xff\xd8\xff"]
+    signs = media.automaton()
+    for _ in range(60):
+        value = b"".join(rnd.choice(parts) if rnd.random() < 0.6 else bytes(rnd.choices(b"abBM%\xff", k=rnd.randrange(9))) for _ in range(6))
+        want = [(at, length, kind) for at in range(len(value)) for magic, (kind, before) in sorted(media.SIGNATURES.items()) if kind in media.VALIDATORS and value.startswith(magic, at + before) and (length := media.VALIDATORS[kind](value, at))]
+        assert [x for x in media.located(value, signs) if x[2] in media.VALIDATORS] == want
+
+
+def test_wave_digests_against_plain_computation(spark):
+    texts = ["", None, "a", "é" * 95, "x" * 192, "long " * 20_000]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, text string").select("id", media.payload_of(F.col("text")).alias("p")).withColumn("media", media.as_wav(F.col("p")))
+    for r in media.level_features(df, ["id", "media"], "p").collect():
+        raw = (texts[r.id] or "").encode()
+        payload = raw + b" " * (-len(raw) % 192 or (0 if raw else 192))
+        assert r.media == b"RIFF" + struct.pack("<I", 36 + len(payload)) + b"WAVEfmt " + struct.pack("<IHHIIHH", 16, 1, 1, 8000, 8000, 1, 8) + b"data" + struct.pack("<I", len(payload)) + payload
+        x = [b - 128 for b in payload]
+        signs = sum((a < 0) != (b < 0) for a, b in zip(x, x[1:], strict=False))
+        assert r.levels == f"{sum(x) / len(x):.6f}:{(sum(v * v for v in x) / len(x)) ** 0.5:.6f}:{signs}"
+
+
+def test_sources_reach_their_weights(spark):
+    docs = spark.range(20_000).selectExpr("id doc_id", "CASE WHEN id % 100 < 1 THEN 'rare' WHEN id % 100 < 40 THEN 'some' ELSE 'rest' END source", "id text")
+    mixed = mixing.mix_sources(docs, {"rare": 2.0, "some": 1.0, "absent": 9.0}, other=1.0)
+    shares = {r.source: r["count"] / mixed.count() for r in mixed.groupBy("source").count().collect()}
+    assert shares == {"rare": pytest.approx(0.5, abs=0.03), "some": pytest.approx(0.25, abs=0.02), "rest": pytest.approx(0.25, abs=0.02)}
+
+
+def test_reputation_blocks_hosts_without_a_rule(spark):
+    pages = spark.createDataFrame([(i, f"http://{'spam' if i % 2 else 'fine'}.org/{i}") for i in range(80)], "page_id long, url string")
+    outcomes = spark.createDataFrame([(i, 0 if i % 2 else 1) for i in range(60)], "id long, good int")
+    got = {(r.host, r.verdict) for r in url_reputation.judge_urls(pages, outcomes, RULES).collect()}
+    assert got == {("spam.org", "block"), ("fine.org", "allow")}
+
+
+def test_pairs_need_whole_numbers(spark):
+    with pytest.raises(TypeError):
+        preference.answer_pairs(spark.createDataFrame([("a", 0, "user", "x")], "conv_id string, turn int, role string, text string"))
+    empty = spark.createDataFrame([], "conv_id long, turn int, role string, text string, chosen string, id long")
+    assert preference.format_preferences(preference.answer_pairs(empty)).count() == 0

@@ -15,9 +15,6 @@ from pyspark.sql import functions as F
 
 from .common import stash
 
-#: The SQL twin sums up to this count: beyond it is less than 2**-52, the resolution of the uniform number, of its means.
-LONGEST = 60
-
 
 def uniform(seed: str, *parts: Column) -> Column:
     """A number in [0, 1) from the md5 of seed and parts, of 52 bits."""
@@ -47,37 +44,39 @@ def poisson_tables(rates: DataFrame) -> DataFrame:
     return summed.groupBy("source").agg(F.first("first").alias("first"), F.transform(F.sort_array(F.collect_list("at")), lambda x: x["c"]).alias("cdf"))
 
 
-def replication_rates(docs: DataFrame, targets: dict[str, float] | None = None, source_col: str = "source", max_rate: float | None = 4.0) -> DataFrame:
+def replication_rates(docs: DataFrame, targets: dict[str, float] | None = None, source_col: str = "source", max_rate: float | None = 4.0, other: float = 0.0) -> DataFrame:
     """``source, n, rate``: a row for each source, the null source as ``''``.
 
     Without ``targets`` every source gets the same share; with them, shares are
-    their weights over the sum, and a source that they don't name gets none.
+    the weights of the sources that there are over their sum, and a source that
+    they don't name has the weight ``other``.
     ``max_rate`` caps a mean rate, None doesn't.  Nothing makes up for a cut: a
     source below 1 / ``max_rate`` of its target misses it, and the shares of
     the others rise.
     """
     counts = stash(docs.groupBy(F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("source")).agg(F.count("*").alias("n")))
-    total = counts.agg(F.sum("n").alias("n"), F.count("*").alias("sources")).first()
-    if targets is None:
-        share = F.lit(1.0 / max(total["sources"], 1))
-    else:
-        weights = F.create_map(*[x for k, v in targets.items() for x in (F.lit(k), F.lit(v / sum(targets.values())))])
-        share = F.coalesce(F.try_element_at(weights, F.col("source")), F.lit(0.0))
-    rate = share * float(total["n"] or 0) / F.col("n")
+    weight = F.lit(1.0)
+    if targets is not None:
+        known = F.create_map(*[x for k, v in targets.items() for x in (F.lit(k), F.lit(float(v)))]) if targets else F.create_map().cast("map<string,double>")
+        weight = F.coalesce(F.try_element_at(known, F.col("source")), F.lit(float(other)))
+    total = counts.agg(F.sum("n").alias("n"), F.sum(weight).alias("w")).first()
+    rate = weight * (float(total["n"] or 0) / (total["w"] or 1.0)) / F.col("n")
     return counts.select("source", "n", (rate if max_rate is None else F.least(F.lit(float(max_rate)), rate)).alias("rate"))
 
 
-def mix_sources(docs: DataFrame, targets: dict[str, float] | None = None, seed: str = "mix", id_col: str = "doc_id", source_col: str = "source", max_rate: float | None = None) -> DataFrame:
+def mix_sources(docs: DataFrame, targets: dict[str, float] | None = None, seed: str = "mix", id_col: str = "doc_id", source_col: str = "source", max_rate: float | None = None, other: float = 0.0) -> DataFrame:
     """All columns of ``docs`` with ``copy`` (1, 2, ...) and ``shuffle_key``,
     dealt by the key and ordered by it within each partition.
 
     Every source reaches its target on average; ``max_rate`` caps the
     repetition at the price of the weights, see :func:`replication_rates`.
     A null id counts as the empty text, a null source as ``''``; rows that
-    repeat an id get the same count.  No rows give no rows.  Should ``docs``
-    have columns of these two names, they are replaced.
+    repeat an id get the same count and equal keys, and lie in any order among
+    themselves.  Texts are never looked at, so their length doesn't matter.  No
+    rows give no rows.  Should ``docs`` have columns of these two names, they
+    are replaced.
     """
-    rates = stash(poisson_tables(replication_rates(docs, targets, source_col, max_rate)).select(F.col("source").alias("__source"), F.col("first").alias("__first"), F.col("cdf").alias("__cdf")))
+    rates = stash(poisson_tables(replication_rates(docs, targets, source_col, max_rate, other)).select(F.col("source").alias("__source"), F.col("first").alias("__first"), F.col("cdf").alias("__cdf")))
     ident = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
     plain = docs.drop("copy", "shuffle_key").withColumn("__source", F.coalesce(F.col(source_col).cast("string"), F.lit("")))
     counted = plain.join(rates, "__source").withColumn("__u", uniform(seed, ident))

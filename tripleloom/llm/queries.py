@@ -51,9 +51,13 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return every.select("doc_id", F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"), "first_item", F.coalesce("matched", F.lit(0)).cast("long").alias("matched"), F.col("n_items").isNotNull().alias("contaminated"))
 
 
+#: Weights of the sources in the mix; a source without one has 1.
+TARGETS = {f"src{k}": 1.0 + k % 4 for k in range(20)}
+
+
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every source to the same share of the rows."""
-    return mixing.mix_sources(table(spark, sf_dir, "documents"))
+    """Every source to its share of the rows by TARGETS."""
+    return mixing.mix_sources(table(spark, sf_dir, "documents"), TARGETS, other=1.0)
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,11 +73,12 @@ def op8_chat_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts as wave files, sniffed and read back."""
+    """Texts as wave files that are declared as plain bytes; the type and the
+    length that sniffing finds decide what is read back."""
     docs = table(spark, sf_dir, "documents")
     raw = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
-    stored = docs.select(F.struct("doc_id", F.octet_length(raw).cast("long").alias("n_bytes")).alias("id"), media.as_wav(media.payload_of(F.col("text"))).alias("media"), F.lit("audio/wav").alias("declared"))
-    read = media.sniff(stored, carve=False).withColumn("payload", F.when(F.col("type") == "audio/wav", media.wav_samples(F.col("media"))))
+    stored = docs.select(F.struct("doc_id", F.octet_length(raw).cast("long").alias("n_bytes")).alias("id"), media.as_wav(media.payload_of(F.col("text"))).alias("media"), F.lit("application/octet-stream").alias("declared"))
+    read = media.sniff(stored, carve=False).withColumn("payload", F.when(F.col("type") == "audio/wav", media.wav_samples(F.substring(F.col("media"), F.lit(1), F.col("length").cast("int")))))
     sniffed = F.concat_ws(":", "type", F.col("length").cast("string"), F.col("corrected").cast("string"), F.size("embedded").cast("string"))
     digests = read.select(
         "id", "payload", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2(F.col("payload"), 256).alias("payload_sha256"),
@@ -150,7 +155,17 @@ masks(m, mask) AS (VALUES {", ".join(f"({i}, '{m}')" for i, m in enumerate(decon
 seeds AS (
   SELECT side, id, m, i, length(mask) AS span, array_to_string(list_transform(list_filter(range(0, length(mask)), lambda j: substr(mask, (j + 1)::INT, 1) = '1'), lambda j: t[i + j]), ' ') AS s
   FROM (SELECT *, unnest(range(1, len(t) - 6)) AS i FROM tok), masks WHERE i + length(mask) - 1 <= len(t)),
-hits AS (SELECT DISTINCT d.id AS doc_id, b.id AS item_id, d.i AS di, b.i AS bi, b.span FROM seeds d JOIN seeds b ON d.side = 'd' AND b.side = 'b' AND d.m = b.m AND d.s = b.s),
+parts AS (
+  SELECT id, unnest([{{'i': 1, 'n': first}}, {{'i': first + 1, 'n': len(t) - first}}]) AS h, t
+  FROM (SELECT id, t, CASE WHEN len(t) <= 4 THEN len(t) ELSE (len(t) + 1) // 2 END AS first FROM tok WHERE side = 'b' AND len(t) BETWEEN 1 AND {decontaminate.SHORT_ITEM})),
+runs AS (SELECT id, h.i AS i, h.n AS n, array_to_string(t[h.i:h.i + h.n - 1], ' ') AS s FROM parts WHERE h.n > 0),
+run_hits AS (
+  SELECT d.id AS doc_id, r.id AS item_id, d.i AS di, r.i AS bi, r.n AS span
+  FROM (SELECT id, t, unnest(range(1, len(t) + 1)) AS i FROM tok WHERE side = 'd') d JOIN runs r ON array_to_string(d.t[d.i:d.i + r.n - 1], ' ') = r.s
+  WHERE EXISTS (SELECT 1 FROM runs)),
+hits AS (
+  SELECT d.id AS doc_id, b.id AS item_id, d.i AS di, b.i AS bi, b.span FROM seeds d JOIN seeds b ON d.side = 'd' AND b.side = 'b' AND d.m = b.m AND d.s = b.s
+  UNION SELECT * FROM run_hits),
 near AS (
   SELECT h.doc_id, h.item_id, len(list_filter(range(greatest(1, bi - {decontaminate.REACH}), least(len(b.t), bi + span + {decontaminate.REACH} - 1) + 1), lambda j: di - bi + j >= 1 AND d.t[di - bi + j] = b.t[j])) AS matched,
          least(len(b.t), bi + span + {decontaminate.REACH} - 1) - greatest(1, bi - {decontaminate.REACH}) + 1 AS size
@@ -158,9 +173,10 @@ near AS (
 found AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, min(item_id) AS first_item, max(matched) AS matched FROM near WHERE matched >= 0.8 * size GROUP BY 1)
 SELECT doc_id, coalesce(n_items, 0)::BIGINT AS n_items, first_item, coalesce(matched, 0)::BIGINT AS matched, n_items IS NOT NULL AS contaminated FROM documents LEFT JOIN found USING (doc_id)""",
     "op6_mix_sources": rf"""
-WITH rates AS (
-  SELECT coalesce(source, '') AS s, least(4.0, (1.0 / count(*) OVER ()) * (sum(count(*)) OVER ())::DOUBLE / count(*)) AS rate FROM documents GROUP BY 1),
-cdf AS (SELECT s, list(c ORDER BY k) AS cdf FROM (SELECT s, k, sum(exp(-rate + k * ln(rate) - lgamma(k + 1))) OVER (PARTITION BY s ORDER BY k) AS c FROM rates, range(0, {mixing.LONGEST + 1}) r(k)) GROUP BY 1),
+WITH weights(s, w) AS (VALUES {", ".join(f"('{k}', {v})" for k, v in TARGETS.items())}),
+sizes AS (SELECT coalesce(source, '') AS s, count(*) AS n FROM documents GROUP BY 1),
+rates AS (SELECT s, coalesce(w, 1.0)::DOUBLE * ((sum(n) OVER ())::DOUBLE / (sum(coalesce(w, 1.0)) OVER ())::DOUBLE) / n AS rate FROM sizes LEFT JOIN weights USING (s)),
+cdf AS (SELECT s, list(c ORDER BY k) AS cdf FROM (SELECT s, k, sum(exp(-rate + k * ln(rate) - lgamma(k + 1))) OVER (PARTITION BY s ORDER BY k) AS c FROM rates, range(0, 200) r(k)) GROUP BY 1),
 counted AS (
   SELECT d.*, len(list_filter(cdf, lambda c: ('0x' || substr(md5('mix|' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT / 4503599627370496.0 >= c)) AS n
   FROM documents d JOIN cdf ON s = coalesce(source, '')),
