@@ -1,15 +1,17 @@
 """Media columns: signature sniffing.
 
 An Aho-Corasick automaton finds the magic bytes of known formats anywhere in a
-value; a validator of the format walks its structure from there and tells the
-length.  A valid format at the start corrects the declared type, valid formats
-further on are embedded media and are carved out.
+value, and the end marks of two of them; a validator of the format walks its
+structure from there and tells the length.  A valid format at the start corrects
+the declared type, valid formats further on, inside of others too, are embedded
+media and are carved out.
 """
 
 from __future__ import annotations
 
 import struct
 import zlib
+from bisect import bisect_left
 
 import ahocorasick
 import numpy as np
@@ -38,6 +40,27 @@ SIGNATURES = {
 }
 
 
+#: Marks that end a format, or stand before its end.
+MARKS = (b"PK\x05\x06", b"%%EOF", b"startxref")
+
+
+class Ends:
+    """The places of each of MARKS in a value, in order."""
+
+    def __init__(self):
+        self.at: dict[bytes, list[int]] = {m: [] for m in MARKS}
+
+    def first(self, mark: bytes, start: int) -> int:
+        """The first place from ``start`` on, -1 if there is none."""
+        k = bisect_left(self.at[mark], start)
+        return self.at[mark][k] if k < len(self.at[mark]) else -1
+
+    def last(self, mark: bytes, start: int, end: int) -> int:
+        """The last place from ``start`` on before ``end``, -1 if there is none."""
+        k = bisect_left(self.at[mark], end) - 1
+        return self.at[mark][k] if k >= 0 and self.at[mark][k] >= start else -1
+
+
 def _png(b: bytes, at: int) -> int:
     p = at + 8
     while p + 12 <= len(b):
@@ -127,8 +150,8 @@ def _ogg(b: bytes, at: int) -> int:
     return p - at if last and p <= len(b) else 0
 
 
-def _zip(b: bytes, at: int) -> int:
-    end = b.find(b"PK\x05\x06", at)
+def _zip(b: bytes, at: int, ends: Ends) -> int:
+    end = ends.first(b"PK\x05\x06", at)
     if end < 0 or end + 22 > len(b):
         return 0
     size, offset, note = struct.unpack_from("<IIH", b, end + 12)
@@ -136,30 +159,48 @@ def _zip(b: bytes, at: int) -> int:
     return end + 22 + note - at if whole and end + 22 + note <= len(b) else 0
 
 
-def _pdf(b: bytes, at: int) -> int:
-    end = b.find(b"%%EOF", at)
-    return end + 5 - at if end > 0 and b.find(b"startxref", at, end) > 0 else 0
+def _pdf(at: int, until: int, ends: Ends) -> int:
+    """Up to the last end mark before the next document: a file that was saved
+    again, or that is made for the web, has several."""
+    end = ends.last(b"%%EOF", at, until)
+    return end + 5 - at if end > 0 and ends.last(b"startxref", at, end) > 0 else 0
 
 
-VALIDATORS = {"image/png": _png, "image/jpeg": _jpeg, "image/gif": _gif, "image/bmp": _bmp, "audio/wav": _riff, "image/webp": _riff, "audio/flac": _flac, "audio/ogg": _ogg, "application/zip": _zip, "application/pdf": _pdf}
+VALIDATORS = {"image/png": _png, "image/jpeg": _jpeg, "image/gif": _gif, "image/bmp": _bmp, "audio/wav": _riff, "image/webp": _riff, "audio/flac": _flac, "audio/ogg": _ogg}
 
 
 def automaton() -> ahocorasick.Automaton:
     out = ahocorasick.Automaton()
     for magic, (kind, before) in SIGNATURES.items():
         out.add_word(magic.decode("latin-1"), (kind, before, len(magic)))
+    for mark in MARKS:
+        out.add_word(mark.decode("latin-1"), (mark, 0, len(mark)))
     out.make_automaton()
     return out
 
 
 def located(value: bytes, signs: ahocorasick.Automaton) -> list[tuple[int, int, str]]:
-    """``(offset, length, type)`` of valid media that aren't inside one another, by offset."""
-    hits = sorted((end + 1 - n - before, kind) for end, (kind, before, n) in signs.iter(value.decode("latin-1")))
-    out, free = [], 0
-    for at, kind in hits:
-        if at >= free and (length := VALIDATORS[kind](value, at)):
+    """``(offset, length, type)`` of valid media by offset, those inside of others too."""
+    ends, hits, pdfs = Ends(), [], []
+    for end, (kind, before, n) in signs.iter(value.decode("latin-1")):
+        at = end + 1 - n - before
+        if isinstance(kind, bytes):
+            ends.at[kind].append(at)
+        else:
+            hits.append((at, kind))
+            if kind == "application/pdf":
+                pdfs.append(at)
+    out: list[tuple[int, int, str]] = []
+    for at, kind in sorted(hits):
+        if kind == "application/zip":
+            length = _zip(value, at, ends)
+        elif kind == "application/pdf":
+            k = bisect_left(pdfs, at + 1)
+            length = _pdf(at, pdfs[k] if k < len(pdfs) else len(value), ends)
+        else:
+            length = VALIDATORS[kind](value, at)
+        if length:
             out.append((at, length, kind))
-            free = at + length
     return out
 
 
@@ -170,7 +211,9 @@ def sniff(values: DataFrame, id_col: str = "id", bytes_col: str = "media", decla
     type and, if ``carve``, the bytes, of valid media further on).
 
     A null value counts as empty: it is an octet stream of length 0.  A null
-    declaration is corrected by any type.  Repeated rows are treated alike.
+    declaration is corrected by any type.  Very long values are walked whole.
+    Of two formats at one place the first by name is the type.  Repeated rows
+    are treated alike, other columns are ignored, no rows give no rows.
     """
     kind = values.schema[id_col].dataType.simpleString()
     parts = pa.list_(pa.struct([("offset", pa.int64()), ("length", pa.int64()), ("type", pa.string()), ("bytes", pa.binary())]))
