@@ -17,6 +17,8 @@ from __future__ import annotations
 import html
 import math
 import re
+from bisect import bisect_left, bisect_right
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -55,10 +57,11 @@ _BLANKS = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "parts", "noise", "doubtful", "comments", "plain", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("tag", "parent", "parts", "noise", "doubtful", "comments", "first", "last", "hidden", "plain", "chars", "tags", "link_chars", "link_tags", "density", "total")
 
     def __init__(self, tag: str, parent: Node | None, noise: bool = False, doubtful: bool = False, comments: bool = False):
         self.tag, self.parent, self.noise, self.doubtful, self.comments, self.parts = tag, parent, noise, doubtful, comments, []
+        self.first, self.last, self.hidden = 0, 0, False  # places in page order of the node and of its last descendant; inside of noise
         self.plain = self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
 
@@ -86,6 +89,20 @@ def _is_noise(tag: str, attributes: str, inside_article: bool) -> tuple[bool, bo
     return doubtful, doubtful, not COMMENTS.isdisjoint(words)
 
 
+def _number(root: Node) -> None:
+    """Number all nodes in page order; a node's descendants are the numbers up to its last."""
+    n, todo = 0, [(root, False)]
+    while todo:
+        node, done = todo.pop()
+        if done:
+            node.last = n
+            continue
+        n += 1
+        node.first = n
+        todo.append((node, True))
+        todo.extend((c, False) for c in reversed(list(node.children())))
+
+
 def _settle(root: Node) -> None:
     """Keep doubtful nodes that hold most of the page's unlinked characters, so
     that densities decide.  They stay noise if an article or main element has a
@@ -104,23 +121,30 @@ def _settle(root: Node) -> None:
             if node.parent is not None:
                 node.parent.plain += node.plain
     articles = [n for n in nodes if n.tag in ("article", "main") and n.plain >= PARAGRAPH]
-    for node in nodes:  # parents first
+    _hide(nodes)
+    settled = True
+    for node in nodes:  # parents first; those that hold most of the page hold one another
         if node.doubtful and node.plain >= PARAGRAPH and 2 * node.plain > root.plain:
             rest = root.plain - node.plain if node.comments else 0
+            if articles and not settled:
+                _hide(nodes)
+                settled = True
             for other in articles:
-                if other is not node and not _within(other, node) and not _in_noise(other):
+                if other is not node and not _within(other, node) and not other.hidden:
                     rest = max(rest, other.plain - (node.plain if _within(node, other) else 0))
             node.noise = rest >= PARAGRAPH
-    doubtful = [n for n in nodes if n.noise and not _in_noise(n.parent)]
+            settled = settled and node.noise
+    _hide(nodes)
+    doubtful = [n for n in nodes if n.noise and not (n.parent is not None and n.parent.hidden)]
     if root.plain and sum(n.plain for n in doubtful) == root.plain:
         for node in doubtful:
             node.noise = False
 
 
-def _in_noise(node: Node | None) -> bool:
-    while node is not None and not node.noise:
-        node = node.parent
-    return node is not None
+def _hide(nodes: list[Node]) -> None:
+    """Mark the nodes, parents first, that are noise or inside of it."""
+    for node in nodes:
+        node.hidden = node.noise or node.parent is not None and node.parent.hidden
 
 
 def parsed(page: str) -> Node:
@@ -128,6 +152,13 @@ def parsed(page: str) -> Node:
     are closed where their parents end, an unfinished tag at the end is dropped."""
     root = Node("html", None)
     stack, at, raw = [root], 0, ""
+    open_ = Counter(["html"])
+
+    def close(k: int) -> None:
+        for node in stack[k:]:
+            open_[node.tag] -= 1
+        del stack[k:]
+
     while at < len(page):
         if raw:  # text up to the end tag, whatever stands in it
             end = re.compile(rf"</{raw}(?=[\s/>]|\Z)", re.I).search(page, at)
@@ -145,31 +176,32 @@ def parsed(page: str) -> Node:
             continue
         tag, closing, attributes = name.lower(), m[1] or m[4], m[3] or m[6] or ""
         if closing:
-            for k in range(len(stack) - 1, 0, -1):
+            for k in range(len(stack) - 1, 0, -1) if open_[tag] else ():
                 if stack[k].tag == tag:
-                    del stack[k:]
+                    close(k)
                     break
             continue
-        if tag in _CLOSES_P:
+        if tag in _CLOSES_P and open_["p"]:
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].tag == "p":
-                    del stack[k:]
+                    close(k)
                     break
                 if stack[k].tag in BLOCK:
                     break
-        if tag in _SIBLINGS:
+        if tag in _SIBLINGS and any(open_[x] for x in _SIBLINGS[tag]):
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].tag in _SIBLINGS[tag]:
-                    del stack[k:]
+                    close(k)
                     break
                 if stack[k].tag in _STOPS[tag]:
                     break
-        if tag in ("html", "body") and any(n.tag == tag for n in stack):
+        if tag in ("html", "body") and open_[tag]:
             continue
-        node = Node(tag, stack[-1], *_is_noise(tag, attributes, any(n.tag in ("article", "main") for n in stack)))
+        node = Node(tag, stack[-1], *_is_noise(tag, attributes, bool(open_["article"] or open_["main"])))
         stack[-1].parts.append(node)
         if tag not in VOID and not attributes.endswith("/"):
             stack.append(node)
+            open_[tag] += 1
             raw = tag if tag in RAW else ""
     return root
 
@@ -207,6 +239,7 @@ def _weigh(root: Node, nodes: list[Node]) -> None:
 
 def content_nodes(root: Node) -> list[Node]:
     """The nodes that hold the page's content, in page order."""
+    _number(root)
     _settle(root)
     nodes = _ordered(root)
     _weigh(root, nodes)
@@ -214,6 +247,7 @@ def content_nodes(root: Node) -> list[Node]:
     inside = [n for n in nodes if n.chars and (n is body or _within(n, body))]
     if not inside:
         return []
+    places = [n.first for n in inside]
     best = max(inside, key=lambda n: n.total)
     threshold, node = best.density, best
     while node is not body and node.parent is not None:
@@ -222,18 +256,17 @@ def content_nodes(root: Node) -> list[Node]:
     chosen: list[Node] = []
     for top in [body] if best is body else [c for c in body.children() if not c.noise and c.chars]:
         if top.density >= threshold or _within(best, top):
-            members = [n for n in inside if n is top or _within(n, top)]
+            members = inside[bisect_left(places, top.first) : bisect_right(places, top.last)]
             chosen.append(_whole_article(max(members, key=lambda n: n.total), body))
-    return [n for k, n in enumerate(chosen) if not any(n is o or _within(n, o) for o in chosen[:k])]
+    out: list[Node] = []
+    for n in chosen:  # in page order, so only the last one taken can hold a node
+        if not out or n is not out[-1] and not _within(n, out[-1]):
+            out.append(n)
+    return out
 
 
 def _within(node: Node, other: Node) -> bool:
-    node = node.parent
-    while node is not None:
-        if node is other:
-            return True
-        node = node.parent
-    return False
+    return other.first < node.first <= other.last
 
 
 def _whole_article(node: Node, body: Node) -> Node:
@@ -285,7 +318,9 @@ def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", u
     empty if there is none), ``n_chars``.
 
     Null and empty pages have no text.  Text outside of any element counts as
-    the body's.  Repeated rows are treated alike; other columns are ignored.
+    the body's.  Very long and deeply nested pages are read whole, in time
+    linear in their length.  Repeated rows are treated alike, other columns are
+    ignored, no rows give no rows.
     """
     kept = pages.select(F.col(id_col), F.col(url_col), F.col(html_col).cast("string"))
     kinds = [pages.schema[c].dataType.simpleString() for c in (id_col, url_col)]
