@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 HEAD, AFTER_ROLE, TAIL = "<|", "|>\n", "<|end|>\n"
 TURNS = "array<struct<role:string,text:string>>"
@@ -56,7 +57,8 @@ def format_preferences(pairs: DataFrame) -> DataFrame:
 
     A null conversation counts as empty.  A pair is usable if its completions
     differ and both have an assistant text; other pairs are returned all the
-    same.  Repeated rows are formatted alike.
+    same.  Very long turns are rendered whole.  Repeated rows are formatted
+    alike, other columns are ignored, no rows give no rows.
     """
     side = lambda c: F.coalesce(F.col(c), F.array().cast(TURNS)).cast(TURNS)
     both = pairs.select("id", side("chosen").alias("a"), side("rejected").alias("b")).withColumn("n", common_turns(F.col("a"), F.col("b")))
@@ -75,8 +77,13 @@ def answer_pairs(turns: DataFrame, **columns) -> DataFrame:
     same up to there, with the last assistant turn of its neighbour (the id
     with the last bit flipped) instead: an answer to something else.  Without
     a neighbour's answer nothing follows; a conversation without an assistant
-    turn is its own rejected side.
+    turn is its own rejected side.  Turns after the last assistant turn answer
+    nothing and are on neither side.  Ids are whole numbers; others are an
+    error.
     """
+    name = columns.get("id_col", "conv_id")
+    if not isinstance(turns.schema[name].dataType, T.IntegralType):
+        raise TypeError(f"{name} isn't a whole number, so its neighbour is unknown")
     role = lambda t: t["role"] == "assistant"
     convs = conversations_of(turns, **columns).withColumn("last", F.size("turns") - F.array_position(F.reverse(F.transform("turns", lambda t: F.coalesce(role(t), F.lit(False)))), True) + 1)
     convs = convs.withColumn("last", F.when(F.exists("turns", role), F.col("last").cast("int")))
