@@ -10,7 +10,7 @@ from ..functions.ids import date_year, doi_norm, is_missing, listed, pmid_strict
 
 def agreed(value: Column) -> Column:
     """The value, if all rows of the group have the same valid one; else null."""
-    return F.when((F.count_distinct(value) == 1) & (F.count_if(value.isNull()) == 0), F.min(value))
+    return F.when((F.min(value) == F.max(value)) & (F.count_if(value.isNull()) == 0), F.min(value))
 
 
 def mappings(ids: DataFrame) -> DataFrame:
@@ -35,11 +35,11 @@ def audit_links(cohort: DataFrame, citations: DataFrame, ids: DataFrame, years:
     ``cohort(PMID, PYEAR)``.  Cardinalities are those of all mappings, taken
     before the cohort narrows them.
     """
-    papers = cohort.select(pmid_strict(F.col("PMID")).alias("pmid"), year_strict(F.col("PYEAR")).alias("y")).groupBy("pmid").agg(F.count_distinct("y").alias("n_analysis_years"), F.when(F.count_distinct("y") == 1, F.min("y")).alias("analysis_year"))
+    papers = cohort.select(pmid_strict(F.col("PMID")).alias("pmid"), year_strict(F.col("PYEAR")).alias("y")).groupBy("pmid").agg(F.count_distinct("y").alias("n_analysis_years"), F.when(F.min("y") == F.max("y"), F.min("y")).alias("analysis_year"))
     all_ = mappings(ids)
     shared = all_.groupBy("work_id").agg(F.count("*").alias("n_pmids_for_work"))
     mine = all_.join(papers.select("pmid"), "pmid", "left_semi").join(shared, "work_id")
-    dois = ids.filter(~is_missing(F.col("pmid"))).select(work_strict(F.col("work_id")).alias("work_id"), doi_norm(F.col("doi")).alias("d")).groupBy("work_id").agg(F.count_distinct("d").alias("n_dois_for_work"), F.when(F.count_distinct("d") == 1, F.min("d")).alias("doi"))
+    dois = ids.filter(~is_missing(F.col("pmid"))).select(work_strict(F.col("work_id")).alias("work_id"), doi_norm(F.col("doi")).alias("d")).groupBy("work_id").agg(F.count_distinct("d").alias("n_dois_for_work"), F.when(F.min("d") == F.max("d"), F.min("d")).alias("doi"))
     out = papers.join(agreed_year(citations), "pmid", "left").join(mine, "pmid", "left").join(_work_years(years, "openalex", "work_id", "publication_year"), "work_id", "left").join(dois, "work_id", "left")
     status = F.when(F.col("work_id").isNull(), "unmatched").when(F.col("semmed_year").isNull(), "semmed_year_unavailable").when(F.col("openalex_year").isNull(), "openalex_year_unavailable").when(F.col("openalex_year") == F.col("semmed_year"), "equal").otherwise("different")
     return out.withColumns({"year_difference": F.col("openalex_year") - F.col("semmed_year"), "work_year_status": status})
