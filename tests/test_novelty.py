@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tripleloom.functions import ids
 from tripleloom.functions.windows import seen_after, seen_before, union_sizes
-from tripleloom.operators import annotate, develop, network, papers, quality
+from tripleloom.operators import annotate, develop, network, papers, prepare, profiles, quality
 
 SCHEMA = "PMID string, PYEAR int, s string, p string, o string"
 
@@ -174,3 +174,76 @@ def test_readers(spark, tmp_path):
     (tmp_path / "t.csv").write_text('a,b\n"x ""y""",\n')
     assert tuple(read_text_table(spark, str(tmp_path / "t.csv"), ("a", "b")).first()) == ('x "y"', None)
     assert null_marker(spark.createDataFrame([("\\N", "v")], "a string, b string")).first() == (None, "v")
+
+
+def test_tables_come_back_as_they_were_written(spark, tmp_path):
+    from tripleloom.sources.files import read_snapshot, read_years, write_report, write_table
+
+    df = spark.createDataFrame([(y, f"k{i}", i) for i, y in enumerate((1999, 2000, 2001, 2000, 2002))], "PYEAR int, k string, n long")
+    write_table(df, str(tmp_path / "t"), order=["k"], partition=["PYEAR"], rows_per_file=1)
+    assert sorted((r.PYEAR, r.k) for r in read_years(spark, str(tmp_path / "t"), 2000, 2001).collect()) == [(2000, "k1"), (2000, "k3"), (2001, "k2")]
+    assert len(list((tmp_path / "t" / "PYEAR=2000").glob("*.zstd.parquet"))) == 2
+    write_table(df.repartition(1), str(tmp_path / "one"), order=["n"])
+    assert [r.n for r in spark.read.parquet(str(tmp_path / "one")).collect()] == [0, 1, 2, 3, 4]
+    for form in ("csv", "json"):
+        write_report(df, str(tmp_path / form), form)
+        assert len(list((tmp_path / form).glob("part-*"))) == 1
+    assert spark.read.csv(str(tmp_path / "csv"), header=True).count() == spark.read.json(str(tmp_path / "json")).count() == 5
+    df.select("k", "n").write.json(str(tmp_path / "data" / "works" / "updated_date=2024-01-01"), compression="gzip")
+    assert {(r.k, r.n) for r in read_snapshot(spark, str(tmp_path), "works", "k string, n long").collect()} == {(f"k{i}", i) for i in range(5)}
+
+
+def test_intermediate_tables(spark):
+    import os
+
+    from tripleloom.sources.shared import written
+
+    first = written(spark.range(3))
+    second = written(first.selectExpr("id * 2 AS id"), first)
+    assert sorted(r.id for r in second.collect()) == [0, 2, 4]
+    assert not os.path.exists(first.written_at.removeprefix("file://")) and os.path.exists(second.written_at.removeprefix("file://"))
+
+
+def test_frequent_triples_are_dealt_to_parts(spark, monkeypatch):
+    data = [(f"f{i}", 2000, "A", "P", "B") for i in range(5)] + [(f"l{i}", 2001, "A", "P", "B") for i in range(40)] + [("z", 1999, "X", "P", "Y"), ("l0", 2001, "C", "P", "D"), ("f0", 2000, "C", "P", "D"), ("y", 2001, "X", "P", "Y")]
+    ann = annotate.edge_annotation(rows(spark, data), 1)
+    plain = sorted(map(tuple, network.paper_network_edges(ann, 1).collect()))
+    monkeypatch.setattr(network, "LATER_ROWS", 7)
+    monkeypatch.setattr(network, "MANY_TRIPLES", 0)
+    assert len(plain) == 200 and sorted(map(tuple, network.paper_network_edges(ann, 1).collect())) == plain
+    assert max(r[6 + 1] for r in plain) == 2  # two triples in one pair of papers
+
+
+def test_shards_are_contiguous(spark):
+    df = spark.createDataFrame([(k * 7 % 50, k % 3) for k in range(333)], "k long, v long")
+    got = sorted(map(tuple, prepare.shard_manifest(df, "k", 100, ranges=6).collect()))
+    ordered = sorted((k * 7 % 50) for k in range(333))
+    assert got == [(s + 1, len(part), part[0], part[-1]) for s, part in enumerate(ordered[i : i + 100] for i in range(0, 333, 100))]
+    assert prepare.shard_manifest(df.limit(0), "k", 100).count() == 0
+
+
+def test_collisions_of_primary_keys(spark):
+    data = [("1", "C1|X", "P", "C2", "C1", "C2"), ("1", "C1|Y", "P", "C2", "C1", "C2"), ("1", "C1|Y", "P", "C2", "C1", "C2"), ("2", "C1|X", "P", "C2", "C1", "C2"), ("2", "C1|X", "P", "C2", "C1", "C2")]
+    df = spark.createDataFrame(data, "PMID string, SUBJECT_CUI string, PREDICATE string, OBJECT_CUI string, subject_cui_primary string, object_cui_primary string")
+    assert tuple(profiles.collision_summary(df).first()) == (1, 2, 3, 2)
+    assert [(r.PMID, r.n_raw_variants, r.n_rows) for r in profiles.collision_examples(df).collect()] == [("1", 2, 3)]
+
+
+def test_country_lists_must_be_unique(spark):
+    from tripleloom.operators import country
+
+    papers = spark.createDataFrame([("1",), ("2",), ("1",)], "PMID string")
+    once = spark.createDataFrame([("1", "A;B", "x;y", 2)], "pmid string, country_codes string, countries string, n_countries long")
+    assert sorted(map(str, country.attach_country_lists(papers, once).collect())) == sorted(["Row(PMID='1', country_codes='A;B', countries='x;y', n_countries=2)"] * 2 + ["Row(PMID='2', country_codes=None, countries=None, n_countries=None)"])
+    with pytest.raises(Exception, match="several country lists of paper 1"):
+        country.attach_country_lists(papers, once.union(once)).collect()
+
+
+def test_concept_profile_counts_a_self_loop_once(spark):
+    cols = ["PMID", "PYEAR", "PREDICATE", "subject_cui_primary", "object_cui_primary", "subject_name_primary", "object_name_primary", "SUBJECT_SEMTYPE", "OBJECT_SEMTYPE"]
+    df = spark.createDataFrame([("1", "2000", "P", "A", "A", "a", "b", "s", " "), ("1", "2001", "Q", "A", "B", "a", None, "t", "u"), ("2", "2001", "Q", "B", "A", None, "b", None, "s")], cols)
+    r = {x.primary_cui: x for x in profiles.concept_profile(df).collect()}
+    a = r["A"]
+    assert (a.n_pmid_unique_triples, a.n_unique_pmid, a.n_subject_triples, a.n_object_triples, a.n_unique_neighbor_cui, a.n_unique_out_neighbor_cui) == (3, 2, 2, 2, 1, 1)
+    assert (a.primary_name, a.all_primary_names, a.primary_semtype, a.first_seen_pyear, a.last_seen_pyear) == ("a", "a|b", "s", 2000, 2001)
+    assert r["B"].primary_name is None and r["B"].all_primary_names is None and r["B"].primary_semtype == "u"

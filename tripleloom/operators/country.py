@@ -117,8 +117,8 @@ def country_network(transitions: DataFrame, annotated: DataFrame, paper_country:
     source = left.groupBy(*scope, *TRIPLE, "source_country_code").agg(F.count_distinct("PMID").alias("n_source"))
     future = written(near(years.join(right, list(TRIPLE))))
     per = future.groupBy("focal_year", *TRIPLE, "adopter_country_code").agg(F.count_distinct("future_pmid").alias("n_future"))
-    met = source.join(per, ["focal_year", *TRIPLE])
-    core = met.groupBy(*edge).agg(F.count_distinct(*TRIPLE).alias("weight_unique_exact_triples"), F.sum(F.col("n_source") * F.col("n_future")).alias("weight_source_pmid_x_future_pmid"))
+    met = source.join(per, ["focal_year", *TRIPLE])  # a row for each triple and pair of countries
+    core = met.groupBy(*edge).agg(F.count("*").alias("weight_unique_exact_triples"), F.sum(F.col("n_source") * F.col("n_future")).alias("weight_source_pmid_x_future_pmid"))
     by_source = left.join(per.select("focal_year", *TRIPLE, "adopter_country_code"), ["focal_year", *TRIPLE]).groupBy(*edge).agg(F.count_distinct("PMID").alias("weight_unique_source_pmids"))
     by_future = source.drop("n_source").join(future, ["focal_year", *TRIPLE]).groupBy(*edge).agg(F.count_distinct("future_pmid").alias("weight_unique_future_pmids"))
     names = country_names(paper_country)

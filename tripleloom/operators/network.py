@@ -7,10 +7,13 @@ from pyspark.sql import functions as F
 
 from ..functions.ids import share
 from ..functions.windows import year_bounds
+from ..sources.shared import written
 from .annotate import NEW
 from .papers import KINDS
 
 TRIPLE = ("s", "p", "o")
+#: Later rows of a triple that go to one part, and frequent triples that may be broadcast.
+LATER_ROWS, MANY_TRIPLES = 10_000, 100_000
 
 
 def _focal_new(annotated: DataFrame, w: int, last: int | None) -> DataFrame:
@@ -19,9 +22,20 @@ def _focal_new(annotated: DataFrame, w: int, last: int | None) -> DataFrame:
 
 
 def _matched(annotated: DataFrame, w: int, last: int | None) -> DataFrame:
-    """Each (focal paper, later paper, triple) where the later paper repeats the triple within ``w`` years."""
+    """Each (focal paper, later paper, triple) where the later paper repeats the triple within ``w`` years.
+
+    Later papers of a triple are dealt to parts of about LATER_ROWS, and its
+    focal papers go to each of them, so that no task has all pairs of a
+    frequent triple.
+    """
     later = annotated.select(F.col("PMID").alias("adopter_pmid"), F.col("PYEAR").alias("adopter_year"), *TRIPLE).distinct()
-    return _focal_new(annotated, w, last).join(later, list(TRIPLE)).filter((F.col("adopter_year") > F.col("focal_year")) & (F.col("adopter_year") <= F.col("focal_year") + w))
+    parts = annotated.groupBy(*TRIPLE).agg(F.ceil(F.count("*") / LATER_ROWS).alias("parts")).filter("parts > 1")
+    many = written(parts)
+    many = F.broadcast(many) if many.count() <= MANY_TRIPLES else many
+    dealt = lambda df: df.join(many, list(TRIPLE), "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    later = dealt(later).withColumn("part", F.pmod(F.xxhash64("adopter_pmid"), F.col("parts"))).drop("parts")
+    focal = dealt(_focal_new(annotated, w, last)).withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1))).drop("parts")
+    return focal.join(later, [*TRIPLE, "part"]).drop("part").filter((F.col("adopter_year") > F.col("focal_year")) & (F.col("adopter_year") <= F.col("focal_year") + w))
 
 
 def paper_network_edges(annotated: DataFrame, w: int = 5, last: int | None = None) -> DataFrame:

@@ -19,34 +19,49 @@ def long_concepts(prepared: DataFrame) -> DataFrame:
     return prepared.select("PMID", "PYEAR", P, S, O, F.explode(F.array(end("SUBJECT", "OBJECT"), end("OBJECT", "SUBJECT"))).alias("e")).select("PMID", "PYEAR", P, S, O, "e.*")
 
 
-def _wide_counts() -> list[Column]:
-    a, b = F.least(S, O), F.greatest(S, O)
-    return [
-        F.count("*").alias("n_pmid_unique_triples"), F.count_distinct("PMID").alias("n_unique_pmid"), F.count_distinct(S).alias("n_unique_subject_cui_primary"), F.count_distinct(O).alias("n_unique_object_cui_primary"),
-        F.count_distinct("subject_name_primary").alias("n_unique_subject_name_primary"), F.count_distinct("object_name_primary").alias("n_unique_object_name_primary"),
-        F.count_distinct(S, P, O).alias("n_unique_exact_triple"), F.count_distinct(S, O).alias("n_unique_directed_pair"), F.count_distinct(a, b).alias("n_unique_pair_connection"),
-    ]
+WIDE = {
+    "n_unique_pmid": ("PMID",), "n_unique_subject_cui_primary": (S,), "n_unique_object_cui_primary": (O,), "n_unique_subject_name_primary": ("subject_name_primary",), "n_unique_object_name_primary": ("object_name_primary",),
+    "n_unique_exact_triple": (S, P, O), "n_unique_directed_pair": (S, O),
+}
+PREDICATES = {"n_unique_predicate": (P,)}
+
+
+def _wide(rows: DataFrame, keys: list[str], more: dict[str, tuple[str, ...]] | None = None, loops: bool = False) -> DataFrame:
+    """Rows and distinct values of many kinds for each group.
+
+    Values are counted by kind first, so that a distinct count is a count of
+    rows; a value of either end (``n_unique_cui_primary``) is one of its kind.
+    """
+    value = lambda *c: F.struct(*[(F.col(x) if isinstance(x, str) else x).alias(f"v{i}") for i, x in enumerate((*c, F.lit(None).cast("string"), F.lit(None).cast("string"))[:3])])
+    ends = {"n_unique_pair_connection": [(F.least(S, O), F.greatest(S, O))], "n_unique_cui_primary": [(S,), (O,)], "n_unique_name_primary": [("subject_name_primary",), ("object_name_primary",)]}
+    kinds = {k: [v] for k, v in (WIDE | (more or {})).items()} | ends
+    cells = [F.when(sum(((F.col(x) if isinstance(x, str) else x).isNull().cast("int") for x in c), F.lit(0)) == 0, F.struct(F.lit(k).alias("kind"), value(*c).alias("value"))) for k, ways in kinds.items() for c in ways]
+    seen = rows.select(*keys, F.explode(F.array_compact(F.array(*cells))).alias("x")).select(*keys, "x.*").distinct()
+    counts = seen.groupBy(*keys).agg(*[F.count_if(F.col("kind") == k).alias(k) for k in kinds])
+    sizes = rows.groupBy(*keys).agg(F.count("*").alias("n_pmid_unique_triples"), *([F.count_if(F.col(S) == F.col(O)).alias("n_self_loop_triples")] if loops else []))
+    on = F.lit(True)
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"__{k}"))
+    return sizes.join(counts.withColumnsRenamed({k: f"__{k}" for k in keys}), on, "left").drop(*[f"__{k}" for k in keys]).withColumns({k: F.coalesce(k, F.lit(0)) for k in kinds})
 
 
 def yearly_profile(prepared: DataFrame) -> DataFrame:
     """A row for each year: distinct papers, predicates, concepts, names, triples, pairs, self loops, shares of all."""
-    wide = prepared.groupBy("PYEAR").agg(*_wide_counts(), F.count_distinct(P).alias("n_unique_predicate"), F.count_if(F.col(S) == F.col(O)).alias("n_self_loop_triples"))
-    both = long_concepts(prepared).groupBy("PYEAR").agg(F.count_distinct("concept").alias("n_unique_cui_primary"), F.count_distinct("name").alias("n_unique_name_primary"))
     total = prepared.agg(F.count("*").alias("t"), F.count_distinct("PMID").alias("m"))
-    out = wide.join(both, "PYEAR").crossJoin(total)  # one row
+    out = _wide(prepared, ["PYEAR"], PREDICATES, loops=True).crossJoin(total)  # one row
     return out.withColumns({"share_pmid_unique_triples": share(F.col("n_pmid_unique_triples"), F.col("t")), "share_unique_pmid": share(F.col("n_unique_pmid"), F.col("m")), "share_self_loop_triples": share(F.col("n_self_loop_triples"), F.col("n_pmid_unique_triples"))}).drop("t", "m")
 
 
 def predicate_year_profile(prepared: DataFrame) -> DataFrame:
     """As :func:`yearly_profile` for each year and predicate, with shares and dense ranks."""
-    wide = prepared.groupBy("PYEAR", P).agg(*_wide_counts())
-    both = long_concepts(prepared).groupBy("PYEAR", P).agg(F.count_distinct("concept").alias("n_unique_cui_primary"), F.count_distinct("name").alias("n_unique_name_primary"))
+    wide = _wide(prepared, ["PYEAR", P])
+    sizes = prepared.groupBy(P).agg(F.count("*").alias("n"))
     # predicates are a fixed vocabulary: its ranking is one small table
-    overall = wide.groupBy(P).agg(F.sum("n_pmid_unique_triples").alias("n")).withColumn("predicate_rank_overall_by_triples", F.dense_rank().over(Window.orderBy(F.desc("n")))).drop("n")
+    overall = sizes.withColumn("predicate_rank_overall_by_triples", F.dense_rank().over(Window.orderBy(F.desc("n")))).drop("n")
     year = Window.partitionBy("PYEAR")
     n = F.col("n_pmid_unique_triples")
     total = prepared.agg(F.count("*").alias("t"))
-    out = wide.join(both, ["PYEAR", P]).withColumns({"share_of_year_pmid_unique_triples": share(n, F.sum(n).over(year)), "predicate_rank_within_year_by_triples": F.dense_rank().over(year.orderBy(F.desc("n_pmid_unique_triples")))})
+    out = wide.withColumns({"share_of_year_pmid_unique_triples": share(n, F.sum(n).over(year)), "predicate_rank_within_year_by_triples": F.dense_rank().over(year.orderBy(F.desc("n_pmid_unique_triples")))})
     return out.join(overall, P).crossJoin(total).withColumn("share_of_all_pmid_unique_triples", share(n, F.col("t"))).drop("t")  # one row
 
 
@@ -190,8 +205,8 @@ def duplicate_overall_rollup(summary: DataFrame) -> DataFrame:
     return out.withColumn("share_excess_rows", share(F.col("n_excess_rows"), F.col("n_rows")))
 
 
-def _overall(rows: DataFrame, keys: list) -> DataFrame:
-    return rows.groupBy(*keys).agg(*_wide_counts(), F.count_distinct(P).alias("n_unique_predicate"), F.count_if(F.col(S) == F.col(O)).alias("n_self_loop_triples"))
+def _overall(rows: DataFrame, keys: list[str]) -> DataFrame:
+    return _wide(rows, keys, PREDICATES, loops=True).drop("n_unique_cui_primary", "n_unique_name_primary")
 
 
 def overall_profile(raw: DataFrame, kept: DataFrame) -> DataFrame:

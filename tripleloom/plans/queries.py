@@ -38,15 +38,26 @@ LONG = {"s": "subject_cui_primary", "p": "PREDICATE", "o": "object_cui_primary"}
 ONCE = {"edge_annotation", "edge_transition", "paper_annotation_metrics", "paper_adoption_metrics", "transition_summary", "adoption_summary", "adoption_decomposition", "decomposition_summary", "annotation_flag_report"}
 
 
+#: Tables that queries read several times, and so have written to the shared folder.
+_PROFILES, _MASTER, _LINKS = ("prepared", "keyed"), ("links", "paper_metrics", "knowledge", "adoption", "development"), ("links",)
+SHARED = {
+    **dict.fromkeys(("yearly_profile", "predicate_year_profile", "overall_profile", "retention_by_year", "retention_by_predicate"), _PROFILES),
+    **dict.fromkeys(("paper_master", "master_by_year", "missingness", "master_exclusions", "sample_flow", "shared_metric_conflicts"), _MASTER),
+    **dict.fromkeys(("audit_accounting", "audit_year_difference"), _LINKS),
+    "network_checks": ("edges", "adoption", "profile"), "paper_network_nodes": ("edges",), "agreement_summary": ("matched",), "agreement_by_year": ("matched",), "spearman": ("matched",), "uniqueness_report": ("prepared",), "prepare_diagnostics": ("raw",),
+}
+
+
 class Tables:
-    """The domain tables of a folder, each built once when it is first asked for."""
+    """The domain tables of a folder, each built once when it is first asked for; the ``shared`` ones are written."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str, once: bool = False):
-        self.spark, self.dir, self.once, self._made = spark, sf_dir, once, {}
+    def __init__(self, spark: SparkSession, sf_dir: str, once: bool = False, shared: tuple[str, ...] = ()):
+        self.spark, self.dir, self.once, self.shared, self._made = spark, sf_dir, once, shared, {}
 
     def get(self, name: str) -> DataFrame:
         if name not in self._made:
-            self._made[name] = getattr(self, "_" + name)()
+            made = getattr(self, "_" + name)()
+            self._made[name] = written(made) if name in self.shared else made
         return self._made[name]
 
     def _raw(self):
@@ -377,6 +388,6 @@ def _named(df: DataFrame) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     def bound(name: str) -> Callable[[SparkSession, str], DataFrame]:
-        return lambda spark, sf_dir: _named(_plans(Tables(spark, sf_dir, name in ONCE))[name]())
+        return lambda spark, sf_dir: _named(_plans(Tables(spark, sf_dir, name in ONCE, SHARED.get(name, ())))[name]())
 
     return {name: bound(name) for name in _plans(Tables(None, ""))}  # type: ignore[arg-type]

@@ -121,12 +121,23 @@ def work_years(spark: SparkSession, sf_dir: str) -> DataFrame:
     return one.union(two)
 
 
+#: Further fields of a second source's papers, as expressions over the order.
+SOURCE_FIELDS = {
+    "doi": "CASE WHEN o_orderkey % 12 <> 0 THEN concat('10.1/', o_orderkey) END", "date": "concat(1995 + o_orderkey % 7, '-01-02')", "doctype": "CASE WHEN o_orderkey % 9 = 0 THEN 'Book' ELSE 'Journal' END",
+    "cited_by_count": "o_custkey % 70", "is_retracted": "o_orderkey % 50 = 0", "reference_count": "o_orderkey % 33", "citation_count": "o_custkey % 71",
+    "disruption": "CASE WHEN o_custkey % 4 <> 0 THEN (o_orderkey % 21 - 10) / 16e0 END", "Atyp_Median_Z": "CASE WHEN o_custkey % 7 <> 0 THEN o_orderkey % 400 / 8e0 END", "Atyp_10pct_Z": "CASE WHEN o_custkey % 7 <> 0 THEN o_orderkey % 300 / 8e0 - 20 END", "Atyp_Pairs": "o_orderkey % 90",
+    "WSB_mu": "CASE WHEN o_custkey % 3 = 0 THEN o_orderkey % 60 / 4e0 END", "WSB_sigma": "CASE WHEN o_custkey % 3 = 0 THEN o_orderkey % 20 / 4e0 END", "WSB_Cinf": "CASE WHEN o_custkey % 3 = 0 THEN o_orderkey % 500 / 2e0 END", "SB_B": "o_orderkey % 64 / 4e0", "SB_T": "o_orderkey % 15",
+    "institution_count": "o_custkey % 6 + 1", "patent_count": "o_custkey % 3", "newsfeed_count": "o_orderkey % 4", "nct_count": "o_orderkey % 2", "nih_count": "o_custkey % 5", "nsf_count": "o_orderkey % 3",
+}
+
+
 def source_papers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``paperid, year, C3, C5, C10, team_size`` of a second source."""
+    """``paperid, year, C3, C5, C10, team_size`` and SOURCE_FIELDS of a second source."""
     o = load(spark, sf_dir, "orders").filter("o_orderkey % 19 <> 1").select("o_orderkey", "o_orderdate", "o_custkey")
     return o.selectExpr(
         "concat('W', o_orderkey) paperid", "CASE WHEN o_orderkey % 43 = 0 THEN NULL ELSE cast(year(o_orderdate) + CASE WHEN o_orderkey % 13 = 0 THEN 1 ELSE 0 END as string) END year",
         "o_custkey % 9 C3", "o_custkey % 14 C5", "CASE WHEN o_custkey % 5 = 0 THEN NULL ELSE o_custkey % 30 END C10", "o_custkey % 12 + 1 team_size",
+        *[f"{e} {c}" for c, e in SOURCE_FIELDS.items()],
     )
 
 
