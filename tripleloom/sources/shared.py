@@ -27,9 +27,14 @@ def written(df: DataFrame, *done: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    for old in done:
-        at = spark._jvm.org.apache.hadoop.fs.Path(old.written_at)
-        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    remove(spark, *(d.written_at for d in done))
     out = spark.read.schema(df.schema).parquet(path)
     out.written_at = path
     return out
+
+
+def remove(spark: SparkSession, *paths: str) -> None:
+    """Delete folders that nothing reads any more."""
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
