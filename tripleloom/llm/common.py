@@ -1,58 +1,23 @@
-"""What the operators of this subpackage share."""
+"""What the operators of this subpackage share.
 
-from __future__ import annotations
+``stash(df, *done)`` writes a table to the folder that driver and executors
+share, reads it back and deletes earlier ones.
+"""
 
-import re
-import tempfile
-import uuid
+from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import remove as drop
+from ..sources.shared import shared_dir
+from ..sources.shared import written as stash
+
 #: Rows of an Arrow batch that are turned into Python objects at a time, so
 #: that a batch of very long texts is never held twice as a whole.
 SLICE = 256
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    A session without it must run on one machine (tests): it gets a temporary
-    folder, which is remembered.  On a cluster that is an error.
-    """
-    conf = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    conf = conf or spark.conf.get("spark.checkpoint.dir", None)
-    if not conf:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        conf = "file://" + tempfile.mkdtemp(prefix="tripleloom-")
-        spark.conf.set("spark.checkpoint.dir", conf)
-    return conf.rstrip("/")
-
-
-def stash(df: DataFrame, *done: DataFrame) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back.
-
-    Cuts the lineage: a lost executor costs only the tasks that read it.
-    ``done`` are earlier stashes that nothing reads once ``df`` is written;
-    their files are deleted then.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/stash-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    drop(spark, *(d.stashed_at for d in done))
-    out = spark.read.schema(df.schema).parquet(path)
-    out.stashed_at = path
-    return out
-
-
-def drop(spark: SparkSession, *paths: str) -> None:
-    """Delete folders of the shared folder that nothing reads any more."""
-    for path in paths:
-        at = spark._jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
