@@ -247,8 +247,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     are kept.  Rows that repeat a text are one class.  A row without an id
     takes part in no class and has a null component and ``kept`` true.  Rows
     that repeat an id are all returned; they count as one document.  Other
-    columns are ignored, whatever their names.  No rows give no rows.
-    ``threshold`` is taken to two decimals, and 0.8 is the least for which the
+    columns are ignored, whatever their names.  No rows give no rows, very long
+    texts are read whole.  ``threshold`` is taken to two decimals, and 0.8 is the least for which the
     lists' miss probability holds.
     """
     return _near_duplicates(docs, id_col, text_col, shingle_words, threshold, k)[0]
@@ -298,7 +298,8 @@ def _near_duplicates(docs: DataFrame, id_col: str, text_col: str = "text", shing
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """The rows of ``docs``, all columns, that :func:`near_duplicates` keeps.
 
-    Of rows that repeat an id only one stays; rows without an id all stay.
+    Of rows that repeat an id only one stays, any of them; rows without an id
+    all stay.  Other columns may have any names but ``__id``.
     """
     found, read = _near_duplicates(docs, id_col, **options)
     per = found.filter(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__id")).agg(F.max("kept").alias("__kept"), F.count("*").alias("__n"))

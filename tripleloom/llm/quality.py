@@ -145,10 +145,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 def score_quality(docs: DataFrame, model: RuleModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id and ``score`` (0 to 1).  A null text scores as
-    the empty one, repeated rows alike; other columns are ignored."""
+    the empty one, very long texts are read whole, repeated rows and ties score
+    alike; other columns are ignored, no rows give no rows."""
     return docs.select(F.col(id_col), model.column(F.col(text_col).cast("string")).alias("score"))
 
 
 def keep_good(docs: DataFrame, model: RuleModel, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
-    """The rows, all columns, that score at least ``threshold``."""
+    """The rows, all columns, that score at least ``threshold``; repeated rows all stay or all go, no rows give no rows."""
     return docs.filter(model.column(F.col(text_col).cast("string")) >= threshold)

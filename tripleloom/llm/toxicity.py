@@ -322,7 +322,8 @@ def _word_lists(cost: np.ndarray):
 def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id and ``score`` (0 to 1) of the whole text.
 
-    Null and empty texts get the score of the bias.  Repeated rows score alike,
+    Null and empty texts get the score of the bias; very long ones are read
+    whole, in time linear in their length.  Repeated rows and ties score alike,
     other columns are ignored, no rows give no rows.
     """
     known_type = docs.schema[id_col].dataType.simpleString()

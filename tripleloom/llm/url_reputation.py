@@ -97,8 +97,10 @@ def judge_urls(pages: DataFrame, outcomes: DataFrame, rules: Sequence[tuple[str,
 
     ``outcomes(id, good)`` has the labels of some pages, at most one of each.
     A null url, or one without ``://``, has an empty host and path: no rule
-    fits it and it is judged as the host ``''``.  Repeated rows are judged
-    alike.  Columns of ``pages`` other than id and url are ignored.
+    fits it and it is judged as the host ``''``.  Very long urls are read whole.
+    Repeated rows are judged alike, and outcomes without a page count for
+    nothing.  Columns of ``pages`` other than id and url are ignored.  No rows
+    give no rows.
     """
     named = pages.select(F.col(id_col).alias("id"), url_host(F.col(url_col)).alias("host"), url_path(F.col(url_col)).alias("path"))
     labelled = named.select("id", "host").join(outcomes.select(F.col("id"), F.col("good")), "id", "left")
