@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, stash
+from .common import ascii_lower, join_narrow, stash
 
 #: Second-level suffixes below which names are registered.
 TWO_LABEL_SUFFIXES = ("co.uk", "org.uk", "ac.uk", "gov.uk", "com.au", "net.au", "org.au", "co.jp", "or.jp", "co.nz", "com.br", "co.in", "co.za", "com.cn", "com.mx", "com.tr")
@@ -106,4 +106,4 @@ def judge_urls(pages: DataFrame, outcomes: DataFrame, rules: Sequence[tuple[str,
     labelled = named.select("id", "host").join(outcomes.select(F.col("id"), F.col("good")), "id", "left")
     known = stash(host_reputation(labelled, **options).select("host", "bound", F.col("verdict").alias("judged")))
     ruled = named.withColumn("fit", matched_rule(F.col("host"), F.col("path"), rules))
-    return ruled.join(known, "host", "left").select(F.col("id").alias(id_col), "host", "path", F.col("fit.rule").alias("rule"), F.coalesce("fit.verdict", "judged").alias("verdict"), F.round("bound", 6).alias("bound"))
+    return join_narrow(ruled, known, "host", "left").select(F.col("id").alias(id_col), "host", "path", F.col("fit.rule").alias("rule"), F.coalesce("fit.verdict", "judged").alias("verdict"), F.round("bound", 6).alias("bound"))
