@@ -300,3 +300,84 @@ def test_empty_tables_and_clashing_names(spark, kind):
         "quality": lambda d: quality.score_quality(d, quality.fit(d, labels)), "html": lambda d: html_extract.extract(d, "doc_id", "text"),
     }[kind]
     assert run(docs).count() == 5 and run(docs.limit(0)).count() == 0
+
+
+def test_a_score_is_the_sum_of_its_terms():
+    cost = -np.log(np.random.default_rng(5).dirichlet(np.ones(27), (27, 27)))
+    weights = {"bad": 2.0, "^stup": 1.5, "^stupi": 0.5, "idiot": 3.0, "nice": -1.0}
+    model = toxicity.ToxicityModel(cost, weights, -2.0)
+    for text in ("", "nice words", "you stupid idiot!", "BAD b4d stup", "stupidity is n1ce", "s t u p i d"):
+        z = -2.0 + sum(weights.get(t, 0.0) for t in toxicity.terms_of(toxicity.restored_words(text, cost, {})))
+        assert model.score(text, {}) == pytest.approx(1 / (1 + math.exp(-z)))
+
+
+def test_lasso_weights_are_optimal():
+    """The conditions of the optimum: gradients of weights within the penalty, at it where a weight isn't 0."""
+    rnd = np.random.default_rng(1)
+    r = (rnd.random((400, 12)) < 0.3).astype(float)
+    y = (rnd.random(400) < 1 / (1 + np.exp(-(2 * r[:, 0] - 1.5 * r[:, 1] + 0.1)))).astype(float)
+    weights, bias = quality._lasso(r, y, 0.01, steps=5000)
+    gradient = r.T @ (1 / (1 + np.exp(-(r @ weights + bias))) - y) / len(y)
+    assert abs((1 / (1 + np.exp(-(r @ weights + bias))) - y).mean()) < 1e-4
+    assert (np.abs(gradient) <= 0.01 + 1e-4).all() and (weights == 0).any() and weights[0] > 0 > weights[1]
+    assert np.allclose(gradient[weights != 0], -0.01 * np.sign(weights[weights != 0]), atol=1e-4)
+
+
+def test_a_split_has_the_largest_gain():
+    rnd = np.random.default_rng(2)
+    x = rnd.integers(0, 6, (200, 3)).astype(float)
+    y = ((x[:, 1] > 3) ^ (rnd.random(200) < 0.1)).astype(float)
+    g, h = 0.5 - y, np.full(200, 0.25)
+    paths: list = []
+    quality._grow(x, [np.unique(c) for c in x.T], g, h, np.arange(200), 1, (), paths, np.zeros(200), 0.3)
+
+    def gain(j, c):
+        left = x[:, j] <= c
+        part = lambda m: g[m].sum() ** 2 / (h[m].sum() + 1)
+        return part(left) + part(~left) - part(left | ~left) if min(h[left].sum(), h[~left].sum()) >= 1 else 0
+
+    best = max(((j, c) for j in range(3) for c in np.unique(x[:, j])), key=lambda s: gain(*s))
+    assert {p[-1][0] for p in paths} == {best[0]} and gain(best[0], paths[0][-1][2]) == pytest.approx(gain(*best))
+
+
+def test_densities_against_plain_recursion():
+    rnd = random.Random(9)
+
+    def markup(depth: int) -> str:
+        out = []
+        for _ in range(rnd.randrange(1, 4)):
+            kind = rnd.choice(["text", "a", "div", "p", "span"]) if depth else "text"
+            out.append("word " * rnd.randrange(1, 30) if kind == "text" else f"<{kind}>{markup(depth - 1 if kind != 'p' else 0)}</{kind}>")
+        return "".join(out)
+
+    def plain(node) -> dict:
+        c = t = lc = lt = 0
+        inner = []
+        for x in node.parts:
+            if isinstance(x, str):
+                c += len("".join(x.split()))
+            else:
+                s = plain(x)
+                inner.append(s)
+                c, t, lc, lt = c + s["c"], t + s["t"] + 1, lc + s["lc"], lt + s["lt"] + (x.tag == "a")
+        if node.tag == "a":
+            lc, lt = c, t
+        return {"node": node, "c": c, "t": t, "lc": lc, "lt": lt, "inner": inner}
+
+    for _ in range(40):
+        root = html_extract.parsed(f"<body>{markup(4)}</body>")
+        want = plain(root)
+        html_extract._weigh(root, html_extract._ordered(root))
+        base, todo = want["lc"] / max(want["c"], 1), [want]
+        density = {}
+        while todo:
+            s = todo.pop()
+            todo += s["inner"]
+            c, t, lc, lt = s["c"], max(s["t"], 1), max(s["lc"], 1), max(s["lt"], 1)
+            density[id(s["node"])] = c / t * math.log(max(c / lc * t / lt, 1.0)) / math.log(math.log(c / max(c - s["lc"], 1) * s["lc"] + base * c + math.e**2)) if c else 0.0
+        todo = [want]
+        while todo:
+            s = todo.pop()
+            todo += s["inner"]
+            assert s["node"].density == pytest.approx(density[id(s["node"])])
+            assert s["node"].total == pytest.approx(sum(density[id(x["node"])] for x in s["inner"]))
