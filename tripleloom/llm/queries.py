@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_extract, media, mixing, near_dedup, pii, preference, quality, toxicity, url_reputation
+from . import bpe, decontaminate, html_extract, media, mixing, near_dedup, pii, preference, quality, toxicity, url_reputation
 from .common import crc_bucket, table
 
+#: The vocabulary of op12: a file that every machine has.
+TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
+
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
 
 
@@ -93,7 +96,13 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_minhash_dedup, op3_toxicity, op4_pii, op5_decontaminate, op6_mix_sources, op7_quality, op8_chat_preferences, op9_media, op10_html_text)}
+def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = bpe.encode(table(spark, sf_dir, "documents"), TOKENIZER)
+    ids = F.array_join(F.transform("ids", lambda i: i.cast("string")), ",")
+    return done.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2(F.col("decoded"), 256).alias("decoded_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_minhash_dedup, op3_toxicity, op4_pii, op5_decontaminate, op6_mix_sources, op7_quality, op8_chat_preferences, op9_media, op10_html_text, op12_bpe)}
 
 _SUFFIXES = ", ".join(f"'{s}'" for s in url_reputation.TWO_LABEL_SUFFIXES)
 
