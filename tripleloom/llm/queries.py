@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, html_extract, media, mixing, near_dedup, pii, preference, quality, toxicity, url_reputation
+from . import bpe, decontaminate, html_extract, media, mixing, near_dedup, pii, preference, quality, runs, toxicity, url_reputation
 from .common import crc_bucket, table
 
 #: The vocabulary of op12: a file that every machine has.
@@ -96,13 +96,36 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(table(spark, sf_dir, "pages"))
 
 
+def _repeating(doc_id, text):
+    """One in ten texts with a stretch of its words repeated to its end, by the id's hash; the others as they are."""
+    words = F.filter(F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    h = F.crc32(F.encode(doc_id.cast("string"), "UTF-8"))
+    g, n = F.floor(h / 10), F.size(words)
+    a = F.when(n > 0, F.pmod(g, n))
+    p = 1 + F.floor((n - a) / (3 + F.pmod(g, F.lit(8))))
+    period = F.slice(words, (a + 1).cast("int"), p.cast("int"))
+    tail = F.slice(F.flatten(F.array_repeat(period, F.ceil((n - a) / p).cast("int"))), F.lit(1), (n - a).cast("int"))
+    return F.when((h % 10 == 0) & (n > 0), F.array_join(F.concat(F.slice(words, F.lit(1), a.cast("int")), tail), " ")).otherwise(text)
+
+
+def op11_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = runs.periodic_runs(docs.select("doc_id", _repeating(F.col("doc_id"), F.col("text")).alias("text")))
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string"))), "\n")
+    return found.withColumn("best", best).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("best.start")).alias("start"), F.col("best.length").alias("length"), (-F.col("best.period")).alias("period"),
+        F.floor(1000 * F.col("best.length") / -F.col("best.period")).alias("exponent_milli"), F.sha2(F.when(F.size("runs") > 0, F.concat(lines, F.lit("\n"))).otherwise(""), 256).alias("runs_sha256"), F.sha2(F.col("collapsed"), 256).alias("collapsed_sha256"),
+    )
+
+
 def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = bpe.encode(table(spark, sf_dir, "documents"), TOKENIZER)
     ids = F.array_join(F.transform("ids", lambda i: i.cast("string")), ",")
     return done.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2(F.col("decoded"), 256).alias("decoded_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_minhash_dedup, op3_toxicity, op4_pii, op5_decontaminate, op6_mix_sources, op7_quality, op8_chat_preferences, op9_media, op10_html_text, op12_bpe)}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_minhash_dedup, op3_toxicity, op4_pii, op5_decontaminate, op6_mix_sources, op7_quality, op8_chat_preferences, op9_media, op10_html_text, op11_runs, op12_bpe)}
 
 _SUFFIXES = ", ".join(f"'{s}'" for s in url_reputation.TWO_LABEL_SUFFIXES)
 
@@ -115,7 +138,34 @@ def _strength(level: str) -> str:
               FROM {level} WHERE n > 0)))"""
 
 
+
+def _crc32(text: str) -> str:
+    """crc32 of ASCII text, bit by bit."""
+    bit = "lambda c, i: xor(c // 2, (c % 2) * 3988292384)"
+    return f"xor(list_reduce(list_prepend(4294967295, list_transform(string_split({text}, ''), lambda s: ascii(s)::BIGINT)), lambda crc, b: list_reduce(range(8), {bit}, xor(crc, b))), 4294967295)"
+
+
 ORACLE_SQL = {
+    "op11_runs": rf"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+hashed AS (SELECT r, doc_id, w, len(w) AS n, CASE WHEN doc_id IS NULL THEN 1 ELSE {_crc32("doc_id::VARCHAR")} END AS h FROM docs),
+dealt AS (SELECT *, CASE WHEN h % 10 = 0 AND n > 0 THEN (h // 10) % n ELSE n END AS a FROM hashed),
+bent AS (SELECT *, 1 + (n - a) // (3 + (h // 10) % 8) AS p FROM dealt),
+old AS (SELECT r, unnest(range(0, n)) AS i, unnest(w) AS w, a, p FROM bent),
+word AS (SELECT o.r, o.i, s.w FROM old o JOIN old s ON s.r = o.r AND s.i = CASE WHEN o.i >= o.a THEN o.a + (o.i - o.a) % o.p ELSE o.i END),
+grid AS (SELECT r, q, unnest(range(0, n - 3 * q, q)) AS i FROM (SELECT r, n, unnest(range(1, n // 4 + 1)) AS q FROM bent)),
+coded AS (SELECT r * 4294967296 + i AS k, w FROM word),
+cand AS (
+  SELECT DISTINCT r, q FROM (SELECT g.r, g.q, x.w AS x, y.w AS y, z.w AS z, v.w AS v FROM (SELECT *, r * 4294967296 + i AS k FROM grid) g JOIN coded x ON x.k = g.k JOIN coded y ON y.k = g.k + g.q JOIN coded z ON z.k = g.k + 2 * g.q JOIN coded v ON v.k = g.k + 3 * g.q)
+  WHERE CASE WHEN x = y AND y = z AND z = v THEN 1 ELSE 0 END = 1),
+pairs AS (SELECT c.r, c.q, x.i, x.w AS x, y.w AS y FROM cand c JOIN word x ON x.r = c.r JOIN coded y ON y.k = x.r * 4294967296 + x.i + c.q),
+same AS (SELECT r, q, i, i - row_number() OVER (PARTITION BY r, q ORDER BY i) AS island FROM pairs WHERE CASE WHEN x = y THEN 1 ELSE 0 END = 1),
+wide AS (SELECT r, q, min(i) AS s, count(*) + q AS l FROM same GROUP BY r, q, island HAVING count(*) + q >= greatest(6, 4 * q)),
+runs AS (SELECT * FROM wide a WHERE NOT EXISTS (SELECT 1 FROM wide b WHERE b.r = a.r AND b.q < a.q AND b.s <= a.s AND b.s + b.l >= a.s + a.l)),
+kept AS (SELECT r, string_agg(w, ' ' ORDER BY i) AS t FROM word x WHERE NOT EXISTS (SELECT 1 FROM runs u WHERE u.r = x.r AND x.i >= u.s + u.q AND x.i < u.s + u.l) GROUP BY 1),
+listed AS (SELECT r, count(*) AS n_runs, string_agg(s || ',' || l || ',' || q || chr(10), '' ORDER BY s, q) AS t, first({{'s': s, 'l': l, 'q': q}} ORDER BY l DESC, s, q) AS best FROM runs GROUP BY 1)
+SELECT doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, best.s::BIGINT AS "start", best.l::BIGINT AS length, best.q::BIGINT AS period, (1000 * best.l // best.q)::BIGINT AS exponent_milli, sha256(coalesce(listed.t, '')) AS runs_sha256, sha256(coalesce(kept.t, '')) AS collapsed_sha256
+FROM docs LEFT JOIN listed USING (r) LEFT JOIN kept USING (r)""",
     "op1_url_filter": rf"""
 WITH rules(verdict, h, p) AS (VALUES {", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in RULES)}),
 named AS (
