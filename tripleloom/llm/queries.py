@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, html_extract, media, mixing, near_dedup, pii, preference, quality, runs, toxicity, url_reputation
+from . import bpe, decontaminate, html_extract, media, mixing, near_dedup, pii, preference, quality, repair, runs, toxicity, url_reputation
 from .common import crc_bucket, table
 
 #: The vocabulary of op12: a file that every machine has.
@@ -125,7 +125,25 @@ def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2(F.col("decoded"), 256).alias("decoded_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_minhash_dedup, op3_toxicity, op4_pii, op5_decontaminate, op6_mix_sources, op7_quality, op8_chat_preferences, op9_media, op10_html_text, op11_runs, op12_bpe)}
+def _damaged(conversations: DataFrame) -> DataFrame:
+    """Rows that are dropped, emptied, cut, repeated or re-roled by the hash of conversation and turn."""
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    h = F.crc32(F.encode(F.concat_ws(":", text("conv_id"), text("turn")), "UTF-8")) % 20
+    rows = conversations.select("conv_id", "turn", text("role").alias("role"), text("text").alias("text"), h.alias("h")).filter("h <> 0")
+    changed = F.when(F.col("h") == 1, "").when(F.col("h") == 2, F.translate("text", ".!?", "")).otherwise(F.col("text"))
+    copies = F.explode(F.when(F.col("h") == 3, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1))))
+    return rows.select("conv_id", "turn", F.when(F.col("h") == 4, "user").otherwise(F.col("role")).alias("role"), changed.alias("text"), copies.alias("copy"))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = table(spark, sf_dir, "conversations")
+    done = repair.repair_conversations(_damaged(conversations)).withColumnRenamed("conv_id", "done_id")
+    every = conversations.select("conv_id").distinct().join(done, F.col("conv_id").eqNullSafe(F.col("done_id")), "left")
+    counts = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return every.select("conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.sha2(F.coalesce("repaired", F.lit("")), 256).alias("repaired_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_minhash_dedup, op3_toxicity, op4_pii, op5_decontaminate, op6_mix_sources, op7_quality, op8_chat_preferences, op9_media, op10_html_text, op11_runs, op12_bpe, op13_conversation_repair)}
 
 _SUFFIXES = ", ".join(f"'{s}'" for s in url_reputation.TWO_LABEL_SUFFIXES)
 
@@ -145,7 +163,49 @@ def _crc32(text: str) -> str:
     return f"xor(list_reduce(list_prepend(4294967295, list_transform(string_split({text}, ''), lambda s: ascii(s)::BIGINT)), lambda crc, b: list_reduce(range(8), {bit}, xor(crc, b))), 4294967295)"
 
 
+#: For op13: states (0 empty, 1 after system, 2 after user, 3 after pairs), what turns up to two insertions make of them, and what a kept or re-roled turn does.
+_INSERTED = "(0, 0, ''), (0, 2, 'I'), (0, 3, 'II'), (1, 1, ''), (1, 2, 'I'), (1, 3, 'II'), (2, 2, ''), (2, 3, 'I'), (2, 2, 'II'), (3, 3, ''), (3, 2, 'I'), (3, 3, 'II')"
+_NEXT = "(0, 's', 1), (0, 'u', 2), (1, 'u', 2), (2, 'a', 3), (3, 'u', 2)"
+
 ORACLE_SQL = {
+    "op13_conversation_repair": rf"""
+WITH RECURSIVE marked AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {_crc32("(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '))")} % 20 AS h FROM conversations),
+rows_ AS (
+  SELECT conv_id, turn, CASE WHEN h = 4 THEN 'user' ELSE role END AS role, CASE WHEN h = 1 THEN '' WHEN h = 2 THEN translate(text, '.!?', '') ELSE text END AS text, unnest(range(0, CASE WHEN h = 3 THEN 2 ELSE 1 END)) AS copy
+  FROM marked WHERE h <> 0),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i, regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*$', 1) AS e FROM rows_),
+ordered AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) AS nth FROM placed),
+faults AS (SELECT *, CASE WHEN e = '' THEN 'blank' WHEN nth > 1 THEN 'duplicate' WHEN e NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS before FROM ordered),
+facts AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE fault = 'blank') AS blank, count(*) FILTER (WHERE fault = 'duplicate') AS duplicate, count(*) FILTER (WHERE fault = 'truncated') AS truncated,
+         count(*) FILTER (WHERE before IS NOT NULL AND before || left(role, 1) NOT IN ('su', 'ua', 'au')) AS illegal, max(i) AS n
+  FROM faults GROUP BY 1),
+ins(s, t, edits) AS (VALUES {_INSERTED}),
+nxt(s, token, t) AS (VALUES {_NEXT}),
+moves AS (
+  SELECT s, t, '' AS need, edits || 'D' AS edits, 2 * length(edits) + 3 AS cost FROM ins
+  UNION ALL SELECT ins.s, nxt.t, token, edits || 'K', 2 * length(edits) FROM ins JOIN nxt ON nxt.s = ins.t
+  UNION ALL SELECT ins.s, nxt.t, '*', edits || 'R', 2 * length(edits) + 2 FROM ins JOIN nxt ON nxt.s = ins.t AND token <> 's'),
+ways(conv_id, i, s, best) AS (
+  SELECT conv_id, 0::BIGINT, 0, {{'cost': 0::BIGINT, 'audit': ''}} FROM facts
+  UNION ALL
+  SELECT w.conv_id, w.i + 1, m.t, min({{'cost': (best.cost + m.cost + CASE WHEN fault = 'truncated' AND m.need <> '' THEN 1 ELSE 0 END)::BIGINT, 'audit': best.audit || m.edits}})
+  FROM ways w JOIN faults f ON f.conv_id IS NOT DISTINCT FROM w.conv_id AND f.i = w.i + 1 JOIN moves m ON m.s = w.s AND (m.need = '' OR fault NOT IN ('blank', 'duplicate') AND (m.need = '*' OR m.need = left(role, 1)))
+  GROUP BY ALL),
+final AS (
+  SELECT w.conv_id, min({{'cost': (best.cost + 2 * length(edits))::BIGINT, 'audit': best.audit || edits}}) AS best
+  FROM ways w JOIN facts f ON f.conv_id IS NOT DISTINCT FROM w.conv_id AND f.n = w.i JOIN ins ON ins.s = w.s AND ins.t IN (0, 3) GROUP BY 1),
+steps AS (SELECT conv_id, best.audit AS audit, unnest(range(1, length(best.audit) + 1)) AS k FROM final),
+edits AS (SELECT conv_id, k, substr(audit, k::INT, 1) AS edit, length(replace(substr(audit, 1, k::INT), 'I', '')) AS i FROM steps),
+kept AS (
+  SELECT e.conv_id, k, edit, role, text, row_number() OVER (PARTITION BY e.conv_id ORDER BY k) AS place
+  FROM edits e LEFT JOIN faults f ON f.conv_id IS NOT DISTINCT FROM e.conv_id AND f.i = e.i AND edit <> 'I' WHERE edit <> 'D'),
+started AS (SELECT *, first_value(CASE WHEN edit = 'K' AND left(role, 1) = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY k) AS off FROM kept),
+lines AS (SELECT conv_id, string_agg(CASE WHEN edit = 'K' THEN role WHEN (place - off) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || coalesce(text, ''), chr(10) ORDER BY k) AS t FROM started GROUP BY 1)
+SELECT c.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal,
+       coalesce(best.cost, 0)::BIGINT AS cost, coalesce(best.audit, '') AS audit, sha256(coalesce(t, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN facts ON facts.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN final ON final.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN lines ON lines.conv_id IS NOT DISTINCT FROM c.conv_id""",
     "op11_runs": rf"""
 WITH docs AS (SELECT row_number() OVER () AS r, doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
 hashed AS (SELECT r, doc_id, w, len(w) AS n, CASE WHEN doc_id IS NULL THEN 1 ELSE {_crc32("doc_id::VARCHAR")} END AS h FROM docs),
