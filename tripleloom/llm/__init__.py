@@ -1,6 +1,6 @@
 """Operators that prepare training corpora for language models.
 
-Ten operators, one module each, plus ``queries`` which binds them to the
+Thirteen operators, one module each, plus ``queries`` which binds them to the
 tables of a data folder.  Nothing outside this subpackage imports it.
 """
 
