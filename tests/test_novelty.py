@@ -153,18 +153,6 @@ def test_reports_name_each_corruption(spark):
     assert report(quality.recompute_report(b, a.distinct(), "PMID"))["n differs"] == 1
 
 
-def test_publish_gate(spark, tmp_path):
-    from tripleloom.sources.files import publish
-
-    df = spark.range(3)
-    good, bad = (spark.createDataFrame([("r", n)], "rule string, n_violations long") for n in (0, 2))
-    with pytest.raises(ValueError, match="r: 2"):
-        publish(df, bad, str(tmp_path / "x"))
-    assert not (tmp_path / "x").exists()
-    publish(df, good, str(tmp_path / "x"))
-    assert spark.read.parquet(str(tmp_path / "x")).count() == 3
-
-
 def test_readers(spark, tmp_path):
     from tripleloom.sources.files import CITATION_COLUMNS, null_marker, read_raw_csv, read_text_table
 
@@ -216,7 +204,7 @@ def test_frequent_triples_are_dealt_to_parts(spark, monkeypatch):
 
 def test_shards_are_contiguous(spark):
     df = spark.createDataFrame([(k * 7 % 50, k % 3) for k in range(333)], "k long, v long")
-    got = sorted(map(tuple, prepare.shard_manifest(df, "k", 100, ranges=6).collect()))
+    got = sorted(map(tuple, prepare.shard_manifest(df, "k", 100).collect()))
     ordered = sorted((k * 7 % 50) for k in range(333))
     assert got == [(s + 1, len(part), part[0], part[-1]) for s, part in enumerate(ordered[i : i + 100] for i in range(0, 333, 100))]
     assert prepare.shard_manifest(df.limit(0), "k", 100).count() == 0

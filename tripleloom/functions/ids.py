@@ -2,29 +2,26 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 NAMIBIA = "namibia"
-#: What may stand before an identifier written as an address.
-_SCHEMES = ("https://", "http://")
+#: The addresses that may stand before an identifier.
 PMID_HOSTS = ("pubmed.ncbi.nlm.nih.gov/", "www.ncbi.nlm.nih.gov/pubmed/", "ncbi.nlm.nih.gov/pubmed/")
 WORK_HOSTS = ("openalex.org/",)
 DOI_HOSTS = ("doi.org/", "dx.doi.org/")
 
 
-def _after(text: Column, hosts: tuple[str, ...]) -> Column:
-    """The text behind the scheme and host that it starts with, if any."""
-    starts = [scheme + host for scheme in _SCHEMES for host in hosts]
-    return F.coalesce(*[F.when(F.startswith(text, F.lit(x)), F.substring(text, len(x) + 1, 1 << 30)) for x in starts], text)
-
+def _address(hosts: tuple[str, ...]) -> str:
+    """A pattern of one of the hosts with its scheme."""
+    return f"https?://(?:{'|'.join(re.escape(h) for h in hosts)})"
 
-def _without_slash(text: Column) -> Column:
-    return F.when(F.endswith(text, F.lit("/")), F.left(text, F.length(text) - 1)).otherwise(text)
 
-
-def _all_digits(text: Column) -> Column:
-    return (F.length(text) > 0) & (F.length(F.translate(text, "0123456789", "")) == 0)
+def _only(c: Column, pattern: str) -> Column:
+    """The group of a pattern that the whole trimmed text fits, else ``''``; one short expression, so that code can be generated for many of them."""
+    return F.regexp_extract(F.trim(c.cast("string")), rf"\A{pattern}\z", 1)
 
 
 def is_missing(c: Column) -> Column:
@@ -55,8 +52,7 @@ def share(n: Column, d: Column) -> Column:
 
 def pmid_strict(c: Column) -> Column:
     """Digits, bare or in one of the two PubMed URL forms, without leading zeros; else null."""
-    digits = _after(_without_slash(F.trim(c.cast("string"))), PMID_HOSTS)
-    return F.when(_all_digits(digits), F.nullif(F.ltrim(digits, F.lit("0")), F.lit("")))
+    return F.nullif(_only(c, f"(?:{_address(PMID_HOSTS)})?0*([1-9][0-9]*)/?"), F.lit(""))
 
 
 def pmid_loose(c: Column) -> Column:
@@ -72,8 +68,7 @@ def pmid_tail(c: Column) -> Column:
 
 def work_strict(c: Column) -> Column:
     """``W`` and digits, bare or as the path of a URL; else null."""
-    path = _after(_without_slash(F.trim(c.cast("string"))), WORK_HOSTS)
-    return F.when(F.startswith(path, F.lit("W")) & _all_digits(F.substring(path, 2, 1 << 30)), path)
+    return F.nullif(_only(c, f"(?:{_address(WORK_HOSTS)})?(W[0-9]+)/?"), F.lit(""))
 
 
 def work_loose(c: Column) -> Column:
@@ -82,13 +77,12 @@ def work_loose(c: Column) -> Column:
 
 def doi_norm(c: Column) -> Column:
     """Lower-cased, without the resolver's address; blank is null."""
-    return F.nullif(_after(F.lower(F.trim(c)), DOI_HOSTS), F.lit(""))
+    return F.nullif(F.regexp_replace(F.lower(F.trim(c)), rf"\A{_address(DOI_HOSTS)}", ""), F.lit(""))
 
 
 def year_strict(c: Column) -> Column:
     """Text of four digits, the first of them 1 or 2, as an int; a bare cast would take more."""
-    text = F.trim(c.cast("string"))
-    return F.when((F.length(text) == 4) & _all_digits(text) & F.left(text, F.lit(1)).isin("1", "2"), text.try_cast("int"))
+    return _only(c, "([12][0-9]{3})").try_cast("int")
 
 
 def date_year(c: Column) -> Column:

@@ -68,6 +68,37 @@ def audit_mapping_summary(papers: DataFrame) -> DataFrame:
     return papers.groupBy("mapping_group", "year_status", "has_work_shared_with_other_pmids").agg(F.count("*").alias("n_pmids"), F.sum("n_works").alias("n_pmid_work_links"), F.count_if(F.col("n_different_year_works") > 0).alias("n_pmids_with_any_observed_year_difference"))
 
 
+#: The tables of how papers map to works: overall, by year and by journal.
+LEVELS = {"overall": ("mapping_group", "year_status", "has_work_shared_with_other_pmids"), "year": ("analysis_year", "mapping_group", "year_status", "has_work_shared_with_other_pmids"), "issn": ("journal_issns", "mapping_group", "year_status")}
+
+
+def audit_mapping_levels(papers: DataFrame) -> DataFrame:
+    """All levels in one pass by grouping sets; ``level`` tells them apart, a column that a level doesn't have is null."""
+    keys = list(dict.fromkeys(k for ks in LEVELS.values() for k in ks))
+    out = papers.groupingSets([[F.col(k) for k in ks] for ks in LEVELS.values()], *keys).agg(
+        F.grouping("analysis_year").alias("no_year"), F.grouping("journal_issns").alias("no_issn"), F.count("*").alias("n_pmids"), F.sum("n_works").alias("n_pmid_work_links"), F.count_if(F.col("n_different_year_works") > 0).alias("n_pmids_with_any_observed_year_difference"),
+    )
+    level = F.when(F.col("no_year") == 0, "year").when(F.col("no_issn") == 0, "issn").otherwise("overall")
+    return out.select(level.alias("level"), *keys, "n_pmids", "n_pmid_work_links", "n_pmids_with_any_observed_year_difference")
+
+
+def audit_mapping_by_year(papers: DataFrame) -> DataFrame:
+    return papers.groupBy(*LEVELS["year"]).agg(F.count("*").alias("n_pmids"), F.sum("n_works").alias("n_pmid_work_links"), F.count_if(F.col("n_different_year_works") > 0).alias("n_pmids_with_any_observed_year_difference"))
+
+
+def audit_mapping_by_issn(papers: DataFrame) -> DataFrame:
+    return papers.groupBy(*LEVELS["issn"]).agg(F.count("*").alias("n_pmids"))
+
+
+def cohort_multiplicity_by_year(papers: DataFrame) -> DataFrame:
+    return papers.groupBy("analysis_year", "n_works").agg(F.count("*").alias("n_pmids"))
+
+
+def inspection_work_details(links: DataFrame, sample: DataFrame) -> DataFrame:
+    """All links of the papers of an inspection sample."""
+    return links.join(sample.select("pmid"), "pmid", "left_semi")
+
+
 def audit_multiplicity(ids: DataFrame, papers: DataFrame) -> DataFrame:
     """How many works papers have, over all mappings and in the cohort."""
     every = mappings(ids).groupBy("pmid").agg(F.count("*").alias("n_works")).withColumn("scope", F.lit("global_openalex"))

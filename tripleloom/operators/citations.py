@@ -44,14 +44,21 @@ def citation_edge_accounting(references: DataFrame, years: DataFrame, cutoff: in
     )
 
 
+def _once(df: DataFrame, name: str) -> DataFrame:
+    """Rows with an id, each of which must be the only one of its id."""
+    rest = [c for c in df.columns if c != "work_id"]
+    rows = df.filter("work_id is not null").groupBy("work_id").agg(F.count("*").alias("__n"), F.first(F.struct(*rest)).alias("__x"))
+    gate = F.when(F.col("__n") > 1, F.raise_error(F.concat(F.lit(f"several rows in {name} of work "), F.col("work_id")))).otherwise(F.col("__x"))
+    return rows.select("work_id", gate.alias("__x")).select("work_id", "__x.*")
+
+
 def citation_match(ours: DataFrame, other: DataFrame) -> DataFrame:
     """Works of both sources in the same year with their counts and differences.
 
-    ``other(work_id, other_year, other_C3, other_C5, other_C10)``; ids that
-    repeat are left out on either side, for :func:`match_coverage` to tell.
+    ``other(work_id, other_year, other_C3, other_C5, other_C10)``; a work that
+    repeats in either source is an error when the result is read, one without an id doesn't match.
     """
-    once = lambda df: df.join(df.groupBy("work_id").count().filter("count = 1").select("work_id"), "work_id", "left_semi")
-    met = once(ours).join(once(other), "work_id").filter(F.col("publication_year") == F.col("other_year"))
+    met = _once(ours, "ours").join(_once(other, "the other source"), "work_id").filter(F.col("publication_year") == F.col("other_year"))
     out = met.select("work_id", "publication_year", *[F.col(f"citation_C{k}") for k in WINDOWS], *[F.col(f"other_C{k}").cast("bigint").alias(f"other_C{k}") for k in WINDOWS])
     return out.withColumns({f"difference_C{k}": F.col(f"citation_C{k}") - F.col(f"other_C{k}") for k in WINDOWS})
 

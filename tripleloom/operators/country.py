@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.ids import country_code, is_missing, list_items, listed, pmid_tail, share
@@ -139,19 +139,95 @@ def country_network_summary(network: DataFrame) -> DataFrame:
     return out.withColumns({"share_domestic_edges": share(F.col("n_domestic_edges"), F.col("n_edges"))} | {f"share_domestic_{c}": share(F.col(f"domestic_{c}"), F.col(f"total_{c}")) for c in weights})
 
 
+def country_network_coverage(transitions: DataFrame, annotated: DataFrame, paper_country: DataFrame, network: DataFrame, w: int = 5) -> DataFrame:
+    """For each focal year and category, absent ones too: how many reused rows and later rows have a country, what matched, and the network's size and weights.
+
+    Rows are counted by year first; a focal year's later rows are sums over the years of its
+    window, and a later row is matched if an earlier year of the window reused its triple, which the
+    last such year tells for each focal year at once.
+    """
+    home = paper_country.filter(~is_missing(F.col("code"))).select(F.col("pmid").alias("PMID"), "code").distinct()
+    per_paper = home.groupBy("PMID").agg(F.count("*").alias("n_codes"), F.count_if(F.col("code") == "NA").alias("n_na"))
+    reused = transitions.filter(F.col("future_five_year_transition").isin("Adopted", "Continued"))
+    kinds = F.when(F.col("edge_annotation").isin(*NEW), F.array("edge_annotation", F.lit(POOLED))).otherwise(F.array("edge_annotation"))
+    found = written(reused.join(per_paper, "PMID", "left").select(F.col("PYEAR").alias("focal_year"), "edge_annotation", kinds.alias("kinds"), *TRIPLE, "PMID", F.coalesce("n_codes", F.lit(0)).alias("n_codes"), F.coalesce("n_na", F.lit(0)).alias("n_na")))
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    source = found.groupBy("focal_year").agg(F.count("*").alias("n_source_transition_rows"), F.count_if(F.col("n_codes") > 0).alias("n_source_rows_with_country"), F.sum("n_codes").alias("n_source_country_rows"), F.sum("n_na").alias("n_source_country_rows_na_code"))
+    by_kind = found.withColumn("edge_annotation", F.explode("kinds")).groupBy("focal_year", "edge_annotation", *TRIPLE).agg(F.count_if(F.col("n_codes") > 0).alias("n"))
+    triples = by_kind.groupBy("focal_year", "edge_annotation").agg(F.count("*").alias("n_source_exact_triples"), F.sum("n").alias("n_source_rows_with_country_in_category"))
+    countries = found.filter("n_codes > 0").withColumn("edge_annotation", F.explode("kinds")).join(home, "PMID").select("focal_year", "edge_annotation", *TRIPLE, "code").distinct().groupBy("focal_year", "edge_annotation").agg(F.count("*").alias("n_source_triple_country_rows"))
+
+    later = written(annotated.join(per_paper, "PMID", "left").groupBy(F.col("PYEAR").alias("later"), *TRIPLE).agg(F.count("*").alias("rows"), F.count_if(F.col("n_codes") > 0).alias("with_country"), F.coalesce(F.sum("n_codes"), F.lit(0)).alias("codes"), F.coalesce(F.sum("n_na"), F.lit(0)).alias("na")))
+    window = F.explode(F.sequence(F.col("later") - w, F.col("later") - 1))
+    sizes = later.groupBy("later").agg(*[F.sum(c).alias(c) for c in ("rows", "with_country", "codes", "na")]).select(window.alias("focal_year"), "rows", "with_country", "codes", "na")
+    future = sizes.groupBy("focal_year").agg(F.sum("rows").alias("n_future_rows_scanned"), F.sum("with_country").alias("n_future_rows_with_country"), F.sum("codes").alias("n_future_country_rows"), F.sum("na").alias("n_future_country_rows_na_code"))
+    known = found.filter("n_codes > 0").select("focal_year", *TRIPLE).distinct()
+    matched = known.join(later.filter("with_country > 0").select("later", *TRIPLE, "with_country"), list(TRIPLE)).filter(F.col("later").between(F.col("focal_year") + 1, F.col("focal_year") + w))
+    matched = matched.groupBy("focal_year").agg(F.sum("with_country").alias("n_future_rows_matched_to_source_exact_triples"))
+
+    weights = ("weight_unique_exact_triples", "weight_unique_source_pmids", "weight_unique_future_pmids", "weight_source_pmid_x_future_pmid")
+    edges = network.groupBy("focal_year", "edge_annotation").agg(
+        F.count("*").alias("n_country_edges"), F.count_if("is_domestic_adoption").alias("n_domestic_country_edges"), *[F.sum(c).alias(f"total_{c}") for c in weights],
+        *[F.sum(F.when(F.col("is_domestic_adoption"), F.col(c))).alias(f"domestic_{c}") for c in (weights[0], weights[3])],
+    )
+    years = transitions.select(F.col("PYEAR").alias("focal_year")).distinct().withColumn("edge_annotation", F.explode(F.array(*map(F.lit, (*NEW, "Repeated_Triple", POOLED)))))
+    out = years
+    for part, on in ((source, ["focal_year"]), (future, ["focal_year"]), (matched, ["focal_year"]), (triples, ["focal_year", "edge_annotation"]), (countries, ["focal_year", "edge_annotation"]), (edges, ["focal_year", "edge_annotation"])):
+        out = out.join(part, on, "left")
+    out = out.select("focal_year", "edge_annotation", *[zero(c).alias(c) for c in out.columns if c not in ("focal_year", "edge_annotation")])
+    rates = {"source_row_country_match_rate": ("n_source_rows_with_country", "n_source_transition_rows"), "future_row_country_match_rate": ("n_future_rows_with_country", "n_future_rows_scanned"), "share_domestic_country_edges": ("n_domestic_country_edges", "n_country_edges")}
+    return out.withColumns({k: share(F.col(n), F.col(d)) for k, (n, d) in rates.items()} | {"transition_type": F.when(F.col("edge_annotation") == "Repeated_Triple", "Continued").otherwise("Adopted")})
+
+
+def _words(n: int) -> list:
+    """The columns ``b0, b1, ...`` of a set of numbers below ``n``, 63 to a column, as aggregates of a column ``place``."""
+    return [F.coalesce(F.bit_or(F.when(F.floor(F.col("place") / 63) == k, F.shiftleft(F.lit(1).cast("bigint"), (F.col("place") % 63).cast("int")))), F.lit(0).cast("bigint")).alias(f"b{k}") for k in range(-(-n // 63))]
+
+
+def _places(column: str, first: int, end: int):
+    """The numbers whose bits are set in a word that begins with ``first``."""
+    return F.filter(F.sequence(F.lit(first), F.lit(end - 1)), lambda p: F.getbit(F.col(column), p - first) == 1)
+
+
 def country_network_by_key(transitions: DataFrame, annotated: DataFrame, paper_country: DataFrame, w: int = 5) -> DataFrame:
     """The earlier variant: New_Node and New_Combination match by pair, New_Relation by triple; a row for each
-    focal year, category (pooled too) and pair of countries with later rows and later papers."""
-    home = paper_country.filter(~is_missing(F.col("code"))).select(F.col("pmid").alias("PMID"), "code").distinct()
-    key = lambda kind: F.when(kind == NEW[2], F.concat_ws("\t", "s", "p", "o")).otherwise(F.concat_ws("\t", "node_a", "node_b"))
-    focal = transitions.filter(F.col("edge_annotation").isin(*NEW) & (F.col("future_five_year_transition") == "Adopted"))
-    by_pair = F.col("edge_annotation") != NEW[2]
-    left = focal.join(home, "PMID").select(F.col("PYEAR").alias("focal_year"), F.col("edge_annotation"), by_pair.alias("by_pair"), key(F.col("edge_annotation")).alias("key"), F.col("code").alias("source_country_code")).distinct()
-    keys = F.array(F.struct(F.lit(True).alias("by_pair"), F.concat_ws("\t", "node_a", "node_b").alias("key")), F.struct(F.lit(False).alias("by_pair"), F.concat_ws("\t", "s", "p", "o").alias("key")))
-    right = annotated.join(home, "PMID").select(F.col("PYEAR").alias("later"), F.explode(keys).alias("k"), F.col("code").alias("adopter_country_code"), "PMID", "s", "p", "o").select("later", "k.*", "adopter_country_code", "PMID", "s", "p", "o")
-    met = left.join(right, ["by_pair", "key"]).filter((F.col("later") > F.col("focal_year")) & (F.col("later") <= F.col("focal_year") + w))
-    pooled = met.withColumn("edge_annotation", F.explode(F.array("edge_annotation", F.lit(POOLED))))
-    scope = ["focal_year", "edge_annotation", "adopter_country_code", "source_country_code"]
-    rows = pooled.select(*scope, "later", "PMID", "s", "p", "o").distinct().groupBy(*scope).agg(F.count("*").alias("n_future_rows"), F.count_distinct("PMID").alias("n_future_pmids"))
-    return rows
+    focal year, category (pooled too) and pair of countries with later rows and later papers.
 
+    The source countries of a key and focal year are one set of bits.  A later row
+    meets the sets of its pair and of its triple once for each focal year of its window; equal sets are
+    counted together, by row and by paper, and become countries after that, so nothing
+    expands to rows times countries before it is counted.
+    """
+    home = paper_country.filter(~is_missing(F.col("code"))).select(F.col("pmid").alias("PMID"), "code").distinct()
+    # countries are a fixed vocabulary: numbering them is one small table
+    codes = written(home.select("code").distinct().withColumn("place", (F.row_number().over(Window.orderBy("code")) - 1).cast("int")))
+    n = codes.count()
+    if not n:  # no country, no edge
+        return home.select(F.lit(0).alias("focal_year"), F.lit("").alias("edge_annotation"), F.col("code").alias("adopter_country_code"), F.col("code").alias("source_country_code"), F.lit(0).cast("bigint").alias("n_future_rows"), F.lit(0).cast("bigint").alias("n_future_pmids"))
+    bits = [f"b{k}" for k in range(-(-n // 63))]
+    focal = transitions.filter(F.col("edge_annotation").isin(*NEW) & (F.col("future_five_year_transition") == "Adopted")).join(home, "PMID").join(F.broadcast(codes), "code")
+    focal = focal.select(F.col("PYEAR").alias("focal_year"), F.col("edge_annotation").alias("kind"), "node_a", "node_b", *TRIPLE, "place").distinct()
+    sets = lambda rows, keys: rows.groupBy("focal_year", *keys).agg(*_words(n))
+    later = annotated.select("PMID", "PYEAR", "node_a", "node_b", *TRIPLE).distinct().withColumn("focal_year", F.explode(F.sequence(F.col("PYEAR") - w, F.col("PYEAR") - 1)))
+    pair, triple = ["node_a", "node_b"], list(TRIPLE)
+    met = later
+    for kind, keys in ((NEW[0], pair), (NEW[1], pair), (NEW[2], triple)):
+        met = met.join(sets(focal.filter(F.col("kind") == kind), keys).withColumnsRenamed({b: f"{kind}_{b}" for b in bits}).withColumn(f"{kind}_met", F.lit(True)), ["focal_year", *keys], "left")
+    some = F.coalesce(*[F.col(f"{k}_met") for k in NEW])
+    of = lambda kind: F.struct(F.lit(kind).alias("edge_annotation"), *[F.coalesce(f"{kind}_{b}", F.lit(0)).alias(b) for b in bits])
+    every = lambda b: F.coalesce(f"{NEW[0]}_{b}", F.lit(0)).bitwiseOR(F.coalesce(f"{NEW[1]}_{b}", F.lit(0))).bitwiseOR(F.coalesce(f"{NEW[2]}_{b}", F.lit(0)))
+    pooled = F.struct(F.lit(POOLED).alias("edge_annotation"), *[every(b).alias(b) for b in bits])
+    cells = F.array_compact(F.array(*[F.when(F.col(f"{k}_met"), of(k)) for k in NEW], pooled))
+    by_paper = met.filter(some).select("focal_year", "PMID", F.explode(cells).alias("c")).select("focal_year", "PMID", "c.*").groupBy("focal_year", "PMID", "edge_annotation", *bits).agg(F.count("*").alias("n_rows"))
+    by_paper = written(by_paper)
+    scope = ["focal_year", "edge_annotation", "adopter_country_code"]
+
+    def counted(rows: DataFrame, count: str, out: str) -> DataFrame:
+        """Sums of ``count`` by adopter and set, then by adopter and source."""
+        sums = rows.join(home.withColumnRenamed("code", "adopter_country_code"), "PMID").groupBy(*scope, *bits).agg(F.sum(count).alias("n"))
+        places = F.flatten(F.array(*[_places(b, 63 * k, min(n, 63 * k + 63)) for k, b in enumerate(bits)]))
+        return sums.select(*scope, F.explode(places).alias("place"), "n").groupBy(*scope, "place").agg(F.sum("n").alias(out)).join(F.broadcast(codes.withColumnRenamed("code", "source_country_code")), "place").drop("place")
+
+    rows = counted(by_paper, "n_rows", "n_future_rows")
+    papers = counted(by_paper.groupBy("focal_year", "PMID", "edge_annotation").agg(*[F.bit_or(b).alias(b) for b in bits], F.lit(1).alias("one")), "one", "n_future_pmids")
+    return rows.join(papers, [*scope, "source_country_code"])

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ids import component_count, is_missing, passes_novelty, primary_component, share
-from ..sources.shared import written
+from ..sources.tables import numbered
 
 #: The columns of prepared triples.
 PREPARED = ("PREDICATION_ID", "SENTENCE_ID", "PMID", "PYEAR", "PREDICATE", "SUBJECT_CUI", "SUBJECT_NAME", "SUBJECT_SEMTYPE", "SUBJECT_NOVELTY", "subject_cui_primary", "subject_name_primary", "OBJECT_CUI", "OBJECT_NAME", "OBJECT_SEMTYPE", "OBJECT_NOVELTY", "object_cui_primary", "object_name_primary")
@@ -99,23 +99,9 @@ def split_by_year_counts(prepared: DataFrame) -> DataFrame:
     return prepared.groupBy("PYEAR").agg(F.count("*").alias("n_rows"), F.count_distinct("PMID").alias("n_pmids"))
 
 
-def numbered(df: DataFrame, order: Sequence[str], ranges: int = 64) -> DataFrame:
-    """``df`` with ``number``, a row's place in the order from 1 on; ties by the other columns.
-
-    Rows are dealt to ranges of the key, numbered inside each and moved on by
-    the sizes of the ranges before (a row each), so no task orders the table.
-    """
-    every = [*order, *[c for c in df.columns if c not in order]]
-    ranged = written(df.repartitionByRange(ranges, *every).withColumn("__range", F.spark_partition_id()))
-    sizes = ranged.groupBy("__range").agg(F.count("*").alias("__n"))
-    before = sizes.select("__range", (F.sum("__n").over(Window.orderBy("__range")) - F.col("__n")).alias("__before"))  # a row for each range
-    own = F.row_number().over(Window.partitionBy("__range").orderBy(*every))
-    return ranged.withColumn("__own", own).join(F.broadcast(before), "__range").select(*df.columns, (F.col("__own") + F.col("__before")).alias("number"))
-
-
-def shard_manifest(df: DataFrame, order: str, rows: int, ranges: int = 64) -> DataFrame:
-    """Contiguous shards of ``rows`` rows by ``order``, the last one shorter: shard, n_rows, first and last key."""
-    return numbered(df, [order], ranges).withColumn("shard", F.ceil(F.col("number") / rows)).groupBy("shard").agg(F.count("*").alias("n_rows"), F.min(order).alias("first_key"), F.max(order).alias("last_key"))
+def shard_manifest(df: DataFrame, order: str, rows: int) -> DataFrame:
+    """Contiguous shards of ``rows`` rows by ``order``, the last one shorter: shard, n_rows, first and last key; nothing but the manifest is kept."""
+    return numbered(df, [order]).withColumn("shard", F.ceil(F.col("number") / rows)).groupBy("shard").agg(F.count("*").alias("n_rows"), F.min(order).alias("first_key"), F.max(order).alias("last_key"))
 
 
 def filter_linked_rows(rows: DataFrame) -> DataFrame:

@@ -31,10 +31,10 @@ def _missing(c: str) -> str:
     return f"({c} IS NULL OR trim({c}) = '')"
 
 
-def _behind(text: str, hosts: tuple[str, ...]) -> str:
-    """The text behind an address it starts with."""
-    starts = [f"{scheme}://{host}" for scheme in ("http", "https") for host in hosts]
-    return "CASE " + " ".join(f"WHEN starts_with({text}, '{x}') THEN substr({text}, {len(x) + 1})" for x in starts) + f" ELSE {text} END"
+def _lead(text: str, hosts: tuple[str, ...]) -> str:
+    """Whether what stands before the last ``/`` of a text is nothing or one of the addresses."""
+    known = ", ".join(f"'{scheme}://{host}'" for scheme in ("http", "https") for host in hosts)
+    return f"left({text}, length({text}) - length(string_split({text}, '/')[-1])) IN ('', {known})"
 
 
 def _digits(text: str) -> str:
@@ -42,11 +42,12 @@ def _digits(text: str) -> str:
 
 
 _BARE = "(CASE WHEN ends_with(trim(({0})::VARCHAR), '/') THEN left(trim(({0})::VARCHAR), -1) ELSE trim(({0})::VARCHAR) END)"
-_P, _W = (f"({_behind(_BARE, hosts)})" for hosts in (("www.ncbi.nlm.nih.gov/pubmed/", "ncbi.nlm.nih.gov/pubmed/", "pubmed.ncbi.nlm.nih.gov/"), ("openalex.org/",)))
-PMID = f"CASE WHEN {_digits(_P)} THEN nullif(ltrim({_P}, '0'), '') END"
-WORK = f"CASE WHEN left({_W}, 1) = 'W' AND {_digits(f'substr({_W}, 2)')} THEN {_W} END"
+_LAST = f"string_split({_BARE}, '/')[-1]"
+PMID = f"CASE WHEN {_lead(_BARE, ('www.ncbi.nlm.nih.gov/pubmed/', 'ncbi.nlm.nih.gov/pubmed/', 'pubmed.ncbi.nlm.nih.gov/'))} AND {_digits(_LAST)} THEN nullif(ltrim({_LAST}, '0'), '') END"
+WORK = f"CASE WHEN {_lead(_BARE, ('openalex.org/',))} AND left({_LAST}, 1) = 'W' AND {_digits(f'substr({_LAST}, 2)')} THEN {_LAST} END"
 YEAR = "CASE WHEN length(trim(({0})::VARCHAR)) = 4 AND translate(trim(({0})::VARCHAR), '0123456789', '') = '' AND left(trim(({0})::VARCHAR), 1) IN ('1', '2') THEN trim(({0})::VARCHAR)::INT END"
-DOI = f"nullif({_behind('lower(trim({0}))', ('doi.org/', 'dx.doi.org/'))}, '')"
+_PARTS = "string_split(lower(trim({0})), '/')"
+DOI = f"nullif(CASE WHEN len({_PARTS}) > 3 AND {_PARTS}[1] IN ('http:', 'https:') AND {_PARTS}[2] = '' AND {_PARTS}[3] IN ('doi.org', 'dx.doi.org') THEN array_to_string({_PARTS}[4:], '/') ELSE lower(trim({{0}})) END, '')"
 KEYS = "PMID, subject_cui_primary, PREDICATE, object_cui_primary"
 PREPARED = "PREDICATION_ID, SENTENCE_ID, PMID, PYEAR, PREDICATE, SUBJECT_CUI, SUBJECT_NAME, SUBJECT_SEMTYPE, SUBJECT_NOVELTY, subject_cui_primary, subject_name_primary, OBJECT_CUI, OBJECT_NAME, OBJECT_SEMTYPE, OBJECT_NOVELTY, object_cui_primary, object_name_primary"
 COUNTS = "count(*)::BIGINT AS n_triples, " + ", ".join(_n(f"edge_annotation = '{c}'", f"n_{k}") for c, k in zip(CATS, KINDS, strict=True)) + ", " + _n("edge_annotation <> 'Repeated_Triple'", "n_new_triples")
@@ -332,6 +333,9 @@ _REFERENCES = "SELECT 'W' || l_orderkey AS work_id, 'referenced' AS kind, 'W' ||
 _WIDE = PREPARED
 _WORKS = "(SELECT DISTINCT l_orderkey AS k FROM lrow)"
 
+_INSPECTED = "SELECT pmid, mapping_group, year_status, stratum, n_works, sample_rank::INT AS sample_rank FROM (SELECT *, row_number() OVER (PARTITION BY mapping_group, year_status, stratum ORDER BY md5(pmid) NULLS FIRST, pmid NULLS FIRST) AS sample_rank FROM (SELECT *, CASE WHEN min_year_difference IS NULL THEN 'unavailable' WHEN min_year_difference = max_year_difference AND abs(min_year_difference) <= 1 THEN min_year_difference::VARCHAR ELSE 'other_or_mixed' END AS stratum FROM pap WHERE mapping_group <> 'single_work' OR year_status <> 'all_match' OR NOT analysis_semmed_year_equal OR NOT semmed_pyear_dp_equal)) WHERE sample_rank <= 20"
+_MAPPED = f"count(*)::BIGINT AS n_pmids, sum(n_works)::BIGINT AS n_pmid_work_links, {_n('n_different_year_works > 0', 'n_pmids_with_any_observed_year_difference')}"
+
 QUERIES: dict[str, str] = {
     "primary_component": "SELECT PREDICATION_ID, nullif(trim(split_part(SUBJECT_CUI, '|', 1)), '') AS subject_cui_primary, len(string_split(SUBJECT_CUI, '|'))::INT AS n_components FROM raw",
     "novelty_filter": "SELECT PREDICATION_ID, pass AS passes FROM all_keyed",
@@ -345,6 +349,10 @@ QUERIES: dict[str, str] = {
     "date_year_parts": f"SELECT PMID, {YEAR.format('left(ltrim(DP), 4)')} AS dp_year, {YEAR.format('left(ltrim(EDAT), 4)')} AS edat_year FROM cit",
     "split_by_year_counts": "SELECT PYEAR, count(*)::BIGINT AS n_rows, count(DISTINCT PMID)::BIGINT AS n_pmids FROM prep GROUP BY 1",
     "shard_manifest": "SELECT shard, count(*)::BIGINT AS n_rows, min(work) AS first_key, max(work) AS last_key FROM (SELECT work, ceil(row_number() OVER (ORDER BY work, r) / 500.0)::BIGINT AS shard FROM (SELECT substr(work_id, 2)::BIGINT AS work, referenced_work_id AS r FROM refs)) GROUP BY 1",
+    "write_shards": "SELECT shard, count(*)::BIGINT AS n_rows, min(work) AS first_key, max(work) AS last_key FROM (SELECT work, ceil(row_number() OVER (ORDER BY work, r) / 500.0)::BIGINT AS shard FROM (SELECT substr(work_id, 2)::BIGINT AS work, referenced_work_id AS r FROM refs)) GROUP BY 1",
+    "read_ordered_range": "SELECT substr(work_id, 2)::BIGINT AS work, referenced_work_id FROM refs WHERE substr(work_id, 2)::BIGINT BETWEEN 1000 AND 2000",
+    "write_years": "SELECT PYEAR::INT AS PYEAR, count(*)::BIGINT AS source_rows, count(*)::BIGINT AS written_rows, true AS passed FROM prep GROUP BY 1",
+    "publish_table": "SELECT * FROM pam",
     "read_years": "SELECT PYEAR, count(*)::BIGINT AS n_rows, count(DISTINCT PMID)::BIGINT AS n_pmids FROM prep WHERE PYEAR BETWEEN '1997' AND '1999' GROUP BY 1",
     "read_snapshot": _REFERENCES,
     "edge_annotation_prepared": f"SELECT {_WIDE}, a AS node_a, b AS node_b, {_PRE}, has_new_node, edge_annotation FROM zann JOIN ztrip USING (PMID, PYEAR, s, p, o)",
@@ -464,7 +472,28 @@ QUERIES: dict[str, str] = {
     "audit_year_difference": "SELECT mapping_group, l.analysis_year, l.year_difference, count(*)::BIGINT AS n_pmid_work_links, count(DISTINCT l.pmid)::BIGINT AS n_pmids FROM lnk l JOIN pap USING (pmid) WHERE l.year_difference IS NOT NULL GROUP BY ALL",
     "audit_dates": "SELECT analysis_year, semmed_year, dp_year, edat_year, count(*)::BIGINT AS n_pmids FROM pap GROUP BY ALL",
     "audit_doi_patterns": "SELECT n_works, n_works_with_usable_doi, n_distinct_usable_dois, n_works_with_conflicting_dois, count(*)::BIGINT AS n_pmids FROM pap WHERE n_works > 1 GROUP BY ALL",
-    "inspection_sample": "SELECT pmid, mapping_group, year_status, stratum, n_works, sample_rank::INT AS sample_rank FROM (SELECT *, row_number() OVER (PARTITION BY mapping_group, year_status, stratum ORDER BY md5(pmid) NULLS FIRST, pmid NULLS FIRST) AS sample_rank FROM (SELECT *, CASE WHEN min_year_difference IS NULL THEN 'unavailable' WHEN min_year_difference = max_year_difference AND abs(min_year_difference) <= 1 THEN min_year_difference::VARCHAR ELSE 'other_or_mixed' END AS stratum FROM pap WHERE mapping_group <> 'single_work' OR year_status <> 'all_match' OR NOT analysis_semmed_year_equal OR NOT semmed_pyear_dp_equal)) WHERE sample_rank <= 20",
+    "inspection_sample": _INSPECTED,
+    "inspection_work_details": f"SELECT * FROM lnk WHERE pmid IN (SELECT pmid FROM ({_INSPECTED}))",
+    "audit_mapping_levels": f"SELECT 'overall' AS level, mapping_group, year_status, has_work_shared_with_other_pmids, NULL::INT AS analysis_year, NULL::VARCHAR AS journal_issns, {_MAPPED} FROM pap GROUP BY ALL UNION ALL SELECT 'year', mapping_group, year_status, has_work_shared_with_other_pmids, analysis_year, NULL, {_MAPPED} FROM pap GROUP BY ALL UNION ALL SELECT 'issn', mapping_group, year_status, NULL, NULL, journal_issns, {_MAPPED} FROM pap GROUP BY ALL",
+    "mapping_year_summary_by_year": f"SELECT analysis_year, mapping_group, year_status, has_work_shared_with_other_pmids, {_MAPPED} FROM pap GROUP BY ALL",
+    "mapping_year_summary_by_issn": "SELECT journal_issns, mapping_group, year_status, count(*)::BIGINT AS n_pmids FROM pap GROUP BY ALL",
+    "cohort_work_multiplicity_by_year": "SELECT analysis_year, n_works, count(*)::BIGINT AS n_pmids FROM pap GROUP BY ALL",
+    "country_network_coverage": f"""
+SELECT y.focal_year, y.cat AS edge_annotation, CASE WHEN y.cat = 'Repeated_Triple' THEN 'Continued' ELSE 'Adopted' END AS transition_type, n_source_transition_rows, n_source_rows_with_country, {_share('n_source_rows_with_country', 'n_source_transition_rows', 'source_row_country_match_rate')}, n_source_country_rows, n_source_country_rows_na_code,
+  coalesce(n_source_exact_triples, 0) AS n_source_exact_triples, coalesce(n_source_rows_with_country_in_category, 0) AS n_source_rows_with_country_in_category, coalesce(n_source_triple_country_rows, 0) AS n_source_triple_country_rows, n_future_rows_scanned, n_future_rows_with_country, {_share('n_future_rows_with_country', 'n_future_rows_scanned', 'future_row_country_match_rate')},
+  n_future_country_rows, n_future_country_rows_na_code, n_future_rows_matched_to_source_exact_triples, coalesce(n_country_edges, 0) AS n_country_edges, coalesce(n_domestic_country_edges, 0) AS n_domestic_country_edges, {_share('n_domestic_country_edges', 'n_country_edges', 'share_domestic_country_edges')},
+  {", ".join(f"coalesce(total_{w}, 0)::BIGINT AS total_{w}" for w in _WEIGHTS)}, coalesce(domestic_weight_unique_exact_triples, 0)::BIGINT AS domestic_weight_unique_exact_triples, coalesce(domestic_weight_source_pmid_x_future_pmid, 0)::BIGINT AS domestic_weight_source_pmid_x_future_pmid
+FROM (SELECT DISTINCT PYEAR AS focal_year, cat FROM tr, (VALUES ('New_Node'), ('New_Combination'), ('New_Relation'), ('Repeated_Triple'), ('Pooled_New_Knowledge')) c(cat)) y
+JOIN (SELECT PYEAR AS focal_year, count(*) FILTER (WHERE state <> 'Disappeared') AS n_source_transition_rows, count(*) FILTER (WHERE state <> 'Disappeared' AND PMID IN (SELECT pmid FROM pc)) AS n_source_rows_with_country FROM tr GROUP BY 1) USING (focal_year)
+JOIN (SELECT PYEAR AS focal_year, count(pc.code) AS n_source_country_rows, count(*) FILTER (WHERE pc.code = 'NA') AS n_source_country_rows_na_code FROM tr LEFT JOIN pc ON pc.pmid = tr.PMID AND state <> 'Disappeared' GROUP BY 1) USING (focal_year)
+LEFT JOIN (SELECT PYEAR AS focal_year, c.cat, count(DISTINCT (s, p, o)) AS n_source_exact_triples, count(DISTINCT (tr.PMID, s, p, o)) FILTER (WHERE pc.code IS NOT NULL) AS n_source_rows_with_country_in_category, count(DISTINCT (s, p, o, pc.code)) FILTER (WHERE pc.code IS NOT NULL) AS n_source_triple_country_rows
+  FROM tr JOIN (VALUES ('New_Node', 'New_Node'), ('New_Combination', 'New_Combination'), ('New_Relation', 'New_Relation'), ('Repeated_Triple', 'Repeated_Triple'), ('New_Node', 'Pooled_New_Knowledge'), ('New_Combination', 'Pooled_New_Knowledge'), ('New_Relation', 'Pooled_New_Knowledge')) c(e, cat) ON c.e = edge_annotation
+  LEFT JOIN pc ON pc.pmid = tr.PMID WHERE state <> 'Disappeared' GROUP BY 1, 2) k ON k.focal_year = y.focal_year AND k.cat = y.cat
+JOIN (SELECT f.focal_year, count(u.PMID) AS n_future_rows_scanned, count(*) FILTER (WHERE u.PMID IN (SELECT pmid FROM pc)) AS n_future_rows_with_country,
+  count(*) FILTER (WHERE u.PMID IN (SELECT pmid FROM pc) AND (f.focal_year, u.s, u.p, u.o) IN (SELECT (PYEAR, s, p, o) FROM tr WHERE state <> 'Disappeared' AND PMID IN (SELECT pmid FROM pc))) AS n_future_rows_matched_to_source_exact_triples
+  FROM (SELECT DISTINCT PYEAR AS focal_year FROM tr) f LEFT JOIN ann u ON u.PYEAR BETWEEN f.focal_year + 1 AND f.focal_year + {W} GROUP BY 1) u ON u.focal_year = y.focal_year
+JOIN (SELECT f.focal_year, count(pc.code) AS n_future_country_rows, count(*) FILTER (WHERE pc.code = 'NA') AS n_future_country_rows_na_code FROM (SELECT DISTINCT PYEAR AS focal_year FROM tr) f LEFT JOIN ann u ON u.PYEAR BETWEEN f.focal_year + 1 AND f.focal_year + {W} LEFT JOIN pc ON pc.pmid = u.PMID GROUP BY 1) v ON v.focal_year = y.focal_year
+LEFT JOIN (SELECT focal_year, edge_annotation AS cat, count(*) AS n_country_edges, count(*) FILTER (WHERE is_domestic_adoption) AS n_domestic_country_edges, {", ".join(f"sum({w}) AS total_{w}, sum({w}) FILTER (WHERE is_domestic_adoption) AS domestic_{w}" for w in _WEIGHTS)} FROM cnet GROUP BY 1, 2) e ON e.focal_year = y.focal_year AND e.cat = y.cat""",
     "audit_accounting": "SELECT *, n_links = n_expected_links AND n_linked_pmids = n_pmids AND n_pmids = n_distinct_pmids AS passed FROM (SELECT count(*)::BIGINT AS n_links, count(DISTINCT pmid)::BIGINT AS n_linked_pmids FROM lnk), (SELECT sum(greatest(1, n_works))::BIGINT AS n_expected_links, count(*)::BIGINT AS n_pmids, count(DISTINCT pmid)::BIGINT AS n_distinct_pmids FROM pap)",
     "audit3_rows": "SELECT * FROM au3",
     "audit3_status_by_year": "SELECT analysis_year, match_status, count(*)::BIGINT AS n_rows, count(DISTINCT pmid)::BIGINT AS n_pmids, count(DISTINCT work_id)::BIGINT AS n_works FROM au3 GROUP BY 1, 2",

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,7 +25,8 @@ from ..functions.windows import year_bounds
 from ..sources import adapters as T
 from ..sources.adapters import W
 from ..sources.files import read_snapshot, read_years, write_table
-from ..sources.shared import shared_dir, written
+from ..sources.shared import shared_path, written
+from ..sources.tables import publish, read_published, read_range, write_shards, write_years
 
 #: The last year of the citation counts, the years and predicates that the sample leaves out.
 CUTOFF = 2000
@@ -43,7 +43,7 @@ _PROFILES, _MASTER, _LINKS = ("prepared", "keyed"), ("links", "paper_metrics", "
 SHARED = {
     **dict.fromkeys(("yearly_profile", "predicate_year_profile", "overall_profile", "retention_by_year", "retention_by_predicate"), _PROFILES),
     **dict.fromkeys(("paper_master", "master_by_year", "missingness", "master_exclusions", "sample_flow", "shared_metric_conflicts"), _MASTER),
-    **dict.fromkeys(("audit_accounting", "audit_year_difference"), _LINKS),
+    **dict.fromkeys(("audit_accounting", "audit_year_difference", "inspection_work_details"), _LINKS),
     "network_checks": ("edges", "adoption", "profile"), "paper_network_nodes": ("edges",), "agreement_summary": ("matched",), "agreement_by_year": ("matched",), "spearman": ("matched",), "uniqueness_report": ("prepared",), "prepare_diagnostics": ("raw",),
 }
 
@@ -226,7 +226,11 @@ def _plans(t: Tables) -> dict[str, Callable[[], DataFrame]]:
     stored = ["PMID", "n_triples", "n_new_triples", "share_new_triples", "share_new_node"]
     return _scalars(t) | {
         "split_by_year_counts": lambda: P.split_by_year_counts(g("prepared")),
-        "shard_manifest": lambda: P.shard_manifest(T.references(t.spark, t.dir).selectExpr("cast(substr(work_id, 2) as bigint) work", "referenced_work_id"), "work", 500),
+        "shard_manifest": lambda: P.shard_manifest(_numeric_references(t), "work", 500),
+        "write_shards": lambda: write_shards(_numeric_references(t), shared_path(t.spark, "shards"), ["work"], 500),
+        "read_ordered_range": lambda: _range_of(t, _numeric_references(t), "work", 500, 1000, 2000),
+        "write_years": lambda: write_years(g("prepared"), shared_path(t.spark, "years"), g("bounds")),
+        "publish_table": lambda: _published(t, g("paper_metrics"), {"no triples": F.col("n_triples") <= 0, "more new than all": F.col("n_new_triples") > F.col("n_triples")}),
         "read_years": lambda: P.split_by_year_counts(_by_year(t, g("prepared"), 1997, 1999)),
         "read_snapshot": lambda: X.flatten_references(_from_json(t, g("works"))),
         "edge_annotation_prepared": lambda: A.annotation_of(g("wide")[0], W, g("wide")[1]),
@@ -295,6 +299,7 @@ def _plans(t: Tables) -> dict[str, Callable[[], DataFrame]]:
         "paper_network_summary": lambda: K.paper_network_summary(g("edges"), t.years("focal_year")),
         "country_network": lambda: g("network"),
         "country_network_summary": lambda: N.country_network_summary(g("network")),
+        "country_network_coverage": lambda: N.country_network_coverage(g("transitions"), g("annotated"), g("paper_country"), g("network"), W),
         "country_names": lambda: N.country_names(g("paper_country")),
         "country_network_by_key": lambda: N.country_network_by_key(g("transitions"), g("annotated"), g("paper_country"), W),
         "parallel_by_year_category": lambda: K.parallel_by_year_category(g("annotated")),
@@ -339,6 +344,11 @@ def _plans(t: Tables) -> dict[str, Callable[[], DataFrame]]:
         "audit_links": lambda: g("links"),
         "audit_papers": lambda: g("papers"),
         "audit_mapping_summary": lambda: U.audit_mapping_summary(g("papers")),
+        "audit_mapping_levels": lambda: U.audit_mapping_levels(g("papers")),
+        "mapping_year_summary_by_year": lambda: U.audit_mapping_by_year(g("papers")),
+        "mapping_year_summary_by_issn": lambda: U.audit_mapping_by_issn(g("papers")),
+        "cohort_work_multiplicity_by_year": lambda: U.cohort_multiplicity_by_year(g("papers")),
+        "inspection_work_details": lambda: U.inspection_work_details(g("links"), U.inspection_sample(g("papers"))),
         "audit_multiplicity": lambda: U.audit_multiplicity(g("ids"), g("papers")),
         "audit_year_patterns": lambda: U.audit_year_patterns(g("papers")),
         "audit_year_difference": lambda: U.audit_year_difference(g("links"), g("papers")),
@@ -367,16 +377,34 @@ def _plans(t: Tables) -> dict[str, Callable[[], DataFrame]]:
     }
 
 
+def _numeric_references(t: Tables) -> DataFrame:
+    return T.references(t.spark, t.dir).selectExpr("cast(substr(work_id, 2) as bigint) work", "referenced_work_id")
+
+
+def _range_of(t: Tables, df: DataFrame, column: str, rows: int, low: int, high: int) -> DataFrame:
+    """Some rows of a table that is written in order first."""
+    path = shared_path(t.spark, "shards")
+    write_shards(df, path, [column], rows)
+    return read_range(t.spark, path, column, low, high)
+
+
+def _published(t: Tables, df: DataFrame, rules: dict) -> DataFrame:
+    """A table as its readers find it once it is published."""
+    path = shared_path(t.spark, "published")
+    publish(df, path, rules, lambda files: Q.uniqueness_report({"paper": (files, ["PMID"])}), ["PMID"])
+    return read_published(t.spark, path)
+
+
 def _by_year(t: Tables, df: DataFrame, first: int, last: int) -> DataFrame:
     """Some years of a table that is written by year first."""
-    path = f"{shared_dir(t.spark)}/years-{uuid.uuid4().hex}"
+    path = shared_path(t.spark, "years")
     write_table(df, path, partition=["PYEAR"])
     return read_years(t.spark, path, first, last).withColumn("PYEAR", F.col("PYEAR").cast("string"))
 
 
 def _from_json(t: Tables, works: DataFrame) -> DataFrame:
     """Works that are written as a snapshot of compressed JSON lines first."""
-    root = f"{shared_dir(t.spark)}/snapshot-{uuid.uuid4().hex}"
+    root = shared_path(t.spark, "snapshot")
     works.write.json(f"{root}/data/works/updated_date=2024-01-01", compression="gzip")
     return read_snapshot(t.spark, root, "works", X.WORK_SCHEMA)
 

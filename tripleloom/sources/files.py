@@ -55,11 +55,3 @@ def write_report(df: DataFrame, path: str, form: str = "csv") -> None:
     """One file of a small result."""
     one = df.coalesce(1).write
     one.csv(path, header=True) if form == "csv" else one.json(path)
-
-
-def publish(df: DataFrame, checks: DataFrame, path: str, **options) -> None:
-    """Write only if no row of ``checks(rule, n_violations)`` has a violation."""
-    failed = checks.filter(F.coalesce("n_violations", F.lit(1)) > 0).limit(20).collect()
-    if failed:
-        raise ValueError("not published: " + "; ".join(f"{r['rule']}: {r['n_violations']}" for r in failed))
-    write_table(df, path, **options)
