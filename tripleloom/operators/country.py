@@ -181,7 +181,7 @@ def country_network_coverage(transitions: DataFrame, annotated: DataFrame, paper
 
 def _words(n: int) -> list:
     """The columns ``b0, b1, ...`` of a set of numbers below ``n``, 63 to a column, as aggregates of a column ``place``."""
-    return [F.coalesce(F.bit_or(F.when(F.floor(F.col("place") / 63) == k, F.shiftleft(F.lit(1).cast("bigint"), (F.col("place") % 63).cast("int")))), F.lit(0).cast("bigint")).alias(f"b{k}") for k in range(-(-n // 63))]
+    return [F.coalesce(F.bit_or(F.when(F.floor(F.col("place") / 63) == k, F.call_function("shiftleft", F.lit(1).cast("bigint"), (F.col("place") % 63).cast("int")))), F.lit(0).cast("bigint")).alias(f"b{k}") for k in range(-(-n // 63))]
 
 
 def _places(column: str, first: int, end: int):
