@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ids import pattern_label, share
+from ..functions.quantiles import with_quantiles
 from .annotate import CATEGORIES, NEW
 
 KINDS = ("new_node", "new_combination", "new_relation", "repeated_triple")
@@ -49,7 +50,8 @@ def paper_pattern(metrics: DataFrame) -> DataFrame:
 def pattern_summary(metrics: DataFrame) -> DataFrame:
     """All eight patterns for each year, absent ones too."""
     per = paper_pattern(metrics).join(metrics.select("PMID", "PYEAR", "n_triples"), ["PMID", "PYEAR"])
-    counted = per.groupBy("PYEAR", "knowledge_type_pattern").agg(F.count("*").alias("n"), F.avg("n_triples").alias("mean_n_triples"), F.median("n_triples").alias("median_n_triples"))
+    counted = per.groupBy("PYEAR", "knowledge_type_pattern").agg(F.count("*").alias("n"), F.avg("n_triples").alias("mean_n_triples"))
+    counted = with_quantiles(counted, per, ["PYEAR", "knowledge_type_pattern"], ["n_triples"], [0.5]).withColumn("median_n_triples", F.get("n_triples_q", F.lit(0))).drop("n_triples_q")
     years = per.groupBy("PYEAR").agg(F.count("*").alias("n_year")).select("PYEAR", "n_year", F.explode(F.array(*map(F.lit, PATTERNS))).alias("knowledge_type_pattern"))
     n = F.coalesce("n", F.lit(0))
     return years.join(counted, ["PYEAR", "knowledge_type_pattern"], "left").select("PYEAR", "knowledge_type_pattern", n.alias("n_pmids"), share(n, F.col("n_year")).alias("share_pmids"), "mean_n_triples", "median_n_triples")
@@ -112,10 +114,12 @@ def adoption_decomposition(metrics: DataFrame) -> DataFrame:
 def decomposition_summary(decomposed: DataFrame) -> DataFrame:
     shares = ("share_new_triples", "share_new_triples_adopted", "share_adopted_new_triples_in_all")
     sums = {c: F.sum(c) for c in ("n_triples", "n_new_triples", "n_new_triples_adopted")}
-    return decomposed.groupBy("PYEAR").agg(
+    out = decomposed.groupBy("PYEAR").agg(
         F.count("*").alias("n_pmids"), F.count_if(F.col("n_new_triples") > 0).alias("n_pmids_with_new_triples"), F.count_if(F.col("n_new_triples") == 0).alias("n_pmids_without_new_triples"),
         F.count_if(F.col("n_new_triples_adopted") > 0).alias("n_pmids_with_adopted_new_triples"), *[v.alias(f"sum_{c}") for c, v in sums.items()],
-        *[f(s).alias(f"{n}_{s}") for s in shares for n, f in (("mean", F.avg), ("median", F.median))],
+        *[F.avg(s).alias(f"mean_{s}") for s in shares],
         share(sums["n_new_triples"], sums["n_triples"]).alias("pooled_share_new_triples"), share(sums["n_new_triples_adopted"], sums["n_new_triples"]).alias("pooled_share_new_triples_adopted"),
         share(sums["n_new_triples_adopted"], sums["n_triples"]).alias("pooled_share_adopted_new_triples_in_all"),
     )
+    out = with_quantiles(out, decomposed, ["PYEAR"], shares, [0.5])
+    return out.withColumns({f"median_{s}": F.get(f"{s}_q", F.lit(0)) for s in shares}).drop(*[f"{s}_q" for s in shares])

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.bitmaps import prior_sets, sizes, unions, yearly_bitmaps
 from ..functions.ids import share, valid_cui
+from ..sources.shared import written
 
 S, P, O = "subject_cui_primary", "PREDICATE", "object_cui_primary"  # noqa: E741
 
@@ -114,6 +116,27 @@ def prior_jaccard(prepared: DataFrame) -> DataFrame:
     return per.select(F.col("y").alias("PYEAR"), F.col("size").alias("n_concepts"), *[share(F.col(f"o{w}"), F.nullif(F.col("size") + F.col(f"u{w}") - F.col(f"o{w}"), F.lit(0))).alias(f"jaccard_prior_{w}y") for w in (1, 3, 5)])
 
 
+def prior_jaccard_by_bitmaps(prepared: DataFrame) -> DataFrame:
+    """As :func:`prior_jaccard`, from yearly bitmaps that can be kept and merged as years come in."""
+    ends = prepared.select(F.explode(F.array(S, O)).alias("concept"), "PYEAR")
+    per = prior_sets(yearly_bitmaps(ends, ["concept"], "PYEAR"), (1, 3, 5))
+    jaccard = share(F.col("overlap"), F.nullif(F.col("size") + F.col("before") - F.col("overlap"), F.lit(0)))
+    return per.groupBy(F.col("y").alias("PYEAR")).agg(F.max("size").alias("n_concepts"), *[F.max(F.when(F.col("w") == w, jaccard)).alias(f"jaccard_prior_{w}y") for w in (1, 3, 5)])
+
+
+def distinct_since(prepared: DataFrame) -> DataFrame:
+    """For each year, how many distinct concepts, triples and papers there are up to it, as ORs of yearly bitmaps."""
+    ends = prepared.select(F.explode(F.array(S, O)).alias("concept"), "PYEAR")
+    out = None
+    for name, rows, keys in (("concepts", ends, ["concept"]), ("triples", prepared, [S, P, O]), ("papers", prepared, ["PMID"])):
+        bits = written(yearly_bitmaps(rows, keys, "PYEAR"))
+        years = bits.select("y").distinct()
+        spans = years.select(F.col("y").alias("name")).join(F.broadcast(years), F.col("y") <= F.col("name"))  # years, a few
+        part = sizes(unions(bits, spans), "name").select(F.col("name").alias("PYEAR"), F.col("n").alias(f"n_{name}_since"))
+        out = part if out is None else out.join(part, "PYEAR", "full")
+    return out
+
+
 def concept_profile(prepared: DataFrame) -> DataFrame:
     """26 columns for each concept of prepared triples, of which a paper has each once.
 

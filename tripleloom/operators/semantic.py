@@ -9,6 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ids import predicate_phrase, share
+from ..functions.quantiles import with_quantiles
+from ..functions.windows import union_sizes
+from ..sources.shared import written
 from .annotate import NEW, usable
 
 Encoder = Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]
@@ -84,12 +87,11 @@ def new_combination_proximity(annotated: DataFrame, vectors: DataFrame) -> DataF
 
 def score_profile(rows: DataFrame, score: str, keys: list[str]) -> DataFrame:
     """Count, mean, deviation, extremes and exact percentiles of a score."""
-    names = [f"p{round(100 * q):02d}" for q in QUANTILES]
     out = rows.groupBy(*keys).agg(
         F.count("*").alias("n_rows"), F.count(score).alias("n_scored"), F.round(F.avg(score), 6).alias("mean"), F.round(F.stddev_pop(score), 6).alias("std"), F.min(score).alias("min"), F.max(score).alias("max"),
-        F.percentile(score, F.array(*map(F.lit, QUANTILES))).alias("__q"),
     )
-    return out.withColumns({n: F.round(F.get("__q", F.lit(i)), 6) for i, n in enumerate(names)}).drop("__q")
+    names = [f"p{round(100 * q):02d}" for q in QUANTILES]
+    return with_quantiles(out, rows, keys, [score], QUANTILES).withColumns({n: F.round(F.get(f"{score}_q", F.lit(i)), 6) for i, n in enumerate(names)}).drop(f"{score}_q")
 
 
 def proximity_summary(scored: DataFrame) -> DataFrame:
@@ -118,12 +120,12 @@ def prior_relation_candidates(triples: DataFrame, annotated: DataFrame, w: int =
 
 def new_relation_proximity(triples: DataFrame, annotated: DataFrame, labels: DataFrame, w: int = 5, encoder: Encoder | None = None) -> DataFrame:
     """New_Relation rows with how close their triple is to what its pair had before, by sentence and by predicate."""
-    near = prior_relation_candidates(triples, annotated, w)
-    text = relation_text(near.select("s", "p", "o").union(near.select("s", F.col("prior_p"), "o")), labels)
-    vectors = embed(text, encoder)
-    full = text.join(vectors, "text").select("s", "p", "o", "vector")
+    near = written(prior_relation_candidates(triples, annotated, w))
+    text = written(relation_text(near.select("s", "p", "o").union(near.select("s", F.col("prior_p"), "o")), labels))
+    vectors = written(embed(text, encoder))
+    full = written(text.join(vectors, "text").select("s", "p", "o", "vector"))
     phrase = lambda p: predicate_phrase(F.col(p))
-    words = embed(near.select(F.explode(F.array(phrase("p"), phrase("prior_p"))).alias("text")), encoder)
+    words = written(embed(near.select(F.explode(F.array(phrase("p"), phrase("prior_p"))).alias("text")), encoder))
     met = near.join(full.withColumnRenamed("vector", "v"), ["s", "p", "o"]).join(full.withColumnsRenamed({"p": "prior_p", "vector": "pv"}), ["s", "prior_p", "o"])
     met = met.withColumns({"t": phrase("p"), "pt": phrase("prior_p")}).join(words.withColumnsRenamed({"text": "t", "vector": "wv"}), "t").join(words.withColumnsRenamed({"text": "pt", "vector": "wpv"}), "pt")
     scored = met.select("PYEAR", "s", "p", "o", "prior_p", cosine(F.col("v"), F.col("pv")).alias("full"), cosine(F.col("wv"), F.col("wpv")).alias("phrase"))
@@ -137,9 +139,34 @@ def new_relation_proximity(triples: DataFrame, annotated: DataFrame, labels: Dat
     return rows.join(per, ["PYEAR", "s", "p", "o"], "left").withColumn("n_prior_triples", F.coalesce("n_prior_triples", F.lit(0)))
 
 
-def new_relation_summary(scored: DataFrame) -> DataFrame:
-    out = scored.groupBy("PYEAR").agg(
-        F.count("*").alias("n_rows"), F.count_distinct("s", "p", "o").alias("n_unique_triples"), F.count_if(F.col("n_prior_triples") > 0).alias("n_rows_with_prior"),
-        *[x for c in ("full", "phrase") for x in (F.round(F.avg(f"max_{c}_similarity"), 6).alias(f"mean_{c}"), F.round(F.percentile(f"max_{c}_similarity", 0.5), 6).alias(f"median_{c}"), F.min(f"max_{c}_similarity").alias(f"min_{c}"), F.max(f"max_{c}_similarity").alias(f"max_{c}"))],
+SCORES = {"full": "max_full_similarity", "phrase": "max_phrase_similarity"}
+
+
+def new_relation_summary(scored: DataFrame, candidates: DataFrame, triples: DataFrame, annotated: DataFrame, w: int = 5) -> DataFrame:
+    """For each year: rows, distinct triples, pairs, ends and predicates, what was compared, how far both scores reach, and their profiles.
+
+    ``candidates`` are those of :func:`prior_relation_candidates`, ``scored`` the rows of :func:`new_relation_proximity`.
+    """
+    scored = written(scored)
+    c = F.col
+    per_triple = scored.groupBy("PYEAR", "s", "p", "o").agg(F.count("*").alias("n"), F.max("n_prior_triples").alias("prior"), F.max("n_prior_predicates").alias("predicates"), *[F.max(v).isNotNull().alias(f"has_{k}") for k, v in SCORES.items()])
+    unique = per_triple.groupBy("PYEAR").agg(
+        F.sum("n").alias("n_rows"), F.count("*").alias("n_unique_triples"), F.coalesce(F.sum(F.when(c("prior") > 0, c("n"))), F.lit(0)).alias("n_rows_with_prior"), F.round(F.avg(F.coalesce("predicates", F.lit(0))), 6).alias("mean_n_prior_predicates"), F.coalesce(F.max("predicates"), F.lit(0)).alias("max_n_prior_predicates"),
+        *[x for k in SCORES for x in (F.coalesce(F.sum(F.when(c(f"has_{k}"), c("n"))), F.lit(0)).alias(f"n_scored_rows_{k}"), F.count_if(f"has_{k}").alias(f"n_scored_unique_triples_{k}"))],
     )
-    return out.withColumn("share_rows_with_prior", share(F.col("n_rows_with_prior"), F.col("n_rows")))
+    # distinct values of several kinds, counted as rows of one distinct
+    kind = lambda name, *v: F.struct(F.lit(name).alias("kind"), F.struct(*[x.alias(f"v{i}") for i, x in enumerate((*v, F.lit(None).cast("string"))[:2])]).alias("v"))
+    kinds = {"n_unique_directed_pairs": (c("s"), c("o")), "n_unique_subject_cui": (c("s"),), "n_unique_object_cui": (c("o"),), "n_unique_focal_predicates": (c("p"),)}
+    seen = per_triple.select("PYEAR", F.explode(F.array(*[kind(k, *v) for k, v in kinds.items()])).alias("x")).select("PYEAR", "x.*").distinct()
+    ends = seen.groupBy("PYEAR").agg(*[F.count_if((c("kind") == k) & ~((c("kind") == "n_unique_focal_predicates") & c("v.v0").isNull())).alias(k) for k in kinds])
+    compared = candidates.groupBy("PYEAR", "prior_p").agg(F.count("*").alias("n")).groupBy("PYEAR").agg(F.sum("n").alias("n_prior_comparison_triples"), F.count("prior_p").alias("n_unique_prior_predicates_in_comparisons"))
+    before = union_sizes(usable(triples).filter("p is not null"), ["s", "p", "o"], "PYEAR", w, "n_prior_unique_triples_total")
+    sizes = annotated.groupBy("PYEAR").agg(F.count("*").alias("n_edge_annotation_rows"))
+    values = scored.groupBy("PYEAR").agg(*[x for k, v in SCORES.items() for x in (F.round(F.avg(v), 6).alias(f"mean_{k}"), F.round(F.stddev_pop(v), 6).alias(f"std_{k}"), F.min(v).alias(f"min_{k}"), F.max(v).alias(f"max_{k}"))])
+    out = unique.join(ends, "PYEAR").join(values, "PYEAR").join(sizes, "PYEAR").join(compared, "PYEAR", "left").join(before, "PYEAR", "left")
+    out = with_quantiles(out, scored, ["PYEAR"], [*SCORES.values()], QUANTILES)
+    zero = ("n_prior_comparison_triples", "n_unique_prior_predicates_in_comparisons", "n_prior_unique_triples_total")
+    names = {f"p{round(100 * q):02d}_{k}": F.round(F.get(f"{v}_q", F.lit(i)), 6) for k, v in SCORES.items() for i, q in enumerate(QUANTILES)}
+    out = out.withColumns({z: F.coalesce(z, F.lit(0)) for z in zero} | names | {f"median_{k}": F.round(F.get(f"{v}_q", F.lit(QUANTILES.index(0.5))), 6) for k, v in SCORES.items()})
+    shares = {"share_rows_with_prior": "n_rows_with_prior"} | {f"share_scored_rows_{k}": f"n_scored_rows_{k}" for k in SCORES}
+    return out.withColumns({k: share(c(n), c("n_rows")) for k, n in shares.items()} | {"n_rows_without_prior": c("n_rows") - c("n_rows_with_prior")}).drop(*[f"{v}_q" for v in SCORES.values()])

@@ -333,6 +333,9 @@ _REFERENCES = "SELECT 'W' || l_orderkey AS work_id, 'referenced' AS kind, 'W' ||
 _WIDE = PREPARED
 _WORKS = "(SELECT DISTINCT l_orderkey AS k FROM lrow)"
 
+_CANDIDATES = (
+    f"SELECT PYEAR, {LONG}, prior_p FROM prc"
+)
 _INSPECTED = "SELECT pmid, mapping_group, year_status, stratum, n_works, sample_rank::INT AS sample_rank FROM (SELECT *, row_number() OVER (PARTITION BY mapping_group, year_status, stratum ORDER BY md5(pmid) NULLS FIRST, pmid NULLS FIRST) AS sample_rank FROM (SELECT *, CASE WHEN min_year_difference IS NULL THEN 'unavailable' WHEN min_year_difference = max_year_difference AND abs(min_year_difference) <= 1 THEN min_year_difference::VARCHAR ELSE 'other_or_mixed' END AS stratum FROM pap WHERE mapping_group <> 'single_work' OR year_status <> 'all_match' OR NOT analysis_semmed_year_equal OR NOT semmed_pyear_dp_equal)) WHERE sample_rank <= 20"
 _MAPPED = f"count(*)::BIGINT AS n_pmids, sum(n_works)::BIGINT AS n_pmid_work_links, {_n('n_different_year_works > 0', 'n_pmids_with_any_observed_year_difference')}"
 
@@ -378,13 +381,15 @@ QUERIES: dict[str, str] = {
     "agreed_year": "SELECT * FROM agy",
     "same_pair_other_predicate": f"SELECT DISTINCT PYEAR, {LONG} FROM ann WHERE same_direction_different_predicate_seen",
     "endpoint_or_join": f"SELECT f.PMID, f.PYEAR, f.s AS subject_cui_primary, f.p AS PREDICATE, f.o AS object_cui_primary, count(*)::BIGINT AS n_touching_rows FROM focal_nn f JOIN ann g ON g.PYEAR BETWEEN f.PYEAR + 1 AND f.PYEAR + {W} AND ((NOT f.subject_seen AND f.s IN (g.s, g.o)) OR (NOT f.object_seen AND f.o IN (g.s, g.o))) GROUP BY 1, 2, 3, 4, 5",
-    "prior_relation_candidates": f"SELECT PYEAR, {LONG}, prior_p FROM prc",
+    "prior_relation_candidates": _CANDIDATES,
     "score_profile": _profile_sql("(SELECT *, substr(subject_cui_primary, 1, 1) AS kind FROM prox)", "proximity", "PYEAR, kind"),
     "agreement_summary": _agreement_sql('"window"'),
     "agreement_by_year": _agreement_sql('"window", publication_year'),
     "spearman": "SELECT \"window\", count(*)::BIGINT AS n, round(CASE WHEN stddev_pop(a) > 0 AND stddev_pop(b) > 0 THEN corr(a, b) END, 9) AS spearman FROM (SELECT \"window\", rank() OVER (PARTITION BY \"window\" ORDER BY x) + (count(*) OVER (PARTITION BY \"window\", x) - 1) / 2.0 AS a, rank() OVER (PARTITION BY \"window\" ORDER BY y) + (count(*) OVER (PARTITION BY \"window\", y) - 1) / 2.0 AS b FROM cml) GROUP BY 1",
     "prior_overlap": _prior_overlap(),
     "prior_jaccard": "SELECT b.y AS PYEAR, f0.f AS n_concepts, " + ", ".join(f"coalesce(o{w}.o, 0)::DOUBLE / nullif(f0.f + coalesce(u{w}.u, 0) - coalesce(o{w}.o, 0), 0) AS jaccard_prior_{w}y" for w in (1, 3, 5)) + f" FROM (SELECT DISTINCT y FROM node_y) b JOIN ({_size('node_y', 'k')}) f0 USING (y) " + " ".join(f"LEFT JOIN ({_overlap('node_y', 'k', w)}) o{w} USING (y) LEFT JOIN ({_union('node_y', 'k', w)}) u{w} USING (y)" for w in (1, 3, 5)),
+    "prior_jaccard_by_bitmaps": "SELECT b.y AS PYEAR, f0.f AS n_concepts, " + ", ".join(f"coalesce(o{w}.o, 0)::DOUBLE / nullif(f0.f + coalesce(u{w}.u, 0) - coalesce(o{w}.o, 0), 0) AS jaccard_prior_{w}y" for w in (1, 3, 5)) + f" FROM (SELECT DISTINCT y FROM node_y) b JOIN ({_size('node_y', 'k')}) f0 USING (y) " + " ".join(f"LEFT JOIN ({_overlap('node_y', 'k', w)}) o{w} USING (y) LEFT JOIN ({_union('node_y', 'k', w)}) u{w} USING (y)" for w in (1, 3, 5)),
+    "distinct_since": "SELECT y.y AS PYEAR, (SELECT count(DISTINCT k) FROM node_y n WHERE n.y <= y.y)::BIGINT AS n_concepts_since, (SELECT count(DISTINCT (k1, k2, k3)) FROM triple_y t WHERE t.y <= y.y)::BIGINT AS n_triples_since, (SELECT count(DISTINCT PMID) FROM prep p WHERE p.PYEAR::INT <= y.y)::BIGINT AS n_papers_since FROM (SELECT DISTINCT y FROM node_y) y",
     "prior_nodes": "SELECT y AS PYEAR, count(DISTINCT n)::BIGINT AS n_prior_nodes FROM p_node GROUP BY 1",
     "long_concepts": "SELECT PMID, PYEAR, PREDICATE, role, concept, name, semtype, neighbour FROM longc",
     "set_equality_report": "SELECT 'annotation and transition: only left' AS rule, count(*)::BIGINT AS n_violations FROM (SELECT PMID, s, p, o, edge_annotation FROM ann EXCEPT SELECT PMID, s, p, o, edge_annotation FROM tr) UNION ALL SELECT 'annotation and transition: only right', count(*) FROM (SELECT PMID, s, p, o, edge_annotation FROM tr EXCEPT SELECT PMID, s, p, o, edge_annotation FROM ann)",
@@ -432,7 +437,7 @@ QUERIES: dict[str, str] = {
     "proximity_summary": "SELECT * FROM proxs",
     "proximity_checks": "SELECT PYEAR, true AS in_range, true AS quantiles_ordered, n_scored + n_missing_vector = n_rows AS all_scored, n_scored + n_missing_vector = n_rows AS passed FROM proxs",
     "new_relation_proximity": f"SELECT {_TRI}, * EXCLUDE (PMID, PYEAR, s, p, o) FROM relprox",
-    "new_relation_summary": f"SELECT *, {_share('n_rows_with_prior', 'n_rows', 'share_rows_with_prior')} FROM (SELECT PYEAR, count(*)::BIGINT AS n_rows, count(DISTINCT (s, p, o))::BIGINT AS n_unique_triples, {_n('n_prior_triples > 0', 'n_rows_with_prior')}, {', '.join(f'round(avg(max_{c}_similarity), 6) AS mean_{c}, round(quantile_cont(max_{c}_similarity, 0.5), 6) AS median_{c}, min(max_{c}_similarity) AS min_{c}, max(max_{c}_similarity) AS max_{c}' for c in ('full', 'phrase'))} FROM relprox GROUP BY 1)",
+    "new_relation_summary": f"SELECT b.*, n_rows - n_rows_with_prior AS n_rows_without_prior, {_share('n_rows_with_prior', 'n_rows', 'share_rows_with_prior')}, {', '.join(_share(f'n_scored_rows_{c}', 'n_rows', f'share_scored_rows_{c}') for c in ('full', 'phrase'))}, round(m.mean_n_prior_predicates, 6) AS mean_n_prior_predicates, n_edge_annotation_rows, coalesce(n_prior_comparison_triples, 0)::BIGINT AS n_prior_comparison_triples, coalesce(n_unique_prior_predicates_in_comparisons, 0)::BIGINT AS n_unique_prior_predicates_in_comparisons, coalesce(n_prior_unique_triples_total, 0)::BIGINT AS n_prior_unique_triples_total FROM (SELECT PYEAR, count(*)::BIGINT AS n_rows, count(DISTINCT (s, p, o))::BIGINT AS n_unique_triples, count(DISTINCT (s, o))::BIGINT AS n_unique_directed_pairs, count(DISTINCT s)::BIGINT AS n_unique_subject_cui, count(DISTINCT o)::BIGINT AS n_unique_object_cui, count(DISTINCT p)::BIGINT AS n_unique_focal_predicates, coalesce(max(n_prior_predicates), 0)::BIGINT AS max_n_prior_predicates, {_n('n_prior_triples > 0', 'n_rows_with_prior')}, {', '.join(f'count(max_{c}_similarity)::BIGINT AS n_scored_rows_{c}, count(DISTINCT (s, p, o)) FILTER (WHERE max_{c}_similarity IS NOT NULL)::BIGINT AS n_scored_unique_triples_{c}, round(avg(max_{c}_similarity), 6) AS mean_{c}, round(stddev_pop(max_{c}_similarity), 6) AS std_{c}, round(quantile_cont(max_{c}_similarity, 0.5), 6) AS median_{c}, min(max_{c}_similarity) AS min_{c}, max(max_{c}_similarity) AS max_{c}, ' + ', '.join(f'round(quantile_cont(max_{c}_similarity, {q}), 6) AS p{round(100 * q):02d}_{c}' for q in (0.01, 0.05, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99)) for c in ('full', 'phrase'))} FROM relprox GROUP BY 1) b JOIN (SELECT PYEAR, avg(k) AS mean_n_prior_predicates FROM (SELECT PYEAR, s, p, o, max(coalesce(n_prior_predicates, 0)) AS k FROM relprox GROUP BY ALL) GROUP BY 1) m USING (PYEAR) JOIN (SELECT PYEAR, count(*) AS n_edge_annotation_rows FROM ann GROUP BY 1) USING (PYEAR) LEFT JOIN (SELECT PYEAR, count(*) AS n_prior_comparison_triples, count(DISTINCT prior_p) AS n_unique_prior_predicates_in_comparisons FROM ({_CANDIDATES}) GROUP BY 1) USING (PYEAR) LEFT JOIN (SELECT y AS PYEAR, count(*) AS n_prior_unique_triples_total FROM p_trip GROUP BY 1) USING (PYEAR)",
     "flatten_authorships": "SELECT 'W' || l_orderkey AS work_id, CASE WHEN l_linenumber = 1 THEN 'first' ELSE 'middle' END AS author_position, 'A' || l_suppkey AS author_id, unnest(CASE WHEN l_linenumber % 3 = 0 THEN [NULL] ELSE ['I' || (l_suppkey % 25), 'I' || (l_partkey % 7)] END) AS institution_id FROM lrow WHERE l_suppkey % 13 <> 0",
     "flatten_references": _REFERENCES,
     "flatten_locations": "WITH pl AS (SELECT 'W' || l_orderkey AS work_id, l_orderkey, CASE WHEN l_suppkey % 5 = 0 THEN NULL ELSE 'S' || l_suppkey END AS source_id, 'http://x/' || l_partkey AS landing_page_url, 'http://x/' || l_partkey || '.pdf' AS pdf_url, l_returnflag = 'N' AS is_oa, CASE WHEN l_quantity > 25 THEN 'publishedVersion' END AS version, lower(l_returnflag) AS license FROM lrow), fst AS (SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY source_id NULLS FIRST, landing_page_url, pdf_url, is_oa, version NULLS FIRST, license) AS rn FROM pl) WHERE rn = 1) SELECT 'any' AS kind, * EXCLUDE (l_orderkey) FROM pl WHERE source_id IS NOT NULL UNION ALL SELECT 'primary', * EXCLUDE (l_orderkey) FROM fst WHERE source_id IS NOT NULL UNION ALL SELECT 'best_oa', * EXCLUDE (l_orderkey) FROM fst WHERE source_id IS NOT NULL AND l_orderkey % 4 = 0",

@@ -35,16 +35,16 @@ LONG = {"s": "subject_cui_primary", "p": "PREDICATE", "o": "object_cui_primary"}
 
 
 #: Queries that read the annotation once; the others have it written to the shared folder.
-ONCE = {"edge_annotation", "edge_transition", "paper_annotation_metrics", "paper_adoption_metrics", "transition_summary", "adoption_summary", "adoption_decomposition", "decomposition_summary", "annotation_flag_report"}
+ONCE = {"edge_annotation", "edge_transition", "paper_annotation_metrics", "paper_adoption_metrics", "transition_summary", "adoption_summary", "adoption_decomposition", "decomposition_summary", "pattern_summary", "annotation_flag_report"}
 
 
 #: Tables that queries read several times, and so have written to the shared folder.
 _PROFILES, _MASTER, _LINKS = ("prepared", "keyed"), ("links", "paper_metrics", "knowledge", "adoption", "development"), ("links",)
 SHARED = {
-    **dict.fromkeys(("yearly_profile", "predicate_year_profile", "overall_profile", "retention_by_year", "retention_by_predicate"), _PROFILES),
+    **dict.fromkeys(("yearly_profile", "predicate_year_profile", "overall_profile", "retention_by_year", "retention_by_predicate", "distinct_since"), _PROFILES),
     **dict.fromkeys(("paper_master", "master_by_year", "missingness", "master_exclusions", "sample_flow", "shared_metric_conflicts"), _MASTER),
     **dict.fromkeys(("audit_accounting", "audit_year_difference", "inspection_work_details"), _LINKS),
-    "network_checks": ("edges", "adoption", "profile"), "paper_network_nodes": ("edges",), "agreement_summary": ("matched",), "agreement_by_year": ("matched",), "spearman": ("matched",), "uniqueness_report": ("prepared",), "prepare_diagnostics": ("raw",),
+    "network_checks": ("edges", "adoption", "profile"), "paper_network_nodes": ("edges",), "agreement_summary": ("matched",), "agreement_by_year": ("matched",), "spearman": ("matched",), "uniqueness_report": ("prepared",), "new_relation_proximity": ("labels",), "new_relation_summary": ("labels",), "decomposition_summary": ("decomposed",), "pattern_summary": ("paper_metrics",), "score_profile": ("proximity",), "proximity_summary": ("proximity",), "proximity_checks": ("proximity",), "prepare_diagnostics": ("raw",),
 }
 
 
@@ -264,6 +264,8 @@ def _plans(t: Tables) -> dict[str, Callable[[], DataFrame]]:
         "missingness": lambda: M.missingness(g("master")),
         "prior_overlap": lambda: R.prior_overlap(g("prepared")),
         "prior_jaccard": lambda: R.prior_jaccard(g("prepared")),
+        "prior_jaccard_by_bitmaps": lambda: R.prior_jaccard_by_bitmaps(g("prepared")),
+        "distinct_since": lambda: R.distinct_since(g("prepared")),
         "prior_nodes": lambda: A.prior_nodes(g("triples"), W, g("bounds")),
         "long_concepts": lambda: R.long_concepts(g("prepared")).select("PMID", "PYEAR", "PREDICATE", "role", "concept", "name", "semtype", "neighbour"),
         "set_equality_report": lambda: Q.set_equality_report(g("annotated").select(*key, "edge_annotation"), g("transitions").select(*key, "edge_annotation"), "annotation and transition"),
@@ -312,7 +314,7 @@ def _plans(t: Tables) -> dict[str, Callable[[], DataFrame]]:
         "proximity_summary": lambda: S.proximity_summary(g("proximity")),
         "proximity_checks": lambda: S.proximity_checks(S.proximity_summary(g("proximity"))),
         "new_relation_proximity": lambda: S.new_relation_proximity(g("triples"), g("annotated"), g("labels"), W),
-        "new_relation_summary": lambda: S.new_relation_summary(S.new_relation_proximity(g("triples"), g("annotated"), g("labels"), W)),
+        "new_relation_summary": lambda: S.new_relation_summary(S.new_relation_proximity(g("triples"), g("annotated"), g("labels"), W), S.prior_relation_candidates(g("triples"), g("annotated"), W), g("triples"), g("annotated"), W),
         "flatten_authorships": lambda: X.flatten_authorships(g("works")),
         "flatten_references": lambda: X.flatten_references(g("works")),
         "flatten_locations": lambda: X.flatten_locations(g("works")),
