@@ -265,17 +265,27 @@ def test_term_counts_against_brute_force(spark):
     rnd = random.Random(2)
     texts = [" ".join(rnd.choices([f"w{chr(97 + k)}{chr(97 + k)}" for k in range(20)], k=6) + (["jo@a.org"] if rnd.random() < 0.1 else [])) for _ in range(300)]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts + texts[:50])], "doc_id long, text string")
-    got = {(r.term, r.entity): (round(r.share, 9), round(r.bits, 9)) for r in pii.disclosing_terms(df, min_share=0.05, min_bits=0.1, kind_share=0.05, kind_texts=2).collect()}
+    got = {(r.term, r.entity): (round(r.share, 9), round(r.bits, 9)) for r in pii.disclosing_terms(df, min_share=0.05, min_bits=0.1, kind_share=0.05, z=1.0).collect()}
     once = set(texts)
     holds = {t for t in once if "@" in t}
     want = {}
     for w in {x for t in once for x in t.split() if "@" not in x}:
         both, df_w = sum(w in t.split() for t in holds), sum(w in t.split() for t in once)
         share = both / (df_w + 1)
-        bits = math.log2(share * len(once) / len(holds)) if both else 0
-        if both >= 2 and share >= 0.05 and bits >= 0.1:
-            want |= {(w, e): (round(share, 9), round(bits, 9)) for e in ("email:jo@a.org", "email:*")}
-    assert want and got == want
+        p = both / df_w
+        low = (p + 1 / (2 * df_w) - math.sqrt(p * (1 - p) / df_w + 1 / (4 * df_w * df_w))) / (1 + 1 / df_w)  # Wilson's bound
+        for entity, s, least in (("email:jo@a.org", share, 2), ("email:*", low, 1)):
+            bits = math.log2(s * len(once) / len(holds)) if both else 0
+            if both >= least and s >= 0.05 and bits >= 0.1:
+                want[w, entity] = (round(s, 9), round(bits, 9))
+    assert {e for _, e in want} == {"email:jo@a.org", "email:*"} and got == want
+
+
+def test_evidence_for_kinds_scales_with_texts(spark):
+    few = [(i, f"always passkey me{chr(97 + i)}@a.org filler{i}") for i in range(12)] + [(i, f"often sometimes x{i}") for i in range(12, 400)]
+    df = spark.createDataFrame(few, "doc_id long, text string")
+    assert {(r.term, r.entity) for r in pii.disclosing_terms(df).collect()} == {("always", "email:*"), ("passkey", "email:*")}
+    assert pii.disclosing_terms(df.filter("doc_id > 2")).collect() == []  # nine texts are too few to tell
 
 
 def test_density_decides_where_tags_and_names_are_silent():

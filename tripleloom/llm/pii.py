@@ -15,11 +15,12 @@ disclose.
 
 from __future__ import annotations
 
+import math
 import re
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import SLICE, join_narrow, stash, texts_of
@@ -201,16 +202,18 @@ def _with_terms(docs: DataFrame, text_col: str, terms: DataFrame) -> tuple[DataF
     return keyed.join(own, "__key", "left").drop("__key"), {}
 
 
-def disclosing_terms(docs: DataFrame, text_col: str = "text", min_texts: int = 2, min_share: float = 0.5, min_bits: float = 3.0, kind_texts: int = 20, kind_share: float = 0.9) -> DataFrame:
+def disclosing_terms(docs: DataFrame, text_col: str = "text", min_texts: int = 2, min_share: float = 0.5, min_bits: float = 3.0, kind_share: float = 0.5, z: float = 3.3) -> DataFrame:
     """``term, entity, share, bits``: words that disclose an identifier, or a
     kind of them (entities like ``email:*``).
 
     All counts are of distinct texts, so copies of a text are no evidence, and
     a word goes with an identifier if a text holds both, however far apart.
     A share is smoothed by one more text with the term but not the identifier;
-    an identifier in ``min_texts`` texts can have terms.  A word discloses a
-    kind if ``kind_texts`` texts or more hold both and its share is at least
-    ``kind_share``.  No identifiers give no rows.
+    an identifier in ``min_texts`` texts can have terms.  Kinds have many texts, so
+    chance is what counts there: a word discloses a kind if the lower Wilson bound of its
+    share, ``z`` standard errors down, is at least ``kind_share``, and that bound tells
+    ``min_bits``.  The bound grows with the texts that hold the word, no number of them is fixed.
+    Texts are read whole; null and empty ones don't count.  No identifiers give no rows.
     """
     text = docs.select(F.col(text_col).cast("string").alias("text")).filter("text <> ''").withColumn("h", F.xxhash64("text"))
     sizes = stash(text.groupBy("h").agg(F.count("*").alias("copies")))
@@ -222,14 +225,22 @@ def disclosing_terms(docs: DataFrame, text_col: str = "text", min_texts: int = 2
     held = seen.filter("entities is not null").select("weight", F.explode("entities").alias("entity"), "words")
     # others can't reach the bits, whatever their terms
     pooled = F.endswith("entity", F.lit(ANY))
-    enough, likely = (F.when(pooled, of_kind).otherwise(of_one) for of_kind, of_one in ((kind_texts, min_texts), (kind_share, min_share)))
+    # a word that always goes with a kind reaches the bound with z^2 s / (1 - s) texts, no other with fewer
+    fewest = math.ceil(z * z * kind_share / (1 - kind_share))
+    enough = F.when(pooled, fewest).otherwise(min_texts)
     often = held.groupBy("entity").agg(number("weight").alias("n_e")).filter((F.col("n_e") >= enough) & (F.col("n_e") * 2.0**min_bits <= totals))
     often = stash(often)
     near = join_narrow(held, often, "entity").select("entity", "n_e", "weight", F.explode("words").alias("term")).groupBy("entity", "term").agg(F.first("n_e").alias("n_e"), number("weight").alias("n_et")).filter(F.col("n_et") >= enough)
     df = seen.filter("term is not null").groupBy("term").agg(number("df").alias("df"))
-    share = F.col("n_et") / (F.col("df") + 1)
+    share = F.when(pooled, wilson(F.col("n_et"), F.greatest("df", "n_et"), z)).otherwise(F.col("n_et") / (F.col("df") + 1))
     known = near.join(df, "term").withColumn("share", share).withColumn("bits", F.log2(F.col("share") * totals / F.col("n_e")))
-    return stash(known.filter((F.col("share") >= likely) & (F.col("bits") >= min_bits)).select("term", "entity", "share", "bits"), sizes, seen, often)
+    return stash(known.filter((F.col("share") >= F.when(pooled, kind_share).otherwise(min_share)) & (F.col("bits") >= min_bits)).select("term", "entity", "share", "bits"), sizes, seen, often)
+
+
+def wilson(x: Column, n: Column, z: float) -> Column:
+    """The lower bound of a share of which ``x`` of ``n`` cases are seen."""
+    p = x / n
+    return (p + z * z / (2 * n) - z * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)
 
 
 def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", terms: DataFrame | None = None, **options) -> DataFrame:
@@ -266,7 +277,8 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 def sanitise(docs: DataFrame, text_col: str = "text", chars_col: str | None = "n_chars", **options) -> DataFrame:
     """``docs`` with the text sanitised and, if there is such a column, its length set anew.
 
-    Every row and column stays; a null text stays null, an empty one empty.
+    Every row and column stays; a null text stays null, an empty one empty; very
+    long texts are read and rewritten whole, in time linear in their length.
     Repeated rows are treated alike, no rows give no rows.  Columns of ``docs``
     may have any names but ``__terms`` and ``__key``.
     """
