@@ -5,6 +5,10 @@ down by the share of its characters and tags that are links.  The density sum
 of a node adds up the densities of its children; the node with the largest sum
 sets a threshold, the least density on its path to the body, and of every
 subtree at or above the threshold the node with the largest sum is content.
+A node
+grows to the one around it as long as that is denser than the threshold and adds
+no more linked than other characters, so titles and other short blocks of a text
+stay with it.
 The base of the density's logarithm is kept at two or more, so that pages
 without links have a finite density.
 Elements that never hold an article (scripts, menus and the like) are taken out
@@ -253,31 +257,39 @@ def content_nodes(root: Node) -> list[Node]:
     while node is not body and node.parent is not None:
         node = node.parent
         threshold = min(threshold, node.density)
-    chosen: list[Node] = []
-    for top in [body] if best is body else [c for c in body.children() if not c.noise and c.chars]:
-        if top.density >= threshold or _within(best, top):
-            members = inside[bisect_left(places, top.first) : bisect_right(places, top.last)]
-            chosen.append(_whole_article(max(members, key=lambda n: n.total), body))
-    out: list[Node] = []
-    for n in chosen:  # in page order, so only the last one taken can hold a node
-        if not out or n is not out[-1] and not _within(n, out[-1]):
-            out.append(n)
-    return out
+    if best is body:
+        return [body]
+    chosen, path = [_grown(best, body, threshold)], []
+    up = chosen[0]
+    while up is not body and up.parent is not None:
+        path.append(up)
+        up = up.parent
+    path.append(up)
+    for below, node in zip(path, path[1:]):  # what stands beside the path
+        for top in node.children():
+            if top is not below and not top.noise and top.chars and top.density >= threshold:
+                members = inside[bisect_left(places, top.first) : bisect_right(places, top.last)]
+                chosen.append(_grown(max(members, key=lambda n: n.total), node, threshold))
+    return sorted(chosen, key=lambda n: n.first)
 
 
-def _within(node: Node, other: Node) -> bool:
-    return other.first < node.first <= other.last
+def _grown(node: Node, end: Node, threshold: float) -> Node:
+    """The node, or the outermost node around it (below ``end``) such that each step
+    outwards stays above the threshold and adds no more linked characters than others.
+
+    Short blocks that lead a text, like its title, have low densities of their own; the node that
+    holds them and the text is as dense as the text.
+    """
+    while node.parent is not None and node.parent is not end:
+        up = node.parent
+        if up.density <= threshold or 2 * (up.link_chars - node.link_chars) > up.chars - node.chars:
+            break
+        node = up
+    return node
 
 
-def _whole_article(node: Node, body: Node) -> Node:
-    """The outermost article or main element around a node, else the node; a
-    paragraph or less stands for the block that holds it."""
-    outer, up = node, node
-    while up is not None and up is not body:
-        if up.tag in ("article", "main"):
-            outer = up
-        up = up.parent
-    return outer
+def _within(node: Node, other: Node) -> bool:
+    return other.first < node.first <= other.last
 
 
 def blocks_of(node: Node) -> list[str]:
