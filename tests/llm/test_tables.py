@@ -6,6 +6,7 @@ import hashlib
 import math
 import random
 import struct
+import time
 import zlib
 
 import pytest
@@ -149,9 +150,10 @@ def test_formats(value, kind):
 
 def test_sniffing_corrects_and_carves(spark):
     rows = [(1, png(), "image/jpeg"), (2, b"text " + GIF + b".." + png(9), "text/plain"), (3, None, None), (4, b"BM no picture", "image/bmp")]
-    out = {r.id: r for r in media.sniff(spark.createDataFrame(rows, "id long, media binary, declared string")).collect()}
+    sniffed = media.sniff(spark.createDataFrame(rows, "id long, media binary, declared string"))
+    out = {r.id: r for r in sniffed.collect()}
     assert (out[1].type, out[1].corrected) == ("image/png", True)
-    assert [(e.type, bytes(e.bytes)) for e in out[2].embedded] == [("image/gif", GIF), ("image/png", png(9))]
+    assert [(e.id, e.type, bytes(e.bytes)) for e in media.carved(sniffed).orderBy("offset").collect()] == [(2, "image/gif", GIF), (2, "image/png", png(9))]
     assert (out[3].type, out[3].length, out[3].embedded) == ("application/octet-stream", 0, []) and out[4].corrected
 
 
@@ -220,9 +222,10 @@ def test_media_inside_of_media_are_carved(spark):
     twice = b"%PDF-1.4 startxref 0 %%EOF more startxref 9 %%EOF"
     flac = b"fLaC\x80\x00\x00\x22" + bytes(34) + b"\xff\xf8\x00\x00"
     rows = [(1, wave(samples), "image/png"), (2, twice + b"\n" + twice, None), (3, flac + GIF, "audio/flac"), (4, None, None), (5, b"", "x"), (1, wave(samples), "image/png")]
-    out = {r.id: r for r in media.sniff(spark.createDataFrame(rows, "id long, media binary, declared string")).collect()}
+    sniffed = media.sniff(spark.createDataFrame(rows, "id long, media binary, declared string"))
+    out = {r.id: r for r in sniffed.collect()}
     assert out[1].type == "audio/wav" and out[1].corrected and out[1].length == len(rows[0][1])
-    assert [(e.type, e.bytes) for e in out[1].embedded] == [("image/gif", GIF), ("image/png", png())]
+    assert [(e.type, e.bytes) for e in media.carved(sniffed.filter("id = 1")).orderBy("offset").collect()] == 2 * [("image/gif", GIF)] + 2 * [("image/png", png())]
     assert (out[2].type, out[2].length) == ("application/pdf", len(twice)) and [(e.offset, e.length) for e in out[2].embedded] == [(len(twice) + 1, len(twice))]
     assert [e.type for e in out[3].embedded] == ["image/gif"] and (out[4].type, out[4].length) == (out[5].type, out[5].length) == ("application/octet-stream", 0)
     assert media.sniff(spark.createDataFrame([], "id long, media binary, declared string")).count() == 0
@@ -232,11 +235,28 @@ def test_located_media_against_every_offset():
     """The automaton and the validators against validators tried at every offset."""
     rnd = random.Random(7)
     parts = [png(), GIF, BMP, JPEG, b"GIF89a", b"BM", b"\x89PNG\r\n\x1a\n", b"%PDF-", b"\xff\xd8\xff"]
-    signs = media.automaton()
+    signs, known = media.automaton(), media.VALIDATORS | {k: lambda v, at, f=f: f(v, at, {}) for k, f in media.WALKED.items()}
     for _ in range(60):
         value = b"".join(rnd.choice(parts) if rnd.random() < 0.6 else bytes(rnd.choices(b"abBM%\xff", k=rnd.randrange(9))) for _ in range(6))
-        want = [(at, length, kind) for at in range(len(value)) for magic, (kind, before) in sorted(media.SIGNATURES.items()) if kind in media.VALIDATORS and value.startswith(magic, at + before) and (length := media.VALIDATORS[kind](value, at))]
-        assert [x for x in media.located(value, signs) if x[2] in media.VALIDATORS] == want
+        want = [(at, length, kind) for at in range(len(value)) for magic, (kind, before) in sorted(media.SIGNATURES.items()) if kind in known and value.startswith(magic, at + before) and (length := known[kind](value, at))]
+        assert [x for x in media.located(value, signs) if x[2] in known] == want
+
+
+def test_hostile_media_take_linear_time():
+    began = time.time()
+    for value in (b"\xff\xd8\xff" * 350_000, b"\xff\xd8\xff\xda\x00\x02" * 170_000, b"GIF89a" + bytes(7) + b"\x21\xf9" * 500_000, (b"GIF89a" + bytes(7) + b"\x21\x01\x05") * 60_000):
+        assert media.located(value, media.automaton()) == []
+    stream = b"fLaC\x00\x00\x00\x22" + bytes(34) + b"\x80\x00\x00\x01a" + b"\xff\xf8\x00\x00"
+    found = media.located(stream * 20_000, media.automaton())
+    assert len(found) == 20_000 and sum(n for _, n, _ in found) == 20_000 * len(stream)  # a stream ends where the next begins
+    assert time.time() - began < 40
+
+
+def test_pixels_round_trip(spark):
+    texts = ["", None, "é" * 96, "x" * 193, "BM GIF89a", "long " * 20_000]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, text string").select("id", media.payload_of(F.col("text")).alias("p")).withColumn("media", media.as_bmp(F.col("p"))).withColumn("declared", F.lit(None).cast("string"))
+    for r in media.sniff(df).join(df.select("id", "p"), "id").withColumn("back", media.bmp_pixels(F.col("media"))).collect():
+        assert (r.type, r.length, r.corrected) == ("image/bmp", len(r.media), True) and r.back == r.p
 
 
 def test_wave_digests_against_plain_computation(spark):

@@ -4,7 +4,7 @@ An Aho-Corasick automaton finds the magic bytes of known formats anywhere in a
 value, and the end marks of two of them; a validator of the format walks its
 structure from there and tells the length.  A valid format at the start corrects
 the declared type, valid formats further on, inside of others too, are embedded
-media and are carved out.
+media: they are told by their offsets, and carved out from there.
 """
 
 from __future__ import annotations
@@ -65,7 +65,7 @@ def _png(b: bytes, at: int) -> int:
     p = at + 8
     while p + 12 <= len(b):
         n, kind = struct.unpack_from(">I4s", b, p)
-        if p + 12 + n > len(b) or zlib.crc32(b[p + 4 : p + 8 + n]) != struct.unpack_from(">I", b, p + 8 + n)[0] or p == at + 8 and kind != b"IHDR":
+        if p + 12 + n > len(b) or p == at + 8 and n != 13 or zlib.crc32(b[p + 4 : p + 8 + n]) != struct.unpack_from(">I", b, p + 8 + n)[0] or p == at + 8 and kind != b"IHDR":
             return 0
         p += 12 + n
         if kind == b"IEND":
@@ -73,45 +73,62 @@ def _png(b: bytes, at: int) -> int:
     return 0
 
 
-def _jpeg(b: bytes, at: int) -> int:
-    p, scanned = at + 2, False
-    while p + 4 <= len(b):
+def _walked(step, state, memo: dict) -> int:
+    """Where a walk from ``state`` ends, 0 if it fails.  ``step`` gives the next state, or the end as a number; walks that
+    meet go on alike, so ``memo`` has each state walked once for all starts."""
+    path = []
+    while not isinstance(state, int):
+        if state in memo:
+            state = memo[state]
+            break
+        path.append(state)
+        state = step(*state)
+    for s in path:
+        memo[s] = state
+    return state
+
+
+def _jpeg(b: bytes, at: int, memo: dict) -> int:
+    def step(p: int, scanned: bool):
+        if p + 4 > len(b):
+            return p + 2 if scanned and b[p : p + 2] == b"\xff\xd9" else 0
         if b[p] != 0xFF:
             return 0
         marker = b[p + 1]
         if marker == 0xD9:
-            return p + 2 - at if scanned else 0
+            return p + 2 if scanned else 0
         if marker == 0xFF or 0xD0 <= marker <= 0xD8:
-            p += 1 if marker == 0xFF else 2
-            continue
+            return p + (1 if marker == 0xFF else 2), scanned
         p += 2 + struct.unpack_from(">H", b, p + 2)[0]
-        if marker == 0xDA:  # entropy-coded bytes up to the next marker
-            scanned = True
-            while p + 1 < len(b) and not (b[p] == 0xFF and b[p + 1] != 0 and not 0xD0 <= b[p + 1] <= 0xD7):
-                p = b.find(b"\xff", p + (b[p] == 0xFF))
-                if p < 0:
-                    return 0
-    return p + 2 - at if scanned and b[p : p + 2] == b"\xff\xd9" else 0
+        if marker != 0xDA:
+            return p, scanned
+        while p + 1 < len(b) and not (b[p] == 0xFF and b[p + 1] != 0 and not 0xD0 <= b[p + 1] <= 0xD7):  # entropy-coded bytes up to the next marker
+            p = b.find(b"\xff", p + (b[p] == 0xFF))
+            if p < 0:
+                return 0
+        return p, True
 
+    return max(_walked(step, (at + 2, False), memo) - at, 0)
+
+
+def _gif(b: bytes, at: int, memo: dict) -> int:
+    def step(p: int, inside: bool):
+        if p >= len(b):
+            return 0
+        if inside:  # a chain of blocks, each with its length
+            return (p + b[p] + 1, True) if b[p] else (p + 1, False)
+        if b[p] == 0x3B:
+            return p + 1
+        if b[p] == 0x21:
+            return p + 2, True
+        if b[p] == 0x2C and p + 10 < len(b):
+            return p + 11 + (3 << (b[p + 9] & 7) + 1 if b[p + 9] & 0x80 else 0), True
+        return 0
 
-def _gif(b: bytes, at: int) -> int:
     if at + 13 > len(b):
         return 0
-    p = at + 13 + (3 << (b[at + 10] & 7) + 1 if b[at + 10] & 0x80 else 0)
-    while p < len(b):
-        kind = b[p]
-        if kind == 0x3B:
-            return p + 1 - at
-        if kind == 0x21:
-            p += 2
-        elif kind == 0x2C and p + 10 < len(b):
-            p += 11 + (3 << (b[p + 9] & 7) + 1 if b[p + 9] & 0x80 else 0)
-        else:
-            return 0
-        while p < len(b) and b[p]:
-            p += b[p] + 1
-        p += 1
-    return 0
+    start = at + 13 + (3 << (b[at + 10] & 7) + 1 if b[at + 10] & 0x80 else 0)
+    return max(_walked(step, (start, False), memo) - at, 0)
 
 
 def _bmp(b: bytes, at: int) -> int:
@@ -134,12 +151,13 @@ def _riff(b: bytes, at: int) -> int:
     return end - at if p == end <= len(b) else 0
 
 
-def _flac(b: bytes, at: int) -> int:
+def _flac(b: bytes, at: int, until: int) -> int:
+    """Up to the next stream, or the end of the value: frames can't be walked without decoding them."""
     p, last = at + 4, False
-    while not last and p + 4 <= len(b):
+    while not last and p + 4 <= until:
         last, n = bool(b[p] & 0x80), int.from_bytes(b[p + 1 : p + 4], "big")
         p += 4 + n
-    return len(b) - at if last and p + 2 <= len(b) and b[p] == 0xFF and b[p + 1] & 0xFC == 0xF8 else 0
+    return until - at if last and p + 2 <= until and b[p] == 0xFF and b[p + 1] & 0xFC == 0xF8 else 0
 
 
 def _ogg(b: bytes, at: int) -> int:
@@ -166,7 +184,8 @@ def _pdf(at: int, until: int, ends: Ends) -> int:
     return end + 5 - at if end > 0 and ends.last(b"startxref", at, end) > 0 else 0
 
 
-VALIDATORS = {"image/png": _png, "image/jpeg": _jpeg, "image/gif": _gif, "image/bmp": _bmp, "audio/wav": _riff, "image/webp": _riff, "audio/flac": _flac, "audio/ogg": _ogg}
+VALIDATORS = {"image/png": _png, "image/bmp": _bmp, "audio/wav": _riff, "image/webp": _riff, "audio/ogg": _ogg}
+WALKED = {"image/jpeg": _jpeg, "image/gif": _gif}
 
 
 def automaton() -> ahocorasick.Automaton:
@@ -181,22 +200,26 @@ def automaton() -> ahocorasick.Automaton:
 
 def located(value: bytes, signs: ahocorasick.Automaton) -> list[tuple[int, int, str]]:
     """``(offset, length, type)`` of valid media by offset, those inside of others too."""
-    ends, hits, pdfs = Ends(), [], []
+    ends, hits, again = Ends(), [], {"application/pdf": [], "audio/flac": []}
     for end, (kind, before, n) in signs.iter(value.decode("latin-1")):
         at = end + 1 - n - before
         if isinstance(kind, bytes):
             ends.at[kind].append(at)
         else:
             hits.append((at, kind))
-            if kind == "application/pdf":
-                pdfs.append(at)
+            if kind in again:
+                again[kind].append(at)
     out: list[tuple[int, int, str]] = []
+    memo: dict[str, dict] = {k: {} for k in WALKED}
     for at, kind in sorted(hits):
         if kind == "application/zip":
             length = _zip(value, at, ends)
-        elif kind == "application/pdf":
-            k = bisect_left(pdfs, at + 1)
-            length = _pdf(at, pdfs[k] if k < len(pdfs) else len(value), ends)
+        elif kind in again:  # up to the next of its kind at most
+            k = bisect_left(again[kind], at + 1)
+            until = again[kind][k] if k < len(again[kind]) else len(value)
+            length = _pdf(at, until, ends) if kind == "application/pdf" else _flac(value, at, until)
+        elif kind in WALKED:
+            length = WALKED[kind](value, at, memo[kind])
         else:
             length = VALIDATORS[kind](value, at)
         if length:
@@ -204,19 +227,20 @@ def located(value: bytes, signs: ahocorasick.Automaton) -> list[tuple[int, int,
     return out
 
 
-def sniff(values: DataFrame, id_col: str = "id", bytes_col: str = "media", declared_col: str = "declared", carve: bool = True) -> DataFrame:
+def sniff(values: DataFrame, id_col: str = "id", bytes_col: str = "media", declared_col: str = "declared") -> DataFrame:
     """One row per input row: id, the bytes, ``type`` (of valid media at the start, else
     ``application/octet-stream``), ``length`` (of those; else 0), ``corrected``
-    (the type isn't the declared one), ``embedded`` (array of offset, length,
-    type and, if ``carve``, the bytes, of valid media further on).
+    (the type isn't the declared one), ``embedded`` (array of offset, length
+    and type of valid media further on; :func:`carved` cuts them out).
 
     A null value counts as empty: it is an octet stream of length 0.  A null
-    declaration is corrected by any type.  Very long values are walked whole.
+    declaration is corrected by any type.  Very long values are walked whole, and what is
+    found is told by offsets, three values each.  JPEG and GIF walks that meet are walked once.
     Of two formats at one place the first by name is the type.  Repeated rows
     are treated alike, other columns are ignored, no rows give no rows.
     """
     kind = values.schema[id_col].dataType.simpleString()
-    parts = pa.list_(pa.struct([("offset", pa.int64()), ("length", pa.int64()), ("type", pa.string()), ("bytes", pa.binary())]))
+    parts = pa.list_(pa.struct([("offset", pa.int64()), ("length", pa.int64()), ("type", pa.string())]))
 
     def run(batches):
         signs = automaton()
@@ -224,19 +248,32 @@ def sniff(values: DataFrame, id_col: str = "id", bytes_col: str = "media", decla
             for start in range(0, batch.num_rows, FEW_ROWS):
                 rows: dict[str, list] = {"type": [], "length": [], "corrected": [], "embedded": []}
                 for value, declared in zip(batch.column(1).slice(start, FEW_ROWS).to_pylist(), batch.column(2).slice(start, FEW_ROWS).to_pylist(), strict=True):
-                    value = value or b""
-                    found = located(value, signs)
+                    found = located(value or b"", signs)
                     whole = found[0] if found and found[0][0] == 0 else (0, 0, "application/octet-stream")
                     rows["type"].append(whole[2])
                     rows["length"].append(whole[1])
                     rows["corrected"].append(whole[2] != declared)
-                    rows["embedded"].append([{"offset": a, "length": n, "type": t, "bytes": value[a : a + n] if carve else None} for a, n, t in found if a])
+                    rows["embedded"].append([{"offset": a, "length": n, "type": t} for a, n, t in found if a])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, FEW_ROWS), batch.column(1).slice(start, FEW_ROWS), pa.array(rows["type"]), pa.array(rows["length"], pa.int64()), pa.array(rows["corrected"]), pa.array(rows["embedded"], parts)], [id_col, bytes_col, "type", "length", "corrected", "embedded"])
 
-    schema = f"`{id_col}` {kind}, `{bytes_col}` binary, type string, length long, corrected boolean, embedded array<struct<offset:long,length:long,type:string,bytes:binary>>"
+    schema = f"`{id_col}` {kind}, `{bytes_col}` binary, type string, length long, corrected boolean, embedded array<struct<offset:long,length:long,type:string>>"
     return values.select(F.col(id_col), F.col(bytes_col).cast("binary"), F.col(declared_col).cast("string")).mapInArrow(run, schema)
 
 
+def cut_out(media: Column, offset: Column, length: Column) -> Column:
+    """The bytes of one medium."""
+    return F.substring(media, (offset + 1).cast("int"), length.cast("int"))
+
+
+def carved(sniffed: DataFrame, id_col: str = "id", bytes_col: str = "media") -> DataFrame:
+    """A row for each embedded medium of :func:`sniff`: id, offset, length, type, ``bytes``.
+
+    Each is cut out in a row of its own, so media inside of media never stand in one value together.
+    """
+    rows = sniffed.select(id_col, bytes_col, F.explode("embedded").alias("e"))
+    return rows.select(id_col, "e.*", cut_out(F.col(bytes_col), F.col("e.offset"), F.col("e.length")).alias("bytes"))
+
+
 def payload_of(text: Column) -> Column:
     """UTF-8 bytes with blanks up to a positive multiple of UNIT; null is empty."""
     raw = F.encode(F.coalesce(text, F.lit("")), "UTF-8")
@@ -256,6 +293,19 @@ def as_wav(payload: Column, rate: int = 8000) -> Column:
     return F.concat(F.lit(b"RIFF"), _little(n + 36, 4), fmt, _little(n, 4), payload)
 
 
+def as_bmp(payload: Column) -> Column:
+    """The payload as the 8-bit pixels of a grey BMP image, UNIT pixels wide, its first row at the top."""
+    n = F.octet_length(payload)
+    palette = F.lit(b"".join(bytes((k, k, k, 0)) for k in range(256)))
+    rows = (n / UNIT).cast("int")
+    return F.concat(F.lit(b"BM"), _little(n + 1078, 4), F.lit(struct.pack("<II", 0, 1078) + struct.pack("<Ii", 40, UNIT)), _little(-rows, 4), F.lit(struct.pack("<HHIIiiII", 1, 8, 0, 0, 2835, 2835, 256, 256)), palette, payload)
+
+
+def bmp_pixels(media: Column) -> Column:
+    """The pixels of an image that :func:`as_bmp` made."""
+    return F.substring(media, F.lit(1079), F.octet_length(media) - 1078)
+
+
 def wav_samples(media: Column) -> Column:
     """The samples of a file that :func:`as_wav` made, by the length in its header."""
     length = sum((F.conv(F.hex(F.substring(media, 41 + k, 1)), 16, 10).cast("long") * (1 << 8 * k) for k in range(4)), F.lit(0))
