@@ -286,7 +286,8 @@ def test_reputation_blocks_hosts_without_a_rule(spark):
 
 
 def test_pairs_need_whole_numbers(spark):
-    with pytest.raises(TypeError):
-        preference.answer_pairs(spark.createDataFrame([("a", 0, "user", "x")], "conv_id string, turn int, role string, text string"))
+    named = spark.createDataFrame([(c, 0, "assistant", f"answer of {c}") for c in ("a", "b", "c")], "conv_id string, turn int, role string, text string")
+    got = {r.id: (r.chosen[0].text, [t.text for t in r.rejected]) for r in preference.answer_pairs(named).collect()}
+    assert got == {"a": ("answer of a", ["answer of b"]), "b": ("answer of b", ["answer of a"]), "c": ("answer of c", [])}
     empty = spark.createDataFrame([], "conv_id long, turn int, role string, text string, chosen string, id long")
     assert preference.format_preferences(preference.answer_pairs(empty)).count() == 0

@@ -11,6 +11,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.tables import numbered
+from .common import stash
+
 HEAD, AFTER_ROLE, TAIL = "<|", "|>\n", "<|end|>\n"
 TURNS = "array<struct<role:string,text:string>>"
 
@@ -74,20 +77,24 @@ def answer_pairs(turns: DataFrame, **columns) -> DataFrame:
     """Preference pairs out of plain conversations, for tables without any.
 
     Chosen is a conversation up to its last assistant turn.  Rejected is the
-    same up to there, with the last assistant turn of its neighbour (the id
-    with the last bit flipped) instead: an answer to something else.  Without
+    same up to there, with the last assistant turn of its neighbour instead: an answer to
+    something else.  The neighbour of a whole number has the last bit flipped; other ids are
+    numbered in their order, and the number's last bit is flipped.  Without
     a neighbour's answer nothing follows; a conversation without an assistant
     turn is its own rejected side.  Turns after the last assistant turn answer
-    nothing and are on neither side.  Ids are whole numbers; others are an
-    error.
+    nothing and are on neither side.  Very long conversations and texts are taken whole.
     """
     name = columns.get("id_col", "conv_id")
-    if not isinstance(turns.schema[name].dataType, T.IntegralType):
-        raise TypeError(f"{name} isn't a whole number, so its neighbour is unknown")
     role = lambda t: t["role"] == "assistant"
     convs = conversations_of(turns, **columns).withColumn("last", F.size("turns") - F.array_position(F.reverse(F.transform("turns", lambda t: F.coalesce(role(t), F.lit(False)))), True) + 1)
     convs = convs.withColumn("last", F.when(F.exists("turns", role), F.col("last").cast("int")))
-    answers = convs.filter("last is not null").select(F.expr("id ^ 1").alias("id"), F.element_at("turns", F.col("last")).alias("other"))
+    other = F.element_at("turns", F.col("last")).alias("other")
+    answering = convs.filter("last is not null")
+    if isinstance(turns.schema[name].dataType, T.IntegralType):
+        answers = answering.select(F.expr("id ^ 1").alias("id"), other)
+    else:
+        places = stash(numbered(convs.select("id").filter("id is not null"), ["id"]).select("id", (F.col("number") - 1).alias("place")))
+        answers = answering.join(places, "id").select(F.expr("place ^ 1").alias("place"), other).join(places, "place").select("id", "other")
     cut = F.slice("turns", 1, F.col("last"))
     history = F.slice("turns", 1, F.col("last") - 1)
     rejected = F.when(F.col("last").isNull(), F.col("turns")).when(F.col("other").isNull(), history).otherwise(F.concat(history, F.array("other")))

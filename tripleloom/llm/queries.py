@@ -163,7 +163,7 @@ _SUFFIXES = ", ".join(f"'{s}'" for s in url_reputation.TWO_LABEL_SUFFIXES)
 
 def _strength(level: str) -> str:
     return f"""(
-  SELECT round(greatest({url_reputation.WEAKEST}, least({url_reputation.STRONGEST}, coalesce(CASE WHEN rho > 0 THEN 1 / rho - 1 ELSE {url_reputation.STRONGEST} END, {url_reputation.STRONGEST}))), 6)
+  SELECT round(CASE WHEN rho > 0 THEN greatest(1, 1 / rho - 1) END, 6)
   FROM (SELECT (s - p * (1 - p) * (m - 1)) / nullif(p * (1 - p) * (t - nn / t - (m - 1)), 0) AS rho
         FROM (SELECT sum(x) / sum(n) AS p, sum(x * x / n) - sum(x) / sum(n) * sum(x) AS s, sum(n)::DOUBLE AS t, sum(n * n)::DOUBLE AS nn, count(*) AS m
               FROM {level} WHERE n > 0)))"""
@@ -257,10 +257,10 @@ hosts AS (
 domains AS (SELECT domain, suffix, sum(n) AS n, sum(x) AS x FROM hosts GROUP BY ALL),
 suffixes AS (SELECT suffix, sum(n) AS n, sum(x) AS x FROM domains GROUP BY ALL),
 k AS (SELECT {_strength("hosts")} AS kh, {_strength("domains")} AS kd, {_strength("suffixes")} AS ks, (SELECT (sum(x) + 1) / (sum(n) + 2) FROM suffixes) AS base),
-by_suffix AS (SELECT suffix, (x + ks * base) / (n + ks) AS m FROM suffixes, k),
-by_domain AS (SELECT domain, d.suffix, (d.x + kd * m) / (d.n + kd) AS m FROM domains d JOIN by_suffix USING (suffix), k),
-mean AS (SELECT host, n, (x + kh * m) / (n + kh) AS mean, kh FROM hosts JOIN by_domain USING (domain, suffix), k),
-judged AS (SELECT host, mean - 1.645 * sqrt(mean * (1 - mean) / (n + kh + 1)) AS bound FROM mean),
+by_suffix AS (SELECT suffix, coalesce((x + ks * base) / nullif(n + ks, 0), base) AS m FROM suffixes, k),
+by_domain AS (SELECT domain, d.suffix, coalesce((d.x + kd * m) / nullif(d.n + kd, 0), m) AS m FROM domains d JOIN by_suffix USING (suffix), k),
+mean AS (SELECT host, n, coalesce((x + kh * m) / nullif(n + kh, 0), m) AS mean, kh FROM hosts JOIN by_domain USING (domain, suffix), k),
+judged AS (SELECT host, mean - 1.645 * coalesce(sqrt(mean * (1 - mean) / (n + kh + 1)), 0) AS bound FROM mean),
 fit AS (
   SELECT page_id, arg_max(h || p, length(h || p)) AS rule, arg_max(rules.verdict, length(h || p)) AS verdict
   FROM named JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY 1)

@@ -18,8 +18,6 @@ from .common import ascii_lower, join_narrow, stash
 
 #: Second-level suffixes below which names are registered.
 TWO_LABEL_SUFFIXES = ("co.uk", "org.uk", "ac.uk", "gov.uk", "com.au", "net.au", "org.au", "co.jp", "or.jp", "co.nz", "com.br", "co.in", "co.za", "com.cn", "com.mx", "com.tr")
-#: Limits of a prior's strength, in pages.
-WEAKEST, STRONGEST = 1.0, 1000.0
 
 
 def url_host(url: Column) -> Column:
@@ -60,14 +58,17 @@ def matched_rule(host: Column, path: Column, rules: Sequence[tuple[str, str, str
 
 
 def _moments(groups: DataFrame) -> Column:
-    """The beta-binomial concentration of groups with ``n`` trials and ``x`` successes."""
+    """The beta-binomial concentration of groups with ``n`` trials and ``x`` successes, by moments.
+
+    Null stands for an infinite one: the groups differ no more than chance lets them, so they have their parent's mean.
+    A prior is worth one page at least (the unit information of a page), or else a host's only page would settle it without any variance.
+    """
     n, x, m = F.sum("n"), F.sum("x"), F.count("*")
     p = x / n
     spread = F.sum(F.col("x") * F.col("x") / F.col("n")) - p * x
     room = n - F.sum(F.col("n") * F.col("n")) / n - (m - 1)
     rho = F.try_divide(spread - p * (1 - p) * (m - 1), p * (1 - p) * room)
-    strength = F.when(rho > 0, 1 / rho - 1).otherwise(F.lit(STRONGEST))
-    return F.round(F.greatest(F.lit(WEAKEST), F.least(F.lit(STRONGEST), F.coalesce(strength, F.lit(STRONGEST)))), 6)
+    return F.when(rho > 0, F.round(F.greatest(F.lit(1.0), 1 / rho - 1), 6))
 
 
 def host_reputation(outcomes: DataFrame, z: float = 1.645, threshold: float = 0.5) -> DataFrame:
@@ -84,11 +85,12 @@ def host_reputation(outcomes: DataFrame, z: float = 1.645, threshold: float = 0.
     total = suffixes.agg(F.sum("n").alias("n"), F.sum("x").alias("x")).first()
     base = ((total["x"] or 0) + 1) / ((total["n"] or 0) + 2)
 
-    shrunk = lambda k, prior: (F.col("x") + F.lit(k) * prior) / (F.col("n") + F.lit(k))
+    shrunk = lambda k, prior: prior if k is None else F.coalesce(F.try_divide(F.col("x") + F.lit(k) * prior, F.col("n") + F.lit(k)), prior)
     by_suffix = suffixes.select("suffix", shrunk(strength["suffix"], F.lit(base)).alias("m_suffix"))
     by_domain = domains.join(by_suffix, "suffix").select("domain", "suffix", shrunk(strength["domain"], F.col("m_suffix")).alias("m_domain"))
     mean = shrunk(strength["host"], F.col("m_domain"))
-    bound = F.col("mean") - z * F.sqrt(F.col("mean") * (1 - F.col("mean")) / (F.col("n") + strength["host"] + 1))
+    spread = F.lit(0.0) if strength["host"] is None else F.sqrt(F.col("mean") * (1 - F.col("mean")) / (F.col("n") + strength["host"] + 1))
+    bound = F.col("mean") - z * spread
     return hosts.join(by_domain, ["domain", "suffix"]).withColumn("mean", mean).withColumn("bound", bound).withColumn("verdict", F.when(F.col("bound") >= threshold, "allow").otherwise("block")).drop("m_domain")
 
 
