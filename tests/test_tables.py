@@ -76,3 +76,14 @@ def test_only_what_was_checked_is_published(spark, tmp_path):
 
     tables.publish(spark.read.parquet(source), path, {"negative": F.col("id") < 0}, changed)
     assert sorted(r.id for r in tables.read_published(spark, path).collect()) == [*range(5)]
+
+
+def test_lines_with_wrong_fields_are_counted(spark, tmp_path):
+    from tripleloom.sources.files import good_lines, line_account, read_raw_csv
+
+    path = str(tmp_path / "raw.csv")
+    with open(path, "w") as f:
+        f.write('"1","a, b","x"\n"2",\\N,"y"\n"3","too few"\n"4","a","b","too many"\n"5","say \\"so\\"","z"\n')
+    raw = read_raw_csv(spark, path, ["i", "t", "u"], "bad")
+    assert sorted(map(tuple, good_lines(raw, "bad").collect()), key=repr) == [("1", "a, b", "x"), ("2", None, "y"), ("5", 'say "so"', "z")]
+    assert tuple(line_account(raw, "bad").first()) == (5, 3, 2, 0, '"3","too few"', 0.4)

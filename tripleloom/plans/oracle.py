@@ -432,6 +432,9 @@ QUERIES: dict[str, str] = {
     "parallel_top_triples": "SELECT PYEAR, edge_annotation, s AS subject_cui_primary, p AS PREDICATE, o AS object_cui_primary, n_rows, n_pmids, rank::INT AS rank, (SELECT string_agg(PMID, ';' ORDER BY k) FROM (SELECT PMID, row_number() OVER (ORDER BY PMID::BIGINT) AS k FROM (SELECT DISTINCT PMID FROM ann a WHERE a.PYEAR = t.PYEAR AND a.s = t.s AND a.p = t.p AND a.o = t.o)) WHERE k <= 20) AS example_pmids FROM (SELECT *, row_number() OVER (PARTITION BY PYEAR, edge_annotation ORDER BY n_pmids DESC, n_rows DESC, s, p, o) AS rank FROM par WHERE n_pmids > 1) t WHERE rank <= 20",
     "concept_text": "SELECT * FROM lab",
     "concept_text_summary": "SELECT label_source, count(*)::BIGINT AS n_concepts, count(DISTINCT label)::BIGINT AS n_distinct_labels, sum(n_pmid_unique_triples)::BIGINT AS n_triples FROM lab GROUP BY 1",
+    "vector_store": f"SELECT label AS text, run, round({_norm('v')}, 6) AS norm, 32 AS dimensions FROM (SELECT label, run, {_vector('label')} AS v FROM (SELECT label, min(CASE WHEN starts_with(primary_cui, 'C') THEN 1 ELSE 2 END)::INT AS run FROM lab WHERE label IS NOT NULL GROUP BY 1))",
+    "raw_line_account": f"SELECT count(*)::BIGINT AS n_lines, {_n('NOT bad', 'n_good_lines')}, {_n('bad', 'n_bad_lines')}, 0::BIGINT AS n_good_lines_without_first, {_share('count(*) FILTER (WHERE bad)', 'count(*)', 'share_bad_lines')} FROM (SELECT PMID::BIGINT % 97 = 0 OR PMID::BIGINT % 89 = 0 AS bad FROM raw)",
+    "raw_good_lines": "SELECT PREDICATION_ID, PMID, PREDICATE, SUBJECT_CUI, OBJECT_CUI FROM raw WHERE PMID::BIGINT % 97 <> 0 AND PMID::BIGINT % 89 <> 0",
     "embedding_norms": f"SELECT count(*)::BIGINT AS n_vectors, round(min(n), 6) AS min_norm, round(avg(n), 6) AS mean_norm, round(max(n), 6) AS max_norm, {_n('n = 0', 'n_zero_norm')} FROM (SELECT {_norm('v')} AS n FROM (SELECT label, {_vector('label')} AS v FROM (SELECT DISTINCT label FROM lab)))",
     "new_combination_proximity": "SELECT * FROM prox",
     "proximity_summary": "SELECT * FROM proxs",

@@ -21,10 +21,11 @@ from ..operators import profiles as R
 from ..operators import quality as Q
 from ..operators import semantic as S
 from ..operators import snapshot as X
+from ..operators import vectors as V
 from ..functions.windows import year_bounds
 from ..sources import adapters as T
 from ..sources.adapters import W
-from ..sources.files import read_snapshot, read_years, write_table
+from ..sources.files import PREDICATION_COLUMNS, good_lines, line_account, read_raw_csv, read_snapshot, read_years, write_table
 from ..sources.shared import shared_path, written
 from ..sources.tables import publish, read_published, read_range, write_shards, write_years
 
@@ -44,7 +45,7 @@ SHARED = {
     **dict.fromkeys(("yearly_profile", "predicate_year_profile", "overall_profile", "retention_by_year", "retention_by_predicate", "distinct_since"), _PROFILES),
     **dict.fromkeys(("paper_master", "master_by_year", "missingness", "master_exclusions", "sample_flow", "shared_metric_conflicts"), _MASTER),
     **dict.fromkeys(("audit_accounting", "audit_year_difference", "inspection_work_details"), _LINKS),
-    "network_checks": ("edges", "adoption", "profile"), "paper_network_nodes": ("edges",), "agreement_summary": ("matched",), "agreement_by_year": ("matched",), "spearman": ("matched",), "uniqueness_report": ("prepared",), "new_relation_proximity": ("labels",), "new_relation_summary": ("labels",), "decomposition_summary": ("decomposed",), "pattern_summary": ("paper_metrics",), "score_profile": ("proximity",), "proximity_summary": ("proximity",), "proximity_checks": ("proximity",), "prepare_diagnostics": ("raw",),
+    "network_checks": ("edges", "adoption", "profile"), "paper_network_nodes": ("edges",), "agreement_summary": ("matched",), "agreement_by_year": ("matched",), "spearman": ("matched",), "uniqueness_report": ("prepared",), "new_relation_proximity": ("labels",), "vector_store": ("labels",), "new_relation_summary": ("labels",), "decomposition_summary": ("decomposed",), "pattern_summary": ("paper_metrics",), "score_profile": ("proximity",), "proximity_summary": ("proximity",), "proximity_checks": ("proximity",), "prepare_diagnostics": ("raw",),
 }
 
 
@@ -239,6 +240,8 @@ def _plans(t: Tables) -> dict[str, Callable[[], DataFrame]]:
         "filter_linked_rows": lambda: P.filter_linked_rows(g("ids").withColumn("pmid", F.when(F.col("pmid") == "none", " ").otherwise(F.col("pmid")))),
         "relation_text": lambda: S.relation_text(g("triples"), g("labels")),
         "explode_country_list": lambda: N.explode_country_list(g("lists")),
+        "raw_line_account": lambda: line_account(_raw_lines(t, g("raw")), "bad_line").drop("example"),
+        "raw_good_lines": lambda: good_lines(_raw_lines(t, g("raw")), "bad_line").select("PREDICATION_ID", "PMID", "PREDICATE", "SUBJECT_CUI", "OBJECT_CUI"),
         "prepare_triples": lambda: g("prepared"),
         "dedup_triples": lambda: g("prepared").select("PREDICATION_ID", *P.TRIPLE_KEY),
         "prepare_diagnostics": lambda: P.prepare_diagnostics(g("raw"), g("citations")),
@@ -310,6 +313,7 @@ def _plans(t: Tables) -> dict[str, Callable[[], DataFrame]]:
         "concept_text": lambda: g("labels"),
         "concept_text_summary": lambda: S.concept_text_summary(g("labels")),
         "embedding_norms": lambda: S.embedding_norms(S.embed(g("labels"), text_col="label")),
+        "vector_store": lambda: _stored_vectors(t, g("labels")),
         "new_combination_proximity": lambda: g("proximity"),
         "proximity_summary": lambda: S.proximity_summary(g("proximity")),
         "proximity_checks": lambda: S.proximity_checks(S.proximity_summary(g("proximity"))),
@@ -383,6 +387,25 @@ def _numeric_references(t: Tables) -> DataFrame:
     return T.references(t.spark, t.dir).selectExpr("cast(substr(work_id, 2) as bigint) work", "referenced_work_id")
 
 
+def _raw_lines(t: Tables, raw: DataFrame) -> DataFrame:
+    """Statements as lines of text, some with a field too few or too many, read back."""
+    columns = [c for c in PREDICATION_COLUMNS if c in raw.columns]
+    quoted = [F.coalesce(F.concat(F.lit('"'), F.col(c).cast("string"), F.lit('"')), F.lit("\\N")) for c in columns]
+    paper = F.col("PMID").cast("long")
+    line = F.when(paper % 97 == 0, F.concat_ws(",", *quoted[:-1])).when(paper % 89 == 0, F.concat_ws(",", *quoted, F.lit("more"))).otherwise(F.concat_ws(",", *quoted))
+    path = shared_path(t.spark, "raw")
+    raw.select(line.alias("value")).write.option("compression", "gzip").text(path)
+    return read_raw_csv(t.spark, path, columns, "bad_line")
+
+
+def _stored_vectors(t: Tables, labels: DataFrame) -> DataFrame:
+    """Labels put into a store in two runs, the second of which has the first's again; the norm of each and the run that encoded it."""
+    store = shared_path(t.spark, "vectors")
+    for run, some in ((1, labels.filter(F.startswith("primary_cui", F.lit("C")))), (2, labels)):
+        V.add_texts(some, store, "trigrams", V.trigram_encoder, S.DIMENSIONS, run, {"grams": 3}, "label")
+    return V.vectors(t.spark, store, "trigrams").select("text", "run", F.round(S.norm(F.col("vector")), 6).alias("norm"), F.size("vector").alias("dimensions"))
+
+
 def _range_of(t: Tables, df: DataFrame, column: str, rows: int, low: int, high: int) -> DataFrame:
     """Some rows of a table that is written in order first."""
     path = shared_path(t.spark, "shards")

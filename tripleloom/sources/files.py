@@ -17,9 +17,27 @@ def _strings(columns: Sequence[str]) -> T.StructType:
     return T.StructType([T.StructField(c, T.StringType()) for c in columns])
 
 
-def read_raw_csv(spark: SparkSession, path: str, columns: Sequence[str]) -> DataFrame:
-    r"""Delimited text without a header, all strings, ``\`` escapes, ``\N`` is null."""
-    return spark.read.csv(path, schema=_strings(columns), quote='"', escape="\\", encoding="ISO-8859-1", nullValue="\\N")
+def read_raw_csv(spark: SparkSession, path: str, columns: Sequence[str], bad: str | None = None) -> DataFrame:
+    r"""Delimited text without a header, all strings, ``\` escapes, ``\N`` is null.
+
+    With ``bad``, a column of that name has the whole line where it has too many or too few
+    fields, for :func:`line_account` to count and :func:`good_lines` to drop.
+    """
+    schema = _strings([*columns, bad] if bad else columns)
+    more = {"columnNameOfCorruptRecord": bad, "columnPruning": "false", "mode": "PERMISSIVE"} if bad else {}
+    return spark.read.options(**more).csv(path, schema=schema, quote='"', escape="\\", encoding="ISO-8859-1", nullValue="\\N")
+
+
+def good_lines(raw: DataFrame, bad: str) -> DataFrame:
+    """The lines that have all fields and no more."""
+    return raw.filter(F.col(bad).isNull()).drop(bad)
+
+
+def line_account(raw: DataFrame, bad: str) -> DataFrame:
+    """One row: lines, good and bad ones, their share, good ones without their first field, and the least bad line as an example."""
+    wrong, first = F.col(bad).isNotNull(), F.col(raw.columns[0])
+    out = raw.agg(F.count("*").alias("n_lines"), F.count_if(~wrong).alias("n_good_lines"), F.count_if(wrong).alias("n_bad_lines"), F.count_if(~wrong & first.isNull()).alias("n_good_lines_without_first"), F.min(bad).alias("example"))
+    return out.withColumn("share_bad_lines", F.try_divide(F.col("n_bad_lines").cast("double"), F.col("n_lines")))
 
 
 def null_marker(df: DataFrame, marker: str = "\\N") -> DataFrame:
