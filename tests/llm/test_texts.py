@@ -286,7 +286,7 @@ def test_term_counts_against_brute_force(spark):
 def test_evidence_for_kinds_scales_with_texts(spark):
     few = [(i, f"always passkey me{chr(97 + i)}@a.org filler{i}") for i in range(12)] + [(i, f"often sometimes x{i}") for i in range(12, 400)]
     df = spark.createDataFrame(few, "doc_id long, text string")
-    assert {(r.term, r.entity) for r in pii.disclosing_terms(df).collect()} == {("always", "email:*"), ("passkey", "email:*")}
+    assert {(r.term, r.entity) for r in pii.disclosing_terms(df).collect()} == {(w, "email:*") for w in ("always", "passkey", "filler")}
     assert pii.disclosing_terms(df.filter("doc_id > 2")).collect() == []  # nine texts are too few to tell
 
 
