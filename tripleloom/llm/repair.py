@@ -118,7 +118,6 @@ def _text(trace: tuple | None) -> str:
     return "".join(reversed(parts))
 
 
-@lru_cache(1 << 14)
 def paths(turns: str, entry: int) -> dict[int, tuple[int, str]]:
     """The least (cost, audit) to each state, without insertions at the end."""
     return {s: (cost, _text(trace)) for s, (cost, _, _, trace) in _parse(turns, entry).items()}
@@ -209,8 +208,8 @@ def _open(rows: list[tuple], seq: int) -> dict:
     return {"seq": seq, **_facts(rows), "turns": "".join(_turn(r[1], r[3]) for r in rows), "roles": [r[1] for r in rows], "texts": [r[2] for r in rows]}
 
 
-def _whole(rows: list[tuple]) -> dict:
-    ways = {s: (cost, audit, audit) for s, (cost, audit) in paths("".join(_turn(r[1], r[3]) for r in rows), 0).items()}
+def _whole(rows: list[tuple], known) -> dict:
+    ways = {s: (cost, audit, audit) for s, (cost, audit) in known("".join(_turn(r[1], r[3]) for r in rows), 0).items()}
     cost, audit, _ = finish(ways)
     return _result(_facts(rows), cost, audit, _lines(apply([r[1:3] for r in rows], audit)))
 
@@ -225,6 +224,7 @@ def _blocks(batches):
     now = object()
     edge = False  # the conversation may have begun in another range, or has a block already
     kind = None
+    known = lru_cache(1 << 14)(paths)  # many conversations have the same turns; made here, as tasks get functions whole
 
     def flush():
         nonlocal ids, blocks, results
@@ -237,7 +237,7 @@ def _blocks(batches):
         if rows:
             ids.append(now)
             blocks.append(_open(rows, seq) if is_open else None)
-            results.append(None if is_open else _whole(rows))
+            results.append(None if is_open else _whole(rows, known))
             seq, rows, size = seq + 1, [], 0
 
     for batch in batches:
