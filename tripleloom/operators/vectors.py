@@ -5,14 +5,19 @@ from __future__ import annotations
 import hashlib
 import json
 import math
+import sys
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from .semantic import DIMENSIONS, Encoder
 
+# Encoders of this module travel whole with their tasks, so executors need no copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 #: Texts of a task's range of lengths.
 RANGE_TEXTS = 100_000
 
