@@ -197,8 +197,10 @@ def test_small_noise_and_long_comments_go():
     assert html_extract.main_text("<body><div class='comments'>one</div><div class='sidebar'>two</div></body>") != ""
 
 
-def test_decoding_is_the_best_of_all_readings():
-    """Against every reading of short spans, each character as all it may be."""
+@pytest.mark.parametrize("block", [1, 2, 1024])
+def test_decoding_is_the_best_of_all_readings(monkeypatch, block):
+    """Against every reading of short spans, each character as all it may be, with any number of characters held at a time."""
+    monkeypatch.setattr(toxicity, "_BLOCK", block)
     rnd = np.random.default_rng(3)
     cost = -np.log(rnd.dirichlet(np.ones(27), (27, 27)))
 
@@ -231,12 +233,22 @@ def test_decoding_is_the_best_of_all_readings():
             found = later
         return found[len(reading)] + price(reading)
 
-    for span in ["h3ll0", "s t u p", "i*i0t", "aaab!", "1d.1ot", "$$#", "b_a d", "x", "é5 t"]:
+    for span in ["h3ll0", "s t u p", "i*i0t", "aaab!", "1d.1ot", "$$#", "b_a d", "x", "é5 t", "***", "*#*#", "f*#k", "#_*1", "a* b#", "**aa*"]:
         for boundaries in (False, True):
             got = toxicity.decode(span, cost, boundaries)
             assert spent_on(span, got, boundaries) == pytest.approx(least(span, boundaries))
 
 
+def test_long_masks_take_linear_time():
+    cost = -np.log(np.random.default_rng(7).dirichlet(np.ones(27), (27, 27)))
+    began = time.time()
+    for few, many in (("a" + "*" * 60 + "b", "a" + "*" * 1_000_000 + "b"), ("a" + "*#" * 30 + "b", "a" + "*#" * 500_000 + "b")):
+        for boundaries in (False, True):
+            assert toxicity.decode(many, cost, boundaries) == toxicity.decode(few, cost, boundaries)
+    assert set(toxicity.decode("ab**" * 10_000, cost).replace("a", "").replace("b", "")) <= set(toxicity.LETTERS)
+    assert time.time() - began < 60
+
+
 def test_long_texts_take_linear_time():
     began = time.time()
     word = "ab" * 500_000

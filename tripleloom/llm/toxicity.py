@@ -31,6 +31,9 @@ LETTERS = "abcdefghijklmnopqrstuvwxyz"
 #: Costs in nats: of an imitation, of a masked letter, of leaving out a gap, of leaving out a repeated letter (by its place in the run).
 IMITATE, MASKED, GAP, REPEAT_SECOND, REPEAT_LATER = 1.0, 3.0, 0.3, 6.0, 0.1
 
+#: Characters of a span whose choices are held at a time.
+_BLOCK = 1024
+
 #: The log odds of a text with one term that is enough by itself.
 SURE = 3.0
 
@@ -115,11 +118,19 @@ def decode(span: str, cost: np.ndarray, boundaries: bool = False) -> str:
     States are the last two letters read, all of them are kept: 27 x 27 at
     most.  The work is linear in the length of the span.
     """
+    # what a character may be read as here: letters with their prices, whether any letter, the price of leaving it out, whether a blank
+    lattice = [(tuple(read), any_letter, drop, gap and boundaries) for read, any_letter, drop, gap in _options(span)]
+    codes = _decode_dense(lattice, cost) if any(o[1] for o in lattice) else _decode_few(lattice, cost)
+    return "".join(chr(96 + code) if code else " " for code in codes)
+
+
+def _decode_few(lattice: list[tuple], cost: np.ndarray) -> list[int]:
+    """Without signs for any letter few states are alive at a time; a dict holds them."""
     beam: dict = {(0, 0): (0.0, None)}
-    for read, any_letter, drop, gap in _options(span):
-        later: dict = _masked(beam, cost) if any_letter else {}
+    for read, _, drop, blank in lattice:
+        later: dict = {}
         for (a, b), (spent, back) in beam.items():
-            for code, price in [*read, (0, 0.0)] if gap and boundaries and b else read:
+            for code, price in [*read, (0, 0.0)] if blank and b else read:
                 total, key = spent + price + cost[a, b, code], (b, code)
                 if key not in later or total < later[key][0]:
                     later[key] = (total, (back, code))
@@ -132,18 +143,76 @@ def decode(span: str, cost: np.ndarray, boundaries: bool = False) -> str:
     letters, back = [], best[1][1]
     while back is not None:
         back, code = back
-        letters.append(chr(96 + code) if code else " ")
-    return "".join(reversed(letters))
+        letters.append(code)
+    return letters[::-1]
 
 
-def _masked(beam: dict, cost: np.ndarray) -> dict:
-    """The states after a sign that may be any letter."""
+def _decode_dense(lattice: list[tuple], cost: np.ndarray) -> list[int]:
+    """With them nearly all states are alive; arrays of all 27 x 27 hold them.
+
+    Only the costs at the start of each block of characters are kept, and a
+    block's choices are made again on the way back, so memory grows by some 6 bytes a
+    character.
+    """
+    by_last = np.ascontiguousarray(cost.transpose(1, 2, 0))  # of (b, c, a)
     spent = np.full((27, 27), np.inf)
-    for key, (price, _) in beam.items():
-        spent[key] = price
-    total = spent[:, :, None] + MASKED + cost[:, :, 1:]
-    before, least = total.argmin(0), total.min(0)
-    return {(b, k): (float(least[b, k - 1]), (beam[int(before[b, k - 1]), b][1], k)) for b in {key[1] for key in beam} for k in range(1, 27)}
+    spent[0, 0] = 0.0
+    starts = []
+    for start in range(0, len(lattice), _BLOCK):
+        starts.append(spent)
+        spent, _ = _walk(spent, lattice[start : start + _BLOCK], by_last, keep=False)
+    a, b = divmod(int((spent + cost[:, :, 0]).argmin()), 27)
+    letters = []
+    for k in range(len(starts) - 1, -1, -1):
+        _, choices = _walk(starts[k], lattice[k * _BLOCK : (k + 1) * _BLOCK], by_last, keep=True)
+        for came in reversed(choices):
+            if came is not None and came[a, b] >= 0:
+                letters.append(b)
+                a, b = int(came[a, b]), a
+    return letters[::-1]
+
+
+def _walk(spent: np.ndarray, lattice: list[tuple], by_last: np.ndarray, keep: bool) -> tuple[np.ndarray, list]:
+    """Costs of the states after a block, and for each of its characters the
+    letter before last of each state's best way there: -1 where the character
+    is left out, None where it is in all states.
+
+    Once leaving a character out is best in all states, costs differ by a
+    constant only, so it is best for the like of it until another is read.
+    """
+    choices, settled = [], set()
+    for options in lattice:
+        read, any_letter, drop, blank = options
+        if options in settled:
+            spent = spent + drop
+            choices.append(None)
+            continue
+        later, came = np.full((27, 27), np.inf), np.full((27, 27), -1, np.int8)
+        before = np.ascontiguousarray(spent.T)  # of (b, a)
+        if any_letter:
+            total = before[:, None, :] + by_last[:, 1:, :]
+            came[:, 1:] = total.argmin(2)
+            later[:, 1:] = total.min(2) + MASKED
+        for code, price in [*read, (0, 0.0)] if blank else read:
+            total = before + by_last[:, code, :]
+            if code == 0:
+                total[0] = np.inf  # no blank after a blank
+            least = total.min(1) + price
+            better = least < later[:, code]
+            later[better, code], came[better, code] = least[better], total.argmin(1)[better]
+        if drop is not None:
+            left = spent + drop
+            better = left <= later
+            later[better], came[better] = left[better], -1
+            if better.all():
+                settled.add(options)
+            else:
+                settled.clear()
+        else:
+            settled.clear()
+        spent = later
+        choices.append(came if keep else None)
+    return spent, choices
 
 
 def readings(span: str, cost: np.ndarray) -> set[str]:
