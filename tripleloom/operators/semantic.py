@@ -44,7 +44,8 @@ def hashed_vector(text: Column, dimensions: int = DIMENSIONS) -> Column:
     """Counts of character trigrams of the padded text, in buckets by their md5."""
     padded = F.concat(F.lit("  "), F.lower(text), F.lit("  "))
     grams = F.transform(F.sequence(F.lit(1), F.length(padded) - 2), lambda i: F.conv(F.substring(F.md5(F.substring(padded, i, F.lit(3))), 1, 7), 16, 10).cast("int") % dimensions)
-    return F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda d: F.size(F.filter(grams, lambda g: g == d)).cast("double"))
+    counts = lambda made: F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda d: F.size(F.filter(made, lambda g: g == d)).cast("double"))
+    return F.get(F.transform(F.array(grams), counts), F.lit(0))  # bound once; inside of the lambda every bucket would make them anew
 
 
 def embed(texts: DataFrame, encoder: Encoder | None = None, text_col: str = "text") -> DataFrame:
@@ -118,9 +119,12 @@ def prior_relation_candidates(triples: DataFrame, annotated: DataFrame, w: int =
     return met.select("PYEAR", "s", "p", "o", "prior_p").distinct()
 
 
-def new_relation_proximity(triples: DataFrame, annotated: DataFrame, labels: DataFrame, w: int = 5, encoder: Encoder | None = None) -> DataFrame:
-    """New_Relation rows with how close their triple is to what its pair had before, by sentence and by predicate."""
-    near = written(prior_relation_candidates(triples, annotated, w))
+def new_relation_proximity(triples: DataFrame, annotated: DataFrame, labels: DataFrame, w: int = 5, encoder: Encoder | None = None, candidates: DataFrame | None = None) -> DataFrame:
+    """New_Relation rows with how close their triple is to what its pair had before, by sentence and by predicate.
+
+    ``candidates`` are those of :func:`prior_relation_candidates` where they are already written.
+    """
+    near = candidates if candidates is not None else written(prior_relation_candidates(triples, annotated, w))
     text = written(relation_text(near.select("s", "p", "o").union(near.select("s", F.col("prior_p"), "o")), labels))
     vectors = written(embed(text, encoder))
     full = written(text.join(vectors, "text").select("s", "p", "o", "vector"))

@@ -166,6 +166,9 @@ class Tables:
     def _vectors(self):
         return T.concept_vectors(self.spark, self.dir)
 
+    def _candidates(self):
+        return S.prior_relation_candidates(self.get("triples"), self.get("annotated"), W)
+
     def _proximity(self):
         return S.new_combination_proximity(self.get("annotated"), self.get("vectors"))
 
@@ -317,8 +320,8 @@ def _plans(t: Tables) -> dict[str, Callable[[], DataFrame]]:
         "new_combination_proximity": lambda: g("proximity"),
         "proximity_summary": lambda: S.proximity_summary(g("proximity")),
         "proximity_checks": lambda: S.proximity_checks(S.proximity_summary(g("proximity"))),
-        "new_relation_proximity": lambda: S.new_relation_proximity(g("triples"), g("annotated"), g("labels"), W),
-        "new_relation_summary": lambda: S.new_relation_summary(S.new_relation_proximity(g("triples"), g("annotated"), g("labels"), W), S.prior_relation_candidates(g("triples"), g("annotated"), W), g("triples"), g("annotated"), W),
+        "new_relation_proximity": lambda: S.new_relation_proximity(g("triples"), g("annotated"), g("labels"), W, candidates=g("candidates")),
+        "new_relation_summary": lambda: S.new_relation_summary(S.new_relation_proximity(g("triples"), g("annotated"), g("labels"), W, candidates=g("candidates")), g("candidates"), g("triples"), g("annotated"), W),
         "flatten_authorships": lambda: X.flatten_authorships(g("works")),
         "flatten_references": lambda: X.flatten_references(g("works")),
         "flatten_locations": lambda: X.flatten_locations(g("works")),
