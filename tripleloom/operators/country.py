@@ -92,40 +92,92 @@ def country_match_summary(attached: DataFrame) -> DataFrame:
     return out.withColumns({"share_matched_rows": share(F.col("n_matched_rows"), F.col("n_rows")), "share_matched_pmids": share(F.col("n_matched_pmids"), F.col("n_pmids"))})
 
 
-def _sources(transitions: DataFrame, annotated: DataFrame, paper_country: DataFrame, w: int) -> tuple[DataFrame, DataFrame]:
-    """Country occurrences of reused focal triples, pooled category included, and of later occurrences of the same triples."""
-    home = paper_country.filter(~is_missing(F.col("code"))).select(F.col("pmid").alias("PMID"), "code").distinct()
-    reused = transitions.filter(F.col("future_five_year_transition").isin("Adopted", "Continued"))
-    kinds = F.when(F.col("edge_annotation").isin(*NEW), F.array("edge_annotation", F.lit(POOLED))).otherwise(F.array("edge_annotation"))
-    left = reused.join(home, "PMID").select(F.col("PYEAR").alias("focal_year"), F.explode(kinds).alias("edge_annotation"), "future_five_year_transition", *TRIPLE, F.col("code").alias("source_country_code"), "PMID").distinct()
-    right = annotated.join(home, "PMID").select(F.col("PYEAR").alias("later"), *TRIPLE, F.col("code").alias("adopter_country_code"), F.col("PMID").alias("future_pmid")).distinct()
-    return left, right
+def _words(n: int) -> list:
+    """The columns ``b0, b1, ...`` of a set of numbers below ``n``, 63 to a column, as aggregates of a column ``place``."""
+    return [F.coalesce(F.bit_or(F.when(F.floor(F.col("place") / 63) == k, F.call_function("shiftleft", F.lit(1).cast("bigint"), (F.col("place") % 63).cast("int")))), F.lit(0).cast("bigint")).alias(f"b{k}") for k in range(-(-n // 63))]
+
+
+def _places(column: str, first: int, end: int):
+    """The numbers whose bits are set in a word that begins with ``first``."""
+    return F.filter(F.sequence(F.lit(first), F.lit(end - 1)), lambda p: F.getbit(F.col(column), p - first) == 1)
+
+
+def _every_place(bits: list[str], n: int):
+    return F.flatten(F.array(*[_places(b, 63 * k, min(n, 63 * k + 63)) for k, b in enumerate(bits)]))
+
+
+def _numbered(paper_country: DataFrame) -> DataFrame:
+    """``code, name, place``: countries are a fixed vocabulary, numbering them is one small table."""
+    return written(country_names(paper_country).withColumn("place", (F.row_number().over(Window.orderBy("code")) - 1).cast("int")))
+
+
+def _sets(paper_country: DataFrame, codes: DataFrame, n: int) -> DataFrame:
+    """``PMID, b0, ...``: the countries of each paper as a set of bits."""
+    return paper_country.join(F.broadcast(codes.select("code", "place")), "code").groupBy(F.col("pmid").alias("PMID")).agg(*_words(n))
+
+
+def _with_pooled(kind: str = "edge_annotation"):
+    """The categories that a row counts for: its own, and the pooled one if it is new."""
+    return F.when(F.col(kind).isin(*NEW), F.array(kind, F.lit(POOLED))).otherwise(F.array(kind))
+
+
+def _reused(transitions: DataFrame) -> DataFrame:
+    return transitions.filter(F.col("future_five_year_transition").isin("Adopted", "Continued"))
+
+
+SCOPE = ("focal_year", "edge_annotation", "future_five_year_transition")
+
+
+def _papers_by_pair(rows: DataFrame, mine: list[str], others: list[str], n: int, names: tuple[str, str], count: str) -> DataFrame:
+    """Distinct papers of each scope with a country of the set ``mine``, their own, and one of ``others``, as places.
+
+    The sets that a paper meets become one; its bits are counted eight at a time, so a
+    paper is a few rows for each of its own countries, however many others it meets.
+    """
+    once = rows.groupBy(*SCOPE, "PMID", *mine).agg(*[F.bit_or(c).alias(c) for c in others])
+    pieces = [F.struct(F.lit(63 * k + at).alias("first"), F.call_function("shiftright", F.col(c), F.lit(at)).bitwiseAND(F.lit(255)).cast("int").alias("piece")) for k, c in enumerate(others) for at in range(0, min(63, n - 63 * k), 8)]
+    own = once.select(*SCOPE, F.explode(_every_place(mine, n)).alias(names[0]), F.filter(F.array(*pieces), lambda x: x["piece"] != 0).alias("x"))
+    counts = own.select(*SCOPE, names[0], F.explode("x").alias("x")).groupBy(*SCOPE, names[0], "x.first", "x.piece").agg(F.count("*").alias("n"))
+    return counts.select(*SCOPE, names[0], F.explode(F.transform(F.filter(F.sequence(F.lit(0), F.lit(7)), lambda p: F.getbit(F.col("piece"), p) == 1), lambda p: p + F.col("first"))).alias(names[1]), "n").groupBy(*SCOPE, *names).agg(F.sum("n").alias(count))
 
 
 def country_network(transitions: DataFrame, annotated: DataFrame, paper_country: DataFrame, w: int = 5) -> DataFrame:
     """Adopter country to source country for each focal year and category (12 columns).
 
-    Papers are counted per triple and country before triples meet, so a
-    frequent triple never expands to pairs of papers.
+    Countries are sets of bits that travel with their papers.  Papers are counted per triple and
+    country before triples meet, so a frequent triple never expands to pairs of papers.
+    A distinct paper of an edge meets one set for each of its triples, the countries on the
+    other side, so it doesn't expand to those countries either.
     """
-    left, right = _sources(transitions, annotated, paper_country, w)
-    left = written(left)
-    scope = ["focal_year", "edge_annotation", "future_five_year_transition"]
-    edge = [*scope, "adopter_country_code", "source_country_code"]
-    near = lambda df: df.filter((F.col("later") > F.col("focal_year")) & (F.col("later") <= F.col("focal_year") + w))
-    years = left.select("focal_year", *TRIPLE).distinct()
-    source = left.groupBy(*scope, *TRIPLE, "source_country_code").agg(F.count_distinct("PMID").alias("n_source"))
-    future = written(near(years.join(right, list(TRIPLE))))
-    per = future.groupBy("focal_year", *TRIPLE, "adopter_country_code").agg(F.count_distinct("future_pmid").alias("n_future"))
-    met = source.join(per, ["focal_year", *TRIPLE])  # a row for each triple and pair of countries
-    core = met.groupBy(*edge).agg(F.count("*").alias("weight_unique_exact_triples"), F.sum(F.col("n_source") * F.col("n_future")).alias("weight_source_pmid_x_future_pmid"))
-    by_source = left.join(per.select("focal_year", *TRIPLE, "adopter_country_code"), ["focal_year", *TRIPLE]).groupBy(*edge).agg(F.count_distinct("PMID").alias("weight_unique_source_pmids"))
-    by_future = source.drop("n_source").join(future, ["focal_year", *TRIPLE]).groupBy(*edge).agg(F.count_distinct("future_pmid").alias("weight_unique_future_pmids"))
-    names = country_names(paper_country)
+    codes = _numbered(paper_country)
+    n = max(1, codes.count())
+    bits = [f"b{k}" for k in range(-(-n // 63))]
+    others = [f"o{b}" for b in bits]
+    sets = written(_sets(paper_country, codes, n))
+    at, match = "place", ["focal_year", *TRIPLE]
+    reused = _reused(transitions).select(F.col("PYEAR").alias("focal_year"), F.explode(_with_pooled()).alias("edge_annotation"), "future_five_year_transition", *TRIPLE, "PMID")
+    left = written(reused.join(sets, "PMID").distinct())
+    focal = left.select("focal_year").distinct()  # years, a few
+    later = annotated.select(*TRIPLE, "PMID", F.explode(F.sequence(F.col("PYEAR") - w, F.col("PYEAR") - 1)).alias("focal_year")).join(F.broadcast(focal), "focal_year", "left_semi")
+    right = written(later.join(sets, "PMID").distinct(), sets)
+
+    def cells(rows: DataFrame, keys: list[str], count: str) -> DataFrame:
+        """Papers of each key and country; rows meet by triple before they become countries."""
+        return rows.select(*keys, *bits).repartition(*TRIPLE).select(*keys, F.explode(_every_place(bits, n)).alias(at)).groupBy(*keys, at).agg(F.count("*").alias(count))
+
+    source = written(cells(left, [*SCOPE, *TRIPLE], "n_source"))
+    future = written(cells(right.join(source.select(*match).distinct(), match, "left_semi"), match, "n_future"))
+    adopter_of, source_of = source.withColumnRenamed(at, "source_place"), future.withColumnRenamed(at, "adopter_place")
+    edge = [*SCOPE, "adopter_place", "source_place"]
+    core = adopter_of.join(source_of, match).groupBy(*edge).agg(F.count("*").alias("weight_unique_exact_triples"), F.sum(F.col("n_source") * F.col("n_future")).alias("weight_source_pmid_x_future_pmid"))
+    met = lambda counted, keys: counted.groupBy(*keys).agg(*_words(n)).withColumnsRenamed(dict(zip(bits, others, strict=True)))
+    by_source = _papers_by_pair(left.join(met(future, match), match), bits, others, n, ("source_place", "adopter_place"), "weight_unique_source_pmids")
+    by_future = _papers_by_pair(right.join(met(source, [*SCOPE, *TRIPLE]), match), bits, others, n, ("adopter_place", "source_place"), "weight_unique_future_pmids")
     out = core.join(by_source, edge).join(by_future, edge)
     for side in ("adopter", "source"):
-        out = out.join(names.select(F.col("code").alias(f"{side}_country_code"), F.col("name").alias(f"{side}_country")), f"{side}_country_code", "left")
-    return out.withColumn("is_domestic_adoption", F.col("adopter_country_code") == F.col("source_country_code"))
+        out = out.join(F.broadcast(codes.select(F.col("place").alias(f"{side}_place"), F.col("code").alias(f"{side}_country_code"), F.col("name").alias(f"{side}_country"))), f"{side}_place")
+    weights = ("weight_unique_exact_triples", "weight_source_pmid_x_future_pmid", "weight_unique_source_pmids", "weight_unique_future_pmids")
+    return out.select("source_country_code", "adopter_country_code", *SCOPE, *weights, "adopter_country", "source_country", (F.col("adopter_country_code") == F.col("source_country_code")).alias("is_domestic_adoption"))
 
 
 def country_network_summary(network: DataFrame) -> DataFrame:
@@ -146,22 +198,31 @@ def country_network_coverage(transitions: DataFrame, annotated: DataFrame, paper
     window, and a later row is matched if an earlier year of the window reused its triple, which the
     last such year tells for each focal year at once.
     """
-    home = paper_country.filter(~is_missing(F.col("code"))).select(F.col("pmid").alias("PMID"), "code").distinct()
-    per_paper = home.groupBy("PMID").agg(F.count("*").alias("n_codes"), F.count_if(F.col("code") == "NA").alias("n_na"))
-    reused = transitions.filter(F.col("future_five_year_transition").isin("Adopted", "Continued"))
-    kinds = F.when(F.col("edge_annotation").isin(*NEW), F.array("edge_annotation", F.lit(POOLED))).otherwise(F.array("edge_annotation"))
-    found = written(reused.join(per_paper, "PMID", "left").select(F.col("PYEAR").alias("focal_year"), "edge_annotation", kinds.alias("kinds"), *TRIPLE, "PMID", F.coalesce("n_codes", F.lit(0)).alias("n_codes"), F.coalesce("n_na", F.lit(0)).alias("n_na")))
+    codes = _numbered(paper_country)
+    n = max(1, codes.count())
+    bits = [f"b{k}" for k in range(-(-n // 63))]
+    na = codes.filter("code = 'NA'").select("place").first()  # one row at most
+    size = lambda: sum(F.bit_count(F.coalesce(b, F.lit(0))).cast("long") for b in bits)
+    is_na = F.lit(0).cast("long") if na is None else F.getbit(F.coalesce(bits[na["place"] // 63], F.lit(0)), F.lit(na["place"] % 63)).cast("long")
+    sets = written(_sets(paper_country, codes, n))
+
+    def counted(rows: DataFrame, keys: list) -> DataFrame:
+        """Rows, rows with a country, countries of rows and ``NA`` among them, and the set of all countries, of each key."""
+        known = rows.join(sets, "PMID", "left").select(*keys, size().alias("n"), is_na.alias("is_na"), *bits)
+        return known.groupBy(*known.columns[: len(keys)]).agg(F.count("*").alias("rows"), F.count_if(F.col("n") > 0).alias("with_country"), F.sum("n").alias("codes"), F.sum("is_na").alias("na"), *[F.coalesce(F.bit_or(b), F.lit(0).cast("bigint")).alias(b) for b in bits])
+
     zero = lambda c: F.coalesce(c, F.lit(0))
-    source = found.groupBy("focal_year").agg(F.count("*").alias("n_source_transition_rows"), F.count_if(F.col("n_codes") > 0).alias("n_source_rows_with_country"), F.sum("n_codes").alias("n_source_country_rows"), F.sum("n_na").alias("n_source_country_rows_na_code"))
-    by_kind = found.withColumn("edge_annotation", F.explode("kinds")).groupBy("focal_year", "edge_annotation", *TRIPLE).agg(F.count_if(F.col("n_codes") > 0).alias("n"))
-    triples = by_kind.groupBy("focal_year", "edge_annotation").agg(F.count("*").alias("n_source_exact_triples"), F.sum("n").alias("n_source_rows_with_country_in_category"))
-    countries = found.filter("n_codes > 0").withColumn("edge_annotation", F.explode("kinds")).join(home, "PMID").select("focal_year", "edge_annotation", *TRIPLE, "code").distinct().groupBy("focal_year", "edge_annotation").agg(F.count("*").alias("n_source_triple_country_rows"))
+    sums = ("rows", "with_country", "codes", "na")
+    found = written(counted(_reused(transitions), [F.col("PYEAR").alias("focal_year"), "edge_annotation", *TRIPLE]))
+    source = found.groupBy("focal_year").agg(F.sum("rows").alias("n_source_transition_rows"), F.sum("with_country").alias("n_source_rows_with_country"), F.sum("codes").alias("n_source_country_rows"), F.sum("na").alias("n_source_country_rows_na_code"))
+    by_kind = found.withColumn("edge_annotation", F.explode(_with_pooled())).groupBy("focal_year", "edge_annotation", *TRIPLE).agg(F.sum("with_country").alias("n"), *[F.bit_or(b).alias(b) for b in bits])
+    triples = by_kind.groupBy("focal_year", "edge_annotation").agg(F.count("*").alias("n_source_exact_triples"), F.sum("n").alias("n_source_rows_with_country_in_category"), F.sum(size()).alias("n_source_triple_country_rows"))
 
-    later = written(annotated.join(per_paper, "PMID", "left").groupBy(F.col("PYEAR").alias("later"), *TRIPLE).agg(F.count("*").alias("rows"), F.count_if(F.col("n_codes") > 0).alias("with_country"), F.coalesce(F.sum("n_codes"), F.lit(0)).alias("codes"), F.coalesce(F.sum("n_na"), F.lit(0)).alias("na")))
+    later = written(counted(annotated, [F.col("PYEAR").alias("later"), *TRIPLE]).drop(*bits), sets)
     window = F.explode(F.sequence(F.col("later") - w, F.col("later") - 1))
-    sizes = later.groupBy("later").agg(*[F.sum(c).alias(c) for c in ("rows", "with_country", "codes", "na")]).select(window.alias("focal_year"), "rows", "with_country", "codes", "na")
+    sizes = later.groupBy("later").agg(*[F.sum(c).alias(c) for c in sums]).select(window.alias("focal_year"), *sums)
     future = sizes.groupBy("focal_year").agg(F.sum("rows").alias("n_future_rows_scanned"), F.sum("with_country").alias("n_future_rows_with_country"), F.sum("codes").alias("n_future_country_rows"), F.sum("na").alias("n_future_country_rows_na_code"))
-    known = found.filter("n_codes > 0").select("focal_year", *TRIPLE).distinct()
+    known = found.filter("with_country > 0").select("focal_year", *TRIPLE).distinct()
     matched = known.join(later.filter("with_country > 0").select("later", *TRIPLE, "with_country"), list(TRIPLE)).filter(F.col("later").between(F.col("focal_year") + 1, F.col("focal_year") + w))
     matched = matched.groupBy("focal_year").agg(F.sum("with_country").alias("n_future_rows_matched_to_source_exact_triples"))
 
@@ -172,23 +233,13 @@ def country_network_coverage(transitions: DataFrame, annotated: DataFrame, paper
     )
     years = transitions.select(F.col("PYEAR").alias("focal_year")).distinct().withColumn("edge_annotation", F.explode(F.array(*map(F.lit, (*NEW, "Repeated_Triple", POOLED)))))
     out = years
-    for part, on in ((source, ["focal_year"]), (future, ["focal_year"]), (matched, ["focal_year"]), (triples, ["focal_year", "edge_annotation"]), (countries, ["focal_year", "edge_annotation"]), (edges, ["focal_year", "edge_annotation"])):
+    for part, on in ((source, ["focal_year"]), (future, ["focal_year"]), (matched, ["focal_year"]), (triples, ["focal_year", "edge_annotation"]), (edges, ["focal_year", "edge_annotation"])):
         out = out.join(part, on, "left")
     out = out.select("focal_year", "edge_annotation", *[zero(c).alias(c) for c in out.columns if c not in ("focal_year", "edge_annotation")])
     rates = {"source_row_country_match_rate": ("n_source_rows_with_country", "n_source_transition_rows"), "future_row_country_match_rate": ("n_future_rows_with_country", "n_future_rows_scanned"), "share_domestic_country_edges": ("n_domestic_country_edges", "n_country_edges")}
     return out.withColumns({k: share(F.col(n), F.col(d)) for k, (n, d) in rates.items()} | {"transition_type": F.when(F.col("edge_annotation") == "Repeated_Triple", "Continued").otherwise("Adopted")})
 
 
-def _words(n: int) -> list:
-    """The columns ``b0, b1, ...`` of a set of numbers below ``n``, 63 to a column, as aggregates of a column ``place``."""
-    return [F.coalesce(F.bit_or(F.when(F.floor(F.col("place") / 63) == k, F.call_function("shiftleft", F.lit(1).cast("bigint"), (F.col("place") % 63).cast("int")))), F.lit(0).cast("bigint")).alias(f"b{k}") for k in range(-(-n // 63))]
-
-
-def _places(column: str, first: int, end: int):
-    """The numbers whose bits are set in a word that begins with ``first``."""
-    return F.filter(F.sequence(F.lit(first), F.lit(end - 1)), lambda p: F.getbit(F.col(column), p - first) == 1)
-
-
 def country_network_by_key(transitions: DataFrame, annotated: DataFrame, paper_country: DataFrame, w: int = 5) -> DataFrame:
     """The earlier variant: New_Node and New_Combination match by pair, New_Relation by triple; a row for each
     focal year, category (pooled too) and pair of countries with later rows and later papers.
@@ -225,8 +276,7 @@ def country_network_by_key(transitions: DataFrame, annotated: DataFrame, paper_c
     def counted(rows: DataFrame, count: str, out: str) -> DataFrame:
         """Sums of ``count`` by adopter and set, then by adopter and source."""
         sums = rows.join(home.withColumnRenamed("code", "adopter_country_code"), "PMID").groupBy(*scope, *bits).agg(F.sum(count).alias("n"))
-        places = F.flatten(F.array(*[_places(b, 63 * k, min(n, 63 * k + 63)) for k, b in enumerate(bits)]))
-        return sums.select(*scope, F.explode(places).alias("place"), "n").groupBy(*scope, "place").agg(F.sum("n").alias(out)).join(F.broadcast(codes.withColumnRenamed("code", "source_country_code")), "place").drop("place")
+        return sums.select(*scope, F.explode(_every_place(bits, n)).alias("place"), "n").groupBy(*scope, "place").agg(F.sum("n").alias(out)).join(F.broadcast(codes.withColumnRenamed("code", "source_country_code")), "place").drop("place")
 
     rows = counted(by_paper, "n_rows", "n_future_rows")
     papers = counted(by_paper.groupBy("focal_year", "PMID", "edge_annotation").agg(*[F.bit_or(b).alias(b) for b in bits], F.lit(1).alias("one")), "one", "n_future_pmids")
