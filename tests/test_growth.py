@@ -9,14 +9,14 @@ from pyspark.sql import functions as F
 from tripleloom.operators import country
 
 
-def shuffled(spark, run) -> int:
-    """Rows that ``run`` writes to shuffles."""
+def shuffled(spark, run, what: str = "shuffleWriteRecords") -> int:
+    """Rows (or ``what`` else) that ``run`` writes to shuffles."""
     sc = spark.sparkContext
 
     def total() -> int:
         sc._jsc.sc().listenerBus().waitUntilEmpty()
         stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
-        return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+        return sum(getattr(stages.apply(i), what)() for i in range(stages.size()))
 
     before = total()
     run()
@@ -52,3 +52,36 @@ def test_papers_of_a_frequent_triple_do_not_become_countries(spark):
     summed = {(r.focal_year, r.edge_annotation): r.n_source_triple_country_rows for r in country.country_network_coverage(transitions, annotated, places, country.country_network(transitions, annotated, places, 5), 5).collect()}
     assert summed[2000, "Repeated_Triple"] == 70 and summed[2000, "New_Relation"] == summed[2000, "Pooled_New_Knowledge"] == 2 and summed[2001, "Repeated_Triple"] == 0
     assert country.country_network(transitions, annotated, places.limit(0), 5).count() == 0
+
+
+def _keyed(spark, n: int):
+    """Statements with long keys: every row is alone but for a few that repeat, differ in their raw concept, sentence or year, or are self loops."""
+    long = lambda k: F.sha2(k.cast("string"), 256)
+    k = F.col("id")
+    alone = spark.range(n).select((k / 3).cast("long").cast("string").alias("PMID"), F.when(k % 5 > 0, "2001").otherwise("2002").alias("PYEAR"), F.lit("s").alias("SENTENCE_ID"), F.lit("P").alias("PREDICATE"), F.concat(F.lit("C"), long(k)).alias("subject_cui_primary"), F.concat(F.lit("C"), F.when(k % 4 == 0, long(k)).otherwise(long(-k))).alias("object_cui_primary"))
+    alone = alone.withColumns({"SUBJECT_CUI": F.col("subject_cui_primary"), "OBJECT_CUI": F.col("object_cui_primary")})
+    few = [("7", "2001", s, "P", "C1", "C2", a, "C2") for s, a in (("s", "C1"), ("s", "C1"), ("t", "C1|C3"))] + [("7", "2002", "s", "P", "C1", "C2", "C1", "C2"), ("8", "2001", "s", "P", "C5", "C5", "C5", "C5"), ("8", "2001", "s", "P", "C5", "C5", "C5|C6", "C5"), ("9", "2001", "s", "P", "C6", "C8", "C4", "C8"), ("9", "2001", "s", "P", "C7", "C8", "C4", "C8"), ("9", "2001", "s", None, "C7", "C8", "C4", "C8"), ("9", "2001", "s", None, "C7", "C8", "C4", "C8"), ("9", None, "s", "P", "C7", None, "C7", None), ("9", None, "s", "P", "C7", None, "C7", None)]
+    return alone.union(spark.createDataFrame(few, ", ".join(f"{c} string" for c in alone.columns)))
+
+
+def test_long_keys_are_grouped_by_numbers(spark):
+    from collections import Counter
+
+    from tripleloom.operators import profiles
+
+    rows = _keyed(spark, 3000)
+    local, want = rows.collect(), {}
+    for year in ("2001", "2002", None):
+        for scope in ("all", "non_self_loop"):
+            for kind, (a, b, c) in {"raw": ("SUBJECT_CUI", "OBJECT_CUI", False), "primary": ("subject_cui_primary", "object_cui_primary", False), "primary_in_sentence": ("subject_cui_primary", "object_cui_primary", True)}.items():
+                mine = [r for r in local if r.PYEAR == year and (scope == "all" or r.subject_cui_primary != r.object_cui_primary)]
+                sizes = Counter((r.PMID, r[a], r.PREDICATE, r[b], c and r.SENTENCE_ID) for r in mine).values()
+                want[year, scope, kind] = (len(mine), len(sizes), sum(n > 1 for n in sizes), sum(n for n in sizes if n > 1), sum(n - 1 for n in sizes), max(sizes))
+    got = {}
+    n = shuffled(spark, lambda: got.update({(r.PYEAR, r.scope, r.key_type): (r.n_rows, r.n_groups, r.n_duplicate_groups, r.n_rows_in_duplicate_groups, r.n_excess_rows, r.max_group_size) for r in profiles.duplicate_scope_summary(rows).collect()}))
+    assert got == want
+    assert n < 8000  # scopes times kinds of keys are 16 500
+    found = []
+    n = shuffled(spark, lambda: found.extend(profiles.collisions(rows).collect()), "shuffleWriteBytes")
+    assert {(r.PMID, r.subject_cui_primary): (r.n_raw_variants, r.n_rows) for r in found} == {("7", "C1"): (2, 4), ("8", "C5"): (2, 2)}
+    assert n < 150_000  # the keys are 350 000 bytes

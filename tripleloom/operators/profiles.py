@@ -184,9 +184,26 @@ def group_size_distribution(df: DataFrame, keys: list[str]) -> DataFrame:
 RAW_KEY, PRIMARY_KEY = ["PMID", "SUBJECT_CUI", P, "OBJECT_CUI"], ["PMID", S, P, O]
 
 
+def _repeated(rows: DataFrame, keys: list[list[str]]) -> tuple[DataFrame, DataFrame]:
+    """``rows`` in two: those alone with each of their ``keys``, and those of which a hash of a key occurs again.
+
+    Rows that share a key share its hash; a few others may by chance, so keys of the second part are still to be
+    grouped.  All rows are grouped by numbers only, however long their keys are.
+    """
+    rows = written(rows)
+    hashes = [F.xxhash64(F.lit(i), *k) for i, k in enumerate(keys)]
+    again = written(rows.select(F.explode(F.array(*hashes)).alias("h")).groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h"))
+    marked = rows
+    for i, h in enumerate(hashes):
+        marked = marked.withColumn("__h", h).join(again.select(F.col("h").alias("__h"), F.lit(True).alias(f"__{i}")), "__h", "left").drop("__h")
+    some = F.coalesce(*[F.col(f"__{i}") for i in range(len(keys))], F.lit(False))
+    return marked.filter(~some).select(*rows.columns), marked.filter(some).select(*rows.columns)
+
+
 def collisions(rows: DataFrame) -> DataFrame:
-    """Primary keys that hide more than one raw key, with how many."""
-    variants = rows.groupBy(*PRIMARY_KEY, "SUBJECT_CUI", "OBJECT_CUI").agg(F.count("*").alias("n"))
+    """Primary keys that hide more than one raw key, with how many; only rows whose primary key may occur again are looked at."""
+    several = _repeated(rows.select(*PRIMARY_KEY, "SUBJECT_CUI", "OBJECT_CUI"), [PRIMARY_KEY])[1]
+    variants = several.groupBy(*PRIMARY_KEY, "SUBJECT_CUI", "OBJECT_CUI").agg(F.count("*").alias("n"))
     return variants.groupBy(*PRIMARY_KEY).agg(F.count("*").alias("n_raw_variants"), F.sum("n").alias("n_rows")).filter("n_raw_variants > 1")
 
 
@@ -200,15 +217,26 @@ def collision_examples(rows: DataFrame, top: int = 100) -> DataFrame:
 
 
 def duplicate_scope_summary(rows: DataFrame) -> DataFrame:
-    """Duplicates within papers by year, scope (all, without self loops) and kind of key."""
+    """Duplicates within papers by year, scope (all, without self loops) and kind of key.
+
+    A row that is alone with its keys is a group of each kind, and is counted by year; only
+    the others become a row for each scope and kind.
+    """
     loop = F.col(S) == F.col(O)
     kinds = {"raw": ("SUBJECT_CUI", "OBJECT_CUI", F.lit("")), "primary": (S, O, F.lit("")), "primary_in_sentence": (S, O, F.col("SENTENCE_ID"))}
     keys = F.array(*[F.struct(F.lit(k).alias("key_type"), F.col(a).alias("ks"), F.col(b).alias("ko"), c.alias("extra")) for k, (a, b, c) in kinds.items()])
-    scoped = rows.withColumn("scope", F.explode(F.when(loop, F.array(F.lit("all"))).otherwise(F.array(F.lit("all"), F.lit("non_self_loop"))))).withColumn("k", F.explode(keys))
+    scopes = lambda loop: F.explode(F.when(loop, F.array(F.lit("all"))).otherwise(F.array(F.lit("all"), F.lit("non_self_loop"))))
     bad = ~(valid_cui(F.col(S)) & valid_cui(F.col(O)))
     differs = (F.col(S) != F.col("SUBJECT_CUI")) | (F.col(O) != F.col("OBJECT_CUI"))
-    per = scoped.groupBy("PYEAR", "scope", "k.key_type", "PMID", "k.ks", P, "k.ko", "k.extra").agg(F.count("*").alias("n"), F.count_if(bad).alias("bad"), F.count_if(differs).alias("differs"))
-    return _rolled(per.groupBy("PYEAR", "scope", "key_type"))
+    alone, several = _repeated(rows.select("PYEAR", "PMID", "SENTENCE_ID", P, S, O, "SUBJECT_CUI", "OBJECT_CUI"), [["PYEAR", *RAW_KEY], ["PYEAR", *PRIMARY_KEY]])
+    per = several.withColumn("scope", scopes(loop)).withColumn("k", F.explode(keys)).groupBy("PYEAR", "scope", "k.key_type", "PMID", "k.ks", P, "k.ko", "k.extra").agg(F.count("*").alias("n"), F.count_if(bad).alias("bad"), F.count_if(differs).alias("differs"))
+    single = alone.groupBy("PYEAR", loop.alias("loop")).agg(F.count("*").alias("n"), F.count_if(bad).alias("bad"), F.count_if(differs).alias("differs"))
+    single = single.withColumn("scope", scopes(F.col("loop"))).withColumn("key_type", F.explode(F.array(*map(F.lit, kinds))))
+    zero = F.lit(0).cast("bigint")
+    parts = single.select("PYEAR", "scope", "key_type", F.col("n").alias("n_rows"), F.col("n").alias("n_groups"), zero.alias("n_duplicate_groups"), zero.alias("n_rows_in_duplicate_groups"), zero.alias("n_excess_rows"), F.lit(1).cast("bigint").alias("max_group_size"), F.col("bad").alias("n_rows_invalid_cui"), F.col("differs").alias("n_rows_primary_differs"))
+    both = parts.unionByName(_rolled(per.groupBy("PYEAR", "scope", "key_type")).drop("share_excess_rows"))
+    out = both.groupBy("PYEAR", "scope", "key_type").agg(*[(F.max if c == "max_group_size" else F.sum)(c).alias(c) for c in both.columns[3:]])
+    return out.withColumn("share_excess_rows", share(F.col("n_excess_rows"), F.col("n_rows")))
 
 
 def _rolled(groups) -> DataFrame:
