@@ -85,3 +85,21 @@ def test_long_keys_are_grouped_by_numbers(spark):
     n = shuffled(spark, lambda: found.extend(profiles.collisions(rows).collect()), "shuffleWriteBytes")
     assert {(r.PMID, r.subject_cui_primary): (r.n_raw_variants, r.n_rows) for r in found} == {("7", "C1"): (2, 4), ("8", "C5"): (2, 2)}
     assert n < 150_000  # the keys are 350 000 bytes
+
+
+def test_values_of_distinct_triples(spark):
+    from tripleloom.operators import profiles
+
+    S, P, O = profiles.S, profiles.P, profiles.O  # noqa: E741
+    columns = ("PYEAR", "PMID", S, P, O, "subject_name_primary", "object_name_primary")
+    rows = [(str(2000 + k % 2), f"p{k % 300}", f"C{k % 500}", f"P{k % 500 % 3}", f"C{k % 500 * 7 % 501}", f"n{k % 4}", f"n{k % 6}") for k in range(2000)] + [("2000", "p", "C1", None, "C9", None, "n1"), ("2000", None, None, "P1", "C3", "n9", None), (None, "p", None, None, None, None, None)]
+    df, got = spark.createDataFrame(rows, ", ".join(f"{c} string" for c in columns)), {}
+    n = shuffled(spark, lambda: got.update({r.PYEAR: r for r in profiles._wide(df, ["PYEAR"], profiles.PREDICATES, loops=True).collect()}))
+    for year in ("2000", "2001", None):
+        mine = [dict(zip(columns, r, strict=True)) for r in rows if r[0] == year]
+        some = lambda *c: len({v for r in mine if None not in (v := tuple(r[x] for x in c))})  # noqa: B023, E731
+        either = lambda a, b: len({r[x] for r in mine for x in (a, b)} - {None})  # noqa: B023, E731
+        pairs = {(min(v), max(v)) for r in mine if (v := [x for x in (r[S], r[O]) if x is not None])}
+        want = {"n_pmid_unique_triples": len(mine), "n_self_loop_triples": sum(r[S] == r[O] and r[S] is not None for r in mine), "n_unique_pmid": some("PMID"), "n_unique_predicate": some(P), "n_unique_subject_cui_primary": some(S), "n_unique_object_cui_primary": some(O), "n_unique_cui_primary": either(S, O), "n_unique_exact_triple": some(S, P, O), "n_unique_directed_pair": some(S, O), "n_unique_pair_connection": len(pairs), "n_unique_subject_name_primary": some("subject_name_primary"), "n_unique_object_name_primary": some("object_name_primary"), "n_unique_name_primary": either("subject_name_primary", "object_name_primary")}
+        assert {k: got[year][k] for k in want} == want
+    assert n < 9000  # 14 177 with all values of all rows

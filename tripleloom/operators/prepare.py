@@ -33,6 +33,15 @@ def dedup_first(rows: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
     return rows.groupBy(*keys).agg(F.min_by(whole, F.col(order)).alias("__first")).select(*keys, "__first.*").select(*rows.columns)
 
 
+#: What profiles count of a statement.
+PROFILED = ("PYEAR", *TRIPLE_KEY, "subject_name_primary", "object_name_primary")
+
+
+def first_triples(rows: DataFrame) -> DataFrame:
+    """Each triple of a paper once, with the columns that ``rows`` have of its first statement."""
+    return dedup_first(rows, TRIPLE_KEY, "source_order").drop("source_order")
+
+
 def prepare_triples(raw: DataFrame, citations: DataFrame) -> DataFrame:
     """17 columns: rows that pass the novelty filter and have all keys, each triple of a paper once."""
     good = with_keys(raw, citations).filter(F.col("passes_novelty") & ~F.col("missing_key"))

@@ -21,25 +21,37 @@ def long_concepts(prepared: DataFrame) -> DataFrame:
     return prepared.select("PMID", "PYEAR", P, S, O, F.explode(F.array(end("SUBJECT", "OBJECT"), end("OBJECT", "SUBJECT"))).alias("e")).select("PMID", "PYEAR", P, S, O, "e.*")
 
 
-WIDE = {
-    "n_unique_pmid": ("PMID",), "n_unique_subject_cui_primary": (S,), "n_unique_object_cui_primary": (O,), "n_unique_subject_name_primary": ("subject_name_primary",), "n_unique_object_name_primary": ("object_name_primary",),
-    "n_unique_exact_triple": (S, P, O), "n_unique_directed_pair": (S, O),
-}
-PREDICATES = {"n_unique_predicate": (P,)}
+WIDE = (
+    "n_unique_pmid", "n_unique_subject_cui_primary", "n_unique_object_cui_primary", "n_unique_subject_name_primary", "n_unique_object_name_primary",
+    "n_unique_exact_triple", "n_unique_directed_pair",
+)
+PREDICATES = ("n_unique_predicate",)
 
 
-def _wide(rows: DataFrame, keys: list[str], more: dict[str, tuple[str, ...]] | None = None, loops: bool = False) -> DataFrame:
+def _wide(rows: DataFrame, keys: list[str], more: tuple[str, ...] = (), loops: bool = False) -> DataFrame:
     """Rows and distinct values of many kinds for each group.
 
-    Values are counted by kind first, so that a distinct count is a count of
-    rows; a value of either end (``n_unique_cui_primary``) is one of its kind.
+    A row is its triple, its paper and its two names first; concepts, predicates and pairs are
+    values of distinct triples, names of either end (``n_unique_name_primary``) of distinct names.  Values are counted by
+    kind, so that a distinct count is a count of rows; a kind that is distinct already is a number without its values.
     """
-    value = lambda *c: F.struct(*[(F.col(x) if isinstance(x, str) else x).alias(f"v{i}") for i, x in enumerate((*c, F.lit(None).cast("string"), F.lit(None).cast("string"))[:3])])
-    ends = {"n_unique_pair_connection": [(F.least(S, O), F.greatest(S, O))], "n_unique_cui_primary": [(S,), (O,)], "n_unique_name_primary": [("subject_name_primary",), ("object_name_primary",)]}
-    kinds = {k: [v] for k, v in (WIDE | (more or {})).items()} | ends
-    cells = [F.when(sum(((F.col(x) if isinstance(x, str) else x).isNull().cast("int") for x in c), F.lit(0)) == 0, F.struct(F.lit(k).alias("kind"), value(*c).alias("value"))) for k, ways in kinds.items() for c in ways]
-    seen = rows.select(*keys, F.explode(F.array_compact(F.array(*cells))).alias("x")).select(*keys, "x.*").distinct()
-    counts = seen.groupBy(*keys).agg(*[F.count_if(F.col("kind") == k).alias(k) for k in kinds])
+    none = F.lit(None).cast("string")
+    cell = lambda kind, *v: F.struct(F.lit(kind).alias("kind"), F.struct(*[x.alias(f"v{i}") for i, x in enumerate((*v, none, none, none)[:3])]).alias("value"))
+    known = lambda kind, *v: F.when(sum((x.isNull().cast("int") for x in v), F.lit(0)) == 0, cell(kind, *v))
+    names = {f"n_unique_{x}_name_primary": f"{x}_name_primary" for x in ("subject", "object")}
+    first = [cell("triple", F.col(S), F.col(P), F.col(O)), known("n_unique_pmid", F.col("PMID")), *[known(k, F.col(c)) for k, c in names.items()]]
+    seen = rows.select(*keys, F.explode(F.array_compact(F.array(*first))).alias("x")).select(*keys, "x.*").distinct()
+
+    kind, s, p, o = F.col("kind"), F.col("value.v0"), F.col("value.v1"), F.col("value.v2")
+    of_triple = {"n_unique_subject_cui_primary": [(s,)], "n_unique_object_cui_primary": [(o,)], "n_unique_directed_pair": [(s, o)], "n_unique_pair_connection": [(F.least(s, o), F.greatest(s, o))], "n_unique_cui_primary": [(s,), (o,)]} | {k: [(p,)] for k in more}
+    whole = F.when(s.isNotNull() & p.isNotNull() & o.isNotNull(), cell("n_unique_exact_triple"))
+    triple = F.array(whole, *[known(k, *v) for k, ways in of_triple.items() for v in ways])
+    name = F.array(*[F.when(kind == k, cell(k)) for k in names], cell("n_unique_name_primary", s))
+    values = F.when(kind == "triple", triple).when(kind == "n_unique_pmid", F.array(cell("n_unique_pmid"))).otherwise(name)
+    per = seen.select(*keys, F.explode(F.array_compact(values)).alias("x")).select(*keys, "x.*").groupBy(*keys, "kind", "value").agg(F.count("*").alias("n"))
+    kinds = [*WIDE, *more, "n_unique_pair_connection", "n_unique_cui_primary", "n_unique_name_primary"]
+    total = lambda k: F.count_if(kind == k) if k in of_triple or k == "n_unique_name_primary" else F.coalesce(F.sum(F.when(kind == k, F.col("n"))), F.lit(0))
+    counts = per.groupBy(*keys).agg(*[total(k).alias(k) for k in kinds])
     sizes = rows.groupBy(*keys).agg(F.count("*").alias("n_pmid_unique_triples"), *([F.count_if(F.col(S) == F.col(O)).alias("n_self_loop_triples")] if loops else []))
     on = F.lit(True)
     for k in keys:
