@@ -153,26 +153,28 @@ def concept_profile(prepared: DataFrame) -> DataFrame:
     """26 columns for each concept of prepared triples, of which a paper has each once.
 
     Rows are counted by concept, kind of value and value first; a distinct
-    count is then a count of those rows.
+    count is then a count of those rows.  Of papers, predicates and neighbours only
+    numbers go on to a concept's row; texts and years go on by themselves.
     """
     rows = long_concepts(prepared)
     sub = F.col("role") == "subject"
     other = F.col("neighbour") != F.col("concept")
     values = {"row": F.lit(""), "pmid": F.col("PMID"), "pyear": F.col("PYEAR"), "predicate": F.col(P), "neighbour": F.when(other, F.col("neighbour")), "name": F.col("name"), "semtype": F.col("semtype")}
-    cells = F.filter(F.array(*[F.struct(F.lit(k).alias("kind"), v.alias("value")) for k, v in values.items()]), lambda x: x["value"].isNotNull())
+    cells = F.array(*[F.struct(F.lit(k).alias("kind"), v.alias("value")) for k, v in values.items()])
     # a triple of a concept with itself has two rows: its second isn't a triple more
-    counted = rows.select("concept", sub.alias("sub"), (sub | other).alias("first"), F.explode(cells).alias("x")).groupBy("concept", "x.kind", "x.value").agg(F.count_if("sub").alias("ns"), F.count_if(~F.col("sub")).alias("no"), F.count_if("first").alias("n1"))
+    counted = rows.select("concept", sub.alias("sub"), (sub | other).alias("first"), F.explode(cells).alias("x")).filter("x.value is not null").groupBy("concept", "x.kind", "x.value").agg(F.count_if("sub").alias("ns"), F.count_if(~F.col("sub")).alias("no"), F.count_if("first").alias("n1"))
+    text = F.when(F.col("kind").isin("name", "semtype", "pyear"), F.col("value"))
+    summed = counted.groupBy("concept", "kind", text.alias("value")).agg(F.count("*").alias("k"), F.count_if(F.col("ns") > 0).alias("ks"), F.count_if(F.col("no") > 0).alias("ko"), F.sum("ns").alias("ns"), F.sum("no").alias("no"), F.sum("n1").alias("n1"))
     kind, value, n = F.col("kind"), F.col("value"), F.col("ns") + F.col("no")
-    of = lambda k, cond=None: F.count_if((kind == k) if cond is None else (kind == k) & (F.col(cond) > 0))
-    total = lambda c: F.coalesce(F.sum(F.when(kind == "row", F.col(c))), F.lit(0))
+    of = lambda k, c="k": F.coalesce(F.sum(F.when(kind == k, F.col(c))), F.lit(0))
     year = F.when(kind == "pyear", value).cast("int")
     modal = lambda k: F.min_by(value, F.when(kind == k, F.struct((-n).alias("m"), value.alias("v"))))
     texts = [x for k in ("name", "semtype") for x in (modal(k).alias(f"primary_{k}"), F.nullif(of(k), F.lit(0)).alias(f"n_distinct_primary_{k}"), F.array_sort(F.collect_list(F.when(kind == k, value))).alias(f"__{k}s"))]
-    out = counted.groupBy("concept").agg(
-        total("n1").alias("n_pmid_unique_triples"), of("pmid").alias("n_unique_pmid"), of("pyear").alias("n_unique_pyear"), F.min(year).alias("first_seen_pyear"), F.max(year).alias("last_seen_pyear"),
-        F.count_distinct(year).alias("n_active_pyear"), of("predicate").alias("n_unique_predicate"), total("ns").alias("n_subject_triples"), total("no").alias("n_object_triples"),
-        of("pmid", "ns").alias("n_unique_pmid_as_subject"), of("pmid", "no").alias("n_unique_pmid_as_object"), of("predicate", "ns").alias("n_unique_predicate_as_subject"), of("predicate", "no").alias("n_unique_predicate_as_object"),
-        of("neighbour").alias("n_unique_neighbor_cui"), of("neighbour", "ns").alias("n_unique_out_neighbor_cui"), of("neighbour", "no").alias("n_unique_in_neighbor_cui"), *texts,
+    out = summed.groupBy("concept").agg(
+        of("row", "n1").alias("n_pmid_unique_triples"), of("pmid").alias("n_unique_pmid"), of("pyear").alias("n_unique_pyear"), F.min(year).alias("first_seen_pyear"), F.max(year).alias("last_seen_pyear"),
+        F.size(F.collect_set(year)).cast("bigint").alias("n_active_pyear"), of("predicate").alias("n_unique_predicate"), of("row", "ns").alias("n_subject_triples"), of("row", "no").alias("n_object_triples"),
+        of("pmid", "ks").alias("n_unique_pmid_as_subject"), of("pmid", "ko").alias("n_unique_pmid_as_object"), of("predicate", "ks").alias("n_unique_predicate_as_subject"), of("predicate", "ko").alias("n_unique_predicate_as_object"),
+        of("neighbour").alias("n_unique_neighbor_cui"), of("neighbour", "ks").alias("n_unique_out_neighbor_cui"), of("neighbour", "ko").alias("n_unique_in_neighbor_cui"), *texts,
     )
     both = F.col("n_subject_triples") + F.col("n_object_triples")
     out = out.withColumns({f"all_primary_{k}s": F.when(F.size(f"__{k}s") > 0, F.array_join(f"__{k}s", "|")) for k in ("name", "semtype")}).drop("__names", "__semtypes")
