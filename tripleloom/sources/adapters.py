@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Window of years that the seven years of order dates leave room for.
 W = 2
 
+#: Rows that one task sorts or groups where tables are dealt by their size.
+TASK_ROWS = 500_000
+
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
@@ -76,12 +81,16 @@ def paper_countries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def authorships(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = load(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey")
-    return lines.join(load(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey"), F.col("l_suppkey") == F.col("s_suppkey")).selectExpr(
+    """Authors of works, dealt by work to as many tasks as the row count asks for; what groups or joins them by work stays in these tasks."""
+    every = load(spark, sf_dir, "lineitem")
+    lines = every.select("l_orderkey", "l_linenumber", "l_suppkey")
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(every.count() / TASK_ROWS))
+    rows = lines.join(load(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey"), F.col("l_suppkey") == F.col("s_suppkey")).selectExpr(
         "concat('W', l_orderkey) work_id", "concat('A', l_suppkey) author_id",
         "CASE WHEN l_suppkey % 11 = 0 THEN NULL ELSE concat('I', s_nationkey, '-', l_suppkey % 5) END institution_id",
         "CASE WHEN l_linenumber = 1 THEN 'first' WHEN l_linenumber = 7 THEN 'last' ELSE 'middle' END author_position",
-    ).distinct()
+    )
+    return rows.repartition(tasks, "work_id").distinct()
 
 
 def institutions(spark: SparkSession, sf_dir: str) -> DataFrame:
