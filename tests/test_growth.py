@@ -103,3 +103,38 @@ def test_values_of_distinct_triples(spark):
         want = {"n_pmid_unique_triples": len(mine), "n_self_loop_triples": sum(r[S] == r[O] and r[S] is not None for r in mine), "n_unique_pmid": some("PMID"), "n_unique_predicate": some(P), "n_unique_subject_cui_primary": some(S), "n_unique_object_cui_primary": some(O), "n_unique_cui_primary": either(S, O), "n_unique_exact_triple": some(S, P, O), "n_unique_directed_pair": some(S, O), "n_unique_pair_connection": len(pairs), "n_unique_subject_name_primary": some("subject_name_primary"), "n_unique_object_name_primary": some("object_name_primary"), "n_unique_name_primary": either("subject_name_primary", "object_name_primary")}
         assert {k: got[year][k] for k in want} == want
     assert n < 9000  # 14 177 with all values of all rows
+
+
+def test_authors_are_dealt_by_their_number(spark, monkeypatch):
+    from tripleloom.sources import adapters
+
+    monkeypatch.setattr(adapters, "TASK_ROWS", 500)
+    assert adapters.authorships(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() >= 12
+
+
+def test_labels_need_names_only(spark):
+    from tripleloom.operators import semantic
+
+    rows = [("C1", "a", "C2", "x"), ("C1", "b", "C2", "x"), ("C3", "z", "C1", "b"), ("C4", " ", "C5", None), ("C6", None, "C6", "s"), ("C7", "n", "C7", "m")]
+    named = spark.createDataFrame(rows, "subject_cui_primary string, subject_name_primary string, object_cui_primary string, object_name_primary string")
+    assert {r.primary_cui: r.label for r in semantic.concept_labels(named).collect()} == {"C1": "b", "C2": "x", "C3": "z", "C4": "C4", "C6": "s", "C7": "m"}
+
+
+def test_queries_shuffle_only_what_they_read(spark):
+    from tripleloom.plans.queries import queries
+
+    # bytes of sf0.001; before: 2 930 000, 2 197 000, 2 197 000, 1 898 000
+    for name, limit in {"new_relation_proximity": 2_000_000, "sample_flow": 500_000, "paper_master": 2_050_000, "uniqueness_report": 1_300_000}.items():
+        assert shuffled(spark, lambda: queries()[name](spark, "/root/testdata/sf0.001").collect(), "shuffleWriteBytes") < limit, name  # noqa: B023
+
+
+def test_numbers_of_values_go_on_alone(spark):
+    from tripleloom.operators import profiles
+
+    columns = ("PMID", "PYEAR", "PREDICATE", "subject_cui_primary", "object_cui_primary", "subject_name_primary", "object_name_primary", "SUBJECT_SEMTYPE", "OBJECT_SEMTYPE")
+    rows = spark.createDataFrame([(f"p{k}", "2001" if k % 2 else "02001", f"P{k % 3}", "C1", f"C{k + 2}", "one", None, "t", " ") for k in range(2000)], ", ".join(f"{c} string" for c in columns))
+    got = {}
+    n = shuffled(spark, lambda: got.update({r.primary_cui: r for r in profiles.concept_profile(rows).collect()}))
+    one = got["C1"]
+    assert (one.n_unique_pmid, one.n_unique_pyear, one.n_active_pyear, one.n_unique_predicate, one.n_unique_neighbor_cui, one.n_unique_in_neighbor_cui, one.primary_name, one.all_primary_semtypes, one.n_distinct_primary_name) == (2000, 2, 1, 3, 2000, 0, "one", "t", 1)
+    assert got["C2"].n_distinct_primary_semtype is None and got["C2"].all_primary_names is None and n > 0

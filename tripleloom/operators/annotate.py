@@ -109,6 +109,12 @@ def transition_of(rows: DataFrame, w: int, bounds: Bounds) -> DataFrame:
     return out.select(*_own(rows), F.col("a").alias("node_a"), F.col("b").alias("node_b"), *FLAGS, "edge_annotation", "future_exact_triple_seen", "future_five_year_transition", "edge_annotation_to_future_transition")
 
 
+def focal_rows(triples: DataFrame, w: int, bounds: Bounds) -> DataFrame:
+    """The rows that :func:`edge_annotation` has, without labels: each usable row has one, so no history is needed to count them."""
+    first, last = bounds
+    return usable(triples).filter(F.col("PYEAR").between(F.lit(first) + w, F.lit(last))).select(*triples.columns)
+
+
 def same_pair_other_predicate(annotated: DataFrame) -> DataFrame:
     """Distinct triples and years whose directed pair had another predicate in the window before."""
     return annotated.filter("same_direction_different_predicate_seen_in_prior_window").select("PYEAR", "s", "p", "o").distinct()

@@ -68,6 +68,11 @@ def audit_mapping_summary(papers: DataFrame) -> DataFrame:
     return papers.groupBy("mapping_group", "year_status", "has_work_shared_with_other_pmids").agg(F.count("*").alias("n_pmids"), F.sum("n_works").alias("n_pmid_work_links"), F.count_if(F.col("n_different_year_works") > 0).alias("n_pmids_with_any_observed_year_difference"))
 
 
+def paper_matches(links: DataFrame) -> DataFrame:
+    """``pmid, n_works, has_work_shared_with_other_pmids`` as :func:`audit_papers` has them, for callers who need no years and journals."""
+    return links.groupBy("pmid").agg(F.count("work_id").alias("n_works"), F.coalesce(F.bool_or(F.col("n_pmids_for_work") > 1), F.lit(False)).alias("has_work_shared_with_other_pmids"))
+
+
 #: The tables of how papers map to works: overall, by year and by journal.
 LEVELS = {"overall": ("mapping_group", "year_status", "has_work_shared_with_other_pmids"), "year": ("analysis_year", "mapping_group", "year_status", "has_work_shared_with_other_pmids"), "issn": ("journal_issns", "mapping_group", "year_status")}
 

@@ -32,6 +32,17 @@ def concept_text_summary(text: DataFrame) -> DataFrame:
     return text.groupBy("label_source").agg(F.count("*").alias("n_concepts"), F.count_distinct("label").alias("n_distinct_labels"), F.sum("n_pmid_unique_triples").alias("n_triples"))
 
 
+def concept_labels(named: DataFrame) -> DataFrame:
+    """``primary_cui, label`` as :func:`concept_text` has them, out of prepared triples with names only.
+
+    A concept of which no row has a name is left out: it stands for itself anyway.
+    """
+    ends = F.array(*[F.struct(F.col(f"{x}_cui_primary").alias("c"), F.col(f"{x}_name_primary").alias("v")) for x in ("subject", "object")])
+    counted = named.select(F.explode(ends).alias("e")).select("e.*").filter("v is not null").groupBy("c", "v").agg(F.count("*").alias("n"))
+    modal = counted.groupBy("c").agg(F.min_by("v", F.struct((-F.col("n")).alias("m"), F.col("v").alias("v"))).alias("v"))
+    return modal.select(F.col("c").alias("primary_cui"), F.when(F.trim("v") != "", F.col("v")).otherwise(F.col("c")).alias("label"))
+
+
 def relation_text(triples: DataFrame, labels: DataFrame) -> DataFrame:
     """Each distinct triple as a sentence; a concept without a label stands for itself."""
     out = triples.select("s", "p", "o").distinct()
@@ -40,6 +51,15 @@ def relation_text(triples: DataFrame, labels: DataFrame) -> DataFrame:
     return out.select("s", "p", "o", F.concat_ws(" ", F.coalesce("label_s", "s"), predicate_phrase(F.col("p")), F.coalesce("label_o", "o")).alias("text"))
 
 
+def sentence_vectors(triples: DataFrame, labels: DataFrame, encoder: Encoder | None = None) -> DataFrame:
+    """``s, p, o, vector`` of the sentence of each distinct triple; an ``encoder`` gets each distinct sentence once."""
+    text = relation_text(triples, labels)
+    if encoder is None:
+        return written(text.select("s", "p", "o", hashed_vector(F.col("text")).alias("vector")))
+    text = written(text)
+    return written(text.join(embed(text, encoder), "text").select("s", "p", "o", "vector"))
+
+
 def hashed_vector(text: Column, dimensions: int = DIMENSIONS) -> Column:
     """Counts of character trigrams of the padded text, in buckets by their md5."""
     padded = F.concat(F.lit("  "), F.lower(text), F.lit("  "))
@@ -122,17 +142,17 @@ def prior_relation_candidates(triples: DataFrame, annotated: DataFrame, w: int =
 def new_relation_proximity(triples: DataFrame, annotated: DataFrame, labels: DataFrame, w: int = 5, encoder: Encoder | None = None, candidates: DataFrame | None = None) -> DataFrame:
     """New_Relation rows with how close their triple is to what its pair had before, by sentence and by predicate.
 
-    ``candidates`` are those of :func:`prior_relation_candidates` where they are already written.
+    ``candidates`` are those of :func:`prior_relation_candidates` where they are already written.  A sentence
+    has its vector once, and two predicates are compared once for all of their rows.
     """
     near = candidates if candidates is not None else written(prior_relation_candidates(triples, annotated, w))
-    text = written(relation_text(near.select("s", "p", "o").union(near.select("s", F.col("prior_p"), "o")), labels))
-    vectors = written(embed(text, encoder))
-    full = written(text.join(vectors, "text").select("s", "p", "o", "vector"))
-    phrase = lambda p: predicate_phrase(F.col(p))
-    words = written(embed(near.select(F.explode(F.array(phrase("p"), phrase("prior_p"))).alias("text")), encoder))
-    met = near.join(full.withColumnRenamed("vector", "v"), ["s", "p", "o"]).join(full.withColumnsRenamed({"p": "prior_p", "vector": "pv"}), ["s", "prior_p", "o"])
-    met = met.withColumns({"t": phrase("p"), "pt": phrase("prior_p")}).join(words.withColumnsRenamed({"text": "t", "vector": "wv"}), "t").join(words.withColumnsRenamed({"text": "pt", "vector": "wpv"}), "pt")
-    scored = met.select("PYEAR", "s", "p", "o", "prior_p", cosine(F.col("v"), F.col("pv")).alias("full"), cosine(F.col("wv"), F.col("wpv")).alias("phrase"))
+    vectors = sentence_vectors(near.select("s", "p", "o").union(near.select("s", F.col("prior_p"), "o")), labels, encoder)
+    of_pair = near.select("PYEAR", "s", "p", "o", "prior_p").join(vectors.withColumnRenamed("vector", "v"), ["s", "p", "o"]).join(vectors.withColumnsRenamed({"p": "prior_p", "vector": "pv"}), ["s", "prior_p", "o"]).select("PYEAR", "s", "p", "o", "prior_p", cosine(F.col("v"), F.col("pv")).alias("full"))
+    phrases = written(near.select("p", "prior_p").distinct())
+    both = phrases.select("p", "prior_p", predicate_phrase(F.col("p")).alias("t"), predicate_phrase(F.col("prior_p")).alias("pt"))
+    words = embed(both.select(F.explode(F.array("t", "pt")).alias("text")), encoder)
+    compared = both.join(words.withColumnsRenamed({"text": "t", "vector": "wv"}), "t").join(words.withColumnsRenamed({"text": "pt", "vector": "wpv"}), "pt").select("p", "prior_p", cosine(F.col("wv"), F.col("wpv")).alias("phrase"))
+    scored = of_pair.join(written(compared), ["p", "prior_p"])
     best = lambda c: F.min_by("prior_p", F.struct((-F.round(c, 6)).alias("c"), F.col("prior_p").alias("p")))
     per = scored.groupBy("PYEAR", "s", "p", "o").agg(
         F.count("*").alias("n_prior_triples"), F.count_distinct("prior_p").alias("n_prior_predicates"),
@@ -149,7 +169,8 @@ SCORES = {"full": "max_full_similarity", "phrase": "max_phrase_similarity"}
 def new_relation_summary(scored: DataFrame, candidates: DataFrame, triples: DataFrame, annotated: DataFrame, w: int = 5) -> DataFrame:
     """For each year: rows, distinct triples, pairs, ends and predicates, what was compared, how far both scores reach, and their profiles.
 
-    ``candidates`` are those of :func:`prior_relation_candidates`, ``scored`` the rows of :func:`new_relation_proximity`.
+    ``candidates`` are those of :func:`prior_relation_candidates`, ``scored`` the rows of :func:`new_relation_proximity`;
+    of ``annotated`` only the years are read, so :func:`focal_rows` will do.
     """
     scored = written(scored)
     c = F.col
