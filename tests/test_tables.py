@@ -44,6 +44,52 @@ def test_a_range_opens_only_its_shards(spark, tmp_path):
     assert tables.read_range(spark, path, "id", 5000, 6000).count() == 0
 
 
+def test_shards_cost_no_tasks_of_their_own_and_both_writers_agree(spark, tmp_path, monkeypatch):
+    from .test_growth import shuffled
+
+    k = F.col("id")
+    day = F.timestamp_seconds(k * 977)
+    df = spark.range(900).select(
+        F.when(k % 50 > 0, day).alias("at"), "id", (k / 8).cast("decimal(20,3)").alias("d"), F.encode(k.cast("string"), "UTF-8").alias("raw"), F.when(k % 3 > 0, F.concat(F.lit("é"), k)).alias("s"),
+        F.array(k, F.lit(None)).alias("xs"), F.struct(k.alias("a"), F.date_add(F.lit("2000-02-28").cast("date"), k.cast("int")).alias("b")).alias("st"), (k % 2 > 0).alias("odd"), (k % 100).cast("tinyint").alias("t"),
+    )
+    a, b = f"file://{tmp_path}/a", str(tmp_path / "b")
+    manifest = []
+    n = shuffled(spark, lambda: manifest.extend(tables.write_shards(df, a, ["at"], 3).collect()), "numCompleteTasks")
+    monkeypatch.setattr(tables, "GROUP_BYTES", 1)
+    with pytest.raises(ValueError, match="exists"):
+        tables.write_shards(df, a, ["at"], 3)
+    monkeypatch.setattr(tables, "_local", lambda spark, path: None)
+    other: list = []
+    m = shuffled(spark, lambda: other.extend(tables.write_shards(df, b, ["at"], 3).collect()), "numCompleteTasks")
+    assert n < 100 and m > 300  # Spark's writer lists each folder in a task
+    by = lambda r: r.shard
+    assert sorted(other, key=by) == sorted(manifest, key=by) and len(manifest) == 300
+    assert {r.n_rows for r in manifest} == {3} and min(r.shard for r in manifest if r.first_key is None) == 1
+    rows = lambda path: spark.read.schema(f"{', '.join(f'{c} {t}' for c, t in df.dtypes)}, number long, shard long").parquet(path)
+    of = lambda path: sorted((r for r in rows(path).filter("shard is not null").collect()), key=lambda r: r.number)
+    assert of(a) == of(b) and len(of(a)) == 900
+    low, high = F.timestamp_seconds(F.lit(97_000)), F.timestamp_seconds(F.lit(107_000))
+    assert sorted(r.id for r in tables.read_range(spark, a, "at", low, high).collect()) == [i for i in range(900) if i % 50 and 97_000 <= i * 977 <= 107_000]
+
+
+def test_a_task_that_writes_shards_holds_a_row_group_and_may_run_again(tmp_path, monkeypatch):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    monkeypatch.setattr(tables, "GROUP_BYTES", 100)
+    batches = [pa.RecordBatch.from_pydict({"k": [*range(i, i + 20)], "shard": [1 + x // 70 for x in range(i, i + 20)]}) for i in range(0, 140, 20)]
+    run = tables._shard_files(str(tmp_path), "k")
+    for _ in range(2):
+        got = [tuple(r.values()) for b in run(iter(batches)) for r in b.to_pylist()]
+        assert got == [(1 + k // 70, k) for k in range(140)]
+        assert sorted(os.listdir(tmp_path / "shard=1")) == ["part-000000001.zstd.parquet"]
+    assert pq.ParquetFile(tmp_path / "shard=1" / "part-000000001.zstd.parquet").num_row_groups == 4
+    with pytest.raises(ValueError, match="shard 1 came after 2"):
+        list(run(iter([batches[5], batches[0]])))
+    assert not [f for d in os.listdir(tmp_path) for f in os.listdir(tmp_path / d) if f.startswith(".")]
+
+
 def test_years_are_replaced_one_by_one(spark, tmp_path):
     path = str(tmp_path / "y")
     first = spark.createDataFrame([("1999", i) for i in range(5)] + [("2000", i) for i in range(7)], "PYEAR string, v int")

@@ -10,13 +10,14 @@ from __future__ import annotations
 
 import json
 import math
+import os
 import uuid
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import remove, written
+from .shared import _at, remove, written
 
 #: Rows of a range that one task orders, and ranges whose sizes are summed in one task.
 RANGE_ROWS, SUMMED = 1_000_000, 1024
@@ -42,25 +43,109 @@ def numbered(df: DataFrame, order: Sequence[str], range_rows: int = RANGE_ROWS)
     return ranged.withColumn("__own", own).join(side, "__range").select(*df.columns, (F.col("__own") + F.col("__before")).alias("number"))
 
 
+#: Bytes of a row group, the most that a task holds of a shard.
+GROUP_BYTES = 64 << 20
+
+
+def _local(spark: SparkSession, path: str) -> str | None:
+    """The plain name of a path in a file system that tasks see as files, if it is one."""
+    at, system = _at(spark, path)
+    uri = system.makeQualified(at).toUri()
+    return uri.getPath() if uri.getScheme() == "file" else None
+
+
+def _shard_files(folder: str, key: str):
+    """For tasks whose rows are sorted by shard: a file for each shard, and ``shard, key`` of its rows as read back from it.
+
+    A file gets its name when it is complete, and another attempt of the task replaces it by an equal one.
+    """
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.parquet as pq
+
+        def files():
+            last = writer = name = None
+            held: list = []
+
+            def flush():
+                if held:
+                    writer.write_table(pa.Table.from_batches(held))
+                held.clear()
+
+            def close():
+                flush()
+                writer.close()
+                os.replace(f"{os.path.dirname(name)}/.{mine}", name)
+                return last, name
+
+            mine = uuid.uuid4().hex
+            try:
+                for batch in batches:
+                    shards, batch = batch.column("shard").to_numpy(), batch.drop_columns(["shard"])
+                    cuts = [0, *(np.flatnonzero(np.diff(shards)) + 1).tolist(), len(shards)]
+                    for start, end in zip(cuts, cuts[1:]) if len(shards) else ():
+                        if shards[start] != last:
+                            if writer:
+                                yield close()
+                                writer = None
+                            if last is not None and shards[start] < last:
+                                raise ValueError(f"shard {shards[start]} came after {last}")
+                            last = int(shards[start])
+                            name = f"{folder}/shard={last}/part-{last:09d}.zstd.parquet"
+                            os.makedirs(os.path.dirname(name), exist_ok=True)
+                            writer = pq.ParquetWriter(f"{os.path.dirname(name)}/.{mine}", batch.schema, compression="zstd")
+                        held.append(batch.slice(start, end - start))
+                        if sum(x.nbytes for x in held) > GROUP_BYTES:
+                            flush()
+                if writer:
+                    yield close()
+                    writer = None
+            finally:
+                if writer:
+                    writer.close()
+                    os.remove(f"{os.path.dirname(name)}/.{mine}")
+
+        for shard, name in files():
+            with pq.ParquetFile(name) as file:
+                for batch in file.iter_batches(columns=[key]):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(batch), shard)), batch.column(0)], ["shard", key])
+
+    return run
+
+
 def write_shards(df: DataFrame, path: str, order: Sequence[str], rows: int, range_rows: int = RANGE_ROWS) -> DataFrame:
     """``df`` in zstd files of exactly ``rows`` rows, the last one shorter, in a global order; returns the manifest.
 
     A file is a folder ``shard=k``; equal tables give equal files, whatever their
     partitions.  The manifest (shard, n_rows, first and last of the leading key)
     is counted from the files, kept as ``_manifest`` beside them, and must add up to the rows that were numbered.
+
+    On a disk, tasks write the files by Arrow and read each back at once: Hadoop's local file system
+    starts processes for the mode of each file and folder, and a table of many files is slow to list.
+    Elsewhere Spark's own writer is used.
     """
     spark = df.sparkSession
+    at, system = _at(spark, path)
+    if system.exists(at):
+        raise ValueError(f"{path} exists")
     placed = numbered(df, order, range_rows).withColumn("shard", F.ceil(F.col("number") / rows))
     seen = Observation()
     dealt = placed.repartition("shard").sortWithinPartitions("shard", "number").observe(seen, F.count("*").alias("n"))
-    dealt.write.option("compression", "zstd").partitionBy("shard").parquet(path)
-    files = spark.read.schema(placed.schema).parquet(path)
+    local = _local(spark, path)
+    if local:
+        files = dealt.mapInArrow(_shard_files(local, order[0]), placed.select("shard", order[0]).schema)
+    else:
+        dealt.write.option("compression", "zstd").partitionBy("shard").parquet(path)
+        files = spark.read.schema(placed.schema).parquet(path)
     manifest = files.groupBy("shard").agg(F.count("*").alias("n_rows"), F.min(order[0]).alias("first_key"), F.max(order[0]).alias("last_key"))
     manifest.coalesce(1).write.parquet(f"{path}/_manifest")
     kept = spark.read.schema(manifest.schema).parquet(f"{path}/_manifest")
     total = kept.agg(F.sum("n_rows").alias("n"), F.count_if(F.col("n_rows") != rows).alias("short")).first()
-    if (total["n"] or 0) != seen.get["n"] or total["short"] > 1:
-        raise ValueError(f"{seen.get['n']} rows became {total['n']} in files, {total['short']} of them short")
+    wanted = seen.get["n"] if total["n"] else placed.count()  # a plan that Spark finds empty observes nothing
+    if (total["n"] or 0) != wanted or total["short"] > 1:
+        raise ValueError(f"{wanted} rows became {total['n']} in files, {total['short']} of them short")
     return kept
 
 
