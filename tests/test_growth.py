@@ -139,3 +139,31 @@ def test_numbers_of_values_go_on_alone(spark):
     assert got["C2"].n_distinct_primary_semtype is None and got["C2"].all_primary_names is None
     plan = profiles.concept_profile(rows)._jdf.queryExecution().analyzed().toString().lower()
     assert "(distinct" not in plan and "filter(array" not in plan  # either made each of a concept's values meet again in a sort or cell by cell
+
+
+def test_values_of_a_paper_meet_once(spark, monkeypatch):
+    from tripleloom.operators import papers
+
+    monkeypatch.setattr(papers, "TASK_ROWS", 300)
+    kinds = papers.CATEGORIES
+    tri = "PMID string, PYEAR int, s string, p string, o string, node_a string, node_b string, edge_annotation string, subject_seen_in_prior_window boolean, object_seen_in_prior_window boolean"
+
+    def row(k):
+        s, o, p = f"C{k % 7}", f"C{k % 11 + 7}", None if k % 5 == 0 else f"P{k % 3}"
+        return (f"p{k % 400}", 2000 + k % 400 % 2, s, p, o, min(s, o), max(s, o), kinds[(k % 7 + k % 11 + k % 3) % 4], k % 7 > 2, k % 11 > 5)
+
+    rows = [row(k) for k in range(3000)] + [row(k) for k in range(0, 3000, 4)] + [(None, *row(3)[1:])]
+    df = spark.createDataFrame(rows, tri)
+    for scope, of in ((["PMID", "PYEAR"], lambda r: r[:2]), (["PYEAR"], lambda r: r[1:2])):
+        want: dict = defaultdict(lambda: (set(), set(), set()))
+        for r in rows:
+            if None not in of(r):
+                found = want[of(r)]
+                found[0].update({(r[2], not r[8]), (r[4], not r[9])})
+                found[1].add((r[5], r[6], r[7] == kinds[1]))
+                found[2].add((*r[2:5], r[7]))
+        got: list = []
+        n = shuffled(spark, lambda: got.extend(papers._new_knowledge(df, scope).collect()))  # noqa: B023
+        out = {tuple(r[c] for c in scope): (r.n_unique_concepts, r.n_unique_new_concepts, r.n_unique_concept_pairs, r.n_unique_new_combination_pairs, r.n_triples, *(r[f"n_{k}"] for k in papers.KINDS), r.n_new_triples) for r in got}
+        assert out == {k: (len(c), sum(new for _, new in c), len(p), sum(x[2] for x in p), len(t), *(sum(x[3] == kind for x in t) for kind in kinds), sum(x[3] != kinds[3] for x in t)) for k, (c, p, t) in want.items()}
+        assert "PMID" not in scope or n < 5000  # a row for each statement; values of each kind met one another and then in a join
