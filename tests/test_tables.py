@@ -73,6 +73,26 @@ def test_shards_cost_no_tasks_of_their_own_and_both_writers_agree(spark, tmp_pat
     assert sorted(r.id for r in tables.read_range(spark, a, "at", low, high).collect()) == [i for i in range(900) if i % 50 and 97_000 <= i * 977 <= 107_000]
 
 
+def test_rows_are_shuffled_twice_and_keys_of_files_once_for_all(spark, tmp_path, monkeypatch):
+    from .test_growth import shuffled
+
+    k = F.col("id")
+    key = F.when(k % 40 == 0, None).when(k % 41 == 0, float("nan")).otherwise((k * 7 % 500 - 250) / 4)
+    df = spark.range(5000).select(key.alias("k"), F.sha2(k.cast("string"), 256).alias("s"))
+    rank = lambda r: (r.k is not None, r.k != r.k, r.k if r.k == r.k and r.k is not None else 0, r.s)
+    parts = [p[i : i + 100] for p in [sorted(df.collect(), key=rank)] for i in range(0, 5000, 100)]
+    want = [repr((i + 1, 100, *((known[0].k, known[-1].k) if (known := [r for r in p if r.k is not None]) else (None, None)))) for i, p in enumerate(parts)]
+    got: list = []
+    n = shuffled(spark, lambda: got.extend(tables.write_shards(df, str(tmp_path / "a"), ["k"], 100, range_rows=450).collect()))
+    assert [repr(tuple(r)) for r in sorted(got, key=lambda r: r.shard)] == want
+    assert {i: list(map(repr, p)) for i, p in files(str(tmp_path / "a"), spark).items()} == {i + 1: [repr(tuple(r)) for r in p] for i, p in enumerate(parts)}
+    assert n < 10_500  # 15 000 and more, as ranges were shuffled again to be numbered
+    assert [r.number for r in sorted(tables.numbered(df, ["k"], 450).collect(), key=rank)] == [*range(1, 5001)]
+    monkeypatch.setattr(tables, "_local", lambda spark, path: None)
+    tables.write_shards(df, str(tmp_path / "b"), ["k"], 100, range_rows=450)
+    assert sorted(repr(tuple(r)) for r in spark.read.parquet(str(tmp_path / "b/_manifest")).collect()) == sorted(want)
+
+
 def test_a_task_that_writes_shards_holds_a_row_group_and_may_run_again(tmp_path, monkeypatch):
     import pyarrow as pa
     import pyarrow.parquet as pq

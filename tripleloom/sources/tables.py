@@ -13,6 +13,7 @@ import math
 import os
 import uuid
 from collections.abc import Callable, Sequence
+from itertools import islice
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
@@ -23,24 +24,29 @@ from .shared import _at, remove, written
 RANGE_ROWS, SUMMED = 1_000_000, 1024
 
 
-def numbered(df: DataFrame, order: Sequence[str], range_rows: int = RANGE_ROWS) -> DataFrame:
-    """``df`` with ``number``, a row's place in the order from 1 on; ties by the other columns.
-
-    Rows are dealt to ranges of the key, as many as the row count asks for (Spark
-    samples a hundred keys a range for their borders), numbered inside each and moved on by the
-    sizes of the ranges before.  Those are summed in blocks and then over blocks, so
-    no task sees the table or all of its ranges.
-    """
+def _numbered(df: DataFrame, order: Sequence[str], range_rows: int) -> tuple[DataFrame, int]:
+    """:func:`numbered`, and the number of its ranges."""
     every = [*order, *[c for c in df.columns if c not in order]]
     ranges = max(1, math.ceil(df.count() / range_rows))
-    ranged = written(df.repartitionByRange(ranges, *every).withColumn("__range", F.spark_partition_id()))
+    own = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1) + 1  # the lower 33 bits are a row's place in its partition
+    ranged = written(df.repartitionByRange(ranges, *every).sortWithinPartitions(*every).withColumns({"__range": F.spark_partition_id(), "__own": own}))
     sizes = ranged.groupBy("__range").agg(F.count("*").alias("__n")).withColumn("__block", F.floor(F.col("__range") / SUMMED))
     blocks = sizes.groupBy("__block").agg(F.sum("__n").alias("__b")).withColumn("__earlier", F.sum("__b").over(Window.orderBy("__block")) - F.col("__b"))  # a row for SUMMED ranges
     inside = F.sum("__n").over(Window.partitionBy("__block").orderBy("__range")) - F.col("__n")
     before = sizes.withColumn("__inside", inside).join(blocks, "__block").select("__range", (F.col("__inside") + F.col("__earlier")).alias("__before"))
-    own = F.row_number().over(Window.partitionBy("__range").orderBy(*every))
     side = F.broadcast(before) if ranges <= 500_000 else before
-    return ranged.withColumn("__own", own).join(side, "__range").select(*df.columns, (F.col("__own") + F.col("__before")).alias("number"))
+    return ranged.join(side, "__range").select(*df.columns, (F.col("__own") + F.col("__before")).alias("number")), ranges
+
+
+def numbered(df: DataFrame, order: Sequence[str], range_rows: int = RANGE_ROWS) -> DataFrame:
+    """``df`` with ``number``, a row's place in the order from 1 on; ties by the other columns.
+
+    Rows are dealt to ranges of the key, as many as the row count asks for (Spark
+    samples a hundred keys a range for their borders), numbered inside each as they are written
+    in order, and moved on by the sizes of the ranges before.  Those are summed in blocks and then
+    over blocks, so no task sees the table or all of its ranges.
+    """
+    return _numbered(df, order, range_rows)[0]
 
 
 #: Bytes of a row group, the most that a task holds of a shard.
@@ -115,6 +121,24 @@ def _shard_files(folder: str, key: str):
     return run
 
 
+def _shard_sums(files):
+    """The batches of ``files`` (``shard, key`` of one file, in order) as a row each: ``shard, n_rows, first_key, last_key``."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        def row(batch):
+            known = batch.column(1).drop_null()
+            ends = [known.take(pa.array([i])) if len(known) else pa.nulls(1, known.type) for i in (0, len(known) - 1)]
+            return pa.RecordBatch.from_arrays([batch.column(0).slice(0, 1), pa.array([len(batch)]), *ends], ["shard", "n_rows", "first_key", "last_key"])
+
+        rows = map(row, files(batches))
+        while some := list(islice(rows, 1000)):
+            yield from pa.Table.from_batches(some).combine_chunks().to_batches()
+
+    return run
+
+
 def write_shards(df: DataFrame, path: str, order: Sequence[str], rows: int, range_rows: int = RANGE_ROWS) -> DataFrame:
     """``df`` in zstd files of exactly ``rows`` rows, the last one shorter, in a global order; returns the manifest.
 
@@ -122,6 +146,7 @@ def write_shards(df: DataFrame, path: str, order: Sequence[str], rows: int, rang
     partitions.  The manifest (shard, n_rows, first and last of the leading key)
     is counted from the files, kept as ``_manifest`` beside them, and must add up to the rows that were numbered.
 
+    A task writes shards that follow one another, about ``range_rows`` rows of them.
     On a disk, tasks write the files by Arrow and read each back at once: Hadoop's local file system
     starts processes for the mode of each file and folder, and a table of many files is slow to list.
     Elsewhere Spark's own writer is used.
@@ -130,16 +155,21 @@ def write_shards(df: DataFrame, path: str, order: Sequence[str], rows: int, rang
     at, system = _at(spark, path)
     if system.exists(at):
         raise ValueError(f"{path} exists")
-    placed = numbered(df, order, range_rows).withColumn("shard", F.ceil(F.col("number") / rows))
+    numbers, ranges = _numbered(df, order, range_rows)
+    placed = numbers.withColumn("shard", F.ceil(F.col("number") / rows))
     seen = Observation()
-    dealt = placed.repartition("shard").sortWithinPartitions("shard", "number").observe(seen, F.count("*").alias("n"))
+    task = F.floor((F.col("shard") - 1) / math.ceil(range_rows / rows)).cast("int")
     local = _local(spark, path)
+    dealt = placed.repartitionById(ranges, task).sortWithinPartitions(*(["number"] if local else ["shard", "number"])).observe(seen, F.count("*").alias("n"))
     if local:
-        files = dealt.mapInArrow(_shard_files(local, order[0]), placed.select("shard", order[0]).schema)
+        key = placed.schema[order[0]].dataType
+        sums = placed.select("shard").schema.add("n_rows", "long").add("first_key", key).add("last_key", key)
+        files = dealt.mapInArrow(_shard_sums(_shard_files(local, order[0])), sums)
     else:
         dealt.write.option("compression", "zstd").partitionBy("shard").parquet(path)
-        files = spark.read.schema(placed.schema).parquet(path)
-    manifest = files.groupBy("shard").agg(F.count("*").alias("n_rows"), F.min(order[0]).alias("first_key"), F.max(order[0]).alias("last_key"))
+        key = F.col(order[0])
+        files = spark.read.schema(placed.schema).parquet(path).select("shard", F.lit(1).alias("n_rows"), key.alias("first_key"), key.alias("last_key"))
+    manifest = files.groupBy("shard").agg(F.sum("n_rows").alias("n_rows"), F.min("first_key").alias("first_key"), F.max("last_key").alias("last_key"))
     manifest.coalesce(1).write.parquet(f"{path}/_manifest")
     kept = spark.read.schema(manifest.schema).parquet(f"{path}/_manifest")
     total = kept.agg(F.sum("n_rows").alias("n"), F.count_if(F.col("n_rows") != rows).alias("short")).first()
